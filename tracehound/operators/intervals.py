@@ -137,3 +137,20 @@ def previous_value(df: DataFrame, keys: list[str], order: str, value: str, width
         out,
         F.when(F.row_number().over(inside) == 1, F.col("_carry.v")).otherwise(F.lag(value).over(inside)),
     ).drop("_slice", "_carry")
+
+
+def running_last(df: DataFrame, keys: list[str], order: str, value: Column, width: int, out: str) -> DataFrame:
+    """Last non-null value at or before each row, in the order of a numeric column, over slices of it.
+
+    What a slice inherits comes from a table with one row per slice, so a long key is never sorted in one task.
+    """
+    sliced = df.withColumns({"_slice": _slice(F.col(order), width), "_v": value})
+    marked = F.when(F.col("_v").isNotNull(), F.struct(F.col(order).alias("o"), F.col("_v").alias("v")))
+    last = sliced.groupBy(*keys, "_slice").agg(F.max(marked).alias("_last"))
+    by_slice = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(*keys, "_slice", F.max("_last").over(by_slice).alias("_carry"))
+    inside = Window.partitionBy(*keys, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = sliced.join(carried, [*keys, "_slice"], "left")
+    return joined.withColumn(
+        out, F.coalesce(F.last("_v", ignorenulls=True).over(inside), F.col("_carry.v"))
+    ).drop("_slice", "_v", "_carry")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tracehound.plans import catalog_entries
+from tracehound.plans import catalog_entries, catalog_lines
 
-PARTS = [catalog_entries.R]
+PARTS = [catalog_entries.R, catalog_lines.R]
 QUERIES = {name: fn for part in PARTS for name, fn in part.queries.items()}
 SQL = {name: sql for part in PARTS for name, sql in part.sql.items()}

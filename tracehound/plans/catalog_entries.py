@@ -416,10 +416,10 @@ def g4(spark, d):
     return query.first_per_group(e, ["ip"], ["ts", "id"], 10).select("ip", "id", F.col("rn").cast("bigint").alias("rn"))
 
 
-@R.add("g5_union_frames", WITH_E + "SELECT id, 'a' AS part, port::BIGINT AS port FROM entries WHERE outcome = 'failure' UNION ALL SELECT id, 'b', NULL FROM entries WHERE outcome = 'success'")
+@R.add("g5_union_frames", WITH_E + "SELECT id, 'a' AS part, port::VARCHAR AS port FROM entries WHERE outcome = 'failure' UNION ALL SELECT id, 'b', NULL FROM entries WHERE outcome = 'success'")
 def g5(spark, d):
     e = entries(spark, d)
-    a = e.where("outcome = 'failure'").select("id", F.lit("a").alias("part"), F.col("source.port").cast("bigint").alias("port"))
+    a = e.where("outcome = 'failure'").select("id", F.lit("a").alias("part"), F.col("source.port").cast("string").alias("port"))
     return query.union_frames(a, e.where("outcome = 'success'").select("id", F.lit("b").alias("part")))
 
 

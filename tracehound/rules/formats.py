@@ -2,7 +2,7 @@
 
 Each row is (type name, kind, test). Kinds: ``re`` matches from the start of the line, ``find`` anywhere;
 ``json`` accepts any JSON value, ``array`` a non-empty JSON array, ``keys`` a JSON object holding all the
-named top-level keys; ``has`` any of the plain substrings; ``cell`` a comma-separated line with the given
+named top-level keys, ``keys_find`` also the pattern; ``has`` any of the plain substrings; ``cell`` a comma-separated line with the given
 cell. The row order is the priority order.
 """
 
@@ -66,7 +66,7 @@ LINE_TESTS: list[tuple[str, str, object]] = [
     ("Cisco ASA", "re", r"^[A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}\s+\S+\s+%ASA-\d-\d+:\s+access-list\s+\S+\s+(denied|permitted)\s+(tcp|udp|icmp)\s+\S+/(?:\d{1,3}\.){3}\d{1,3}\s+to\s+\S+/(?:\d{1,3}\.){3}\d{1,3}.*$"),
     ("Check Point Firewall", "re", r"^\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}\s+(accept|drop|reject)\s+(TCP|UDP|ICMP)\s+src=(?:\d{1,3}\.){3}\d{1,3}\s+dst=(?:\d{1,3}\.){3}\d{1,3}\s+rule=\S+.*$"),
     ("AWS VPC Flow Logs", "re", r"^(\d+)\s+(\d+)\s+(eni-\S+)\s+(?:(?:\d{1,3}\.){3}\d{1,3})\s+(?:(?:\d{1,3}\.){3}\d{1,3})\s+(\d+)\s+(\d+)\s+(\d+)\s+(\d+)\s+(\d+)\s+(\d+)\s+(ACCEPT|REJECT)\s+(\S+)$"),
-    ("Azure NSG Flow Logs", "keys", ["time", "properties"]),
+    ("Azure NSG Flow Logs", "keys_find", (["time", "properties"], r'"flows"\s*:\s*\[.*"flowTuples"\s*:\s*\[')),
     ("GCP VPC Firewall", "re", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z\s+(allow|deny)\s+(tcp|udp|icmp)\s+(?:\d{1,3}\.){3}\d{1,3}:\d+\s+(?:\d{1,3}\.){3}\d{1,3}:\d+.*$"),
     ("Disk Traffic", "find", r'type="traffic"'),
     ("Moodle LMS", "re", r'^\[\["19(?:\\/)?\d{2}(?:\\/)?\d{2},\s+\d{2}:\d{2}"'),
