@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tracehound.functions import normalize as nz
 from tracehound.operators import parsing as ps
 from tracehound.operators import detect
+from tracehound.plans import jobs
 from tracehound.plans.catalog_entries import WITH_E, WITH_T, tagged, us
 from tracehound.plans.registry import Registry, quoted
 from tracehound.plans.views import (
@@ -456,6 +457,5 @@ def b27(spark, d):
 @R.add("b27_parse_tag_alert")
 def b27b(spark, d):
     """Whole path from lines to alerts: parse, tag, detect."""
-    e = detect.tag_keywords(ps.to_entries(ps.parse(raw_lines(spark, d), YEAR)))
     cfg = detect.DetectionConfig(bruteforce_n=3, bruteforce_minutes=7 * 24 * 60, spray_n=3, spray_minutes=24 * 60)
-    return detect.run_detections(e, cfg).groupBy("type").agg(F.count("*").alias("alerts"))
+    return jobs.parse_job(raw_lines(spark, d), YEAR, cfg)["alerts"].groupBy("type").agg(F.count("*").alias("alerts"))
