@@ -301,7 +301,7 @@ def transaction_log(spark: SparkSession, d: str) -> DataFrame:
     code = (F.col("l_suppkey") % 37).cast("int")
     return li.select(
         (F.col("l_orderkey") % 3).cast("int").alias("partition"),
-        (F.col("l_orderkey") * 400000 + F.col("l_linenumber")).alias("lsn"),
+        (F.col("l_orderkey") * 4000000 + F.col("l_linenumber") * 500000 + F.col("l_partkey")).alias("lsn"),
         F.col("l_shipdate").cast("timestamp").alias("ts"), F.col("l_partkey").alias("tx_id"), code.alias("op_code"),
         F.when(code == 9, "UpdateResidentValue").when(code == 10, "UpdateNonResidentValue").otherwise("Other").alias("op_type"),
         (F.col("l_orderkey") + F.shiftleft(F.col("l_linenumber").cast("bigint"), 48)).alias("file_ref"),
@@ -310,7 +310,7 @@ def transaction_log(spark: SparkSession, d: str) -> DataFrame:
 
 
 LSN_SQL = """lsn AS (
-  SELECT (l_orderkey % 3)::INTEGER AS partition, l_orderkey * 400000 + l_linenumber AS lsn, epoch_us(l_shipdate) AS us,
+  SELECT (l_orderkey % 3)::INTEGER AS partition, l_orderkey * 4000000 + l_linenumber * 500000 + l_partkey AS lsn, epoch_us(l_shipdate) AS us,
     l_partkey AS tx_id, (l_suppkey % 37)::INTEGER AS op_code, l_orderkey + l_linenumber::BIGINT * 281474976710656 AS file_ref
   FROM lineitem)"""
 
