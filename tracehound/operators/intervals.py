@@ -121,17 +121,20 @@ def near_pairs(
     return lhs.join(rhs, [*keys, "_slice"]).where((gap > 0) & (gap < width)).drop("_slice")
 
 
-def previous_value(df: DataFrame, keys: list[str], order: str, value: str, width: int, out: str) -> DataFrame:
-    """Value of the row before, in the order of a numeric column, over slices of that column.
+def previous_value(
+    df: DataFrame, keys: list[str], order: str, value: str, width: int, out: str, ties: tuple[str, ...] = (),
+) -> DataFrame:
+    """Value of the row before, in the order of a numeric column (then ``ties``), over slices of that column.
 
     The last row of each slice is handed to the following slice that has rows, so the answer equals a lag
     over the whole key while no task sees more than one slice.
     """
     sliced = df.withColumn("_slice", _slice(F.col(order), width))
-    last = sliced.groupBy(*keys, "_slice").agg(F.max(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))).alias("_last"))
-    by_slice = Window.partitionBy(*keys).orderBy("_slice") if keys else Window.orderBy("_slice")
+    newest = F.struct(F.col(order).alias("o"), *[F.col(t) for t in ties], F.col(value).alias("v"))
+    last = sliced.groupBy(*keys, "_slice").agg(F.max(newest).alias("_last"))
+    by_slice = Window.partitionBy(*keys).orderBy("_slice")
     carried = last.select(*keys, "_slice", F.lag("_last").over(by_slice).alias("_carry"))
-    inside = Window.partitionBy(*keys, "_slice").orderBy(order)
+    inside = Window.partitionBy(*keys, "_slice").orderBy(order, *ties)
     joined = sliced.join(carried, [*keys, "_slice"], "left")
     return joined.withColumn(
         out,

@@ -164,7 +164,7 @@ def lsn_order(log: DataFrame, width: int = 1 << 40) -> DataFrame:
     rows = log.where("ts IS NOT NULL AND file_ref IS NOT NULL").select(
         F.col("file_ref").bitwiseAND(F.lit(FILE_REF_MASK)).alias("record_no"), "lsn", micros().alias("us")
     )
-    marked = previous_value(rows.withColumn("pair", F.struct("us", "lsn")), ["record_no"], "lsn", "pair", width, "before")
+    marked = previous_value(rows.withColumn("pair", F.struct("us", "lsn")), ["record_no"], "lsn", "pair", width, "before", ("us",))
     return marked.where(F.col("us") < F.col("before.us")).select(
         "record_no", F.col("before.lsn").alias("prev_lsn"), F.col("before.us").alias("prev_us"), "lsn", "us"
     )

@@ -135,7 +135,7 @@ def d12(spark, d):
     return f.where(us("si_created") < bound).select("record_no", F.lit("before_volume").alias("flag"))
 
 
-@R.add("f9_lsn_order", f"WITH {v.LSN_SQL}, x AS (SELECT file_ref & 281474976710655 AS record_no, lsn, us, lag(lsn) OVER w AS prev_lsn, lag(us) OVER w AS prev_us FROM lsn WINDOW w AS (PARTITION BY file_ref & 281474976710655 ORDER BY lsn)) SELECT record_no, prev_lsn, prev_us, lsn, us FROM x WHERE us < prev_us")
+@R.add("f9_lsn_order", f"WITH {v.LSN_SQL}, x AS (SELECT file_ref & 281474976710655 AS record_no, lsn, us, lag(lsn) OVER w AS prev_lsn, lag(us) OVER w AS prev_us FROM lsn WINDOW w AS (PARTITION BY file_ref & 281474976710655 ORDER BY lsn, us)) SELECT record_no, prev_lsn, prev_us, lsn, us FROM x WHERE us < prev_us")
 def f9(spark, d):
     return windows.lsn_order(v.transaction_log(spark, d), 1 << 20)
 
@@ -210,7 +210,7 @@ def m6(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-_FALLS = "fl AS (SELECT record_no, count(*) AS falls FROM (SELECT file_ref & 281474976710655 AS record_no, us, lag(us) OVER (PARTITION BY file_ref & 281474976710655 ORDER BY lsn) AS p FROM lsn) WHERE us < p GROUP BY 1)"
+_FALLS = "fl AS (SELECT record_no, count(*) AS falls FROM (SELECT file_ref & 281474976710655 AS record_no, us, lag(us) OVER (PARTITION BY file_ref & 281474976710655 ORDER BY lsn, us) AS p FROM lsn) WHERE us < p GROUP BY 1)"
 _LCHK = f"""SELECT record_no, 'lsn_order' AS check_id, 'HIGH' AS severity FROM files JOIN fl USING (record_no) UNION ALL SELECT record_no, 'si_created_before_log', 'HIGH' FROM files JOIN pl USING (record_no) WHERE fa - si_c > {DAY_US}
 UNION ALL SELECT record_no, 'si_modified_before_log', 'HIGH' FROM files JOIN pl USING (record_no) WHERE fa - si_m > {DAY_US}"""
 
