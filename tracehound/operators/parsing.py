@@ -127,13 +127,23 @@ def is_continuation(line: Column) -> Column:
     return reduce(lambda a, b: a | b, [line.rlike(p) for p in CONTINUATIONS])
 
 
-def group_entries(df: DataFrame, slice_lines: int = SLICE_LINES) -> DataFrame:
-    """Stitch physical lines into entries: an opening line starts one, a blank line ends it, the rest belongs
-    to the entry before; the first line after a blank starts one in any case."""
+def entry_lines(df: DataFrame, slice_lines: int = SLICE_LINES) -> DataFrame:
+    """Each non-blank line with the number of the line that opened its entry (``opener``).
+
+    An opening line starts an entry, a blank line ends it, the rest belongs to the entry before; the first
+    line after a blank starts one in any case. No line is moved to its entry here, so a source that never
+    opens an entry costs no more than any other.
+    """
     marked = df.withColumn("blank", strip(F.col("line")) == "")
     before = previous_value(marked, ["source"], "line_no", "blank", slice_lines, "after_blank")
     starts = ~F.col("blank") & (is_entry_opening(F.col("line")) | F.coalesce("after_blank", F.lit(True)))
-    return _joined(running_last(before, ["source"], "line_no", F.when(starts, F.col("line_no")), slice_lines, "opener").where("NOT blank"))
+    held = running_last(before, ["source"], "line_no", F.when(starts, F.col("line_no")), slice_lines, "opener")
+    return held.where("NOT blank").drop("blank", "after_blank")
+
+
+def group_entries(df: DataFrame, slice_lines: int = SLICE_LINES) -> DataFrame:
+    """Physical lines stitched into entries, one text per entry."""
+    return _joined(entry_lines(df, slice_lines))
 
 
 def group_blocks(df: DataFrame, kind: str, slice_lines: int = SLICE_LINES) -> DataFrame:

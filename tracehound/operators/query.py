@@ -96,11 +96,24 @@ def field_names(e: DataFrame) -> DataFrame:
     )
 
 
+def field_cells(e: DataFrame) -> DataFrame:
+    """Open fields in long form, (id, key, value); fits any number of keys."""
+    return e.select("id", F.explode("fields").alias("key", "value")).where("value IS NOT NULL AND value <> ''")
+
+
+MAX_COLUMNS = 1000
+
+
 def flatten_fields(e: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Open fields as flat columns ``fields_<key>``; the keys are those of the whole data, sorted."""
+    """Open fields as flat columns ``fields_<key>``; the keys are those of the whole data, sorted.
+
+    Keys become column names, so the driver has to know them. Data with more keys than a table can have
+    columns is refused; its long form is ``field_cells``.
+    """
     if names is None:
-        # the keys become column names, so the driver has to know them; they are as few as the formats' groups
-        names = sorted(r["key"] for r in field_names(e).collect())
+        names = sorted(r["key"] for r in field_names(e).limit(MAX_COLUMNS + 1).collect())
+        if len(names) > MAX_COLUMNS:
+            raise ValueError(f"more than {MAX_COLUMNS} field names; use field_cells or name the fields")
     return e.withColumns({
         f"fields_{k}": F.coalesce(F.nullif(F.element_at("fields", F.lit(k)), F.lit("")), F.lit("-")) for k in names
     })
