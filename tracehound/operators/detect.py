@@ -7,12 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracehound.functions.normalize import category_of
+from tracehound.functions.normalize import bind, category_of
 from tracehound.operators import windows
 from tracehound.operators.query import first_per_group
 from tracehound.operators.stats import ip_profile
 from tracehound.rules import attacks, dims
-from tracehound.schema import is_attack, union_all
+from tracehound.schema import computed, is_attack, union_all
 
 
 def any_of(patterns: list[str]) -> str:
@@ -32,7 +32,7 @@ def keyword_type(text: Column, rules=attacks.KEYWORD_RULES) -> Column:
 
 def tag_keywords(e: DataFrame, rules=attacks.KEYWORD_RULES) -> DataFrame:
     """Keyword tag; a tagged entry becomes a warning."""
-    tagged = e.withColumn("_tag", keyword_type(F.coalesce("message", F.lit("")), rules))
+    tagged = computed(e, _tag=keyword_type(F.coalesce("message", F.lit("")), rules))
     return tagged.withColumns({
         "attack_type": F.coalesce(F.col("_tag.attack_type"), F.lit("safe")),
         "attack_confidence": F.coalesce(F.col("_tag.confidence"), F.lit(0.0)),
@@ -56,13 +56,13 @@ def category_tag(text: Column, category: Column, rules=attacks.CATEGORY_RULES) -
         tries = []
         for order, (name, weight, patterns) in enumerate(items):
             hits = _matched(text, [attacks.category_pattern(p) for p in patterns], patterns)
-            tries.append(F.when(
-                F.size(hits) > 0,
+            tries.append(bind(hits, lambda h: F.when(
+                F.size(h) > 0,
                 F.struct(
-                    F.round(F.least(F.lit(weight) + F.size(hits) * 0.1, F.lit(0.95)), 6).alias("confidence"),
-                    F.lit(-order).alias("rank"), F.lit(name).alias("attack_type"), hits.alias("patterns"),
+                    F.round(F.least(F.lit(weight) + F.size(h) * 0.1, F.lit(0.95)), 6).alias("confidence"),
+                    F.lit(-order).alias("rank"), F.lit(name).alias("attack_type"), h.alias("patterns"),
                 ),
-            ))
+            )))
         best = F.array_max(F.array_compact(F.array(*tries)))
         out = F.when(category == cat, best) if out is None else out.when(category == cat, best)
     return out
@@ -70,9 +70,8 @@ def category_tag(text: Column, category: Column, rules=attacks.CATEGORY_RULES) -
 
 def tag_by_category(e: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Category-aware tag with matched patterns, tactics and techniques; null below the threshold."""
-    tagged = e.withColumn("category", category_of(F.col("log_type"))).withColumn(
-        "_tag", category_tag(F.coalesce("message", F.lit("")), F.col("category"))
-    )
+    typed = computed(e, category=category_of(F.col("log_type")))
+    tagged = computed(typed, _tag=category_tag(F.coalesce("message", F.lit("")), F.col("category")))
     keep = F.col("_tag.confidence") >= threshold
     mitre = F.create_map(*[F.lit(x) for k, v in dims.TAG_MITRE.items() for x in (k, f"{v[0]}|{v[1]}")])
     codes = F.split(F.element_at(mitre, F.col("attack_type")), r"\|")
@@ -89,11 +88,10 @@ def ordered_tag(text: Column, rules=attacks.ORDERED_RULES) -> Column:
     """First type of the fixed order with a hit, with its confidence from the number of hits."""
     out = None
     for name, patterns in rules:
-        hits = F.size(_matched(text, ["(?i)" + p for p in patterns]))
-        value = F.struct(
+        value = bind(F.size(_matched(text, ["(?i)" + p for p in patterns])), lambda hits: F.struct(
             F.lit(name).alias("attack_type"),
             F.round(F.least(F.lit(0.5) + hits * 0.15, F.lit(0.95)), 6).alias("confidence"), hits.alias("hits"),
-        )
+        ))
         cond = text.rlike(any_of(patterns))
         out = F.when(cond, value) if out is None else out.when(cond, value)
     return out
@@ -105,7 +103,7 @@ def search_text() -> Column:
 
 
 def tag_ordered(e: DataFrame) -> DataFrame:
-    return e.withColumn("_tag", ordered_tag(search_text())).withColumns({
+    return computed(e, _tag=ordered_tag(search_text())).withColumns({
         "attack_type": F.col("_tag.attack_type"), "attack_confidence": F.col("_tag.confidence"),
         "pattern_hits": F.col("_tag.hits"),
     }).drop("_tag")

@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracehound.functions import normalize as nz
-from tracehound.functions.normalize import field, found
+from tracehound.functions.normalize import bind, found
 from tracehound.operators.intervals import previous_value, running_last
 from tracehound.rules import dims
 from tracehound.rules.formats import BLOCK_OPENINGS, CONTINUATIONS, ENTRY_OPENINGS, LINE_TESTS, RAW, TYPE_NAMES, start_anchored
 from tracehound.rules.specs import JSON_SPECS, KEY_VALUE_TYPES, MONGO_SEVERITY, PATTERN_SPECS
+from tracehound.schema import computed
 
 SPACE = " \t\r\n\f\x0b"
 SLICE_LINES = 200_000
@@ -67,7 +68,7 @@ def line_type_col(line: Column) -> Column:
 
 
 def line_type(df: DataFrame) -> DataFrame:
-    return df.withColumn("line_type", line_type_col(strip(F.col("line"))))
+    return computed(df, line_type=line_type_col(strip(F.col("line"))))
 
 
 def matching_types(line: Column) -> Column:
@@ -203,11 +204,6 @@ def groups_of(line: Column, pattern: str, n: int) -> Column:
     return F.split(F.regexp_replace(line, whole, SEP.join(f"${i}" for i in range(1, n + 1))), SEP)
 
 
-def bind(value: Column, use) -> Column:
-    """Evaluate a column once and hand it to an expression that needs it several times."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _one_of(col: Column, pairs: dict[str, str]) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv]), col)
 
@@ -335,7 +331,7 @@ def fields_col(line: Column, kind: Column) -> Column:
 
 def extract_fields(df: DataFrame) -> DataFrame:
     """``fields`` by ``line_type``; null where nothing matches."""
-    return df.withColumn("fields", fields_col(F.col("line"), F.col("line_type")))
+    return computed(df, fields=fields_col(F.col("line"), F.col("line_type")))
 
 
 # Pairs and single values of a line of no known format.
@@ -361,7 +357,7 @@ def generic_col(line: Column) -> Column:
 
 
 def generic_fields(df: DataFrame) -> DataFrame:
-    return df.withColumn("fields", generic_col(F.col("line")))
+    return computed(df, fields=generic_col(F.col("line")))
 
 
 # First pattern per field of the dynamic fallback.
@@ -428,9 +424,8 @@ def parse(df: DataFrame, default_year: int, force_type: str | None = None, per_s
     else:
         typed = line_type(lines)
     out = extract_fields(typed).withColumn("parsed", F.col("fields").isNotNull())
-    return out.withColumn("fields", F.coalesce("fields", generic_col(F.col("line")))).withColumn(
-        "ts", nz.line_ts(F.col("line"), F.col("fields"), default_year, ingest)
-    )
+    out = computed(out, fields=F.coalesce("fields", generic_col(F.col("line"))))
+    return computed(out, ts=nz.line_ts(F.col("line"), F.col("fields"), default_year, ingest))
 
 
 def to_entries(df: DataFrame, message_cap: int | None = 1000) -> DataFrame:

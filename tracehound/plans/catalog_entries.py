@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from tracehound.functions import features, scalars
 from tracehound.operators import correlate, detect, query, stats, windows
 from tracehound.plans.registry import Registry, quoted
-from tracehound.plans.views import ENTRIES_SQL, FEEDBACK_SQL, entries, feedback
+from tracehound.plans.views import ENTRIES_SQL, FEEDBACK_SQL, entries, feedback, spread
 from tracehound.rules import attacks, dims
 from tracehound.schema import MINUTE, SECOND, micros
+from tracehound.session import cut_lineage
 
 R = Registry()
 DAY_MINUTES = 24 * 60
@@ -445,7 +446,7 @@ WITH c AS (SELECT doc_id, ch, count(*)::DOUBLE AS n FROM (SELECT doc_id, unnest(
 s AS (SELECT doc_id, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM c)
 SELECT doc_id, round(-sum(p * log2(p)), 5) AS entropy FROM s GROUP BY 1""")
 def h1(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{d}/documents.parquet"))
     return docs.select("doc_id", F.round(scalars.entropy(F.col("text")), 5).alias("entropy"))
 
 
@@ -704,7 +705,7 @@ def k5(spark, d):
 
 
 def _uncovered(spark, d):
-    s = correlate.slim(entries(spark, d))
+    s = cut_lineage(correlate.slim(entries(spark, d)))
     ev = correlate._kept_events(s, correlate.ip_attack_chain(s), "ip", 50)
     return s, ev, correlate.uncovered(s, ev)
 

@@ -81,8 +81,19 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table of few files over all cores, for work that costs far more than moving a row.
+
+    A table with as many files as cores, as any large one has, stays as it is.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
 def _events(spark: SparkSession, d: str) -> DataFrame:
-    ev = table(spark, d, "events")
+    ev = spread(table(spark, d, "events"))
     return ev.select(
         "event_id", "user_id", "event_type", "value",
         F.col("ts").cast("timestamp").alias("ts"),
@@ -205,7 +216,7 @@ raw_lines AS (
 
 def doc_lines(spark: SparkSession, d: str) -> DataFrame:
     """Every line of every document, with its place."""
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents"))
     return docs.select(
         F.col("doc_id").cast("string").alias("source"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")
     ).withColumn("line_no", F.col("line_no").cast("bigint"))

@@ -59,3 +59,13 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     for frame in frames[1:]:
         out = out.unionByName(frame, allowMissingColumns=True)
     return out
+
+
+def computed(df: DataFrame, **cols: Column) -> DataFrame:
+    """Columns that are evaluated once per row, whatever is done with them later.
+
+    A plain projection of an expensive expression is repeated in every filter that Catalyst pushes below it;
+    a generator over one element keeps it in one place.
+    """
+    made = df.select("*", F.inline_outer(F.array(F.struct(*[c.alias(f"_new_{n}") for n, c in cols.items()]))))
+    return made.drop(*cols).withColumnsRenamed({f"_new_{n}": n for n in cols})
