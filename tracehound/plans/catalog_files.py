@@ -236,9 +236,11 @@ def m9(spark, d):
     return _ind(fx.volume_bound(v.file_records(spark, d), ts(VOLUME)))
 
 
-@R.add("m9_timeline_volume", WITH_TL + f", {_TP}, b AS (SELECT min(c) AS vol FROM tp) SELECT filename, 'volume_boundary_violation' AS rule_id FROM tp WHERE floor(((SELECT vol FROM b) - c) / {DAY_US}::DOUBLE) > 30")
+@R.add("m9_timeline_volume", WITH_TL + f", {_TP}, b AS (SELECT min(c) AS vol FROM tp WHERE contains(filename, 'file201.')) SELECT filename, 'volume_boundary_violation' AS rule_id FROM tp WHERE NOT contains(filename, 'file201.') AND floor(((SELECT vol FROM b) - c) / {DAY_US}::DOUBLE) > 30")
 def m9b(spark, d):
-    return fx.timeline_volume_bound(v.file_timeline(spark, d)).select("filename", "rule_id")
+    t = v.file_timeline(spark, d)
+    named = F.when(F.contains("filename", F.lit("file201.")), F.concat(F.lit("$boot"), "filename")).otherwise(F.col("filename"))
+    return fx.timeline_volume_bound(t.withColumn("filename", named)).select("filename", "rule_id")
 
 
 _SYS = r"regexp_matches(filename, '\\windows\\|\\program files|\\system32\\|\\programdata\\')"

@@ -362,7 +362,8 @@ def windows_events(spark: SparkSession, d: str) -> DataFrame:
     return ev.select(
         F.col("event_id").alias("record_id"),
         _pick(F.col("event_id") % 12, [F.lit(i) for i in EVENT_IDS]).alias("event_id"),
-        "ts", F.concat(F.lit("pc"), (F.col("user_id") % 5).cast("string")).alias("computer"),
+        # now and then the clock is a day behind
+        F.when(F.col("event_id") % 50 == 0, _shift(F.col("ts"), F.lit(-86400))).otherwise(F.col("ts")).alias("ts"), F.concat(F.lit("pc"), (F.col("user_id") % 5).cast("string")).alias("computer"),
         F.when(F.col("event_id") % 2 == 0, "Security").otherwise("System").alias("channel"),
         F.lit("Information").alias("level"),
         F.create_map(F.lit("ObjectName"), file_path(key), F.lit("SubjectUserName"), F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("event_data"),
@@ -371,7 +372,7 @@ def windows_events(spark: SparkSession, d: str) -> DataFrame:
 
 WINEVENTS_SQL = EVENTS_SQL + f""",
 winev AS (
-  SELECT event_id AS record_id, {_sql_pick('event_id % 12', [str(i) for i in EVENT_IDS])} AS event_id, epoch_us(ts) AS us,
+  SELECT event_id AS record_id, {_sql_pick('event_id % 12', [str(i) for i in EVENT_IDS])} AS event_id, epoch_us(ts) - CASE WHEN event_id % 50 = 0 THEN 86400000000 ELSE 0 END AS us,
     'pc' || (user_id % 5) AS computer, CASE WHEN event_id % 2 = 0 THEN 'Security' ELSE 'System' END AS channel,
     {_sql_path('((event_id * 7) % 15000)')} AS object_name
   FROM ev)"""
