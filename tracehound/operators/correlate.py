@@ -9,8 +9,8 @@ from tracehound.functions.scalars import advice, attack_stage, correlation_score
 from tracehound.operators.detect import add_mitre, tag_ordered
 from tracehound.operators.intervals import next_within
 from tracehound.operators.query import first_per_group
-from tracehound.operators.stats import chain_ip_threats, summary_enhanced, user_profile
-from tracehound.operators.windows import burst
+from tracehound.operators.stats import chain_ip_threats, summary_api, summary_basic, summary_enhanced, threat_scores, user_profile
+from tracehound.operators.windows import bruteforce_chain, burst, spray_chain
 from tracehound.rules import attacks, dims
 from tracehound.schema import SECOND, is_attack, micros, union_all
 from tracehound.session import cut_lineage
@@ -376,3 +376,21 @@ def correlate(e: DataFrame, burst_n: int = 10, burst_seconds: float = 60, sqli_s
         "chains": add_mitre(chains), "events": events, "links": links, "timeline": timeline(s, events, chains),
         "summary": summary_enhanced(e, chains, ip_links), "top_ips": chain_ip_threats(ip_links), "recommendations": recommendations(chains),
     }
+
+
+def correlate_tagged(e: DataFrame) -> dict[str, DataFrame]:
+    """Run over tagged entries without precedence: IP chains, targeted and compromised users, timeline, summary."""
+    span = ["start_ts", "end_ts", "confidence"]
+    ips = ip_chains(e).select(F.lit("ip_correlation").alias("kind"), F.col("ip").alias("key"), "attack_type", "stage", *span)
+    spread = distributed_bruteforce(e).select(F.lit("user_targeting").alias("kind"), F.col("user").alias("key"), F.lit("distributed_bruteforce").alias("attack_type"), F.lit("credential_access").alias("stage"), *span)
+    taken = account_compromise(e).select(F.lit("account_compromise").alias("kind"), F.col("user").alias("key"), F.lit("account_takeover").alias("attack_type"), F.lit("persistence").alias("stage"), *span)
+    chains, line = union_all([ips, spread, taken]), suspicious_timeline(e)
+    return {"chains": chains, "timeline": line, "summary": summary_api(chains, line)}
+
+
+def correlate_windows(e: DataFrame, minutes: float = 5) -> dict[str, DataFrame]:
+    """Run over anchored windows: brute-force and spray chains, first timeline rows, summary, threatening IPs."""
+    brute = bruteforce_chain(e, minutes=minutes).withColumn("attack_type", F.lit("bruteforce"))
+    spray = spray_chain(e, minutes=minutes).withColumn("attack_type", F.lit("password_spray"))
+    chains = cut_lineage(union_all([brute, spray]))
+    return {"chains": chains, "timeline": basic_timeline(e), "summary": summary_basic(e, chains), "top_ips": threat_scores(e, chains.select("ip", "confidence"))}

@@ -842,3 +842,18 @@ def e12(spark, d):
 def e12b(spark, d):
     chains = correlate.ip_attack_chain(correlate.slim(entries(spark, d)))
     return stats.chain_ip_threats(chains.select("chain_id", "attack_type", F.col("key").alias("ip")))
+
+
+@R.add("k16_correlate_tagged", WITH_T + f", {_IPCHAIN}, {_UPROFILE}" + """
+SELECT 'ip_correlation' AS kind, count(*) AS chains, round(avg(confidence), 6)::DOUBLE AS confidence FROM ipchains
+UNION ALL SELECT 'user_targeting', count(*), round(avg(0.85), 6)::DOUBLE FROM up WHERE ips >= 3 AND failures >= 5
+UNION ALL SELECT 'account_compromise', count(*), round(avg(0.9), 6)::DOUBLE FROM up WHERE failures > 0 AND successes > 0 AND (shared_ips > 0 OR failures > 10)""")
+def k16c(spark, d):
+    c = correlate.correlate_tagged(tagged(spark, d))["chains"]
+    return c.groupBy("kind").agg(F.count("*").alias("chains"), F.round(F.avg("confidence"), 6).alias("confidence"))
+
+
+@R.add("k16_correlate_windows", WITH_E + """
+SELECT count(*) AS total_events, count(*) FILTER (severity = 'critical') AS critical_alerts FROM entries""")
+def k16d(spark, d):
+    return correlate.correlate_windows(entries(spark, d))["summary"].select("total_events", "critical_alerts")
