@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tracehound.llm import mixing, quality, urls
+from tracehound.llm import mixing, ngram_join, quality, urls
 
 QUERIES = {
     "op1_url_filters": urls.query,
     "op2_quality_rules": quality.query,
+    "op7_ngram_join": ngram_join.query,
     "op8_source_mixing": mixing.query,
 }
-SQL = {"op2_quality_rules": quality.SQL, "op1_url_filters": urls.SQL, "op8_source_mixing": mixing.SQL}
+SQL = {"op7_ngram_join": ngram_join.SQL, "op2_quality_rules": quality.SQL, "op1_url_filters": urls.SQL, "op8_source_mixing": mixing.SQL}
