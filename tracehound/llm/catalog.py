@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tracehound.llm import mixing, ngram_join, quality, urls
+from tracehound.llm import mixing, ngram_join, quality, secrets, sentencepiece, urls
 
 QUERIES = {
     "op1_url_filters": urls.query,
     "op2_quality_rules": quality.query,
+    "op3_secret_scans": secrets.query,
+    "op5_sentencepiece": sentencepiece.query,
     "op7_ngram_join": ngram_join.query,
     "op8_source_mixing": mixing.query,
 }

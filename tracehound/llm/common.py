@@ -83,3 +83,43 @@ def batches(frames: Iterable, column: str, bytes_at_once: int = 8_000_000):
             held += n
         if start < len(frame):
             yield frame.iloc[start:]
+
+
+def arrow_map(df: DataFrame, text_col: str, work: Callable[[list], dict], columns: str, keep: Iterable[str] = ()) -> DataFrame:
+    """Add columns made from each row's text by `work` (texts in, lists or Arrow arrays by column out), in tasks, batch by batch.
+
+    The columns in `keep` pass through untouched, so nulls and large numbers stay as they are.
+    """
+    import pyarrow as pa
+    from pyspark.sql.types import StructType
+
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    made = StructType.fromDDL(columns)
+    chosen = df.select(*[df[f"`{c}`"].alias(f"k{i}") for i, c in enumerate(keep)], df[f"`{text_col}`"].alias("text"))
+    schema = StructType([f for f in chosen.schema if f.name != "text"] + made.fields)
+    kept, names = [f"k{i}" for i, _ in enumerate(keep)], made.names
+
+    def run(frames):
+        for batch in frames:
+            if batch.num_rows:
+                out = work(batch.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [x if isinstance(x := out[c], pa.Array) else pa.array(x) for c in names], kept + names)
+
+    out = chosen.mapInArrow(run, schema)
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *names)
+
+
+def with_text(docs: DataFrame, text_col: str, work: Callable[[list], list], chars_col: str = "n_chars") -> DataFrame:
+    """The documents with each text as `work` makes it; chars_col, if there is one, counts the new text."""
+    rest = [c for c in docs.columns if c != text_col]
+    out = arrow_map(docs, text_col, lambda texts: {"new_text": work(texts)}, "new_text string", keep=rest)
+
+    def column(name: str) -> Column:
+        if name == text_col:
+            return F.col("new_text").alias(name)
+        if name == chars_col:
+            return F.length("new_text").cast(docs.schema[name].dataType).alias(name)
+        return F.col(f"`{name}`")
+
+    return out.select(*[column(c) for c in docs.columns])
