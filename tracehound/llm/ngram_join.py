@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracehound.llm.common import batches, partitions, shared_folder, table, written
+from tracehound.llm.common import batches, partitions, shared_folder, table, total, written
 from tracehound.llm.components import components
 from tracehound.llm.shingles import U, mix, shingle_sets
 
@@ -20,6 +20,8 @@ PERCENT = 85
 #: Members of a family compared in one task; larger families are compared by pairs of blocks.
 BLOCK = 1024
 FANOUT = 8
+#: Members of families (24 bytes each) up to which their table is broadcast to the texts; beyond it, texts join by shuffle.
+BROADCAST_ROWS = 400_000
 
 
 # Partition signatures. Two linked sets differ in at most d shingles, so if all shingles are dealt over more than d
@@ -62,23 +64,30 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(mix(np.add.reduce(mix(s + U(k)), keepdims=True) + U(len(s))).view(np.int64)[0]) for k in (7, 11))
 
 
-def described(size: int, percent: int):
-    """Id, size and digest of each text's set; signatures only with the first of equal sets of a batch."""
+def described(size: int):
+    """Id, size and digest of each text's set."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches(frames, "text", 2_000_000):
-            seen, rows = set(), []
-            for s in shingle_sets(frame["text"].tolist(), size):
-                d = digest(s)
-                rows.append((len(s), *d, None if d in seen or not len(s) else signatures(s, percent).view(np.int64)))
-                seen.add(d)
-            out = pd.DataFrame(rows, columns=["n", "d1", "d2", "marks"])
-            out.insert(0, "id", frame["id"].to_numpy())
+            rows = [(len(s), *digest(s)) for s in shingle_sets(frame["text"].tolist(), size)]
+            out = pd.DataFrame(rows, columns=["n", "d1", "d2"])
+            out.insert(0, "id", frame["id"].array)
             yield out
 
     return run
 
 
+def marked(size: int, percent: int):
+    """Signatures of each text's set, by digest; of equal sets of a batch only the first."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches(frames, "text", 2_000_000):
+            sets = {digest(s)[0]: s for s in shingle_sets(frame["text"].tolist(), size) if len(s)}
+            yield pd.DataFrame({"d1": list(sets), "marks": [signatures(s, percent).view(np.int64) for s in sets.values()]})
+
+    return run
+
+
 # Signature trees.
 
 
@@ -274,17 +283,18 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     folder = shared_folder(spark)
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    sets = written(texts.mapInPandas(described(size, percent), "id long, n int, d1 long, d2 long, marks array<long>"), folder, "sets")
+    sets = written(texts.mapInPandas(described(size), "id long, n int, d1 long, d2 long"), folder, "sets")
     classes = written(sets.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")), folder, "classes")
 
-    marks = sets.where("marks IS NOT NULL").select("d1", F.explode("marks").alias("mark"))
+    marks = texts.mapInPandas(marked(size, percent), "d1 long, marks array<long>").select("d1", F.explode("marks").alias("mark"))
     first = F.first("d1").over(Window.partitionBy("mark").orderBy("d1"))
     shared = marks.withColumn("first", first).where("d1 != first")
     family = components(shared.select(F.col("d1").alias("a"), F.col("first").alias("b")))
     members = classes.join(family, F.col("d1") == F.col("node")).select("rep", "d1", F.col("component").alias("family"))
     members = written(members, folder, "members")
+    few = total(members, F.count("*"))[0] <= BROADCAST_ROWS
 
-    found = texts.join(members, F.col("id") == F.col("rep")).select("id", "text", "d1", "family")
+    found = texts.join(F.broadcast(members) if few else members, F.col("id") == F.col("rep")).select("id", "text", "d1", "family")
     found = written(found.mapInPandas(sets_of(size), "family long, id long, shingles binary"), folder, "found")
     blocks = found.groupBy("family").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("family").alias("f"), F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
     dealt = found.join(blocks, F.col("family") == F.col("f")).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
