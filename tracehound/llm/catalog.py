@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from tracehound.llm import embeddings, lm, mixing, ngram_join, quality, secrets, sentencepiece, urls
+from tracehound.llm import chat, classifier, embeddings, lm, mixing, ngram_join, quality, secrets, sentencepiece, urls
 
 QUERIES = {
     "op1_url_filters": urls.query,
     "op2_quality_rules": quality.query,
     "op3_secret_scans": secrets.query,
+    "op4_quality_classifier": classifier.query,
     "op5_sentencepiece": sentencepiece.query,
     "op6_embedding_dedup": embeddings.query,
     "op7_ngram_join": ngram_join.query,
     "op9_lm_scoring": lm.query,
     "op8_source_mixing": mixing.query,
+    "op10_chat_formatting": chat.query,
 }
-SQL = {"op6_embedding_dedup": embeddings.SQL, "op7_ngram_join": ngram_join.SQL, "op2_quality_rules": quality.SQL, "op1_url_filters": urls.SQL, "op8_source_mixing": mixing.SQL}
+SQL = {"op10_chat_formatting": chat.SQL, "op6_embedding_dedup": embeddings.SQL, "op7_ngram_join": ngram_join.SQL, "op2_quality_rules": quality.SQL, "op1_url_filters": urls.SQL, "op8_source_mixing": mixing.SQL}

@@ -85,10 +85,15 @@ def batches(frames: Iterable, column: str, bytes_at_once: int = 8_000_000):
             yield frame.iloc[start:]
 
 
+#: A column name that tables do not have.
+MADE = "__made_text__"
+
+
 def arrow_map(df: DataFrame, text_col: str, work: Callable[[list], dict], columns: str, keep: Iterable[str] = ()) -> DataFrame:
     """Add columns made from each row's text by `work` (texts in, lists or Arrow arrays by column out), in tasks, batch by batch.
 
-    The columns in `keep` pass through untouched, so nulls and large numbers stay as they are.
+    The columns in `keep` pass through untouched, so nulls and large numbers stay as they are; one with the name of a new
+    column is replaced by it.
     """
     import pyarrow as pa
     from pyspark.sql.types import StructType
@@ -96,6 +101,7 @@ def arrow_map(df: DataFrame, text_col: str, work: Callable[[list], dict], column
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     made = StructType.fromDDL(columns)
+    keep = [c for c in keep if c not in made.names]
     chosen = df.select(*[df[f"`{c}`"].alias(f"k{i}") for i, c in enumerate(keep)], df[f"`{text_col}`"].alias("text"))
     schema = StructType([f for f in chosen.schema if f.name != "text"] + made.fields)
     kept, names = [f"k{i}" for i, _ in enumerate(keep)], made.names
@@ -113,13 +119,13 @@ def arrow_map(df: DataFrame, text_col: str, work: Callable[[list], dict], column
 def with_text(docs: DataFrame, text_col: str, work: Callable[[list], list], chars_col: str = "n_chars") -> DataFrame:
     """The documents with each text as `work` makes it; chars_col, if there is one, counts the new text."""
     rest = [c for c in docs.columns if c != text_col]
-    out = arrow_map(docs, text_col, lambda texts: {"new_text": work(texts)}, "new_text string", keep=rest)
+    out = arrow_map(docs, text_col, lambda texts: {MADE: work(texts)}, f"{MADE} string", keep=rest)
 
     def column(name: str) -> Column:
         if name == text_col:
-            return F.col("new_text").alias(name)
+            return F.col(MADE).alias(name)
         if name == chars_col:
-            return F.length("new_text").cast(docs.schema[name].dataType).alias(name)
+            return F.length(MADE).cast(docs.schema[name].dataType).alias(name)
         return F.col(f"`{name}`")
 
     return out.select(*[column(c) for c in docs.columns])

@@ -315,13 +315,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The documents without near copies: of each group the one with the smallest id; of rows that share an id, one."""
     groups = jaccard_groups(docs, id_col, text_col, **options)
     firsts = groups.where("id = component_id").select(F.col("id").alias("_id")).distinct()
-    kept = docs.join(firsts, docs[id_col] == F.col("_id"), "left_semi")
+    kept = docs.join(firsts, docs[id_col] == firsts["_id"], "left_semi")
     nameless = docs.where(docs[id_col].isNull())
-    again = docs.groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("_id"))
+    again = docs.select(docs[id_col].alias("_id")).groupBy("_id").agg(F.count("*").alias("_n")).where("_n > 1 AND _id IS NOT NULL")
     if again.isEmpty():
         return kept.unionByName(nameless)
-    twice = kept.join(again, kept[id_col] == F.col("_id"), "left_semi").dropDuplicates([id_col])
-    return kept.join(again, kept[id_col] == F.col("_id"), "left_anti").unionByName(twice).unionByName(nameless)
+    twice = kept.join(again, kept[id_col] == again["_id"], "left_semi").dropDuplicates([id_col])
+    return kept.join(again, kept[id_col] == again["_id"], "left_anti").unionByName(twice).unionByName(nameless)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
