@@ -20,7 +20,7 @@ MAX_REPEAT_PERCENT = 50
 #: Percent of a document's words that may go with failing lines.
 MAX_LOST_PERCENT = 50
 #: Symbols per hundred words at which a line is junk.
-MAX_LINE_SYMBOL_PERCENT = 50
+MAX_LINE_SYMBOL_PERCENT = 30
 #: A line without terminal punctuation fails below this many words; longer ones are cut prose and stay.
 MIN_OPEN_WORDS = 6
 
