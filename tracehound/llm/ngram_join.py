@@ -204,7 +204,7 @@ def joined(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> np.
         for i in near:
             forest.join(i, pivot)
     del owner, ends
-    if len(np.unique(forest.names())) == 1:
+    if len(np.unique(forest.names())) == 1 or side is not None and len(np.unique(side)) < 2:
         return forest.names()
     bits = 1 << max(8, int(2 * np.median(size)).bit_length())
     if side is None:

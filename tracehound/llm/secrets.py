@@ -6,7 +6,7 @@ import hashlib
 import json
 import os
 import re
-from math import log10
+from math import inf, log10
 
 from pyspark.sql import DataFrame
 
@@ -34,7 +34,10 @@ COMMON = (
 LEET = str.maketrans("@4310$57", "aaelosst")
 ROWS = ("1234567890", "qwertzuiop", "qwertyuiop", "asdfghjkl", "yxcvbnm", "zxcvbnm", "azertyuiop", "qsdfghjklm", "wxcvbn")
 BESIDE = {a + b for r in ROWS for a, b in [*zip(r, r[1:]), *zip(r[1:], r)]}
-DATE = re.compile(r"(?:(?:19|20)\d\d([-/._]?)(?:1[0-2]|0?[1-9])\1(?:3[01]|[12]\d|0?[1-9])|(?:3[01]|[12]\d|0?[1-9])([-/._]?)(?:1[0-2]|0?[1-9])\2(?:19|20)?\d\d)")
+DATES = (
+    re.compile(r"(?:19|20)\d\d([-/._]?)(?:1[0-2]|0?[1-9])\1(?:3[01]|[12]\d|0?[1-9])"),
+    re.compile(r"(?:3[01]|[12]\d|0?[1-9])([-/._]?)(?:1[0-2]|0?[1-9])\1(?:19|20)?\d\d"),
+)
 YEAR = re.compile(r"(?:19|20)\d\d")
 
 
@@ -50,14 +53,14 @@ def word_ranks(vocabulary: str | None = None) -> dict[str, int]:
 
 
 def _runs(value: str):
-    """(start, end, cost) of maximal repeats of blocks of up to four characters and of keyboard walks and sequences."""
+    """(start, end, least length, cost) of maximal repeats of blocks of up to four characters and of keyboard walks and sequences."""
     n = len(value)
     for p in (1, 2, 3, 4):
         start = 0
         for i in range(p, n + 1):
             if i == n or value[i] != value[i - p]:
                 if i - start >= max(3, 2 * p):
-                    yield start, i, p + log10((i - start) / p)
+                    yield start, i, max(3, 2 * p), p + log10((i - start) / p)
                 start = i - p + 1
     low = value.lower()
     start, turns, step = 0, 0, None
@@ -66,7 +69,7 @@ def _runs(value: str):
         move = d if d in (1, -1) else "key" if i < n and low[i - 1] + low[i] in BESIDE else None
         if move is None:
             if i - start >= 3:
-                yield start, i, 1.6 + log10(i - start) + 0.6 * turns
+                yield start, i, 3, 1.6 + log10(i - start) + 0.6 * turns
             start, turns, step = i, 0, None
         else:
             turns += step is not None and move != step
@@ -86,12 +89,14 @@ def guesses(value: str, ranks: dict[str, int], longest: int) -> float:
         low = value
     plain = low.translate(LEET)
     ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-    for a, b, cost in _runs(value):
-        ends[b].append((a, cost))
-    for m in DATE.finditer(value):
-        ends[m.end()].append((m.start(), log10(365 * 120) + (0.6 if m[1] or m[2] else 0)))
-    for m in YEAR.finditer(value):
-        ends[m.end()].append((m.start(), log10(120)))
+    for i in (i for i, c in enumerate(value) if c in "0123456789"):
+        for pattern in DATES:
+            if m := pattern.match(value, i):
+                ends[m.end()].append((i, log10(365 * 120) + (0.6 if m[1] else 0)))
+        if YEAR.match(value, i):
+            ends[i + 4].append((i, log10(120)))
+    runs = sorted(_runs(low), reverse=True)
+    live: list[list] = []
     best = [0.0] * (n + 1)
     for j in range(1, n + 1):
         least = best[j - 1] + 1.0
@@ -102,6 +107,13 @@ def guesses(value: str, ranks: dict[str, int], longest: int) -> float:
                 least = min(least, best[i] + cost + 0.3)
         for i, cost in ends[j]:
             least = min(least, best[i] + cost + 0.3)
+        while runs and runs[-1][0] < j:
+            live.append([*runs.pop(), inf])
+        live = [x for x in live if x[1] >= j]
+        for x in live:  # any part of a run costs as the run; x[4] is the cheapest way to where a part can start
+            if j - x[2] >= x[0]:
+                x[4] = min(x[4], best[j - x[2]])
+                least = min(least, x[4] + x[3] + 0.3)
         best[j] = least
     return best[n]
 
