@@ -20,7 +20,7 @@ PERCENT = 85
 #: Members of a family compared in one task; larger families are compared by pairs of blocks.
 BLOCK = 1024
 FANOUT = 8
-#: Members of families (24 bytes each) up to which their table is broadcast to the texts; beyond it, texts join by shuffle.
+#: Members of families (some 50 bytes each) up to which their table is broadcast to the texts; beyond it, texts join by shuffle.
 BROADCAST_ROWS = 400_000
 
 
@@ -262,7 +262,7 @@ def sets_of(size: int):
         for frame in batches(frames, "text", 2_000_000):
             sets = shingle_sets(frame["text"].tolist(), size)
             same = [digest(s)[0] == d for s, d in zip(sets, frame["d1"])]
-            out = frame[["family", "id"]].assign(shingles=[s.tobytes() for s in sets])
+            out = frame[["key", "side", "id"]].assign(shingles=[s.tobytes() for s in sets])
             yield out[same]
 
     return run
@@ -290,18 +290,17 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = F.first("d1").over(Window.partitionBy("mark").orderBy("d1"))
     shared = marks.withColumn("first", first).where("d1 != first")
     family = components(shared.select(F.col("d1").alias("a"), F.col("first").alias("b")))
-    members = classes.join(family, F.col("d1") == F.col("node")).select("rep", "d1", F.col("component").alias("family"))
-    members = written(members, folder, "members")
-    few = total(members, F.count("*"))[0] <= BROADCAST_ROWS
-
-    found = texts.join(F.broadcast(members) if few else members, F.col("id") == F.col("rep")).select("id", "text", "d1", "family")
-    found = written(found.mapInPandas(sets_of(size), "family long, id long, shingles binary"), folder, "found")
-    blocks = found.groupBy("family").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("family").alias("f"), F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
-    dealt = found.join(blocks, F.col("family") == F.col("f")).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    members = written(classes.join(family, F.col("d1") == F.col("node")).select("rep", "d1", F.col("component").alias("family")), folder, "members")
+    blocks = members.groupBy("family").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("family").alias("f"), F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(blocks, F.col("family") == F.col("f")).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     key = F.concat_ws("/", "family", low, high, F.when(low == high, "=").otherwise(""))
-    pairs = dealt.select(key.alias("key"), (F.col("own") == high).cast("int").alias("side"), "id", "shingles")
+    dealt = written(dealt.select("rep", "d1", key.alias("key"), (F.col("own") == high).cast("int").alias("side")), folder, "dealt")
+    few = total(dealt, F.count("*"))[0] <= BROADCAST_ROWS
+
+    found = texts.join(F.broadcast(dealt) if few else dealt, F.col("id") == F.col("rep")).select("id", "text", "d1", "key", "side")
+    pairs = found.mapInPandas(sets_of(size), "key string, side int, id long, shingles binary")
     pairs = pairs.repartition(partitions(spark), "key").sortWithinPartitions("key")
     links = pairs.mapInPandas(families_joined(percent), "a long, b long")
     labels = components(links)
