@@ -64,7 +64,7 @@ def test_line_types(spark):
 def test_source_vote_needs_three(spark):
     ssh = "Jan 10 09:00:01 web01 sshd[1122]: Failed password for bob from 192.0.2.10 port 53412 ssh2"
     a = lines(spark, [ssh] * 3 + ["x"] * 5, "few").unionByName(lines(spark, ["x y z"] * 30, "none"))
-    got = {r.source: (r.source_type, r.score) for r in ps.detect_source_type(a).collect()}
+    got = {r.source: (r.source_type, r.score) for r in ps.detect_source_type(a, 100, 10).collect()}
     assert got == {"few": ("Linux SSHD Failed", 9), "none": (RAW, 20)}
 
 

@@ -13,11 +13,13 @@ IPV4 = r"(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})"
 
 # Layouts of a timestamp in a line, with the Spark layout that reads it.
 LINE_TIMES = [
-    (r"(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2})", "yyyy-MM-dd'T'HH:mm:ss"),
-    (r"(\d{2}/\w{3}/\d{4}:\d{2}:\d{2}:\d{2})", "dd/MMM/yyyy:HH:mm:ss"),
+    (r"(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}{tail})", "iso"),
+    (r"(\d{2}/\w{3}/\d{4}:\d{2}:\d{2}:\d{2})(?: ([+-]\d{4}))?", "dd/MMM/yyyy:HH:mm:ss"),
     (r"(\w{3}\s+\d+\s+\d{2}:\d{2}:\d{2})", "yyyy MMM d HH:mm:ss"),
-    (r"(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2})", "yyyy-MM-dd HH:mm:ss"),
+    (r"(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}{tail})", "iso"),
 ]
+# A fraction of a second and an offset, where a time has them.
+TAIL = r"(?:[.,]\d{1,9})?(?:Z|[+-]\d{2}:?\d{2}(?!\d))?"
 WHOLE_TIMES = [
     "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "dd/MMM/yyyy:HH:mm:ss", "yyyy MMM d HH:mm:ss",
     "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
@@ -58,14 +60,26 @@ def normalize_ts(text: Column, default_year: int) -> Column:
     return F.coalesce(*tries)
 
 
+def iso_ts(text: Column) -> Column:
+    """A year-first time with its fraction and offset; without an offset it is in the session's zone."""
+    plain = F.replace(_squeeze(text), F.lit(","), F.lit("."))
+    return F.regexp_replace(plain, r"([+-]\d{2})(\d{2})$", "$1:$2").try_cast("timestamp")
+
+
 def line_ts(line: Column, fields: Column, default_year: int, ingest: Column | None = None) -> Column:
     """Parsed timestamp field, else the first layout found in the line, else the ingest time."""
-    parsed = F.try_to_timestamp(F.substring(field(fields, "timestamp"), 1, 19), F.lit("yyyy-MM-dd HH:mm:ss"))
-    tries = [parsed]
+    tries = [iso_ts(found(field(fields, "timestamp"), rf"^(\d{{4}}-\d{{2}}-\d{{2}} \d{{2}}:\d{{2}}:\d{{2}}{TAIL})"))]
     for pattern, layout in LINE_TIMES:
+        pattern = pattern.replace("{tail}", TAIL)
         value = found(line, pattern)
+        if layout == "iso":
+            tries.append(iso_ts(value))
+            continue
         if layout.startswith("yyyy MMM"):
             value = F.concat(F.lit(f"{default_year} "), _squeeze(value))
+        elif layout.startswith("dd/"):
+            zoned = F.concat_ws(" ", value, found(line, pattern, 2))
+            tries.append(F.try_to_timestamp(zoned, F.lit(layout + " xx")))
         tries.append(F.try_to_timestamp(value, F.lit(layout)))
     if ingest is not None:
         tries.append(ingest)
@@ -85,7 +99,7 @@ def severity_col(line: Column) -> Column:
 
 def source_ip_col(line: Column, fields: Column) -> Column:
     return F.coalesce(
-        field(fields, "server_ip", "src_ip", "source_ip", "ip"),
+        field(fields, "client_ip", "src_ip", "source_ip", "ip", "server_ip"),
         found(line, r"(?i)from\s+" + IPV4),
         found(line, r"(?i)SRC=" + IPV4),
         found(line, r"(?i)srcip=" + IPV4),

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tracehound.functions.scalars import advice, attack_stage, correlation_score, event_title
 from tracehound.operators.detect import add_mitre, tag_ordered
 from tracehound.operators.intervals import next_within
-from tracehound.operators.query import first_per_group
 from tracehound.operators.stats import chain_ip_threats, summary_api, summary_basic, summary_enhanced, threat_scores, user_profile
 from tracehound.operators.windows import bruteforce_chain, burst, spray_chain
 from tracehound.rules import attacks, dims
@@ -55,7 +54,7 @@ def suspicious_timeline(e: DataFrame) -> DataFrame:
     return e.where(tagged | F.coalesce("is_anomaly", F.lit(False))).select(
         "id", "ts", "log_source", F.coalesce("attack_type", F.lit("anomaly")).alias("event_type"), "severity",
         F.concat(F.lit("Suspicious activity in "), "log_type").alias("title"),
-        F.substring("message", 1, 200).alias("description"), F.col("source.ip").alias("source_ip"),
+        F.col("message").alias("description"), F.col("source.ip").alias("source_ip"),
         F.col("user.name").alias("target_user"), F.coalesce("is_anomaly", F.lit(False)).alias("is_anomaly"),
         F.coalesce("anomaly_score", F.lit(0.0)).alias("anomaly_score"),
     ).orderBy("ts", "id")
@@ -87,10 +86,10 @@ def _key_chains(s: DataFrame, key: str, kind: str, stage: str, priority: int, le
     )
 
 
-def _kept_events(s: DataFrame, chains: DataFrame, key: str, k: int) -> DataFrame:
-    """First ``k`` events of each chain of a key column."""
+def chain_events(s: DataFrame, chains: DataFrame, key: str) -> DataFrame:
+    """All events of each chain of a key column."""
     rows = s.select("id", "us", F.col(key).alias("key")).join(chains.select("key", "chain_id", "priority"), "key")
-    return first_per_group(rows, ["chain_id"], ["us", "id"], k).select("chain_id", "priority", F.col("id").alias("event_id"), "us")
+    return rows.select("chain_id", "priority", F.col("id").alias("event_id"), "us")
 
 
 def ip_attack_chain(s: DataFrame, least: int = 3) -> DataFrame:
@@ -98,7 +97,7 @@ def ip_attack_chain(s: DataFrame, least: int = 3) -> DataFrame:
 
 
 def uncovered(s: DataFrame, covered: DataFrame, least: int = 3) -> DataFrame:
-    """Entries outside the kept events of earlier chains, for users with ``least`` such entries or more."""
+    """Entries outside the events of earlier chains, for users with ``least`` such entries or more."""
     rest = s.join(covered.select(F.col("event_id").alias("id")).distinct(), "id", "left_anti")
     busy = rest.where("usr IS NOT NULL").groupBy("usr").count().where(F.col("count") >= least).select("usr")
     return rest.join(busy, "usr", "left_semi")
@@ -185,9 +184,9 @@ def _first_key(found: DataFrame, key: str) -> DataFrame:
 
 
 def kill_chain_events(s: DataFrame, seconds: int = 60) -> DataFrame:
-    """Kept events of the six kill-chain patterns, (chain_id, priority, event_id, us); each pattern once."""
-    def top(rows: DataFrame, name: str, order: int, k: int) -> DataFrame:
-        return rows.orderBy("us", "id").limit(k).select(
+    """Events of the six kill-chain patterns, (chain_id, priority, event_id, us); each pattern once."""
+    def of(rows: DataFrame, name: str, order: int) -> DataFrame:
+        return rows.select(
             F.lit(f"kill:{name}").alias("chain_id"), F.lit(KILL_PRIORITY + order).alias("priority"), F.col("id").alias("event_id"), "us"
         )
 
@@ -202,8 +201,8 @@ def kill_chain_events(s: DataFrame, seconds: int = 60) -> DataFrame:
     locked = ransomware_events(s)
     enough = locked.agg(F.count("*").alias("n")).scalar()
     return union_all([
-        sqli, top(takeover, "account_takeover", 1, 50), top(admin_logins(s), "privilege_escalation", 2, 20),
-        top(locked.where(enough >= 2), "ransomware", 3, 20), top(webshell_events(s), "webshell", 4, 20), top(brute, "bruteforce", 5, 50),
+        sqli, of(takeover, "account_takeover", 1), of(admin_logins(s), "privilege_escalation", 2),
+        of(locked.where(enough >= 2), "ransomware", 3), of(webshell_events(s), "webshell", 4), of(brute, "bruteforce", 5),
     ])
 
 
@@ -217,7 +216,7 @@ KILL_STAGE = {
 def accept_kill_chains(kill: DataFrame, covered: DataFrame) -> DataFrame:
     """Kill chains that share no event with an earlier chain, whether of IPs, users or another kill chain.
 
-    At most six chains of fifty events take part, so precedence is one fold over a six-element array.
+    An event is in six chains at most, and six chains take part, so precedence is one fold over a six-element array.
     """
     hits = kill.join(covered.select("event_id").distinct(), "event_id", "left_semi").select("chain_id").distinct().withColumn("blocked", F.lit(True))
     a, b = kill.alias("a"), kill.alias("b")
@@ -255,11 +254,11 @@ def correlate_attacks(e: DataFrame, least: int = 3) -> DataFrame:
     return g.where(F.col("attacks") >= least)
 
 
-def basic_timeline(e: DataFrame, n: int | None = 500) -> DataFrame:
-    """Entries in time order with the anomaly flag; ``n`` rows unless told otherwise."""
+def basic_timeline(e: DataFrame, n: int | None = None) -> DataFrame:
+    """Entries in time order with the anomaly flag; the first ``n`` of them if asked for."""
     out = e.where("ts IS NOT NULL").select(
         "id", "ts", F.coalesce("is_anomaly", F.lit(False)).alias("is_anomaly"), "severity", "log_source",
-        F.coalesce("action", F.substring("message", 1, 50)).alias("title"), F.col("source.ip").alias("source_ip"),
+        F.coalesce("action", "message").alias("title"), F.col("source.ip").alias("source_ip"),
     ).orderBy("ts", "id")
     return out if n is None else out.limit(n)
 
@@ -278,7 +277,7 @@ def timeline(s: DataFrame, events: DataFrame, chains: DataFrame) -> DataFrame:
     return out.select(
         "id", "us", "log_source", F.col("log_type").alias("event_type"), "severity",
         event_title(F.col("ip"), F.col("action"), F.col("usr"), F.col("outcome"), F.col("severity")).alias("title"),
-        F.substring("message", 1, 200).alias("description"), F.col("ip").alias("source_ip"), F.col("usr").alias("target_user"),
+        F.col("message").alias("description"), F.col("ip").alias("source_ip"), F.col("usr").alias("target_user"),
         "chain_id", F.col("chain_id").isNotNull().alias("is_anomaly"), F.coalesce("anomaly_score", F.lit(0.0)).alias("anomaly_score"),
     ).orderBy("us", "id")
 
@@ -286,7 +285,7 @@ def timeline(s: DataFrame, events: DataFrame, chains: DataFrame) -> DataFrame:
 def correlated_events(s: DataFrame, progress: Column | float = 0.0) -> DataFrame:
     return s.select(
         "id", "us", "log_source", "log_type", "severity", F.col("ip").alias("source_ip"), F.col("usr").alias("target_user"),
-        F.col("host").alias("target_host"), "action", "outcome", F.substring("message", 1, 500).alias("message"),
+        F.col("host").alias("target_host"), "action", "outcome", "message",
         correlation_score(F.col("severity"), progress).alias("correlation_score"),
     )
 
@@ -299,8 +298,8 @@ def chain_stages(s: DataFrame, events: DataFrame, chains: DataFrame) -> DataFram
     return chains.join(seen, "chain_id").select("chain_id", "attack_type", attack_stage(F.col("attack_type"), F.col("w"), F.col("f"), F.col("n")).alias("stage"))
 
 
-def recommendations(chains: DataFrame, n: int = 10) -> DataFrame:
-    """Distinct advice over all chains, at most ``n`` lines; one fixed line when there is no chain."""
+def recommendations(chains: DataFrame) -> DataFrame:
+    """Distinct advice over all chains; one fixed line when there is no chain."""
     minutes = (F.col("end_us") - F.col("start_us")) / (60 * SECOND)
     lines = chains.select(F.explode(F.array_compact(F.array(
         advice(F.col("attack_type"), minutes),
@@ -309,18 +308,18 @@ def recommendations(chains: DataFrame, n: int = 10) -> DataFrame:
     ))).alias("recommendation")).distinct()
     some = lines.agg(F.count("*").alias("n")).scalar()
     none = chains.sparkSession.createDataFrame([(dims.NO_FINDING_ADVICE,)], "recommendation STRING").where(some == 0)
-    return lines.unionByName(none).orderBy("recommendation").limit(n)
+    return lines.unionByName(none).orderBy("recommendation")
 
 
 def chain_links(s: DataFrame, rest: DataFrame, chains: DataFrame, events: DataFrame) -> DataFrame:
     """IPs, users and hosts of the chains, (chain_id, attack_type, role, value).
 
     IP chains list all users of the IP, user chains all IPs of the user's uncovered entries, the others what
-    their kept events show.
+    their events show.
     """
     c = chains.select("chain_id", "attack_type", "kind", "key")
-    ip_users = s.select(F.col("ip").alias("key"), F.col("usr").alias("value")).join(c.where("kind = 'ip'"), "key").withColumn("role", F.lit("user"))
-    user_ips = rest.select(F.col("usr").alias("key"), F.col("ip").alias("value")).join(c.where("kind = 'user'"), "key").withColumn("role", F.lit("ip"))
+    ip_users = s.select(F.col("ip").alias("key"), F.col("usr").alias("value")).distinct().join(c.where("kind = 'ip'"), "key").withColumn("role", F.lit("user"))
+    user_ips = rest.select(F.col("usr").alias("key"), F.col("ip").alias("value")).distinct().join(c.where("kind = 'user'"), "key").withColumn("role", F.lit("ip"))
     own = c.where("kind IN ('ip', 'user', 'burst')").select(
         "chain_id", "attack_type", F.when(F.col("kind") == "user", "user").otherwise("ip").alias("role"), F.col("key").alias("value")
     )
@@ -342,10 +341,10 @@ def correlate(e: DataFrame, burst_n: int = 10, burst_seconds: float = 60, sqli_s
     if materialize:
         s = cut_lineage(s)
     ips = ip_attack_chain(s)
-    ip_events = _kept_events(s, ips, "ip", 50)
+    ip_events = chain_events(s, ips, "ip")
     rest = uncovered(s, ip_events)
     users = user_attack_chain(rest)
-    events = ip_events.unionByName(_kept_events(rest, users, "usr", 50))
+    events = ip_events.unionByName(chain_events(rest, users, "usr"))
     if materialize:
         events = cut_lineage(events)
     kill = kill_chain_events(s, sqli_seconds)
@@ -353,7 +352,7 @@ def correlate(e: DataFrame, burst_n: int = 10, burst_seconds: float = 60, sqli_s
         kill = cut_lineage(kill)
     kept = accept_kill_chains(kill, events)
     names = F.create_map(*[F.lit(x) for k, v in KILL_STAGE.items() for x in (k, f"{v[0]}|{v[1]}")])
-    name = F.substring("chain_id", 6, 100)
+    name = F.expr("substring(chain_id, 6)")
     kill_chains = kept.groupBy("chain_id", "priority").agg(F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.count("*").alias("events")).select(
         "chain_id", F.lit("kill").alias("kind"), F.lit(None).cast("string").alias("key"), name.alias("attack_type"),
         F.split(F.element_at(names, name), r"\|")[0].alias("stage"), "start_us", "end_us", "events",
@@ -364,7 +363,7 @@ def correlate(e: DataFrame, burst_n: int = 10, burst_seconds: float = 60, sqli_s
         events = cut_lineage(events)
     bursts = burst_chains(e, burst_n, burst_seconds)
     inside = s.select("id", "us", F.col("ip").alias("key")).join(bursts.select("key", "chain_id", "priority", "end_us"), "key").where("us <= end_us")
-    burst_events = first_per_group(inside, ["chain_id"], ["us", "id"], 50).select("chain_id", "priority", F.col("id").alias("event_id"), "us")
+    burst_events = inside.select("chain_id", "priority", F.col("id").alias("event_id"), "us")
     bursts, burst_events = drop_overlapping(bursts, burst_events, events)
     chains = union_all([ips, users, kill_chains, bursts])
     events = events.unionByName(burst_events)

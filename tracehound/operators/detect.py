@@ -195,7 +195,7 @@ def excess_privilege(e: DataFrame, more_than: int = 20) -> DataFrame:
     )
 
 
-def privilege_related(e: DataFrame, alerts: DataFrame, k: int = 10) -> DataFrame:
+def privilege_related(e: DataFrame, alerts: DataFrame, k: int) -> DataFrame:
     """First ``k`` privilege events of each alerted user."""
     ev = privilege_events(e).select("id", "ts", F.coalesce(F.col("user.name"), F.lit("unknown")).alias("user"))
     return first_per_group(ev.join(alerts.select("user"), "user", "left_semi"), ["user"], ["ts", "id"], k)
@@ -231,8 +231,12 @@ def profile_alerts(e: DataFrame, cfg: DetectionConfig) -> DataFrame:
     )
 
 
-def run_detections(e: DataFrame, cfg: DetectionConfig = DetectionConfig()) -> DataFrame:
-    """All rules over the entries as one alert table."""
+def run_detections(e: DataFrame, cfg: DetectionConfig = DetectionConfig(), tagged: DataFrame | None = None) -> DataFrame:
+    """All rules over the entries as one alert table.
+
+    ``tagged`` are the same entries with their tags; only their own alerts need them, so that the tag patterns do
+    not run again below each window rule. Entries that hold a tag already need no second frame.
+    """
     brute = windows.bruteforce(e, cfg.bruteforce_n, cfg.bruteforce_minutes).select(
         F.concat_ws("-", F.lit("window-bruteforce"), "ip", "user").alias("id"), F.lit("bruteforce").alias("type"),
         F.lit("high").alias("severity"), F.lit(0.9).alias("confidence"), F.timestamp_micros("end_us").alias("ts"),
@@ -254,6 +258,7 @@ def run_detections(e: DataFrame, cfg: DetectionConfig = DetectionConfig()) -> Da
         F.col("operations").alias("hits"),
     )
     parts = [brute, spray, success, privilege, profile_alerts(e, cfg)]
-    if "attack_type" in e.columns:
-        parts.append(entry_alerts(e).withColumn("hits", F.lit(1).cast("bigint")))
+    tagged = e if tagged is None and "attack_type" in e.columns else tagged
+    if tagged is not None:
+        parts.append(entry_alerts(tagged).withColumn("hits", F.lit(1).cast("bigint")))
     return union_all(parts)

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracehound.operators.query import first_per_group
 from tracehound.operators.windows import lsn_gaps, lsn_order
 from tracehound.rules import dims
 from tracehound.rules.weights import CHECK_WEIGHTS, LAYER_POINTS, ROUND_DELTAS, SEVERITY_POINTS
@@ -440,10 +439,10 @@ def event_paths(ev: DataFrame) -> DataFrame:
     return v.where(like).select("record_id", "event_id", "ts", F.lower("v").alias("path")).withColumn("name", base_name(F.col("path")))
 
 
-def file_paths(f: DataFrame, paths: DataFrame, k: int = 10) -> DataFrame:
-    """For each file name: the first ``k`` event paths that end with it."""
+def file_paths(f: DataFrame, paths: DataFrame) -> DataFrame:
+    """For each file name: the event paths that end with it."""
     names = f.select(base_name(F.col("filename")).alias("name")).distinct()
-    return first_per_group(paths.select("name", "path").distinct().join(names, "name", "left_semi"), ["name"], ["path"], k).select("name", "path")
+    return paths.select("name", "path").distinct().join(names, "name", "left_semi")
 
 
 def _event_kind(event_id: Column) -> Column:

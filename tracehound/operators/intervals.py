@@ -108,19 +108,6 @@ def next_within(
     )
 
 
-def near_pairs(
-    left: DataFrame, right: DataFrame, keys: list[str], left_us: str, right_us: str, width: int,
-) -> DataFrame:
-    """Pairs with 0 < right - left < width for callers that want the whole relation of a selective join.
-
-    Meeting on a time slice keeps the join an equi join; the output alone decides its size.
-    """
-    lhs = left.withColumn("_slice", F.explode(F.array(_slice(F.col(left_us), width), _slice(F.col(left_us), width) + 1)))
-    rhs = right.withColumn("_slice", _slice(F.col(right_us), width))
-    gap = F.col(right_us) - F.col(left_us)
-    return lhs.join(rhs, [*keys, "_slice"]).where((gap > 0) & (gap < width)).drop("_slice")
-
-
 def previous_value(
     df: DataFrame, keys: list[str], order: str, value: str, width: int, out: str, ties: tuple[str, ...] = (),
 ) -> DataFrame:

@@ -70,17 +70,13 @@ def fit(df: DataFrame, features: list[str], id_col: str, contamination: float, n
     if total < least:
         return None
     want = n_trees * size
-    h = F.xxhash64(F.col(id_col), F.lit(seed))
-    share = min(1.0, 1.5 * want / total)
-    picked = rows.withColumn("_h", h).where(F.pmod("_h", F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    if total >= want:
-        placed = picked.withColumn("tree", F.pmod(F.xxhash64("_h", F.lit(seed + 1)), F.lit(n_trees)).cast("int"))
-    else:
-        # fewer rows than the trees could use: every tree draws its own rows, at most want * 1.5 in all
-        each = min(1.0, 1.5 * size / total)
-        placed = picked.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1)))).where(
-            F.pmod(F.xxhash64("_h", "tree"), F.lit(1_000_000)) < int(each * 1_000_000) + 1
-        )
+    # One rule for any number of rows: a row is drawn 1.5 * want / total times on average, each time for a tree of its hash.
+    draws = 1.5 * want / total
+    hashed = rows.withColumn("_h", F.xxhash64(F.col(id_col), F.lit(seed)))
+    unit = F.xxhash64("_h", F.lit(seed + 1)) / F.lit(2.0**64) + 0.5
+    times = F.lit(int(draws)) + (unit < draws - int(draws)).cast("int")
+    drawn = hashed.withColumn("_times", times).where("_times > 0").withColumn("_draw", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    placed = drawn.withColumn("tree", F.pmod(F.xxhash64("_h", "_draw"), F.lit(n_trees)).cast("int")).drop("_draw", "_times").dropDuplicates([id_col, "_h", "tree"])
     limit = int(np.ceil(np.log2(max(size, 2))))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -76,21 +76,21 @@ def matching_types(line: Column) -> Column:
     return F.array_compact(F.array(*[F.when(line_test(line, kind, arg), name) for name, kind, arg in LINE_TESTS]))
 
 
-def detect_source_type(df: DataFrame) -> DataFrame:
-    """Type of each source by the votes of its first 100 non-blank lines.
+def detect_source_type(df: DataFrame, voters: int, proposers: int) -> DataFrame:
+    """Type of each source by the votes of its first ``voters`` non-blank lines.
 
-    Lines 1-10 give 3 votes to every type that takes them. Later lines give 3 votes to the first of those
+    The first ``proposers`` of them give 3 votes to every type that takes them. Later lines give 3 votes to the first of those
     candidates that takes them, else 1 to raw. Highest score wins, ties by priority, below 3 it is raw.
     """
     lines = df.withColumn("line", strip(F.col("line"))).where("line <> ''")
     w = Window.partitionBy("source").orderBy("line_no")
-    head = lines.withColumn("rn", F.row_number().over(w)).where("rn <= 100").select(
+    head = lines.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= voters).select(
         "source", "rn", matching_types(F.col("line")).alias("types")
     )
-    early = head.where("rn <= 10")
+    early = head.where(F.col("rn") <= proposers)
     # at most one name per known type, however long the source is
     candidates = early.groupBy("source").agg(F.array_distinct(F.flatten(F.collect_list("types"))).alias("cands"))
-    late = head.where("rn > 10").join(candidates, "source").select(
+    late = head.where(F.col("rn") > proposers).join(candidates, "source").select(
         "source",
         F.coalesce(
             F.get(F.filter("types", lambda t: (F.size("cands") == 0) | F.array_contains(F.col("cands"), t)), F.lit(0)), F.lit(RAW)
@@ -378,7 +378,7 @@ def dynamic_fields(df: DataFrame) -> DataFrame:
     return df.withColumns(cols)
 
 
-def infer_structure(df: DataFrame, sample: int = 50) -> DataFrame:
+def infer_structure(df: DataFrame, sample: int) -> DataFrame:
     """Per source: separator, columns and time position of the first line; field hits of the first lines."""
     w = Window.partitionBy("source").orderBy("line_no")
     head = df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= sample)
@@ -395,7 +395,7 @@ def infer_structure(df: DataFrame, sample: int = 50) -> DataFrame:
     cells = cells.otherwise(F.array().cast("array<string>"))
     stamped = F.transform(cells, lambda c: c.rlike(r"\d{4}-\d{2}-\d{2}|\d{2}/\w{3}/\d{4}"))
     flags = head.select(
-        "source", "rn", sep.alias("separator"), F.slice(cells, 1, 10).alias("columns"),
+        "source", "rn", sep.alias("separator"), cells.alias("columns"),
         (F.array_position(stamped, True).cast("int") - 1).alias("timestamp_index"), F.contains(first, F.lit("=")).alias("has_key_pairs"),
         F.regexp_count("line", F.lit(r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}")).alias("ips"),
         F.regexp_count("line", F.lit(r"(?i)user[=:]\s*['\"]?(\w+)")).alias("users"),
@@ -411,7 +411,7 @@ def infer_structure(df: DataFrame, sample: int = 50) -> DataFrame:
 # --- envelope -------------------------------------------------------------------------------------------
 
 
-def parse(df: DataFrame, default_year: int, force_type: str | None = None, per_source: bool = False, ingest: Column | None = None) -> DataFrame:
+def parse(df: DataFrame, default_year: int, force_type: str | None = None, per_source: bool = False, ingest: Column | None = None, votes: tuple[int, int] = (100, 10)) -> DataFrame:
     """Lines to typed lines with fields: forced type, else the source's type by vote, else the line's own.
 
     Fields come from the type's spec, else from the generic fallback; ``parsed`` says which.
@@ -420,7 +420,7 @@ def parse(df: DataFrame, default_year: int, force_type: str | None = None, per_s
     if force_type:
         typed = lines.withColumn("line_type", F.lit(force_type))
     elif per_source:
-        typed = lines.join(detect_source_type(df).select("source", F.col("source_type").alias("line_type")), "source")
+        typed = lines.join(detect_source_type(df, *votes).select("source", F.col("source_type").alias("line_type")), "source")
     else:
         typed = line_type(lines)
     out = extract_fields(typed).withColumn("parsed", F.col("fields").isNotNull())
@@ -428,8 +428,8 @@ def parse(df: DataFrame, default_year: int, force_type: str | None = None, per_s
     return computed(out, ts=nz.line_ts(F.col("line"), F.col("fields"), default_year, ingest))
 
 
-def to_entries(df: DataFrame, message_cap: int | None = 1000) -> DataFrame:
-    """Typed lines to the entry table."""
+def to_entries(df: DataFrame, message_cap: int | None = None) -> DataFrame:
+    """Typed lines to the entry table; a message is the whole line unless a cap is asked for."""
     line, fields = F.col("line"), F.col("fields")
     kind = nz.log_type_of(F.col("line_type"))
     message = line if message_cap is None else F.substring(line, 1, message_cap)

@@ -60,7 +60,7 @@ def filter_criteria(e: DataFrame, criteria: list[dict]) -> DataFrame:
     return e
 
 
-def query_entries(e: DataFrame, criteria: list[dict], n: int = 100) -> DataFrame:
+def query_entries(e: DataFrame, criteria: list[dict], n: int) -> DataFrame:
     """Filtered entries, newest first, at most ``n``."""
     return filter_criteria(e, criteria).orderBy(F.col("ts").desc_nulls_last(), "id").limit(n)
 
@@ -101,22 +101,13 @@ def field_cells(e: DataFrame) -> DataFrame:
     return e.select("id", F.explode("fields").alias("key", "value")).where("value IS NOT NULL AND value <> ''")
 
 
-MAX_COLUMNS = 1000
+def flatten_fields(e: DataFrame, names: list[str]) -> DataFrame:
+    """Open fields of the given names as flat columns ``fields_<key>``.
 
-
-def flatten_fields(e: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Open fields as flat columns ``fields_<key>``; the keys are those of the whole data, sorted.
-
-    Keys become column names, so the driver has to know them. Data with more keys than a table can have
-    columns is refused; its long form is ``field_cells``.
+    Keys become column names, so the caller names them (``field_names`` lists those of the data); ``field_cells``
+    is the form that needs no names and holds any number of keys.
     """
-    if names is None:
-        names = sorted(r["key"] for r in field_names(e).limit(MAX_COLUMNS + 1).collect())
-        if len(names) > MAX_COLUMNS:
-            raise ValueError(f"more than {MAX_COLUMNS} field names; use field_cells or name the fields")
-    return e.withColumns({
-        f"fields_{k}": F.coalesce(F.nullif(F.element_at("fields", F.lit(k)), F.lit("")), F.lit("-")) for k in names
-    })
+    return e.select("*", *[F.coalesce(F.nullif(F.element_at("fields", F.lit(k)), F.lit("")), F.lit("-")).alias(f"fields_{k}") for k in names])
 
 
 def attacks_only(e: DataFrame) -> DataFrame:

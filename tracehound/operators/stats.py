@@ -46,7 +46,7 @@ def minute_timeline(e: DataFrame) -> DataFrame:
     return e.where("ts IS NOT NULL").groupBy(F.date_trunc("minute", "ts").alias("minute")).agg(F.count("*").alias("n"))
 
 
-def minute_status(e: DataFrame, n: int = 20) -> DataFrame:
+def minute_status(e: DataFrame, n: int) -> DataFrame:
     """Normal, anomalous and critical entries of the last ``n`` minutes that have entries."""
     crit, odd = F.col("severity") == "critical", F.coalesce("is_anomaly", F.lit(False))
     return (
@@ -56,12 +56,12 @@ def minute_status(e: DataFrame, n: int = 20) -> DataFrame:
     )
 
 
-def hour_status(e: DataFrame, n: int = 24) -> DataFrame:
-    """Normal and anomalous entries per hour, first ``n`` hours; critical, error and tagged count as anomalous."""
+def hour_status(e: DataFrame, n: int) -> DataFrame:
+    """Normal and anomalous entries per hour, last ``n`` hours that have entries; critical, error and tagged count as anomalous."""
     odd = F.col("severity").isin("critical", "error") | F.col("attack_type").isNotNull()
     return (
         e.where("ts IS NOT NULL").groupBy(F.date_trunc("hour", "ts").alias("hour"))
-        .agg(F.count_if(~odd).alias("normal"), F.count_if(odd).alias("anomaly")).orderBy("hour").limit(n)
+        .agg(F.count_if(~odd).alias("normal"), F.count_if(odd).alias("anomaly")).orderBy(F.desc("hour")).limit(n)
     )
 
 
@@ -164,9 +164,9 @@ def chain_ip_threats(links: DataFrame, n: int = 10) -> DataFrame:
 
 
 def summary_enhanced(e: DataFrame, chains: DataFrame, links: DataFrame) -> DataFrame:
-    """15 per chain, 20 per critical, 10 per high entry and 5 per listed IP, at most 100."""
+    """15 per chain, 20 per critical, 10 per high entry and 5 per IP of a chain, at most 100."""
     n = chains.agg(F.count("*").alias("n")).scalar()
-    ips = chain_ip_threats(links).agg(F.count("*").alias("n")).scalar()
+    ips = links.agg(F.countDistinct("ip").alias("n")).scalar()
     return e.agg(
         F.count("*").alias("total_alerts"), F.count_if(F.lower("severity") == "critical").alias("critical_alerts"),
         F.count_if(F.lower("severity") == "high").alias("high_alerts"),

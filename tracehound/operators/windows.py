@@ -251,7 +251,7 @@ def _openers(width: int, block: int, keys: list[str]):
 
 
 def anchored_windows(
-    e: DataFrame, keys: list[str], minutes: float, us: str = "us", block_windows: int = 256,
+    e: DataFrame, keys: list[str], minutes: float, us: str = "us", block_windows: int = 8,
 ) -> DataFrame:
     """Distinct event times with the start of their window.
 
@@ -259,7 +259,8 @@ def anchored_windows(
     another. The chain of openers is cut into blocks of time: each block is folded alone, the few points
     where chains cross block borders are linked by doubling joins, and a second pass inside the blocks
     spreads the result. Without keys the windows run over all events. ``block_windows`` windows make a
-    block: smaller blocks spread a hot key further, larger ones save work on very many quiet keys.
+    block: a task sees at most ``block_windows`` + 3 windows of one key, so no
+    default block spans a table; larger blocks save work on very many quiet keys.
     """
     width = int(minutes * MINUTE)
     block = width * max(int(block_windows), 4)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracehound.functions import features, scalars
 from tracehound.operators import correlate, detect, query, stats, windows
 from tracehound.plans.registry import Registry, quoted
-from tracehound.plans.views import ENTRIES_SQL, FEEDBACK_SQL, entries, feedback, spread
+from tracehound.plans.views import ENTRIES_SQL, FEEDBACK_SQL, entries, feedback
 from tracehound.rules import attacks, dims
 from tracehound.schema import MINUTE, SECOND, micros
 from tracehound.session import cut_lineage
@@ -88,7 +89,7 @@ def c5(spark, d):
 @R.add("c5_flatten_fields", WITH_E + """
 SELECT id, coalesce(f_bytes, '-') AS fields_bytes, coalesce(f_k, '-') AS fields_k, coalesce(f_status, '-') AS fields_status FROM entries""")
 def c5b(spark, d):
-    return query.flatten_fields(entries(spark, d)).select("id", "fields_bytes", "fields_k", "fields_status")
+    return query.flatten_fields(entries(spark, d), ["bytes", "k", "status"]).select("id", "fields_bytes", "fields_k", "fields_status")
 
 
 @R.add("c6_attacks_only", WITH_T + "SELECT id, attack_type, attack_confidence FROM t WHERE attack_type NOT IN ('safe', 'normal')")
@@ -194,7 +195,7 @@ SELECT epoch_us(date_trunc('minute', ts)) AS minute_us, count(*) FILTER (severit
   count(*) FILTER (severity <> 'critical' AND is_anomaly) AS anomaly, count(*) FILTER (severity = 'critical') AS critical
 FROM entries GROUP BY 1 ORDER BY 1 DESC LIMIT 20""")
 def e4(spark, d):
-    return stats.minute_status(entries(spark, d)).select(us("minute").alias("minute_us"), "normal", "anomaly", "critical")
+    return stats.minute_status(entries(spark, d), 20).select(us("minute").alias("minute_us"), "normal", "anomaly", "critical")
 
 
 @R.add("e5_unique_counts", WITH_E + "SELECT count(DISTINCT ip) AS sources, count(DISTINCT usr) AS users FROM entries")
@@ -305,10 +306,10 @@ def e16(spark, d):
 
 
 @R.add("e19_hour_status", WITH_E + """
-SELECT epoch_us(date_trunc('hour', ts)) AS hour_us, count(*) FILTER (severity NOT IN ('critical', 'error')) AS normal, count(*) FILTER (severity IN ('critical', 'error')) AS anomaly FROM entries GROUP BY 1 ORDER BY 1 LIMIT 24""")
+SELECT epoch_us(date_trunc('hour', ts)) AS hour_us, count(*) FILTER (severity NOT IN ('critical', 'error')) AS normal, count(*) FILTER (severity IN ('critical', 'error')) AS anomaly FROM entries GROUP BY 1 ORDER BY 1 DESC LIMIT 24""")
 def e19(spark, d):
     e = entries(spark, d).withColumn("attack_type", F.lit(None).cast("string"))
-    return stats.hour_status(e).select(us("hour").alias("hour_us"), "normal", "anomaly")
+    return stats.hour_status(e, 24).select(us("hour").alias("hour_us"), "normal", "anomaly")
 
 
 # --- windows --------------------------------------------------------------------------------------------
@@ -446,7 +447,7 @@ WITH c AS (SELECT doc_id, ch, count(*)::DOUBLE AS n FROM (SELECT doc_id, unnest(
 s AS (SELECT doc_id, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM c)
 SELECT doc_id, round(-sum(p * log2(p)), 5) AS entropy FROM s GROUP BY 1""")
 def h1(spark, d):
-    docs = spread(spark.read.parquet(f"{d}/documents.parquet"))
+    docs = spark.read.parquet(f"{d}/documents.parquet")
     return docs.select("doc_id", F.round(scalars.entropy(F.col("text")), 5).alias("entropy"))
 
 
@@ -542,7 +543,7 @@ _ADVICE = "CASE attack_type " + " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" fo
 @R.add("h11_recommendations", WITH_T + f", {_IPCHAIN}" + f""",
 l AS (SELECT 'Attack occurred over ' || printf('%.1f', (end_us - start_us) / 60000000) || ' minutes. ' || {_ADVICE} AS recommendation FROM ipchains
  UNION SELECT {quoted(dims.EXTRA_ADVICE['bruteforce'])} FROM ipchains WHERE attack_type = 'bruteforce' UNION SELECT {quoted(dims.EXTRA_ADVICE['sql_injection'])} FROM ipchains WHERE attack_type = 'sql_injection')
-SELECT recommendation FROM l ORDER BY 1 LIMIT 10""")
+SELECT recommendation FROM l""")
 def h11(spark, d):
     c = correlate.ip_chains(tagged(spark, d)).withColumns({"start_us": us("start_ts"), "end_us": us("end_ts")})
     return correlate.recommendations(c)
@@ -551,10 +552,10 @@ def h11(spark, d):
 _SEV = "CASE severity " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in dims.SEVERITY_SCORE.items()) + " ELSE 0.5 END"
 
 
-@R.add("h12_correlated_events", WITH_E + f"SELECT id, ip AS source_ip, dst_host AS target_host, round(least(0.5 + 0.5 * 0.4, {_SEV})::DOUBLE, 6) AS correlation_score FROM entries")
+@R.add("h12_correlated_events", WITH_E + f"SELECT id, ip AS source_ip, dst_host AS target_host, message, round(least(0.5 + 0.5 * 0.4, {_SEV})::DOUBLE, 6) AS correlation_score FROM entries")
 def h12(spark, d):
     out = correlate.correlated_events(correlate.slim(entries(spark, d)), 0.4)
-    return out.select("id", "source_ip", "target_host", F.round("correlation_score", 6).alias("correlation_score"))
+    return out.select("id", "source_ip", "target_host", "message", F.round("correlation_score", 6).alias("correlation_score"))
 
 
 # --- tags and alerts ------------------------------------------------------------------------------------
@@ -640,7 +641,7 @@ u AS (SELECT usr FROM entries WHERE action = 'sudo' GROUP BY 1 HAVING count(*) >
 SELECT usr AS user, id, row_number() OVER (PARTITION BY usr ORDER BY us, id) AS rn FROM entries WHERE action = 'sudo' AND usr IN (SELECT usr FROM u) QUALIFY rn <= 10""")
 def r9b(spark, d):
     e = entries(spark, d)
-    return detect.privilege_related(e, detect.excess_privilege(e, 10)).select("user", "id", F.col("rn").cast("bigint").alias("rn"))
+    return detect.privilege_related(e, detect.excess_privilege(e, 10), 10).select("user", "id", F.col("rn").cast("bigint").alias("rn"))
 
 
 @R.add("r10_anomaly_alerts", WITH_T + """
@@ -664,7 +665,7 @@ SELECT type, count(*) AS alerts, sum(hits)::BIGINT AS hits FROM (
  UNION ALL SELECT 'bruteforce', failures FROM p WHERE failures >= 5 UNION ALL SELECT 'credential_stuffing', users FROM p WHERE users >= 3 AND failures >= 5
  UNION ALL SELECT attack_type, 1 FROM t WHERE attack_type <> 'safe') GROUP BY type""")
 def r11(spark, d):
-    return detect.run_detections(tagged(spark, d), _CFG).groupBy("type").agg(F.count("*").alias("alerts"), F.sum("hits").alias("hits"))
+    return detect.run_detections(entries(spark, d), _CFG, tagged(spark, d)).groupBy("type").agg(F.count("*").alias("alerts"), F.sum("hits").alias("hits"))
 
 
 # --- chains ---------------------------------------------------------------------------------------------
@@ -687,15 +688,15 @@ def k3(spark, d):
     return correlate.account_compromise(entries(spark, d)).select("user", "ips", "failures", "successes", "shared_ips")
 
 
-@R.add("k4_suspicious_timeline", WITH_T + "SELECT id, us, attack_type AS event_type, 'Suspicious activity in ' || log_type AS title, is_anomaly FROM t WHERE attack_type <> 'safe' OR is_anomaly ORDER BY us, id")
+@R.add("k4_suspicious_timeline", WITH_T + "SELECT id, us, attack_type AS event_type, 'Suspicious activity in ' || log_type AS title, message AS description, is_anomaly FROM t WHERE attack_type <> 'safe' OR is_anomaly ORDER BY us, id")
 def k4(spark, d):
-    return correlate.suspicious_timeline(tagged(spark, d)).select("id", us().alias("us"), "event_type", "title", "is_anomaly")
+    return correlate.suspicious_timeline(tagged(spark, d)).select("id", us().alias("us"), "event_type", "title", "description", "is_anomaly")
 
 
 _KEYC = """{k}c AS (SELECT {k} AS key, count(*) AS events, arg_min(tag, (us, id)) FILTER (tag IS NOT NULL) AS attack_type, arg_min(tag_confidence, (us, id)) FILTER (tag IS NOT NULL) AS confidence, min(us) AS start_us, max(us) AS end_us
   FROM {src} GROUP BY {k} HAVING count(*) >= 3 AND count(tag) > 0)"""
 _IPC = _KEYC.format(k="ip", src="o")
-_COVER = "cov AS (SELECT o.id, o.ip, row_number() OVER (PARTITION BY o.ip ORDER BY us, id) AS rn FROM o JOIN ipc ON o.ip = ipc.key QUALIFY rn <= 50)"
+_COVER = "cov AS (SELECT o.id, o.ip, row_number() OVER (PARTITION BY o.ip ORDER BY us, id) AS rn FROM o JOIN ipc ON o.ip = ipc.key)"
 _REST = "rest0 AS (SELECT * FROM o WHERE id NOT IN (SELECT id FROM cov)), rest AS (SELECT * FROM rest0 WHERE usr IN (SELECT usr FROM rest0 GROUP BY usr HAVING count(*) >= 3))"
 
 
@@ -706,7 +707,7 @@ def k5(spark, d):
 
 def _uncovered(spark, d):
     s = cut_lineage(correlate.slim(entries(spark, d)))
-    ev = correlate._kept_events(s, correlate.ip_attack_chain(s), "ip", 50)
+    ev = correlate.chain_events(s, correlate.ip_attack_chain(s), "ip")
     return s, ev, correlate.uncovered(s, ev)
 
 
@@ -778,10 +779,10 @@ pr AS (SELECT w.id AS web_id, w.us AS wus, b.id AS db_id, b.us AS bus FROM w JOI
 rw AS (SELECT id, us FROM entries WHERE log_source = 'system' AND regexp_matches(message, {quoted(attacks.RANSOMWARE)})),
 kill AS (
   SELECT 'kill:sql_injection' AS chain_id, web_id AS event_id FROM pr UNION ALL SELECT 'kill:sql_injection', db_id FROM pr
-  UNION ALL (SELECT 'kill:account_takeover', id FROM entries WHERE log_source = 'auth' AND outcome IN ('failure', 'success') AND usr = (SELECT arg_min(user, first) FROM tk) ORDER BY us, id LIMIT 50)
-  UNION ALL (SELECT 'kill:ransomware', id FROM rw WHERE (SELECT count(*) FROM rw) >= 2 ORDER BY us, id LIMIT 20)
-  UNION ALL (SELECT 'kill:webshell', id FROM entries WHERE log_source = 'web' AND regexp_matches(message, {quoted(attacks.WEBSHELL)}) ORDER BY us, id LIMIT 20)
-  UNION ALL (SELECT 'kill:bruteforce', id FROM entries WHERE log_source = 'auth' AND outcome = 'failure' AND ip = (SELECT arg_min(ip, first) FROM br) ORDER BY us, id LIMIT 50))"""
+  UNION ALL (SELECT 'kill:account_takeover', id FROM entries WHERE log_source = 'auth' AND outcome IN ('failure', 'success') AND usr = (SELECT arg_min(user, first) FROM tk))
+  UNION ALL (SELECT 'kill:ransomware', id FROM rw WHERE (SELECT count(*) FROM rw) >= 2)
+  UNION ALL (SELECT 'kill:webshell', id FROM entries WHERE log_source = 'web' AND regexp_matches(message, {quoted(attacks.WEBSHELL)}))
+  UNION ALL (SELECT 'kill:bruteforce', id FROM entries WHERE log_source = 'auth' AND outcome = 'failure' AND ip = (SELECT arg_min(ip, first) FROM br)))"""
 
 
 @R.add("k13_kill_chains", WITH_E + f", {_KILL} SELECT chain_id, event_id FROM kill")
@@ -797,8 +798,8 @@ SELECT 'burst:' || ip AS chain_id FROM n WHERE ip NOT IN (SELECT b.ip FROM b JOI
 def d6(spark, d):
     e = entries(spark, d)
     s = correlate.slim(e)
-    rows = s.select("id", "us", "ip").join(correlate._kept_events(s, correlate.ip_attack_chain(s), "ip", 50).select(F.col("event_id").alias("id"), "chain_id"), "id")
-    late = query.first_per_group(rows, ["chain_id"], ["us", "id"], 50).where("rn > 20").select(F.col("id").alias("event_id"))
+    rows = s.select("id", "us", "ip").join(correlate.chain_events(s, correlate.ip_attack_chain(s), "ip").select(F.col("event_id").alias("id"), "chain_id"), "id")
+    late = rows.withColumn("rn", F.row_number().over(Window.partitionBy("chain_id").orderBy("us", "id"))).where("rn > 20").select(F.col("id").alias("event_id"))
     bursts = correlate.burst_chains(e, 3, 2 * 86400)
     events = s.select("id", "us", F.col("ip").alias("key")).join(bursts.select("key", "chain_id", "end_us"), "key").where("us <= end_us").select("chain_id", F.col("id").alias("event_id"))
     return correlate.drop_overlapping(bursts, events, late)[0].select("chain_id")
@@ -811,7 +812,7 @@ def k14(spark, d):
     return c.select("ip", "attacks", F.round("confidence", 6).alias("confidence"), "attack_type", us("start_ts").alias("start_us"))
 
 
-@R.add("k15_basic_timeline", WITH_E + "SELECT id, us, is_anomaly, severity, coalesce(action, left(message, 50)) AS title FROM entries ORDER BY us, id LIMIT 500")
+@R.add("k15_basic_timeline", WITH_E + "SELECT id, us, is_anomaly, severity, coalesce(action, message) AS title FROM entries")
 def k15(spark, d):
     return correlate.basic_timeline(entries(spark, d)).select("id", us().alias("us"), "is_anomaly", "severity", "title")
 
@@ -829,7 +830,7 @@ def k16b(spark, d):
 
 
 @R.add("e12_summary_enhanced", WITH_O + f", {_IPC}" + """,
-n AS (SELECT count(*) AS c FROM ipc), i AS (SELECT least(count(*), 10) AS c FROM ipc)
+n AS (SELECT count(*) AS c FROM ipc), i AS (SELECT count(DISTINCT key) AS c FROM ipc)
 SELECT count(*) AS total_alerts, count(*) FILTER (severity = 'critical') AS critical_alerts, (SELECT c FROM n) AS chains,
   least((SELECT c FROM n) * 15 + count(*) FILTER (severity = 'critical') * 20 + count(*) FILTER (severity = 'high') * 10 + (SELECT c FROM i) * 5, 100) AS risk_score FROM entries""")
 def e12(spark, d):

@@ -88,7 +88,7 @@ R.add("m18_snapshot_gap", _SNAP_SQL)(d14)
 _PATHS = f"pth AS (SELECT record_id, event_id, us, lower(object_name) AS path, regexp_extract(lower(object_name), '([^\\\\/]*)$', 1) AS name FROM winev)"
 
 
-@R.add("d15_file_event_paths", f"WITH {v.FILES_SQL}, {v.WINEVENTS_SQL}, {_PATHS}, fn AS (SELECT DISTINCT regexp_extract(filename, '([^\\\\/]*)$', 1) AS name FROM files) SELECT DISTINCT name, path FROM pth WHERE name IN (SELECT name FROM fn) QUALIFY dense_rank() OVER (PARTITION BY name ORDER BY path) <= 10")
+@R.add("d15_file_event_paths", f"WITH {v.FILES_SQL}, {v.WINEVENTS_SQL}, {_PATHS}, fn AS (SELECT DISTINCT regexp_extract(filename, '([^\\\\/]*)$', 1) AS name FROM files) SELECT DISTINCT name, path FROM pth WHERE name IN (SELECT name FROM fn)")
 def d15(spark, d):
     return fx.file_paths(v.file_records(spark, d), fx.event_paths(v.windows_events(spark, d)))
 

@@ -206,7 +206,7 @@ sc AS (SELECT source, type, sum(votes) AS score FROM (SELECT * FROM ev1 UNION AL
 pr(type, p) AS {_PRIO}
 SELECT source, CASE WHEN score >= 3 THEN type ELSE '{RAW}' END AS source_type, score::BIGINT AS score FROM sc JOIN pr USING (type) QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, p) = 1""")
 def b2(spark, d):
-    return ps.detect_source_type(raw_lines(spark, d))
+    return ps.detect_source_type(raw_lines(spark, d), 100, 10)
 
 
 @R.add("b3_forced_type", WITH_L + " SELECT source, line_no, 'Apache' AS line_type FROM raw_lines")
@@ -316,9 +316,9 @@ h AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY line_no) AS rn F
 c AS (SELECT source, sum(len(regexp_extract_all(line, '\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}')))::BIGINT AS ip_hits, sum(len(regexp_extract_all(line, '(?i)user[=:]\s*[''"]?(\w+)')))::BIGINT AS user_hits FROM h GROUP BY 1),
 f AS (SELECT source, line, CASE WHEN len(string_split(line, ',')) >= 3 THEN ',' WHEN len(string_split(line, chr(9))) >= 3 THEN chr(9) WHEN len(string_split(line, ' | ')) >= 3 THEN ' | ' WHEN len(string_split(line, ' ')) >= 3 THEN ' ' ELSE 'unknown' END AS separator,
   contains(line, '=') AS has_key_pairs FROM h WHERE rn = 1)
-SELECT source, separator, has_key_pairs, ip_hits, user_hits, CASE WHEN ip_hits > 2 THEN round(least(ip_hits / 50, 1), 6)::DOUBLE END AS ip_confidence FROM f JOIN c USING (source)""")
+SELECT source, separator, CASE separator WHEN 'unknown' THEN 0 ELSE len(string_split(line, separator)) END::BIGINT AS n_columns, has_key_pairs, ip_hits, user_hits, CASE WHEN ip_hits > 2 THEN round(least(ip_hits / 50, 1), 6)::DOUBLE END AS ip_confidence FROM f JOIN c USING (source)""")
 def b10(spark, d):
-    return ps.infer_structure(raw_lines(spark, d)).select("source", "separator", "has_key_pairs", "ip_hits", "user_hits", F.round("ip_confidence", 6).alias("ip_confidence"))
+    return ps.infer_structure(raw_lines(spark, d), 50).select("source", "separator", F.size("columns").cast("bigint").alias("n_columns"), "has_key_pairs", "ip_hits", "user_hits", F.round("ip_confidence", 6).alias("ip_confidence"))
 
 
 @R.add("b11_timestamps", WITH_L + f""",
@@ -448,7 +448,7 @@ def b26(spark, d):
     return raw_lines(spark, d).select(nz.entry_id(F.col("source"), F.col("line_no"), F.col("line")).alias("id"), "line_no")
 
 
-@R.add("b27_to_entries", WITH_L + f", {_TYPED}, lt AS (SELECT *, lower(line) AS low, {_LT} AS log_type FROM typed) SELECT sha256(source || ':' || line_no || ':' || line) AS id, line_no, log_type, {_LS} AS log_source, {_SEVERITY} AS severity, left(line, 1000) AS message FROM lt")
+@R.add("b27_to_entries", WITH_L + f", {_TYPED}, lt AS (SELECT *, lower(line) AS low, {_LT} AS log_type FROM typed) SELECT sha256(source || ':' || line_no || ':' || line) AS id, line_no, log_type, {_LS} AS log_source, {_SEVERITY} AS severity, line AS message FROM lt")
 def b27(spark, d):
     e = ps.to_entries(ps.parse(raw_lines(spark, d), YEAR))
     return e.select("id", "line_no", "log_type", "log_source", "severity", "message")

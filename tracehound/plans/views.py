@@ -81,19 +81,8 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a table of few files over all cores, for work that costs far more than moving a row.
-
-    A table with as many files as cores, as any large one has, stays as it is.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
-
-
 def _events(spark: SparkSession, d: str) -> DataFrame:
-    ev = spread(table(spark, d, "events"))
+    ev = table(spark, d, "events")
     return ev.select(
         "event_id", "user_id", "event_type", "value",
         F.col("ts").cast("timestamp").alias("ts"),
@@ -216,7 +205,7 @@ raw_lines AS (
 
 def doc_lines(spark: SparkSession, d: str) -> DataFrame:
     """Every line of every document, with its place."""
-    docs = spread(table(spark, d, "documents"))
+    docs = table(spark, d, "documents")
     return docs.select(
         F.col("doc_id").cast("string").alias("source"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")
     ).withColumn("line_no", F.col("line_no").cast("bigint"))
@@ -337,7 +326,7 @@ def file_timeline(spark: SparkSession, d: str) -> DataFrame:
     )
     return f.select(
         F.when(key % 13 == 0, "r/r *").otherwise("r/r").alias("type"),
-        F.replace(F.substring("filename", 4, 1000), F.lit("\\"), F.lit("/")).alias("filename"),
+        F.replace(F.expr("substring(filename, 4)"), F.lit("\\"), F.lit("/")).alias("filename"),
         fmt("si_modified").alias("modified"), fmt("si_accessed").alias("accessed"),
         fmt("si_mft_modified").alias("mft_modified"), created.alias("created"),
     )
@@ -358,7 +347,7 @@ EVENT_IDS = [4624, 4625, 4656, 4663, 4688, 4697, 4616, 1, 5140, 4634, 4672, 5145
 def windows_events(spark: SparkSession, d: str) -> DataFrame:
     """Event log over the event stream; object paths point at files of the file table."""
     ev = _events(spark, d)
-    key = (F.col("event_id") * 7) % 15000
+    key = (F.col("event_id") * 7) % table(spark, d, "orders").agg(F.count("*").alias("n")).scalar()
     return ev.select(
         F.col("event_id").alias("record_id"),
         _pick(F.col("event_id") % 12, [F.lit(i) for i in EVENT_IDS]).alias("event_id"),
@@ -374,7 +363,7 @@ WINEVENTS_SQL = EVENTS_SQL + f""",
 winev AS (
   SELECT event_id AS record_id, {_sql_pick('event_id % 12', [str(i) for i in EVENT_IDS])} AS event_id, epoch_us(ts) - CASE WHEN event_id % 50 = 0 THEN 86400000000 ELSE 0 END AS us,
     'pc' || (user_id % 5) AS computer, CASE WHEN event_id % 2 = 0 THEN 'Security' ELSE 'System' END AS channel,
-    {_sql_path('((event_id * 7) % 15000)')} AS object_name
+    {_sql_path('((event_id * 7) % (SELECT count(*) FROM orders))')} AS object_name
   FROM ev)"""
 
 

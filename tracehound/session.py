@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,16 +38,32 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; only a session without one gets a folder of its own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tracehound-ckpt-"))
+_written: list[str] = []
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path for intermediate data on storage that driver and executors share.
+
+    It lies below ``spark.checkpoint.dir``; a session without that setting uses its warehouse folder.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    root = root or f"{spark.conf.get('spark.sql.warehouse.dir')}/_tracehound"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise a frame in the checkpoint folder, so a lost executor re-reads it instead of recomputing."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The frame as a Parquet table on shared storage: a lost executor re-reads it, and later reads prune columns."""
+    path = shared_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_intermediate(spark: SparkSession) -> int:
+    """Delete what this driver wrote through ``shared_path``, once the results are stored; gives the number of paths."""
+    jvm, n = spark.sparkContext._jvm, 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return n

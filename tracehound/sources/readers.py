@@ -11,32 +11,30 @@ from tracehound.functions.normalize import found, normalize_ts
 from tracehound.rules import dims
 
 
+#: Splits of files up to which their offsets are broadcast; beyond it, they join by shuffle.
+SPLITS = 100_000
+
+
 def read_lines(spark: SparkSession, path: str | list[str], keep_blank: bool = False) -> DataFrame:
     """(source, line_no, line) of text files; bytes that are not UTF-8 are dropped.
 
-    Files are split as usual. A line's number is its place in its split plus the lines of the splits before
-    it in the same file, so no file is ever read by one task.
+    Files are split as usual, and no file is read by one task: rows are numbered without gaps inside a split, so a
+    line's number is its row number less the first of its split, plus the lines of the splits before it in the same
+    file. Only the small table of splits is shuffled, not the text.
     """
     raw = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("_split"),
         F.monotonically_increasing_id().alias("_at"),
         F.replace(F.make_valid_utf8("value"), F.lit("�"), F.lit("")).alias("line"),
     )
-    counts = raw.groupBy("source", "_split").agg(F.count("*").alias("n"))
+    splits = raw.groupBy("source", "_split").agg(F.count("*").alias("n"), F.min("_at").alias("_first"))
     before = Window.partitionBy("source").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("source", "_split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("source", "_split").orderBy("_at")
-    out = raw.join(offsets, ["source", "_split"]).select(
-        "source", (F.col("_offset") + F.row_number().over(inside) - 1).alias("line_no"), "line"
-    )
+    offsets = splits.select("source", "_split", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("_first")).alias("_offset"))
+    few = offsets.count() <= SPLITS
+    out = raw.join(F.broadcast(offsets) if few else offsets, ["source", "_split"]).select("source", (F.col("_offset") + F.col("_at")).alias("line_no"), "line")
     return out if keep_blank else out.where(F.trim(F.col("line")) != "")
 
 
-def read_unordered(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(source, line) where the order of lines does not matter: one scan, no shuffle."""
-    return spark.read.text(path).select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("line")).where("trim(line) <> ''")
-
-
 def read_sources(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """Several named sources as one frame, each row with its source name."""
     frames = [read_lines(spark, p).withColumn("source_name", F.lit(name)) for name, p in paths.items()]
@@ -129,7 +127,9 @@ def parse_event_xml(df: DataFrame, col: str = "xml") -> DataFrame:
 def _events(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     levels = F.create_map(*[F.lit(v) for kv in dims.EVENT_LEVELS.items() for v in kv])
     data = F.coalesce(F.col("x.EventData.Data"), F.array().cast("array<struct<_Name:string,_VALUE:string>>"))
-    last = F.filter(data, lambda d, i: F.size(F.filter(F.slice(data, i + 2, 10000), lambda r: r["_Name"] == d["_Name"])) == 0)
+    # the last value of each name, by one fold that drops a name before it is set again
+    none = F.array().cast("array<struct<_Name:string,_VALUE:string>>")
+    last = F.aggregate(data, none, lambda acc, d: F.array_append(F.filter(acc, lambda x: ~x["_Name"].eqNullSafe(d["_Name"])), d))
     return df.select(
         *(keep or []), F.col("x.System.EventRecordID").alias("record_id"), F.col("x.System.EventID").try_cast("int").alias("event_id"),
         F.try_to_timestamp(F.col("x.System.TimeCreated._SystemTime")).alias("ts"), F.col("x.System.Computer").alias("computer"),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracehound.operators import detect, parsing
 from tracehound.schema import MINUTE, is_auth_event, micros
-from tracehound.session import ensure_checkpoint_dir
+from tracehound.session import shared_path
 
 
 def stream_entries(lines: DataFrame, default_year: int, force_type: str | None = None) -> DataFrame:
@@ -92,8 +91,7 @@ def running_totals(spark: SparkSession, path: str) -> DataFrame:
 
 def work_folder(spark: SparkSession, name: str) -> str:
     """New folder below the shared checkpoint folder for a stream's output and state."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex[:12]}"
+    return shared_path(spark, name)
 
 
 def run_available(df: DataFrame, mode: str = "append", name: str = "stream") -> DataFrame:
