@@ -160,8 +160,9 @@ def test_groups_against_all_pairs(spark, monkeypatch, size, percent):
     rows = edited(size)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     expected = groups_by_hand(rows, size, percent)
-    for block in (1024, 3):
+    for block, least in ((1024, 50), (3, 2)):
         monkeypatch.setattr(ngram_join, "BLOCK", block)
+        monkeypatch.setattr(ngram_join, "COMMON_LEAST", least)
         assert {tuple(r) for r in ngram_join.jaccard_groups(docs, size=size, percent=percent).collect()} == expected
 
 
@@ -174,8 +175,10 @@ def test_linked_sets_share_a_signature():
                 out = r.randint(0, n * (100 - percent) // 100)
                 b = set(r.sample(sorted(a), n - out)) | set(r.sample(range(10**9, 2 * 10**9), r.randint(0, n * (100 - percent) // 100 - out + 1)))
                 if a != b and 100 * len(a & b) >= percent * len(a | b):
-                    x, y = (set(ngram_join.signatures(np.array(sorted(s), np.uint64), percent).tolist()) for s in (a, b))
-                    assert x & y, (n, len(b), percent)
+                    for share in (0, 0.1, 0.25, 0.4, 1):
+                        hot = np.array(sorted(x for x in a | b if r.random() < share), np.uint64)
+                        x, y = (set(ngram_join.signatures(np.array(sorted(s), np.uint64), percent, hot).tolist()) for s in (a, b))
+                        assert x & y, (n, len(b), percent, share)
 
 
 def test_trees_lose_no_pair():

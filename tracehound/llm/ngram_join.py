@@ -20,13 +20,19 @@ PERCENT = 85
 #: Members of a family compared in one task; larger families are compared by pairs of blocks.
 BLOCK = 1024
 FANOUT = 8
+#: Common shingles (8 bytes each) at most that go out to all tasks, and the number of sets from which one counts.
+COMMON = 65_536
+COMMON_LEAST = 50
 #: Members of families (some 50 bytes each) up to which their table is broadcast to the texts; beyond it, texts join by shuffle.
 BROADCAST_ROWS = 400_000
 
 
-# Partition signatures. Two linked sets differ in at most d shingles, so if all shingles are dealt over more than d
+# Partition signatures. Two linked sets differ in at most d shingles, so if their shingles are dealt over more than d
 # parts by their hash, some part is the same in both. A link is never missed, and sets that agree on a whole part are
-# nearly always copies, so the families of sets that share signatures are small and hold few strangers.
+# mostly copies, so the families of sets that share signatures are small and hold few strangers. Shingles of passages
+# that very many texts hold would make strangers agree on a part that has nothing else. Leaving any fixed list of
+# shingles out of all sets never adds a difference, so sets with few of them are dealt without them; sets made of them
+# for a fifth or more are dealt with all. Links across that border are kept: sets near it are dealt both ways.
 
 
 @cache
@@ -36,26 +42,36 @@ def bands(percent: int, upto: int) -> list[tuple[int, int, int, int]]:
     while low <= upto:
         high = max(low + 1, low * 3 // 2)
         d = (100 - percent) * 2 * (high - 1) // (100 + percent)
-        parts = d + 4 + int(2 * (d + 4) * exp(-low * percent / 100 / (d + 4)))
+        parts = d + 4 + int(2 * (d + 4) * exp(-0.66 * low * percent / 100 / (d + 4)))  # with room for empty parts
         out.append((low, high, d, parts))
         low = high
     return out
 
 
-def signatures(s: np.ndarray, percent: int) -> np.ndarray:
+def signatures(s: np.ndarray, percent: int, hot: np.ndarray) -> np.ndarray:
     """Signatures of a set: of the parts in its own band, and in the next if a larger partner can be there."""
-    out, n = [], len(s)
-    h = mix(s + U(1))
+    n = len(s)
+    common = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s if len(hot) else np.zeros(n, bool)
+    excess = 5 * int(common.sum()) - n  # above 0 for sets with more than a fifth of common shingles
+    differ = (100 - percent) * (n + 100 * n // percent) // (100 + percent)  # from any linked set, so the excess differs by 4 times that at most
+    dealt = [(0, s[~common])] if excess <= 4 * differ else []
+    if excess > 0:
+        dealt.append((1, s))
+    out = []
     for k, (low, high, d, parts) in enumerate(bands(percent, 1 << (2 * n).bit_length())):
         if not (low <= n < high or n < low and 100 * n >= percent * low) or d == 0:
             continue
-        part = (mix(h + U(k)) >> U(11)) % U(parts)
-        order = np.argsort(part, kind="stable")
-        name, first = np.unique(part[order], return_index=True)
-        out.append(mix(np.add.reduceat(h[order], first) + mix(name + U(k * 1_000_003))))
-        if parts - len(name) >= parts - d:  # so many empty parts that they alone could be what is the same
-            empty = np.setdiff1d(np.arange(parts, dtype=U), name)
-            out.append(mix(mix(empty + U(k * 1_000_003)) ^ U(0xE3779B97F4A7C15)))
+        for way, t in dealt:
+            h = mix(t + U(1 + way))
+            part = (mix(h + U(k)) >> U(11)) % U(parts)
+            order = np.argsort(part, kind="stable")
+            name, first = np.unique(part[order], return_index=True)
+            salt = U(2 * k + way) * U(1_000_003)
+            if len(name):
+                out.append(mix(np.add.reduceat(h[order], first) + mix(name + salt)))
+            if len(name) <= d:  # so many empty parts that they alone could be what is the same
+                empty = np.setdiff1d(np.arange(parts, dtype=U), name)
+                out.append(mix(mix(empty + salt) ^ U(0xE3779B97F4A7C15)))
     return np.concatenate(out) if out else np.empty(0, U)
 
 
@@ -77,13 +93,44 @@ def described(size: int):
     return run
 
 
-def marked(size: int, percent: int):
+def repeated(size: int):
+    """Shingles that are in two or more different sets of a stretch of a task's texts, with their number there."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def counts(held: dict) -> pd.DataFrame:
+            s, c = np.unique(np.concatenate(list(held.values())), return_counts=True)
+            return pd.DataFrame({"s": s[c > 1].view(np.int64), "c": c[c > 1]})
+
+        held, rows = {}, 0
+        for frame in batches(frames, "text", 2_000_000):
+            for s in shingle_sets(frame["text"].tolist(), size):
+                if len(s) and (key := digest(s)[0]) not in held:
+                    held[key] = s
+                    rows += len(s)
+            if rows > 2_000_000:
+                yield counts(held)
+                held, rows = {}, 0
+        if held:
+            yield counts(held)
+
+    return run
+
+
+def common_shingles(texts: DataFrame, size: int) -> np.ndarray:
+    """The shingles in most sets, COMMON at most. Which ones they are matters for speed only, so counts may be low."""
+    counts = texts.select("text").mapInPandas(repeated(size), "s long, c long").groupBy("s").agg(F.sum("c").alias("c"))
+    top = counts.where(F.col("c") >= COMMON_LEAST).orderBy(F.desc("c"), "s").limit(COMMON).select("s").toPandas()["s"]
+    return np.sort(top.to_numpy(np.int64).view(U))
+
+
+def marked(size: int, percent: int, shared):
     """Signatures of each text's set, by digest; of equal sets of a batch only the first."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hot = shared.value
         for frame in batches(frames, "text", 2_000_000):
             sets = {digest(s)[0]: s for s in shingle_sets(frame["text"].tolist(), size) if len(s)}
-            yield pd.DataFrame({"d1": list(sets), "marks": [signatures(s, percent).view(np.int64) for s in sets.values()]})
+            yield pd.DataFrame({"d1": list(sets), "marks": [signatures(s, percent, hot).view(np.int64) for s in sets.values()]})
 
     return run
 
@@ -286,10 +333,11 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sets = written(texts.mapInPandas(described(size), "id long, n int, d1 long, d2 long"), folder, "sets")
     classes = written(sets.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")), folder, "classes")
 
-    marks = texts.mapInPandas(marked(size, percent), "d1 long, marks array<long>").select("d1", F.explode("marks").alias("mark"))
+    shared = spark.sparkContext.broadcast(common_shingles(texts, size))
+    marks = texts.mapInPandas(marked(size, percent, shared), "d1 long, marks array<long>").select("d1", F.explode("marks").alias("mark"))
     first = F.first("d1").over(Window.partitionBy("mark").orderBy("d1"))
-    shared = marks.withColumn("first", first).where("d1 != first")
-    family = components(shared.select(F.col("d1").alias("a"), F.col("first").alias("b")))
+    agreed = marks.withColumn("first", first).where("d1 != first")
+    family = components(agreed.select(F.col("d1").alias("a"), F.col("first").alias("b")))
     members = written(classes.join(family, F.col("d1") == F.col("node")).select("rep", "d1", F.col("component").alias("family")), folder, "members")
     blocks = members.groupBy("family").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("family").alias("f"), F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(blocks, F.col("family") == F.col("f")).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
