@@ -76,6 +76,16 @@ def test_anchored_windows_brute_force(spark, blocks, gap):
             assert got[(key, us)] == start
 
 
+@pytest.mark.parametrize("times", [[i * 97_000 for i in range(600)], [0, 1, 5 * MINUTE, 90 * 86400 * SECOND, 90 * 86400 * SECOND + MINUTE, 91 * 86400 * SECOND]])
+def test_anchored_windows_without_keys(spark, times):
+    """All events in one minute, and a gap of months."""
+    got = {r.us: r.window_us for r in windows.anchored_windows(spark.createDataFrame([(t,) for t in times], "us BIGINT"), [], 1).collect()}
+    start = None
+    for t in times:
+        start = t if start is None or t - start > MINUTE else start
+        assert got[t] == start
+
+
 def auth(spark, rows):
     """rows: (id, ip, user, second, outcome)"""
     df = spark.createDataFrame([(i, ip, u, float(s), o) for i, ip, u, s, o in rows], "id STRING, ip STRING, u STRING, s DOUBLE, outcome STRING")

@@ -164,3 +164,14 @@ def test_artifact_folder(spark, tmp_path):
     a = readers.load_artifacts(spark, str(tmp_path))
     assert sorted(r.partition for r in a["timeline"].select("partition").collect()) == [0, 1]
     assert readers.parse_file_timeline(a["timeline"]).count() == 1
+
+
+def test_fractions_and_offsets_of_times(spark):
+    lines = {
+        "2024-03-01T10:00:00.250Z x": "2024-03-01 10:00:00.25", "at 2024-03-01 10:00:00,125 x": "2024-03-01 10:00:00.125", "2024-03-01T10:00:00+02:00 x": "2024-03-01 08:00:00",
+        "2024-03-01T10:00:00.5-0330 x": "2024-03-01 13:30:00.5", '1.1.1.1 - - [01/Mar/2024:10:00:00 +0100] "GET /"': "2024-03-01 09:00:00", "[01/Mar/2024:10:00:00] x": "2024-03-01 10:00:00",
+        "Mar  1 10:00:00 h": "2024-03-01 10:00:00", "nothing": None,
+    }
+    df = spark.createDataFrame([(x,) for x in lines], "line STRING")
+    out = df.select("line", nz.line_ts(F.col("line"), F.create_map(F.lit("k"), F.lit("v")), 2024).cast("string").alias("ts"))
+    assert {r.line: r.ts for r in out.collect()} == lines

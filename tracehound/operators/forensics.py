@@ -6,9 +6,12 @@ per file before they meet the file table, and one-row bounds enter as scalar sub
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracehound.functions.normalize import bind
 from tracehound.operators.windows import lsn_gaps, lsn_order
 from tracehound.rules import dims
 from tracehound.rules.weights import CHECK_WEIGHTS, LAYER_POINTS, ROUND_DELTAS, SEVERITY_POINTS
@@ -509,14 +512,25 @@ def layered_score(f: DataFrame, u: DataFrame, l: DataFrame, ev: DataFrame, now_y
 
 
 def contradictions(f: DataFrame, u: DataFrame, l: DataFrame, volume_created: Column, installed: Column) -> DataFrame:
-    """Votes against each file, one row per independent layer: record order 3/2/1, the others 2 each."""
+    """Votes against each file, one row per independent layer: record order 2/1, the others 2 each.
+
+    Files meet the folded journal and log once; the layers are columns of that one pass.
+    """
     keys = ["partition", "record_no", "filename"]
-    order = si_fn_mismatch(f, 9999).groupBy(*keys).agg(F.max(F.when(F.col("severity") == "HIGH", 2).otherwise(1)).alias("votes")).withColumn("layer", F.lit("record_order"))
-    usn = usn_causality(f, u).where("check_id <> 'usn_absent'").select(*keys).distinct().select(*keys, F.lit(2).alias("votes"), F.lit("usn").alias("layer"))
-    log = lsn_checks(f, l).select(*keys).distinct().select(*keys, F.lit(2).alias("votes"), F.lit("logfile").alias("layer"))
-    vol = f.where(F.col("si_created") < volume_created).select(*keys, F.lit(2).alias("votes"), F.lit("volume").alias("layer"))
-    ins = f.where(F.col("si_created") < installed).select(*keys, F.lit(2).alias("votes"), F.lit("install").alias("layer"))
-    return union_all([order, usn, log, vol, ins])
+    falls = lsn_order(l).groupBy("record_no").agg(F.count("*").alias("falls"))
+    j = f.join(usn_per_file(u), "record_no", "left").join(lsn_per_file(l), "record_no", "left").join(falls, "record_no", "left")
+    apart = [F.abs(seconds_between(f"si_{n}", f"fn_{n}")) for n in ("created", "modified")]
+    before_log = [seconds_between("first_activity", f"si_{n}") > DAY for n in ("created", "modified")]
+    any_of = lambda conds: reduce(lambda x, y: x | y, [F.coalesce(c, F.lit(False)) for c in conds])
+    votes = {
+        "record_order": F.when(any_of([d > DAY for d in apart]), 2).when(any_of([d > 1 for d in apart]), 1),
+        "usn": F.when(any_of([F.col(f"{n}_modified") < F.col("first_write") for n in ("si", "fn")]), 2),
+        "logfile": F.when(any_of([F.col("falls") > 0, *before_log]), 2),
+        "volume": F.when(F.col("si_created") < volume_created, 2), "install": F.when(F.col("si_created") < installed, 2),
+    }
+    per_file = j.groupBy(*keys).agg(*[F.max(v).alias(n) for n, v in votes.items()])
+    rows = F.array_compact(F.array(*[F.when(F.col(n).isNotNull(), F.struct(F.col(n).alias("votes"), F.lit(n).alias("layer"))) for n in votes]))
+    return per_file.select(*keys, F.inline(rows))
 
 
 def vote(i: DataFrame) -> DataFrame:
@@ -571,12 +585,38 @@ def evidence_rows(lines: DataFrame, now_year: int) -> DataFrame:
     years = F.regexp_extract_all("line", F.lit(r"(\d{4})-(\d{2})-(\d{2})"), F.lit(1))
     future = F.exists(years, lambda y: y.cast("int") > now_year + 1)
     tries.append(F.when((F.col("listing") == "timeline") & future, F.struct(F.lit("timestomping").alias("kind"), F.lit("future_date").alias("type"), F.lit("high").alias("severity"))))
+    # the first four dates and times of a line of six words or more: equal pairs are equal record and name times
+    words = F.filter(F.split("line", r"\s+"), lambda w: w != "")
+    stamps = F.filter(words, lambda w: w.rlike(r"^(\d{4}-\d{2}-\d{2}|\d{2}:\d{2}:\d{2})"))
+    same = bind(stamps, lambda t: (F.size(t) >= 4) & (F.get(t, F.lit(0)) == F.get(t, F.lit(2))) & (F.get(t, F.lit(1)) == F.get(t, F.lit(3))))
+    tries.append(F.when((F.col("listing") == "timeline") & (F.size(words) >= 6) & same, F.struct(F.lit("timestomping").alias("kind"), F.lit("identical_times").alias("type"), F.lit("medium").alias("severity"))))
     return lines.select("partition", "line", F.inline(F.array_compact(F.array(*tries))))
 
 
+def evidence_absence(lines: DataFrame) -> DataFrame:
+    """What a listing of a partition lacks: the volume folder beside $Extend, event log files, any journal line.
+
+    A listing counts as there when it has a line, be it blank. One row per partition and finding.
+    """
+    line, of = F.coalesce("line", F.lit("")), lambda name: F.col("listing") == name
+    seen = lambda name, cond: F.coalesce(F.bool_or(of(name) & cond), F.lit(False))
+    g = lines.groupBy("partition").agg(
+        seen("shadow_copies", F.contains(line, F.lit("$Extend"))).alias("extend"), seen("shadow_copies", F.contains(line, F.lit("System Volume Information"))).alias("volume"),
+        seen("logs", F.lit(True)).alias("logs"), seen("logs", F.contains(F.lower(line), F.lit(".evtx"))).alias("evtx"),
+        seen("usn_journal", F.lit(True)).alias("journal"), seen("usn_journal", F.trim(line) != "").alias("filled"),
+    )
+    finding = lambda cond, *names: F.when(cond, F.struct(*[F.lit(n).alias(c) for n, c in zip(names, ("kind", "type", "severity"))]))
+    return g.select("partition", F.inline(F.array_compact(F.array(
+        finding(F.col("extend") & ~F.col("volume"), "shadow_copy", "volume_information_missing", "high"),
+        finding(F.col("logs") & ~F.col("evtx"), "log_clearing", "no_event_logs", "high"),
+        finding(F.col("journal") & ~F.col("filled"), "journal", "empty", "high"),
+    ))))
+
+
 def evidence_scan(lines: DataFrame, now_year: int) -> DataFrame:
-    """Evidence per disk partition and kind."""
-    return evidence_rows(lines, now_year).groupBy("partition", "kind", "type", "severity").agg(F.count("*").alias("hits"))
+    """Evidence per disk partition and kind: hits of lines, and one hit for each thing that is absent."""
+    found = evidence_rows(lines, now_year).select("partition", "kind", "type", "severity").unionByName(evidence_absence(lines))
+    return found.groupBy("partition", "kind", "type", "severity").agg(F.count("*").alias("hits"))
 
 
 def log_class(path: Column) -> Column:

@@ -436,7 +436,7 @@ def m32(spark, d):
 def _listing(spark, d):
     """Artifact listings over the documents: the listing kind and some telling words by line number."""
     kinds = ["timeline", "usn_journal", "mft", "logs", "registry", "shadow_copies", "hidden_structures"]
-    words = ["", "vssadmin", "$OrphanFiles", "log cleared", "ccleaner", "No shadow copy", "a:Zone.Identifier", "00-00-0000", "2035-01-01", "-/r", "No USN journal"]
+    words = ["", "vssadmin", "$OrphanFiles", "log cleared", "ccleaner", "No shadow copy", "a:Zone.Identifier", "00-00-0000", "2035-01-01", "-/r", "No USN journal", "$Extend", "2020-01-01 01:02:03 2020-01-01 01:02:03 a b c"]
     dl = v.doc_lines(spark, d)
     pick = lambda values, sel: F.get(F.array(*[F.lit(x) for x in values]), sel.cast("int"))
     return dl.select(
@@ -445,14 +445,18 @@ def _listing(spark, d):
 
 
 _KINDS = "['timeline', 'usn_journal', 'mft', 'logs', 'registry', 'shadow_copies', 'hidden_structures']"
-_WORDS = "['', 'vssadmin', '$OrphanFiles', 'log cleared', 'ccleaner', 'No shadow copy', 'a:Zone.Identifier', '00-00-0000', '2035-01-01', '-/r', 'No USN journal']"
-_LST = f"WITH {v.DOC_LINES_SQL}, lst AS (SELECT source::BIGINT % 3 AS partition, {_KINDS}[1 + source::BIGINT % 7] AS listing, line || ' ' || {_WORDS}[1 + (line_no + source::BIGINT) % 11] AS line FROM doc_lines)"
+_WORDS = "['', 'vssadmin', '$OrphanFiles', 'log cleared', 'ccleaner', 'No shadow copy', 'a:Zone.Identifier', '00-00-0000', '2035-01-01', '-/r', 'No USN journal', '$Extend', '2020-01-01 01:02:03 2020-01-01 01:02:03 a b c']"
+_LST = f"WITH {v.DOC_LINES_SQL}, lst AS (SELECT source::BIGINT % 3 AS partition, {_KINDS}[1 + source::BIGINT % 7] AS listing, line || ' ' || {_WORDS}[1 + (line_no + source::BIGINT) % 13] AS line FROM doc_lines)"
 _EVID = "ev0 AS (" + " UNION ALL ".join(
     f"SELECT partition, '{k}' AS kind, '{t}' AS type, '{s}' AS severity FROM lst WHERE listing = '{l}' AND regexp_matches(line, {quoted(p)})" for k, l, t, s, p in dims.EVIDENCE
-) + " UNION ALL SELECT partition, 'timestomping', 'future_date', 'high' FROM lst WHERE listing = 'timeline' AND len(list_filter(regexp_extract_all(line, '(\\d{4})-(\\d{2})-(\\d{2})', 1), lambda y: y::INTEGER > 2001)) > 0)"
+) + " UNION ALL SELECT partition, 'timestomping', 'future_date', 'high' FROM lst WHERE listing = 'timeline' AND len(list_filter(regexp_extract_all(line, '(\\d{4})-(\\d{2})-(\\d{2})', 1), lambda y: y::INTEGER > 2001)) > 0"
+_EVID += " UNION ALL SELECT partition, 'timestomping', 'identical_times', 'medium' FROM (SELECT partition, list_filter(string_split_regex(line, '\\s+'), lambda w: w <> '') AS ws FROM lst WHERE listing = 'timeline') WHERE len(ws) >= 6 AND len(list_filter(ws, lambda w: regexp_matches(w, '^(\\d{4}-\\d{2}-\\d{2}|\\d{2}:\\d{2}:\\d{2})'))) >= 4 AND list_filter(ws, lambda w: regexp_matches(w, '^(\\d{4}-\\d{2}-\\d{2}|\\d{2}:\\d{2}:\\d{2})'))[1:2] = list_filter(ws, lambda w: regexp_matches(w, '^(\\d{4}-\\d{2}-\\d{2}|\\d{2}:\\d{2}:\\d{2})'))[3:4])"
+_ABSENT = """ab AS (SELECT partition, bool_or(listing = 'shadow_copies' AND contains(line, '$Extend')) AND NOT bool_or(listing = 'shadow_copies' AND contains(line, 'System Volume Information')) AS a,
+ bool_or(listing = 'logs') AND NOT bool_or(listing = 'logs' AND contains(lower(line), '.evtx')) AS b, bool_or(listing = 'usn_journal') AND NOT bool_or(listing = 'usn_journal' AND trim(line) <> '') AS c FROM lst GROUP BY 1),
+ev1 AS (SELECT * FROM ev0 UNION ALL SELECT partition, 'shadow_copy', 'volume_information_missing', 'high' FROM ab WHERE a UNION ALL SELECT partition, 'log_clearing', 'no_event_logs', 'high' FROM ab WHERE b UNION ALL SELECT partition, 'journal', 'empty', 'high' FROM ab WHERE c)"""
 
 
-@R.add("m33_evidence_scan", f"{_LST}, {_EVID} SELECT partition, kind, type, severity, count(*) AS hits FROM ev0 GROUP BY ALL")
+@R.add("m33_evidence_scan", f"{_LST}, {_EVID}, {_ABSENT} SELECT partition, kind, type, severity, count(*) AS hits FROM ev1 GROUP BY ALL")
 def m33(spark, d):
     return fx.evidence_scan(_listing(spark, d), NOW_YEAR)
 
