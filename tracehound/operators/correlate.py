@@ -387,9 +387,9 @@ def correlate_tagged(e: DataFrame) -> dict[str, DataFrame]:
     return {"chains": chains, "timeline": line, "summary": summary_api(chains, line)}
 
 
-def correlate_windows(e: DataFrame, minutes: float = 5) -> dict[str, DataFrame]:
+def correlate_windows(e: DataFrame, minutes: float = 5, span_minutes: float | None = None, failures: int = 5, users: int = 10) -> dict[str, DataFrame]:
     """Run over anchored windows: brute-force and spray chains, first timeline rows, summary, threatening IPs."""
-    brute = bruteforce_chain(e, minutes=minutes).withColumn("attack_type", F.lit("bruteforce"))
-    spray = spray_chain(e, minutes=minutes).withColumn("attack_type", F.lit("password_spray"))
+    brute = bruteforce_chain(e, failures, minutes, span_minutes or 10).withColumn("attack_type", F.lit("bruteforce"))
+    spray = spray_chain(e, users, minutes, span_minutes or 15).withColumn("attack_type", F.lit("password_spray"))
     chains = cut_lineage(union_all([brute, spray]))
     return {"chains": chains, "timeline": basic_timeline(e), "summary": summary_basic(e, chains), "top_ips": threat_scores(e, chains.select("ip", "confidence"))}

@@ -824,9 +824,29 @@ def k16(spark, d):
     return c.groupBy("kind").agg(F.count("*").alias("chains"), F.sum("events").alias("events"), F.countDistinct("attack_type").alias("types"))
 
 
-@R.add("k16_correlate_summary")
+_ALL_CHAINS = f"""{_IPC}, {_COVER}, {_REST}, {_KEYC.format(k='usr', src='rest')}, {_KILL},
+first2 AS (SELECT id FROM cov UNION SELECT id FROM rest WHERE usr IN (SELECT key FROM usrc)),
+free AS (SELECT *, list_position(['kill:sql_injection', 'kill:account_takeover', 'kill:privilege_escalation', 'kill:ransomware', 'kill:webshell', 'kill:bruteforce'], chain_id) AS p FROM kill
+  WHERE chain_id NOT IN (SELECT chain_id FROM kill WHERE event_id IN (SELECT id FROM first2))),
+took AS (SELECT * FROM free WHERE chain_id NOT IN (SELECT b.chain_id FROM free a JOIN free b ON a.event_id = b.event_id AND a.p < b.p)),
+m0 AS (SELECT ip, min(us) AS s FROM entries GROUP BY ip),
+bu AS (SELECT e.ip, max(e.us) AS end_us FROM entries e JOIN m0 USING (ip) WHERE e.us - m0.s < {60 * SECOND} GROUP BY e.ip HAVING count(*) >= 10),
+bk AS (SELECT ip FROM bu WHERE ip NOT IN (SELECT bu.ip FROM bu JOIN entries e ON e.ip = bu.ip AND e.us <= bu.end_us WHERE e.id IN (SELECT id FROM first2 UNION SELECT event_id FROM took))),
+chain_kinds AS (SELECT 'ip' AS kind, count(*) AS n FROM ipc UNION ALL SELECT 'user', count(*) FROM usrc UNION ALL SELECT 'kill', count(DISTINCT chain_id) FROM took UNION ALL SELECT 'burst', count(*) FROM bk),
+chain_ips AS (SELECT key AS ip FROM ipc UNION SELECT ip FROM rest WHERE usr IN (SELECT key FROM usrc) UNION SELECT ip FROM entries WHERE id IN (SELECT event_id FROM took) UNION SELECT ip FROM bk)"""
+
+
+@R.add("k16_correlate_kinds", WITH_O + f", {_ALL_CHAINS} SELECT kind, n FROM chain_kinds WHERE n > 0")
+def k16e(spark, d):
+    """Chains by kind after precedence, kill chains and bursts among them."""
+    return correlate.correlate(entries(spark, d), sqli_seconds=600)["chains"].groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@R.add("k16_correlate_summary", WITH_O + f", {_ALL_CHAINS}" + """
+SELECT count(*) AS total_alerts, count(*) FILTER (severity = 'critical') AS critical_alerts, (SELECT sum(n) FROM chain_kinds)::BIGINT AS chains,
+  least((SELECT sum(n) FROM chain_kinds) * 15 + count(*) FILTER (severity = 'critical') * 20 + count(*) FILTER (severity = 'high') * 10 + (SELECT count(*) FROM chain_ips) * 5, 100)::BIGINT AS risk_score FROM entries""")
 def k16b(spark, d):
-    return correlate.correlate(entries(spark, d), sqli_seconds=600)["summary"]
+    return correlate.correlate(entries(spark, d), sqli_seconds=600)["summary"].select("total_alerts", "critical_alerts", "chains", "risk_score")
 
 
 @R.add("e12_summary_enhanced", WITH_O + f", {_IPC}" + """,
@@ -854,7 +874,10 @@ def k16c(spark, d):
     return c.groupBy("kind").agg(F.count("*").alias("chains"), F.round(F.avg("confidence"), 6).alias("confidence"))
 
 
-@R.add("k16_correlate_windows", WITH_E + """
-SELECT count(*) AS total_events, count(*) FILTER (severity = 'critical') AS critical_alerts FROM entries""")
+@R.add("k16_correlate_windows", _WITH_W + f", {_BFCHAIN}," + """
+sp AS (SELECT window_us, ip, count(DISTINCT usr) AS users FROM entries JOIN wins USING (us) WHERE outcome = 'failure' GROUP BY 1, 2 HAVING count(DISTINCT usr) >= 3)
+SELECT 'bruteforce' AS attack_type, count(*) AS chains, sum(failures)::BIGINT AS hits, round(avg(least(0.7::DOUBLE + failures / 50, 0.95)), 6) AS confidence FROM bfc HAVING count(*) > 0
+UNION ALL SELECT 'password_spray', count(*), sum(users)::BIGINT, round(avg(least(0.7::DOUBLE + users / 50, 0.95)), 6) FROM sp HAVING count(*) > 0""")
 def k16d(spark, d):
-    return correlate.correlate_windows(entries(spark, d))["summary"].select("total_events", "critical_alerts")
+    chains = correlate.correlate_windows(entries(spark, d), DAY_MINUTES, DAY_MINUTES, 2, 3)["chains"]
+    return chains.groupBy("attack_type").agg(F.count("*").alias("chains"), F.sum(F.coalesce("failures", "users")).alias("hits"), F.round(F.avg("confidence"), 6).alias("confidence"))

@@ -11,6 +11,7 @@ from tracehound.plans.catalog_entries import WITH_E, WITH_T, tagged, us, version
 from tracehound.plans.registry import Registry, quoted
 from tracehound.plans.views import ENTRIES_SQL, FEEDBACK_SQL, entries, feedback
 from tracehound.rules import attacks
+from tracehound.rules.weights import ATTACK_WEIGHTS, FEATURE_RANGES
 from tracehound.streaming import jobs as st
 
 R = Registry()
@@ -116,7 +117,37 @@ def l10(spark, d):
         r("offHoursActivity", "off_hours"), F.col("uniquePorts").alias("ports"), F.col("uniqueTargetHosts").alias("hosts"))
 
 
-@R.add("l10_classify_batch")
+def _batch_sql() -> str:
+    """The batch classifier in SQL, from the same weights, ranges and thresholds."""
+    n = "eventCount"
+    features = {
+        "failureRate": f"fail / {n}", "invalidUserRatio": "CASE WHEN fail > 0 THEN invalid / fail ELSE 0 END", "errorCodeRatio": f"error / {n}", "mfaFailureRate": f"mfa / {n}", "offHoursActivity": f"off / {n}",
+        "smeansz": f"sbytes / {n}", "dmeansz": "0.0::DOUBLE", "dbytes": "0.0::DOUBLE", "res_bdy_len": "sbytes * 0.1::DOUBLE", "eventsPerMinute": f"CASE WHEN span > 0 THEN {n} / span ELSE {n} END",
+        "actionVelocity": f"{n} / greatest(span / 60, 1.0::DOUBLE)", "targetUserEntropy": "log2(greatest(uniqueTargetUsers, 1.0::DOUBLE))",
+    }
+    unit = lambda k: f"least(greatest(({k} - {FEATURE_RANGES[k][0]}) / {FEATURE_RANGES[k][1] - FEATURE_RANGES[k][0]}::DOUBLE, 0.0::DOUBLE), 1.0::DOUBLE)"
+    options = []
+    for name, weights in ATTACK_WEIGHTS.items():
+        parts = {k: f"({unit(k)} * {w}::DOUBLE)" if w > 0 else f"((1 - {unit(k)}) * {-w}::DOUBLE)" for k, w in weights.items()}
+        top = ", ".join(f"{{'c': round({v}, 6), 'f': '{k}'}}" for k, v in parts.items())
+        options.append(f"SELECT *, '{name}' AS attack_type, ({' + '.join(parts.values())}) / {sum(abs(w) for w in weights.values())!r}::DOUBLE AS score, list_transform(list_reverse_sort([{top}])[1:3], lambda t: t.f) AS top FROM ft")
+    cond = {
+        "bruteforce": "failureRate < 0.7", "password_spray": "uniqueTargetUsers < 10", "dos": "eventsPerMinute < 50", "port_scan": "uniquePorts < 10", "sql_injection": "errorCodeRatio < 0.15",
+        "xss_attack": "errorCodeRatio < 0.1", "log4shell": "suspiciousPatternCount < 3", "ransomware": "actionVelocity < 20",
+    }
+    false = f"({n} < 10 OR " + " OR ".join(f"(attack_type = '{k}' AND {c})" for k, c in cond.items()) + " OR (failureRate = 0 AND errorCodeRatio = 0 AND suspiciousPatternCount < 2))"
+    return WITH_E + f""",
+b AS (SELECT *, lower(message) AS low, regexp_matches(lower(message), 'fail|error|denied|refused') AS failed, (us - lag(us) OVER (PARTITION BY ip ORDER BY us)) / 1000.0::DOUBLE AS gap FROM entries),
+g AS (SELECT ip, count(*)::DOUBLE AS {n}, sum(length(message))::DOUBLE AS sbytes, count(*) FILTER (failed)::DOUBLE AS fail, count(*) FILTER (failed AND regexp_matches(low, 'invalid|unknown'))::DOUBLE AS invalid,
+ count(*) FILTER (regexp_matches(low, 'error|failed'))::DOUBLE AS error, count(*) FILTER (regexp_matches(low, 'mfa|2fa'))::DOUBLE AS mfa, count(*) FILTER (regexp_matches(message, {_ODD}))::DOUBLE AS suspiciousPatternCount,
+ count(*) FILTER (hour(ts) < 6 OR hour(ts) > 22)::DOUBLE AS off, 1.0::DOUBLE AS uniqueSourceIps, count(DISTINCT usr)::DOUBLE AS uniqueTargetUsers, count(DISTINCT dst_host)::DOUBLE AS uniqueTargetHosts, count(DISTINCT port)::DOUBLE AS uniquePorts,
+ (max(us) - min(us)) / 60000000.0::DOUBLE AS span, CASE WHEN count(*) > 5 THEN least(stddev_pop(gap) / avg(gap), 2.0)::DOUBLE ELSE 0.0 END AS burstiness FROM b GROUP BY ip),
+ft AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in features.items())} FROM g),
+o AS ({' UNION ALL '.join(options)})
+SELECT ip, attack_type, round(score, 6) AS score, round(least(score * 1.2::DOUBLE, 0.95), 6)::DOUBLE AS confidence, {false} AS is_false_positive, array_to_string(top, ',') AS top FROM o WHERE score >= 0.3"""
+
+
+@R.add("l10_classify_batch", _batch_sql())
 def l10b(spark, d):
     e = entries(spark, d).withColumn("ip", F.col("source.ip"))
     out = learn.classify_batch(e, ["ip"], {k: 0.3 for k in learn.ATTACK_THRESHOLDS})
