@@ -498,16 +498,16 @@ def layered_score(f: DataFrame, u: DataFrame, l: DataFrame, ev: DataFrame, now_y
     scored = j.select("partition", "record_no", "filename", l1.alias("layer1"), l2.alias("layer2"), l3.alias("layer3"), l4.alias("layer4"), l5.alias("layer5"))
     layers = ["layer1", "layer2", "layer3", "layer4", "layer5"]
     total = sum((F.coalesce(x, F.lit(0.0)) for x in layers[1:]), F.coalesce(layers[0], F.lit(0.0)))
-    names = ["Layer1 (SI vs FN)", "Layer2 (USN Journal)", "Layer3 ($LogFile)", "Layer4 (External)", "Layer5 (Event Logs)"]
+    names = ["record times", "change journal", "transaction log", "outside bounds", "event log"]
     s = scored.withColumn("score", total)
     return s.withColumn("severity", F.when(F.col("score") >= 75, "CRITICAL").when(F.col("score") >= 50, "HIGH").when(F.col("score") >= 25, "MEDIUM").otherwise("LOW")).withColumns({
         "is_suspicious": F.col("score") >= 25,
         "confidence": F.when(F.col("score") >= 75, 0.95).when(F.col("score") >= 50, 0.8).when(F.col("score") >= 25, 0.6).otherwise(0.3),
         "explanation": F.array_join(F.array_compact(F.array(*[F.when(F.col(x) > 0, n) for x, n in zip(layers, names)])), "; "),
-        "recommendation": F.when(F.col("severity") == "CRITICAL", "Immediate investigation required. File timestamps appear artificially manipulated. Check for malicious tools usage.")
-        .when(F.col("severity") == "HIGH", "Review file in detail. Cross-reference with prefetch, Amcache, and event logs for execution evidence.")
-        .when(F.col("severity") == "MEDIUM", "Monitor file activity. Verify if timestamp modification was intentional (e.g., software installation).")
-        .otherwise("No action required. File timestamps are consistent across all NTFS layers."),
+        "recommendation": F.when(F.col("severity") == "CRITICAL", "Several layers contradict the file's times: treat them as forged and look for the tool that set them.")
+        .when(F.col("severity") == "HIGH", "Two layers or more disagree: compare the file with prefetch and event records of its time.")
+        .when(F.col("severity") == "MEDIUM", "One layer disagrees: an installer or a copy may explain it.")
+        .otherwise("The layers agree."),
     })
 
 

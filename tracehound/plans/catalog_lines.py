@@ -16,6 +16,7 @@ from tracehound.plans.views import (
 )
 from tracehound.rules import attacks, dims
 from tracehound.rules.formats import CONTINUATIONS, ENTRY_OPENINGS, LINE_TESTS, RAW, TYPE_NAMES, start_anchored
+from tracehound.session import shared_path
 from tracehound.sources import readers, sinks
 
 R = Registry()
@@ -49,6 +50,21 @@ _TYPED = f"typed AS (SELECT *, {_TYPE_CASE} AS line_type FROM raw_lines)"
 # --- readers' transforms --------------------------------------------------------------------------------
 
 
+@R.add("a1_read_lines", """
+WITH l AS (SELECT unnest(string_split(replace(text, chr(13), ' '), chr(10))) AS line FROM documents)
+SELECT count(*) AS lines, count(*) FILTER (trim(line) <> '') AS filled, sum(length(line))::BIGINT AS chars, max(length(line))::BIGINT AS longest, 0::BIGINT AS gaps FROM l""")
+def a1_files(spark, d):
+    """The documents as text files, read back by the reader; each file's lines are numbered from 0 without a gap."""
+    path = shared_path(spark, "a1")
+    table(spark, d, "documents").select(F.replace("text", F.lit("\r"), F.lit(" ")).alias("text")).write.text(path)
+    per_file = readers.read_lines(spark, path, keep_blank=True).groupBy("source").agg(
+        F.count("*").alias("n"), F.count_if(F.trim(F.col("line")) != "").alias("filled"), F.sum(F.length("line")).alias("chars"), F.max(F.length("line")).alias("longest"),
+        F.countDistinct("line_no").alias("numbers"), F.max("line_no").alias("last"),
+    )
+    gap = (F.col("numbers") != F.col("n")) | (F.col("last") != F.col("n") - 1)
+    return per_file.agg(F.sum("n").alias("lines"), F.sum("filled").alias("filled"), F.sum("chars").alias("chars"), F.max("longest").cast("bigint").alias("longest"), F.count_if(gap).alias("gaps"))
+
+
 @R.add("a1_document_lines", f"WITH {DOC_LINES_SQL} SELECT source, count(*) AS lines, count(*) FILTER (trim(line) <> '') AS filled, max(length(line))::BIGINT AS longest FROM doc_lines GROUP BY 1")
 def a1(spark, d):
     return doc_lines(spark, d).groupBy("source").agg(

@@ -164,8 +164,8 @@ SUSPICIOUS = [
     r"""(?i)('|"|%27|%22)\s*(OR|AND)\s*('|"|%27|%22)""", r"(?i)\bUNION\s+(?:ALL\s+)?SELECT\b",
     r"(?i);\s*(DROP|DELETE|INSERT|UPDATE|ALTER|TRUNCATE)\b", r"(?i)EXEC\s*\(", r"(?i)xp_cmdshell",
     r"(?i)<script[^>]*>.*?</script>", r"(?i)javascript:", r"""(?i)on\w+\s*=\s*['"]?[^'">\s]+['"]?""",
-    r"(?i)\.\./|\.\.\\|%2e%2e/|%2e%2e\\", r"(?i)\$ \{.*jndi", r"\$\{.*\}",
-    r"(?i)\$ \(|`|\|\||chmod\s+.*rf|chown\s+.*\s+|rm\s+-rf\b",
+    r"(?i)\.\./|\.\.\\|%2e%2e/|%2e%2e\\", r"(?i)\$\{.*jndi", r"\$\{.*\}",
+    r"(?i)\$\(|`|\|\||chmod\s+.*rf|chown\s+.*\s+|rm\s+-rf\b",
     r"(?i)etc/passwd|etc/shadow|proc/self/environ|boot\.ini|win\.ini",
     r"(?i)169\.254\.169\.254/latest/meta-data|metadata\.google\.internal",
     r"""(?i)password\s*=\s*['"][^'"]+['"]|passwd\s*=\s*['"][^'"]+['"]""",
