@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracehound.session import shared_path
+
 #: Characters between words, as a Java, RE2 and Python character class.
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
@@ -46,12 +46,8 @@ def seeded(seed: int, *parts: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared checkpoint folder. Only a session without one (as in tests) gets a folder of its own."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    """A new folder for intermediate data below the cluster's shared checkpoint folder (the warehouse, where none is set)."""
+    return shared_path(spark, "llm")
 
 
 def written(df: DataFrame, folder: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracehound.llm.common import let, lower_ascii, table, total
+from tracehound.llm.common import let, lower_ascii, shared_folder, table, total, written
 
 #: Rules of the registered query: host, path, verdict.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -41,6 +41,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     """
     doc = F.struct(*[pages[f"`{c}`"] for c in pages.columns]) if keep is None else keep
     urls = pages.select(F.monotonically_increasing_id().alias("row"), doc.alias("doc"), host_of(pages[url_col]).alias("host"), path_of(pages[url_col]).alias("path"))
+    urls = written(urls, shared_folder(pages.sparkSession), "urls")  # row numbers must be the same wherever they are read
     r = rules.select(lower_ascii(F.coalesce("host", F.lit(""))).alias("host"), F.coalesce("path", F.lit("")).alias("path"), F.coalesce("verdict", F.lit("block")).alias("verdict"))
     r = r.where("host != ''").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     labels = total(r, F.max(F.size(F.split("host", r"\."))))[0] or 0
