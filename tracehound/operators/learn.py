@@ -229,7 +229,7 @@ def fit_baseline(e: DataFrame, contamination: float = 0.05, least: int = 20) ->
 
 
 def batch_features(e: DataFrame, keys: list[str]) -> DataFrame:
-    """One row of aggregate features per batch (group of ``keys``), in one aggregation plus the burstiness."""
+    """One row of aggregate features per batch (group of ``keys``): one aggregation, the burstiness, and the successes after the batch's first failure."""
     text = F.lower(F.coalesce("message", F.lit("")))
     has = lambda *w: text.rlike("|".join(w))
     fail = has("fail", "error", "denied", "refused")
@@ -241,16 +241,24 @@ def batch_features(e: DataFrame, keys: list[str]) -> DataFrame:
         F.count_if(fail & has("invalid", "unknown")).alias("_invalid"), F.count_if(has("error", "failed")).alias("_error"), F.count_if(has("mfa", "2fa")).alias("_mfa"),
         F.count_if(odd).alias("suspiciousPatternCount"), F.count_if(off_hours(F.col("ts"))).alias("_off"), F.countDistinct("source.ip").alias("uniqueSourceIps"),
         F.countDistinct("user.name").alias("uniqueTargetUsers"), F.countDistinct("destination.hostname").alias("uniqueTargetHosts"), F.countDistinct("source.port").alias("uniquePorts"),
+        F.count_if(F.coalesce(F.array_contains("tags", "privilege_escalation") | F.col("action").isin("sudo", "su"), F.lit(False))).alias("_privileged"),
         ((F.max(micros()) - F.min(micros())) / MINUTE).alias("_span"),
     )
     b = burstiness(e, keys).drop("events")
+    timed = e.where("ts IS NOT NULL AND outcome IN ('failure', 'success')").select(*keys, "outcome", micros().alias("us"))
+    first = timed.where("outcome = 'failure'").groupBy(*keys).agg(F.min("us").alias("first"))
+    after = timed.where("outcome = 'success'").join(first, keys).where("us > first").groupBy(*keys).agg(F.count("*").alias("_after"))
+    g = g.join(after, keys, "left")
     n, span = F.col("eventCount"), F.col("_span")
     return g.join(b, keys).withColumns({
         "failureRate": F.col("_fail") / n, "invalidUserRatio": F.coalesce(F.try_divide("_invalid", "_fail"), F.lit(0.0)), "errorCodeRatio": F.col("_error") / n,
         "mfaFailureRate": F.col("_mfa") / n, "offHoursActivity": F.col("_off") / n, "smeansz": F.col("sbytes") / n, "dmeansz": F.col("dbytes") / n, "res_bdy_len": F.col("sbytes") * 0.1,
         "eventsPerMinute": F.when(span > 0, n / span).otherwise(n.cast("double")), "actionVelocity": n / F.greatest(span / 60, F.lit(1.0)),
         "targetUserEntropy": F.log2(F.greatest("uniqueTargetUsers", F.lit(1)).cast("double")),
-    }).drop("_fail", "_invalid", "_error", "_mfa", "_off", "_span")
+        "sourceIpEntropy": F.log2(F.greatest("uniqueSourceIps", F.lit(1)).cast("double")), "privilegedUserRatio": F.col("_privileged") / n, "successAfterFailure": F.coalesce("_after", F.lit(0)),
+        "ct_srv_src": F.least(F.col("uniqueSourceIps") * 0.5, F.lit(100.0)), "ct_srv_dst": F.least(F.col("uniqueTargetHosts") * 0.5, F.lit(100.0)),
+        "ct_src_dport_ltm": F.least(F.col("uniquePorts").cast("double"), F.lit(100.0)), "ct_dst_src_ltm": F.least(F.col("uniqueSourceIps") * F.col("uniqueTargetHosts") / 10, F.lit(100.0)),
+    }).drop("_fail", "_invalid", "_error", "_mfa", "_off", "_span", "_privileged", "_after")
 
 
 def false_positive(attack_type: Column) -> Column:

@@ -124,6 +124,8 @@ def _batch_sql() -> str:
         "failureRate": f"fail / {n}", "invalidUserRatio": "CASE WHEN fail > 0 THEN invalid / fail ELSE 0 END", "errorCodeRatio": f"error / {n}", "mfaFailureRate": f"mfa / {n}", "offHoursActivity": f"off / {n}",
         "smeansz": f"sbytes / {n}", "dmeansz": "0.0::DOUBLE", "dbytes": "0.0::DOUBLE", "res_bdy_len": "sbytes * 0.1::DOUBLE", "eventsPerMinute": f"CASE WHEN span > 0 THEN {n} / span ELSE {n} END",
         "actionVelocity": f"{n} / greatest(span / 60, 1.0::DOUBLE)", "targetUserEntropy": "log2(greatest(uniqueTargetUsers, 1.0::DOUBLE))",
+        "sourceIpEntropy": "log2(greatest(uniqueSourceIps, 1.0::DOUBLE))", "privilegedUserRatio": f"privileged / {n}", "successAfterFailure": "after", "ct_srv_src": "least(uniqueSourceIps * 0.5::DOUBLE, 100.0::DOUBLE)",
+        "ct_srv_dst": "least(uniqueTargetHosts * 0.5::DOUBLE, 100.0::DOUBLE)", "ct_src_dport_ltm": "least(uniquePorts, 100.0::DOUBLE)", "ct_dst_src_ltm": "least(uniqueSourceIps * uniqueTargetHosts / 10, 100.0::DOUBLE)",
     }
     unit = lambda k: f"least(greatest(({k} - {FEATURE_RANGES[k][0]}) / {FEATURE_RANGES[k][1] - FEATURE_RANGES[k][0]}::DOUBLE, 0.0::DOUBLE), 1.0::DOUBLE)"
     options = []
@@ -137,10 +139,11 @@ def _batch_sql() -> str:
     }
     false = f"({n} < 10 OR " + " OR ".join(f"(attack_type = '{k}' AND {c})" for k, c in cond.items()) + " OR (failureRate = 0 AND errorCodeRatio = 0 AND suspiciousPatternCount < 2))"
     return WITH_E + f""",
-b AS (SELECT *, lower(message) AS low, regexp_matches(lower(message), 'fail|error|denied|refused') AS failed, (us - lag(us) OVER (PARTITION BY ip ORDER BY us)) / 1000.0::DOUBLE AS gap FROM entries),
+b AS (SELECT *, lower(message) AS low, regexp_matches(lower(message), 'fail|error|denied|refused') AS failed, (us - lag(us) OVER (PARTITION BY ip ORDER BY us)) / 1000.0::DOUBLE AS gap, min(us) FILTER (outcome = 'failure') OVER (PARTITION BY ip) AS failed_at FROM entries),
 g AS (SELECT ip, count(*)::DOUBLE AS {n}, sum(length(message))::DOUBLE AS sbytes, count(*) FILTER (failed)::DOUBLE AS fail, count(*) FILTER (failed AND regexp_matches(low, 'invalid|unknown'))::DOUBLE AS invalid,
  count(*) FILTER (regexp_matches(low, 'error|failed'))::DOUBLE AS error, count(*) FILTER (regexp_matches(low, 'mfa|2fa'))::DOUBLE AS mfa, count(*) FILTER (regexp_matches(message, {_ODD}))::DOUBLE AS suspiciousPatternCount,
  count(*) FILTER (hour(ts) < 6 OR hour(ts) > 22)::DOUBLE AS off, 1.0::DOUBLE AS uniqueSourceIps, count(DISTINCT usr)::DOUBLE AS uniqueTargetUsers, count(DISTINCT dst_host)::DOUBLE AS uniqueTargetHosts, count(DISTINCT port)::DOUBLE AS uniquePorts,
+ count(*) FILTER (action IN ('sudo', 'su'))::DOUBLE AS privileged, count(*) FILTER (outcome = 'success' AND us > failed_at)::DOUBLE AS after,
  (max(us) - min(us)) / 60000000.0::DOUBLE AS span, CASE WHEN count(*) > 5 THEN least(stddev_pop(gap) / avg(gap), 2.0)::DOUBLE ELSE 0.0 END AS burstiness FROM b GROUP BY ip),
 ft AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in features.items())} FROM g),
 o AS ({' UNION ALL '.join(options)})
