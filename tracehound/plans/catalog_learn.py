@@ -258,11 +258,10 @@ _H6 = 6 * 3600 * 1_000_000
 
 @R.add("s4_success_after_failures", WITH_E + f""",
 f AS (SELECT usr, us FROM entries WHERE outcome = 'failure' AND is_auth), s AS (SELECT id, usr, us FROM entries WHERE outcome = 'success' AND is_auth)
-SELECT s.id, s.usr AS user, count(*) AS failures FROM s JOIN f ON s.usr = f.usr AND f.us < s.us AND f.us >= s.us - {_DAY} WHERE s.us < (SELECT max(us) FROM entries) - {3 * _DAY} GROUP BY ALL HAVING count(*) >= 2""")
+SELECT s.id, s.usr AS user, count(*) AS failures FROM s JOIN f ON s.usr = f.usr AND f.us < s.us AND f.us >= s.us - {_DAY} GROUP BY ALL HAVING count(*) >= 2""")
 def s4(spark, d):
-    out = st.run_available(st.success_after_failures(stream_entries(spark, d), 2, 24 * 60, "1 day"), name="s4")
-    last = entries(spark, d).agg((F.max(us()) - 3 * _DAY).alias("v")).scalar()
-    return out.where(us("ts") < last).select("id", "user", "failures")
+    out = st.run_available(st.success_after_failures(stream_entries(spark, d), 2, 24 * 60, "1 day"), "update", "s4")
+    return st.newest(out, ["id", "user"], "failures")
 
 
 @R.add("s5_live_stats", WITH_E + "SELECT us // 60000000 * 60000000 AS minute_us, log_type, outcome, count(*) AS n FROM entries GROUP BY 1, 2, 3")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,21 +46,54 @@ def window_alerts(
     return g.select("ip", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), F.inline(kinds))
 
 
+def _counts(width: int, n: int, keep: int):
+    """Per (user, slice): how many failures of the window each success has behind it, told anew whenever that grows."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        fails, ids, wins, told = (list(x) for x in state.get) if state.exists else ([], [], [], [])
+        for pdf in frames:
+            bad = pdf["failed"].to_numpy(bool)
+            fails += pdf.loc[bad, "us"].tolist()
+            ids += pdf.loc[~bad, "id"].tolist()
+            wins += pdf.loc[~bad, "us"].tolist()
+            told += [0] * int((~bad).sum())
+        fails.sort()
+        times, at = np.array(fails, np.int64), np.array(wins, np.int64)
+        counts = np.searchsorted(times, at, "left") - np.searchsorted(times, at - width, "left")
+        grown = np.flatnonzero((counts >= n) & (counts > np.array(told, np.int64)))
+        for i in grown:
+            told[i] = int(counts[i])
+        state.update((fails, ids, wins, told))
+        end = (int(key[1]) + 1) * width // 1000 + keep
+        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"user": [key[0]] * len(grown), "id": [ids[i] for i in grown], "us": at[grown], "failures": counts[grown]})
+
+    return run
+
+
 def success_after_failures(entries: DataFrame, n: int = 3, minutes: float = 10, delay: str = "10 minutes") -> DataFrame:
-    """Each success with ``n`` failures or more of the same user in the ``minutes`` before it, across batches.
+    """Each success with ``n`` failures or more of the same user in the ``minutes`` before it, across batches: (user, id, us, failures).
 
-    Success and failures meet in a time-bounded stream join on (user, time slice), so the state of a busy
-    user is spread over slices and dropped by the watermark; the counts follow as a second stateful step.
+    For update mode: a success is told again when failures that came late raise its count, so the row with the highest
+    count is the newest. State is kept by (user, time slice) until the watermark has passed the slice; a failure is also
+    kept in the next slice, so a busy user is spread, counts are two searches in sorted times, and no pairs are formed.
     """
     width = int(minutes * MINUTE)
-    auth = entries.where(F.col("user.name").isNotNull() & is_auth_event()).select("id", F.col("user.name").alias("user"), "outcome", "ts")
-    wins = auth.where("outcome = 'success'").select("id", "user", "ts", F.floor(micros() / width).alias("slice")).withWatermark("ts", delay)
-    fails = auth.where("outcome = 'failure'").select(
-        F.col("user").alias("f_user"), F.col("ts").alias("f_ts"), F.explode(F.array(F.floor(micros() / width), F.floor(micros() / width) + 1)).alias("f_slice"),
-    ).withWatermark("f_ts", delay)
-    seconds = int(minutes * 60)
-    near = wins.join(fails, F.expr(f"user = f_user AND slice = f_slice AND f_ts < ts AND f_ts >= ts - INTERVAL {seconds} SECONDS"))
-    return near.groupBy("id", "user", "ts").agg(F.count("*").alias("failures")).where(F.col("failures") >= n)
+    auth = entries.where(F.col("user.name").isNotNull() & is_auth_event() & F.col("outcome").isin("failure", "success") & F.col("ts").isNotNull()).withWatermark("ts", delay)
+    failed, home = F.col("outcome") == "failure", F.floor(micros() / width)
+    rows = auth.select(F.col("user.name").alias("user"), F.explode(F.when(failed, F.array(home, home + 1)).otherwise(F.array(home))).alias("slice"), "id", micros().alias("us"), failed.alias("failed"), "ts")
+    return rows.groupBy("user", "slice").applyInPandasWithState(
+        _counts(width, n, width // 1000), "user STRING, id STRING, us BIGINT, failures BIGINT",
+        "fails ARRAY<BIGINT>, ids ARRAY<STRING>, wins ARRAY<BIGINT>, told ARRAY<BIGINT>", "update", "EventTimeTimeout",
+    )
+
+
+def newest(out: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The highest, and so the newest, value of each key in what an update stream has told."""
+    return out.groupBy(*keys).agg(F.max(value).alias(value))
 
 
 def live_stats(entries: DataFrame, delay: str = "10 minutes") -> DataFrame:
