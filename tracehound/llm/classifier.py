@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracehound.llm.common import arrow_map, table
+from tracehound.llm.common import arrow_map, sampled, table
 
 #: Labelled rows at most that a fit sees, half of each label where there are enough, taken by the hash of their id; a fit runs on the driver.
 FIT_ROWS = 4_000
@@ -152,7 +152,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, learn: Column, id_col: s
     ids = labels.where(learn & labels[label_col].isin(0, 1)).select(labels[id_col].alias("_id"), labels[label_col].alias("_y"))
     chosen = None
     for y in (0, 1):
-        part = ids.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(rows // 2)
+        part = sampled(ids.where(F.col("_y") == y), "_id", rows // 2)
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select(docs[id_col].alias("_doc"), docs[text_col].alias("_text"))
     found = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).orderBy("_id", "_text", "_y").limit(2 * rows).toPandas()

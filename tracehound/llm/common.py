@@ -62,6 +62,31 @@ def total(df: DataFrame, *columns: Column) -> tuple:
     return tuple(df.agg(*columns).first())
 
 
+def commonest(counts: DataFrame, most: int) -> DataFrame:
+    """Rows with the highest `c` (1 or more), `most` at most: whole steps of an eighth of a doubling, as many as fit.
+
+    No task sees the top of every other task; the driver gets the sizes of the steps, a few hundred at most.
+    """
+    step = F.floor(F.log2(F.col("c").cast("double")) * 8)
+    sizes = {r[0]: r[1] for r in counts.groupBy(step.alias("step")).count().collect()}
+    lowest, held = None, 0
+    for k in sorted(sizes, reverse=True):
+        held += sizes[k]
+        if held > most:
+            break
+        lowest = k
+    return counts.where(F.lit(False)) if lowest is None else counts.where(step >= lowest)
+
+
+def sampled(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """The `most` rows with the smallest hashes of their key. Rows are thinned by hash first, so that the task that orders them gets few more than it keeps."""
+    n = rows.count()
+    if n > 2 * most:
+        unit = F.xxhash64(key) / F.lit(2.0**64) + 0.5
+        rows = rows.where(unit < (most + 10 * most**0.5) / n)
+    return rows.orderBy(F.xxhash64(key), key).limit(most)
+
+
 def partitions(spark: SparkSession) -> int:
     """Number of shuffle partitions the session sets."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracehound.llm.common import shared_folder, table, total, written
+from tracehound.llm.common import sampled, shared_folder, table, written
 from tracehound.llm.components import components
 
 COSINE = 0.9
@@ -130,7 +130,7 @@ def near_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     found = None
     for length, count in sorted((r[0], r[1]) for r in classes.groupBy(F.size("v")).count().collect()):  # a row per vector length
         of_length = classes.where(F.size("v") == length)
-        chosen = of_length.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toPandas()["v"]
+        chosen = sampled(of_length, "id", sample).select("v").toPandas()["v"]
         centres = spherical_kmeans(units(chosen), max(1, min(MAX_CELLS, len(chosen), ceil(sqrt(count) / 4))))
         cells = of_length.mapInPandas(dealt(centres, cosine), "cell int, home int, id long, n long, v array<double>, visits binary")
         cells = written(cells, folder, f"cells{length}")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracehound.llm.common import batches, shared_folder, table, total, written
+from tracehound.llm.common import batches, commonest, shared_folder, table, total, written
 from tracehound.llm.shingles import word_hashes
 
 #: Symbols the model tells apart: the most frequent words, the end, and the classes of all other words.
@@ -19,7 +19,7 @@ CONTEXT = 5
 NOISE = 64
 BATCH = 2048
 RATE = 0.15
-#: Words whose counts go out to all tasks (16 bytes each); the counts of all other words are joined by shuffle.
+#: Words at most whose counts go out to all tasks (16 bytes each); the counts of all other words are joined by shuffle.
 FREQUENT = 1 << 19
 END = np.int64(-7046029254386353131)
 #: Ways in which a word can end, and whether it has a character beyond ASCII: the classes of words that are no symbol.
@@ -271,7 +271,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     counts = training.select("text").mapInPandas(counted, "h long, cls int, c long").groupBy("h").agg(F.sum("c").alias("c"), F.min("cls").alias("cls"))
     counts = written(counts, folder, "counts")
     n, v = (x or 0 for x in total(counts, F.sum("c"), F.count("*")))
-    top = counts.orderBy(F.desc("c"), "h").limit(frequent).toPandas().astype({"h": np.int64, "c": np.int64, "cls": np.int64})
+    top = commonest(counts, frequent).select("h", "c", "cls").toPandas().astype({"h": np.int64, "c": np.int64, "cls": np.int64})
     by_class = counts.where("cls >= 0").groupBy("cls").agg(F.sum("c").alias("n"), F.count("*").alias("v")).toPandas().set_index("cls").reindex(range(CLASSES), fill_value=0)
     model = first_model(top, by_class["n"].to_numpy(np.float64), symbols)
     named = top[top["h"].isin(model.names) & (top["cls"] >= 0)].groupby("cls")["c"].agg(["sum", "count"]).reindex(range(CLASSES), fill_value=0)

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracehound.llm.common import batches, partitions, shared_folder, table, total, written
+from tracehound.llm.common import batches, commonest, partitions, shared_folder, table, total, written
 from tracehound.llm.components import components
 from tracehound.llm.shingles import U, mix, shingle_sets
 
@@ -119,7 +119,8 @@ def repeated(size: int):
 def common_shingles(texts: DataFrame, size: int) -> np.ndarray:
     """The shingles in most sets, COMMON at most. Which ones they are matters for speed only, so counts may be low."""
     counts = texts.select("text").mapInPandas(repeated(size), "s long, c long").groupBy("s").agg(F.sum("c").alias("c"))
-    top = counts.where(F.col("c") >= COMMON_LEAST).orderBy(F.desc("c"), "s").limit(COMMON).select("s").toPandas()["s"]
+    counts = written(counts.where(F.col("c") >= COMMON_LEAST), shared_folder(texts.sparkSession), "common")
+    top = commonest(counts, COMMON).select("s").toPandas()["s"]
     return np.sort(top.to_numpy(np.int64).view(U))
 
 
