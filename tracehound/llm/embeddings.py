@@ -55,14 +55,15 @@ def dealt(centres: np.ndarray, cosine: float):
         for frame in frames:
             for a in range(0, len(frame), 2048):
                 part = frame.iloc[a : a + 2048]
-                near = units(part["v"]) @ centres.T
+                x = units(part["v"])
+                near = x @ centres.T
                 home = near.argmax(1)
                 row = np.arange(len(part))
                 inside = (near[row, home][:, None] - near) / gap[home] <= reach
                 inside[row, home] = True
                 i, cell = np.nonzero(inside)
                 visits = np.array([np.flatnonzero(m).astype(np.int16).tobytes() for m in inside], object)
-                yield pd.DataFrame({"cell": cell.astype(np.int32), "home": home[i].astype(np.int32), "id": part["id"].to_numpy()[i], "n": part["n"].to_numpy()[i], "v": part["v"].to_numpy()[i], "visits": visits[i]})
+                yield pd.DataFrame({"cell": cell.astype(np.int32), "home": home[i].astype(np.int32), "id": part["id"].to_numpy()[i], "n": part["n"].to_numpy()[i], "x": np.array([r.tobytes() for r in x], object)[i], "visits": visits[i]})
 
     return run
 
@@ -86,7 +87,7 @@ def compared(cosine: float):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         cell, low, high = key
         pdf = pdf.sort_values(["block", "id"], kind="stable").reset_index(drop=True)
-        x, n = units(pdf["v"]), pdf["n"].to_numpy()
+        x, n = np.frombuffer(b"".join(pdf["x"]), np.float64).reshape(len(pdf), -1), pdf["n"].to_numpy()
         home, own = pdf["home"].to_numpy(), pdf["home"].to_numpy() == cell
         first = pdf["block"].to_numpy() == low
         here, there = (first, first) if low == high else (first, ~first)
@@ -131,14 +132,14 @@ def near_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     for length, count in sorted((r[0], r[1]) for r in classes.groupBy(F.size("v")).count().collect()):  # a row per vector length
         of_length = classes.where(F.size("v") == length)
         chosen = sampled(of_length, "id", sample).select("v").toPandas()["v"]
-        centres = spherical_kmeans(units(chosen), max(1, min(MAX_CELLS, len(chosen), ceil(sqrt(count) / 4))))
-        cells = of_length.mapInPandas(dealt(centres, cosine), "cell int, home int, id long, n long, v array<double>, visits binary")
+        centres = spherical_kmeans(units(chosen), max(1, min(MAX_CELLS, len(chosen), ceil(sqrt(count) / 8))))
+        cells = of_length.mapInPandas(dealt(centres, cosine), "cell int, home int, id long, n long, x binary, visits binary")
         cells = written(cells, folder, f"cells{length}")
         blocks = cells.groupBy("cell").count().select(F.col("cell").alias("c"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
         blocks = F.broadcast(blocks)  # at most MAX_CELLS rows
         pairs = cells.join(blocks, F.col("cell") == F.col("c")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
         pairs = pairs.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        pairs = pairs.select("cell", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "home", "id", "n", "v", "visits")
+        pairs = pairs.select("cell", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "home", "id", "n", "x", "visits")
         part = pairs.groupBy("cell", "low", "high").applyInPandas(compared(cosine), "id long, links long, root long")
         found = part if found is None else found.unionByName(part)
     if found is None:
