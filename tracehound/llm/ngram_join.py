@@ -20,6 +20,9 @@ PERCENT = 85
 #: Members of a family compared in one task; larger families are compared by pairs of blocks.
 BLOCK = 1024
 FANOUT = 8
+#: Bits of the bitmaps by which strangers with a signature in common are told apart, and the sets of a signature up to which they are.
+BITS = 1024
+STAR = 256
 #: Common shingles (8 bytes each) at most that go out to all tasks, and the number of sets from which one counts.
 COMMON = 65_536
 COMMON_LEAST = 50
@@ -80,13 +83,20 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(mix(np.add.reduce(mix(s + U(k)), keepdims=True) + U(len(s))).view(np.int64)[0]) for k in (7, 11))
 
 
+def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
+    at = s % U(bits)
+    out = np.zeros(bits // 64, U)
+    np.bitwise_or.at(out, (at >> U(6)).astype(np.intp), U(1) << (at & U(63)))
+    return out
+
+
 def described(size: int):
-    """Id, size and digest of each text's set."""
+    """Id, size, digest and bitmap of each text's set."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches(frames, "text", 2_000_000):
-            rows = [(len(s), *digest(s)) for s in shingle_sets(frame["text"].tolist(), size)]
-            out = pd.DataFrame(rows, columns=["n", "d1", "d2"])
+            rows = [(len(s), *digest(s), bitmap(s, BITS).tobytes()) for s in shingle_sets(frame["text"].tolist(), size)]
+            out = pd.DataFrame(rows, columns=["n", "d1", "d2", "map"])
             out.insert(0, "id", frame["id"].array)
             yield out
 
@@ -150,8 +160,7 @@ class Tree:
         n, words = len(sets), bits // 64
         maps = np.zeros((n, words), U)
         for i, s in enumerate(sets):
-            at = s % U(bits)
-            np.bitwise_or.at(maps[i], (at >> U(6)).astype(np.intp), U(1) << (at & U(63)))
+            maps[i] = bitmap(s, bits)
         size = np.array([len(s) for s in sets])
         over = size - np.bitwise_count(maps).sum(1).astype(np.int64)
         self.levels = [(maps, size, size, over)]
@@ -274,6 +283,58 @@ def joined(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> np.
     return forest.names()
 
 
+def plausible(percent: int):
+    """Rows (mark, d1, n, map) in order of mark: edges (a, b) that connect all sets of a signature that their bitmaps allow to be linked.
+
+    A signature of more than STAR sets stands for a large group of copies; all its sets are connected as they are.
+    """
+
+    def edges(pdf: pd.DataFrame) -> pd.DataFrame:
+        d, n = pdf["d1"].to_numpy(), pdf["n"].to_numpy()
+        maps = np.frombuffer(b"".join(pdf["map"]), U).reshape(len(pdf), -1)
+        node = (maps, n, n, n - np.bitwise_count(maps).sum(1).astype(np.int64))
+        first = np.flatnonzero(np.diff(pdf["mark"].to_numpy(), prepend=~pdf["mark"].iloc[0]))
+        count = np.diff(first, append=len(pdf))
+        a, b = [], []
+        i = first[count == 2]
+        ok = may_link(node, i, node, i + 1, percent)
+        a.append(d[i[ok]])
+        b.append(d[i[ok] + 1])
+        for start, size in zip(first[count > 2], count[count > 2]):
+            if size > STAR:
+                a.append(d[start : start + size])
+                b.append(np.full(size, d[start]))
+                continue
+            x, y = np.triu_indices(size, 1)
+            ok = may_link(node, start + x, node, start + y, percent)
+            forest = Forest(size)
+            for p, q in zip(x[ok], y[ok]):
+                forest.join(p, q)
+            a.append(d[start : start + size])
+            b.append(d[start + forest.names()])
+        out = pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+        return out[out["a"] != out["b"]].drop_duplicates()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for frame in frames:
+            if not len(frame):
+                continue
+            last = frame["mark"].iloc[-1]
+            done = frame["mark"] != last
+            if done.any():
+                yield edges(pd.concat([*held, frame[done]]))
+                held = []
+            elif held and held[-1]["mark"].iloc[-1] != last:
+                yield edges(pd.concat(held))
+                held = []
+            held.append(frame[~done])
+        if held:
+            yield edges(pd.concat(held))
+
+    return run
+
+
 def families_joined(percent: int):
     """Rows (key, side, id, shingles) in order of key: (a, b), each id with another it is connected with by links inside its group."""
 
@@ -331,14 +392,17 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     folder = shared_folder(spark)
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    sets = written(texts.mapInPandas(described(size), "id long, n int, d1 long, d2 long"), folder, "sets")
+    sets = written(texts.mapInPandas(described(size), "id long, n int, d1 long, d2 long, map binary"), folder, "sets")
     classes = written(sets.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")), folder, "classes")
+    maps = sets.where("n > 0").join(classes.select(F.col("d1").alias("_d"), "rep"), (F.col("id") == F.col("rep")) & (F.col("d1") == F.col("_d"))).select("d1", "n", "map")
+    maps = maps.groupBy("d1").agg(F.first("n").alias("n"), F.first("map").alias("map"))
 
     shared = spark.sparkContext.broadcast(common_shingles(texts, size))
     marks = texts.mapInPandas(marked(size, percent, shared), "d1 long, marks array<long>").select("d1", F.explode("marks").alias("mark"))
-    first = F.first("d1").over(Window.partitionBy("mark").orderBy("d1"))
-    agreed = marks.withColumn("first", first).where("d1 != first")
-    family = components(agreed.select(F.col("d1").alias("a"), F.col("first").alias("b")))
+    by_mark = Window.partitionBy("mark")
+    agreed = marks.withColumn("low", F.min("d1").over(by_mark)).withColumn("high", F.max("d1").over(by_mark)).where("low != high").select("mark", "d1").distinct()
+    agreed = agreed.join(maps, "d1").select("mark", "d1", "n", "map").repartition(partitions(spark), "mark").sortWithinPartitions("mark", "d1")
+    family = components(agreed.mapInPandas(plausible(percent), "a long, b long"))
     members = written(classes.join(family, F.col("d1") == F.col("node")).select("rep", "d1", F.col("component").alias("family")), folder, "members")
     blocks = members.groupBy("family").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("family").alias("f"), F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(blocks, F.col("family") == F.col("f")).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
