@@ -1,4 +1,4 @@
-"""Language-model scoring: a log-bilinear model trained by noise-contrastive estimation, and a smoothed unigram base."""
+"""Language-model scoring: a log-bilinear model over a tree of words, and a smoothed unigram base."""
 
 from __future__ import annotations
 
@@ -12,15 +12,18 @@ from pyspark.sql import functions as F
 from tracehound.llm.common import batches, commonest, shared_folder, table, total, written
 from tracehound.llm.shingles import word_hashes
 
-#: Symbols the model tells apart: the most frequent words, the end, and the classes of all other words.
-SYMBOLS = 256
+#: Training count from which on a word is a symbol of the model; the vocabulary has no other bound.
+LEAST = 10
 DIMS = 16
 CONTEXT = 5
-NOISE = 64
 BATCH = 2048
 RATE = 0.15
-#: Words at most whose counts go out to all tasks (16 bytes each); the counts of all other words are joined by shuffle.
+#: What the squared gradients of a row start from; a row that few tokens touch still moves.
+FIRST = 1e-6
+#: Words whose counts go out to all tasks beside those of the model (16 bytes each); the counts of all other words are joined by shuffle.
 FREQUENT = 1 << 19
+#: Rows of the parameters that travel together.
+BLOCK = 1024
 END = np.int64(-7046029254386353131)
 #: Ways in which a word can end, and whether it has a character beyond ASCII: the classes of words that are no symbol.
 CLASSES = 12
@@ -79,34 +82,78 @@ def counted(frames):
         yield pd.DataFrame(dict(zip(("h", "cls", "c"), merged())))
 
 
+def tree(share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Huffman's tree over symbols: 2 * parent + side of each symbol, then of each inner node (-1 at the root, the last one); log-odds of the sides."""
+    v = len(share)
+    order = np.argsort(share, kind="stable")
+    leaves, made = share[order].tolist() + [np.inf], []
+    order = order.tolist()
+    up, odds = np.full(2 * v - 1, -1, np.int64), np.zeros(max(v - 1, 1))
+    i = j = 0
+    for k in range(v - 1):
+        w = []
+        for side in (0, 1):
+            if j < len(made) and made[j] < leaves[i]:
+                up[v + j], j = 2 * k + side, j + 1
+                w.append(made[j - 1])
+            else:
+                up[order[i]], i = 2 * k + side, i + 1
+                w.append(leaves[i - 1])
+        made.append(w[0] + w[1])
+        odds[k] = np.log(w[1] / w[0])
+    return up, odds
+
+
+def paths(up: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inner nodes above every symbol with the side (1 or -1) taken there, as one run each, and where the runs start."""
+    v = (len(up) + 1) // 2
+    levels, at, who = [], up[:v], np.arange(v)
+    while len(who):
+        levels.append((who, at))
+        above = up[v + at // 2]
+        who, at = who[above >= 0], above[above >= 0]
+    first = np.zeros(v + 1, np.int64)
+    for who, _ in levels:
+        first[who + 1] += 1
+    first = np.cumsum(first)
+    nodes, sides = np.empty(first[-1], np.int32), np.empty(first[-1], np.int8)
+    for depth, (who, at) in enumerate(levels):
+        nodes[first[who] + depth], sides[first[who] + depth] = at // 2, 2 * (at % 2) - 1
+    return first, nodes, sides
+
+
 @dataclass
 class Model:
-    """Symbols with their hashes, and the parameters: input vectors, output vectors, biases, one weight vector per context place."""
+    """Symbols, the commonest first, with their hashes in order, the symbol of each hash, and unigram shares (which shape the tree), the tree, and the parameters: input vectors of symbols, output vectors and biases of inner nodes, one weight vector per context place."""
 
     names: np.ndarray
+    which: np.ndarray
     noise: np.ndarray
+    up: np.ndarray
     params: dict[str, np.ndarray]
 
     def symbols(self, h: np.ndarray, cls: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.names, h), len(self.names) - 1)
-        return np.where(self.names[at] == h, at, len(self.names) + cls)
+        return np.where(self.names.take(at) == h, self.which.take(at), len(self.names) + cls)
 
 
 def first_model(frequent: pd.DataFrame, class_counts: np.ndarray, symbols: int, seed: int = 3) -> Model:
-    """Biases at the log of the unigram share, small vectors from a seed."""
+    """Biases that give every symbol its unigram share, small vectors from a seed."""
     top = frequent[frequent["h"] != END].nlargest(symbols - CLASSES - 1, "c") if len(frequent) else frequent
     end = frequent.loc[frequent["h"] == END, "c"].sum() if len(frequent) else 0
     names = np.append(top["h"].to_numpy(np.int64), END)
     counts = np.append(top["c"].to_numpy(np.float64), end)
     order = np.argsort(names)
+    which = order.astype(np.int32)
     rest = class_counts - np.bincount(top["cls"].to_numpy(np.int64), weights=top["c"].to_numpy(np.float64), minlength=CLASSES) if len(top) else class_counts
-    share = np.concatenate([counts[order], rest]) + 1.0
+    share = np.concatenate([counts, rest]) + 1.0
     share /= share.sum()
+    up, odds = tree(share)
     rng = np.random.default_rng(seed)
     v = len(share)
-    return Model(names[order], share, {
-        "inputs": rng.normal(0, 0.3, (v, DIMS)).astype(np.float32), "outputs": rng.normal(0, 0.02, (v, DIMS)).astype(np.float32),
-        "places": np.full((CONTEXT, DIMS), 0.5, np.float32), "biases": np.log(share).astype(np.float32)[:, None],
+    return Model(names[order], which, share.astype(np.float32), up.astype(np.int32) if 2 * v < 1 << 31 else up, {
+        "inputs": rng.standard_normal((v, DIMS), np.float32) * np.float32(0.3), "outputs": rng.standard_normal((v - 1, DIMS), np.float32) * np.float32(0.02),
+        "places": np.full((CONTEXT, DIMS), 0.5, np.float32), "biases": odds.astype(np.float32)[:, None],
     })
 
 
@@ -117,121 +164,162 @@ def contexts(s: np.ndarray, ends: np.ndarray, end_symbol: int) -> np.ndarray:
     return np.where(at >= begin[:, None], s[np.maximum(at, 0)], end_symbol)
 
 
+def steps_down(runs: tuple, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The nodes above some symbols, one symbol after the other, the sides taken, the number of nodes of each and where they start."""
+    first, nodes, sides = runs
+    begin = first.take(s)
+    n = first.take(s + 1) - begin
+    start = np.cumsum(n) - n
+    at = np.repeat(begin - start, n) + np.arange(n.sum())
+    return nodes.take(at), sides.take(at).astype(np.float32), n, start
+
+
 class Trainer:
-    """Noise-contrastive estimation by AdaGrad over the tokens of a task, a batch with shared noise at a time."""
+    """The exact gradient of the log-probabilities, by AdaGrad with a rate per row, over the tokens of a task, a batch at a time."""
 
     def __init__(self, model: Model, seed: int) -> None:
-        self.m, self.p = model, {k: x.copy() for k, x in model.params.items()}
-        self.g = {k: np.full_like(x, 1e-2) for k, x in self.p.items()}
-        self.rng = np.random.default_rng(seed)
-        self.edges = np.cumsum(model.noise)
-        self.log_noise = (np.log(NOISE) + np.log(model.noise)).astype(np.float32)
-
-    def update(self, name: str, rows: np.ndarray, grads: np.ndarray) -> None:
-        order = np.argsort(rows, kind="stable")
-        r = rows[order]
+        self.m, self.p, self.runs = model, {k: x.copy() for k, x in model.params.items()}, paths(model.up)
+        self.g = {k: np.full((len(x), 1), FIRST, np.float32) for k, x in self.p.items()}
+        self.n = {k: np.zeros(len(x), np.float32) for k, x in self.p.items()}
+
+    def update(self, rows: np.ndarray, **grads: np.ndarray) -> None:
+        key = np.sort((rows.astype(np.int64) << 24) | np.arange(len(rows)))
+        r, order = key >> 24, key & 0xFFFFFF
         first = np.flatnonzero(np.diff(r, prepend=-1))
-        g, at = np.add.reduceat(grads[order], first), r[first]
-        self.g[name][at] += g * g
-        self.p[name][at] += RATE * g / np.sqrt(self.g[name][at])
+        at, n = r[first], np.diff(first, append=len(r))
+        for name, x in grads.items():
+            g = np.add.reduceat(x.take(order, 0), first)
+            seen = self.g[name].take(at, 0) + np.einsum("ij,ij->i", g, g)[:, None] / np.float32(g.shape[1])
+            self.g[name][at] = seen
+            g *= np.float32(RATE) / np.sqrt(seen)
+            g += self.p[name].take(at, 0)
+            self.p[name][at] = g
+            self.n[name][at] += n
 
     def step(self, target: np.ndarray, context: np.ndarray) -> None:
         p = self.p
-        vectors = p["inputs"][context]
-        guess = (vectors * p["places"]).sum(1)
-        noise = np.searchsorted(self.edges, self.rng.random(NOISE) * self.edges[-1])
-        noise = np.minimum(noise, len(self.edges) - 1)
-        s_true = (guess * p["outputs"][target]).sum(1) + p["biases"][target, 0] - self.log_noise[target]
-        s_noise = guess @ p["outputs"][noise].T + p["biases"][noise, 0] - self.log_noise[noise]
-        up = (1 / (1 + np.exp(np.clip(s_true, -30, 30)))).astype(np.float32)[:, None] / len(target)
-        down = (-1 / (1 + np.exp(np.clip(-s_noise, -30, 30)))).astype(np.float32) / len(target)
-        back = up * p["outputs"][target] + down @ p["outputs"][noise]
-        self.update("outputs", np.concatenate([target, noise]), np.concatenate([up * guess, down.T @ guess]))
-        self.update("biases", np.concatenate([target, noise]), np.concatenate([up, down.sum(0)[:, None]]))
-        spread = back[:, None, :] * p["places"]
-        places = (back[:, None, :] * vectors).sum(0)
-        self.update("inputs", context.ravel(), spread.reshape(-1, DIMS))
-        self.g["places"] += places * places
+        vectors = p["inputs"].take(context, 0)
+        guess = np.einsum("bkd,kd->bd", vectors, p["places"])
+        nodes, sides, n, start = steps_down(self.runs, target)
+        out, wide = p["outputs"].take(nodes, 0), np.repeat(guess, n, axis=0)
+        x = (np.einsum("ij,ij->i", wide, out) + p["biases"].take(nodes)) * sides
+        pull = (sides / (1 + np.exp(np.clip(x, -30, 30))) / np.float32(len(target)))[:, None]
+        out *= pull
+        wide *= pull
+        back = np.add.reduceat(out, start)
+        self.update(nodes, outputs=wide, biases=pull)
+        places = np.einsum("bd,bkd->kd", back, vectors)
+        self.update(context.ravel(), inputs=(back[:, None, :] * p["places"]).reshape(-1, DIMS))
+        self.g["places"] += (places * places).mean(1, keepdims=True)
         p["places"] += RATE * places / np.sqrt(self.g["places"])
+        self.n["places"] += len(target)
+
+
+#: A row of the parameters on its way: place in its block, tokens that moved it, how far (vector and bias).
+MOVED = np.dtype([("at", "<u2"), ("n", "<f4"), ("by", "<f2", DIMS + 1)])
+MEAN = np.dtype([("at", "<u2"), ("by", "<f2", DIMS + 1)])
 
 
 def trained_in_task(shared):
-    """The parameters after the texts of a task, as rows (idx, n, w0...) with the number of its tokens."""
+    """How far the texts of a task move the parameters, as rows (block, moved); rows that no token touches stay where they are."""
 
     def run(frames):
-        model = shared.value
-        trainer, seen = Trainer(model, 11), 0
+        model, trainer = shared.value, None
         end = int(model.symbols(np.array([END]), np.array([0]))[0])
         for frame in batches(frames, "text", 2_000_000):
+            trainer = trainer or Trainer(model, 11)
             h, cls, ends = tokens(frame["text"].tolist())
-            s = model.symbols(h, cls)
+            unique, first, where = np.unique(h, return_index=True, return_inverse=True)
+            s = model.symbols(unique, cls[first])[where]
             c = contexts(s, ends, end)
             order = np.random.default_rng(len(s)).permutation(len(s))
             for a in range(0, len(s), BATCH):
                 part = order[a : a + BATCH]
                 trainer.step(s[part], c[part])
-            seen += len(s)
-        if seen:
-            rows = flat(trainer.p)
-            yield pd.DataFrame(np.column_stack([np.arange(len(rows)), np.full(len(rows), seen), rows]), columns=["idx", "n"] + [f"w{i}" for i in range(DIMS)]).astype({"idx": int, "n": int})
+        if trainer:
+            base = 0
+            for name in ("inputs", "outputs", "places"):
+                rows = np.flatnonzero(trainer.n[name])
+                cuts = np.flatnonzero(np.diff((base + rows) // BLOCK, prepend=-1))
+                for part in np.split(rows, cuts[1:]):
+                    if len(part):
+                        moved = np.zeros(len(part), MOVED)
+                        moved["at"], moved["n"] = (base + part) % BLOCK, trainer.n[name][part]
+                        moved["by"][:, :DIMS] = trainer.p[name][part] - model.params[name][part]
+                        if name == "outputs":
+                            moved["by"][:, DIMS] = trainer.p["biases"][part, 0] - model.params["biases"][part, 0]
+                        yield pd.DataFrame({"block": [int(base + part[0]) // BLOCK], "moved": [moved.tobytes()]})
+                base += len(trainer.n[name])
 
     return run
 
 
-def flat(params: dict[str, np.ndarray]) -> np.ndarray:
-    biases = params["biases"][:, 0]
-    return np.vstack([params["inputs"], params["outputs"], params["places"], np.pad(biases, (0, -len(biases) % DIMS)).reshape(-1, DIMS)])
+def averaged(frames):
+    """The mean move of every row, weighted by the tokens that moved it in each task; rows come in order of block, a block at a time is held."""
+    block, n, by = None, None, None
 
+    def mean():
+        at = np.flatnonzero(n)
+        out = np.zeros(len(at), MEAN)
+        out["at"], out["by"] = at, by[at] / n[at, None]
+        return pd.DataFrame({"block": [block], "moved": [out.tobytes()]})
 
-def unflat(rows: np.ndarray, v: int) -> dict[str, np.ndarray]:
-    rows = rows.astype(np.float32)
-    return {"inputs": rows[:v], "outputs": rows[v : 2 * v], "places": rows[2 * v : 2 * v + CONTEXT], "biases": rows[2 * v + CONTEXT :].reshape(-1)[:v, None]}
+    for frame in frames:
+        for k, raw in zip(frame["block"].tolist(), frame["moved"]):
+            if k != block:
+                if block is not None:
+                    yield mean()
+                block, n, by = k, np.zeros(BLOCK), np.zeros((BLOCK, DIMS + 1))
+            moved = np.frombuffer(raw, MOVED)
+            n[moved["at"]] += moved["n"]
+            by[moved["at"]] += moved["n"][:, None] * moved["by"].astype(np.float64)
+    if block is not None:
+        yield mean()
 
 
 def train(model: Model, texts: DataFrame) -> Model:
-    """The model after a round over all texts: every task trains from the same start, and the parameters are averaged by tokens.
+    """The model after a round over all texts: every task trains from the same start, and each row of the parameters moves by the mean of its moves.
 
-    The sums combine before the shuffle; the driver gets one row per row of the parameters, however many tasks there are.
+    A task sends the rows its own words touch; the driver gets each row once, however many tasks there are. The given model's
+    parameters are changed in place.
     """
-    spark = texts.sparkSession
-    names = [f"w{i}" for i in range(DIMS)]
-    made = texts.mapInPandas(trained_in_task(spark.sparkContext.broadcast(model)), "idx int, n long, " + ", ".join(f"{w} double" for w in names))
-    rows = made.groupBy("idx").agg(F.sum("n").alias("n"), *[F.sum(F.col(w) * F.col("n")).alias(w) for w in names]).toPandas().sort_values("idx")
-    if not len(rows):
-        return model
-    return Model(model.names, model.noise, unflat(rows[names].to_numpy() / rows[["n"]].to_numpy(), len(model.noise)))
-
-
-def log_probs(model: Model, s: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """Normalised natural log-probabilities of symbols in context, by batched matrix products."""
+    made = texts.mapInPandas(trained_in_task(texts.sparkSession.sparkContext.broadcast(model)), "block int, moved binary")
+    means = made.repartition("block").sortWithinPartitions("block").mapInPandas(averaged, "block int, moved binary")
     p = model.params
+    v, inner = len(p["inputs"]), len(p["outputs"])
+    for block, raw in means.collect():
+        moved = np.frombuffer(raw, MEAN)
+        rows, by = block * BLOCK + moved["at"].astype(np.int64), moved["by"]
+        for name, low, high in (("inputs", 0, v), ("outputs", v, v + inner), ("places", v + inner, v + inner + CONTEXT)):
+            own = (rows >= low) & (rows < high)
+            p[name][rows[own] - low] += by[own, :DIMS]
+            if name == "outputs":
+                p["biases"][rows[own] - low, 0] += by[own, DIMS]
+    return model
+
+
+def log_probs(model: Model, s: np.ndarray, context: np.ndarray, runs: tuple | None = None) -> np.ndarray:
+    """Natural log-probabilities of symbols in context: of each side on the way down to the symbol, so they add up to one over all symbols."""
+    p, runs = model.params, runs or paths(model.up)
     out = np.empty(len(s), np.float32)
-    weights, bias = p["outputs"].T.copy(), p["biases"][:, 0]
-    one = np.ones(len(bias), np.float32)
-    for a in range(0, len(s), 8192):
-        t = s[a : a + 8192]
-        c = context[a : a + 8192]
-        guess = p["inputs"][c[:, 0]] * p["places"][0]
-        for k in range(1, CONTEXT):
-            guess += p["inputs"][c[:, k]] * p["places"][k]
-        logits = guess @ weights
-        logits += bias
-        logits -= logits.max(1, keepdims=True)
-        out[a : a + 8192] = logits[np.arange(len(t)), t]
-        np.exp(logits, out=logits)
-        out[a : a + 8192] -= np.log(logits @ one)
+    for a in range(0, len(s), BATCH):
+        c = context[a : a + BATCH]
+        guess = np.einsum("bkd,kd->bd", p["inputs"].take(c, 0), p["places"])
+        nodes, sides, n, start = steps_down(runs, s[a : a + BATCH])
+        x = (np.einsum("ij,ij->i", np.repeat(guess, n, axis=0), p["outputs"].take(nodes, 0)) + p["biases"].take(nodes)) * sides
+        out[a : a + BATCH] = -np.add.reduceat(np.maximum(-x, 0) + np.log1p(np.exp(-np.abs(x))), start)
     return out
 
 
 def scored(shared):
     def run(frames):
         model, freq_h, freq_c, n_types, class_log = shared.value
-        end = int(model.symbols(np.array([END]), np.array([0]))[0])
+        end, runs = int(model.symbols(np.array([END]), np.array([0]))[0]), paths(model.up)
         for frame in batches(frames, "text", 2_000_000):
             h, cls, ends = tokens(frame["text"].tolist())
-            s = model.symbols(h, cls)
-            per_token = log_probs(model, s, contexts(s, ends, end)).astype(np.float64) / np.log(10)
-            unique, where = np.unique(h, return_inverse=True)
+            unique, first, where = np.unique(h, return_index=True, return_inverse=True)
+            s = model.symbols(unique, cls[first])[where]
+            per_token = log_probs(model, s, contexts(s, ends, end), runs).astype(np.float64) / np.log(10)
             at = np.minimum(np.searchsorted(freq_h, unique), max(len(freq_h) - 1, 0))
             hit = freq_h[at] == unique if len(freq_h) else np.zeros(len(unique), bool)
             c = np.where(hit, freq_c[at], 0)[where] if len(freq_h) else np.zeros(len(h), np.int64)
@@ -251,17 +339,19 @@ def scored(shared):
     return run
 
 
-def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", symbols: int = SYMBOLS, frequent: int = FREQUENT) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, frequent: int = FREQUENT) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs; it learns from rows that are not held out.
 
     Tokens are the words, A-Z lower-cased, then an end. base_score adds log10((c + 1) / (N + V + 1)) over tokens. score is
     the model's log10 probability: of the symbol in its context, and for a word that is no symbol also of the word among
-    those of its class, (c + 1) / (n + v + 1), so an unseen word of each class has the share of one.
+    those of its class, (c + 1) / (n + v + 1), so an unseen word of each class has the share of one. Every word with a
+    training count of `least` or more is a symbol, as target and as context, however many these are.
     Words are told apart by 64-bit hashes. Null text is as empty: its end only. A null held_out counts as not. Without
     training rows all counts are 0. Repeated rows get a row each; other columns are not read; an empty table gives none.
 
     Counts cover all training rows: summed in tasks, then by shuffle. Training passes over all training rows once, a
-    quarter of them first. Counts of the most frequent words go out to the tasks; those of all others are joined.
+    quarter of them first. Counts of the most frequent words and of all symbols go out to the tasks; those of all others
+    are joined. The parameters of a symbol take some 260 bytes on the driver and in every task that trains.
     """
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
@@ -271,9 +361,11 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     counts = training.select("text").mapInPandas(counted, "h long, cls int, c long").groupBy("h").agg(F.sum("c").alias("c"), F.min("cls").alias("cls"))
     counts = written(counts, folder, "counts")
     n, v = (x or 0 for x in total(counts, F.sum("c"), F.count("*")))
-    top = commonest(counts, frequent).select("h", "c", "cls").toPandas().astype({"h": np.int64, "c": np.int64, "cls": np.int64})
+    top = pd.concat([part.select("h", "c", "cls").toPandas() for part in (commonest(counts, frequent), counts.where(F.col("c") >= least))])
+    top = top.drop_duplicates("h").astype({"h": np.int64, "c": np.int64, "cls": np.int64})
     by_class = counts.where("cls >= 0").groupBy("cls").agg(F.sum("c").alias("n"), F.count("*").alias("v")).toPandas().set_index("cls").reindex(range(CLASSES), fill_value=0)
-    model = first_model(top, by_class["n"].to_numpy(np.float64), symbols)
+    symbols = top[(top["c"] >= least) | (top["h"] == END)]
+    model = first_model(symbols, by_class["n"].to_numpy(np.float64), len(symbols) + CLASSES + 1)
     named = top[top["h"].isin(model.names) & (top["cls"] >= 0)].groupby("cls")["c"].agg(["sum", "count"]).reindex(range(CLASSES), fill_value=0)
     class_log = np.log10((by_class["n"] - named["sum"] + by_class["v"] - named["count"] + 1).to_numpy(np.float64))
     quarter = F.pmod(F.xxhash64("id"), F.lit(4)) == 0
