@@ -316,6 +316,19 @@ def b8(spark, d):
     return df.select("source", "line_no", F.element_at("fields", F.lit("src_ip")).alias("f_src_any"), F.element_at("fields", F.lit("ip")).alias("f_ip"))
 
 
+def _pair(key: str) -> str:
+    """SQL of the first pair with a key, in order of the operator's patterns; pairs go before the patterns of single values."""
+    found = [f"list_filter(list_zip(regexp_extract_all(line, {quoted(p)}, 1), regexp_extract_all(line, {quoted(p)}, 2)), lambda x: lower(x[1]) = '{key}')" for (p,) in ps.PAIR_PATTERNS]
+    return f"list_concat({', '.join(found)})[1][2]"
+
+
+@R.add("b8_generic_fields_whole", WITH_L + f"""
+SELECT source, line_no, coalesce({_pair('src_ip')}, {_ex('(?i)SRC[=_]' + _IP)}, {_ex('(?i)from' + chr(92) + 's+' + _IP)}) AS f_src_any, coalesce({_pair('ip')}, {_ex(_IP)}) AS f_ip, {_pair('srcip')} AS f_srcip, {_pair('action')} AS f_action FROM raw_lines""")
+def b8_whole(spark, d):
+    df = ps.generic_fields(raw_lines(spark, d))
+    return df.select("source", "line_no", F.element_at("fields", F.lit("src_ip")).alias("f_src_any"), *_fields(df, ["ip", "srcip", "action"]))
+
+
 def _dyn(name: str) -> str:
     return "coalesce(" + ", ".join(_ex(p) for p in ps.DYNAMIC[name]) + ")"
 
