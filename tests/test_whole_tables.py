@@ -27,3 +27,19 @@ def test_generic_fields_of_all_lines(spark):
     pairs = lines.where("line LIKE '%src_ip=%'").select("source", "line_no", F.regexp_extract("line", r"src_ip=(\S+)", 1).alias("want")).toPandas()
     found = pairs.merge(got, on=["source", "line_no"])
     assert len(found) == len(pairs) > 0 and (found["f_src_any"] == found["want"]).all()
+
+
+def test_presence_over_the_whole_journal(spark):
+    got = beside_twin(spark, "d17_presence_whole")
+    thinned = catalog.QUERIES["d17_presence"](spark, D).toPandas()
+    names = {r[0] for r in views.journal(spark, D).select("file_name").distinct().collect()}
+    assert set(thinned["name"]) < set(got["name"]) <= names
+
+
+def test_usn_missing_over_the_whole_journal(spark):
+    got = beside_twin(spark, "m23_usn_missing_whole")
+    thinned = catalog.QUERIES["m23_usn_missing"](spark, D).toPandas()
+    names = {r[0] for r in views.journal(spark, D).select("file_name").distinct().collect()}
+    base = lambda n: n.replace("\\", "/").rsplit("/", 1)[-1].lower()
+    assert set(got["filename"]) == {n for n in thinned["filename"] if base(n) not in names}
+    assert len(got) < len(thinned)

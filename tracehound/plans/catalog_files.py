@@ -127,6 +127,17 @@ def d17(spark, d):
 
 R.add("m26_presence", _PRES_SQL)(d17)
 
+_PRES_WHOLE_SQL = WITH_TU + f", {v.WINEVENTS_SQL}, {_PATHS}, {_TP}" + """,
+a AS (SELECT DISTINCT name, 'Timeline' AS s FROM tp UNION SELECT DISTINCT file_name, 'USN' FROM usn UNION SELECT DISTINCT name, 'Events' FROM pth)
+SELECT name, count(*) AS sources FROM a GROUP BY 1 HAVING count(*) >= 3"""
+
+
+@R.add("d17_presence_whole", _PRES_WHOLE_SQL)
+def d17_whole(spark, d):
+    t = v.file_timeline(spark, d).select(fx.base_name(F.col("filename")).alias("name"))
+    e = fx.event_paths(v.windows_events(spark, d)).select("name")
+    return fx.presence({"Timeline": t, "USN": v.journal(spark, d).select(F.col("file_name").alias("name")), "Events": e}).select("name", "sources")
+
 
 @R.add("d12_volume_scalar", WITH_F + ", b AS (SELECT min(si_c) + 30000000000000 AS v FROM files) SELECT record_no, 'before_volume' AS flag FROM files WHERE si_c < (SELECT v FROM b)")
 def d12(spark, d):
@@ -333,6 +344,11 @@ def m23(spark, d):
     return fx.usn_missing(v.file_timeline(spark, d), v.journal(spark, d).where("usn % 5 = 0")).select("filename", "rule_id")
 
 
+@R.add("m23_usn_missing_whole", WITH_TU + f", {_TP} SELECT filename, 'usn_missing' AS rule_id FROM tp WHERE year(make_timestamp(c)) < 2015 AND name NOT IN (SELECT file_name FROM usn)")
+def m23_whole(spark, d):
+    return fx.usn_missing(v.file_timeline(spark, d), v.journal(spark, d)).select("filename", "rule_id")
+
+
 _EVB = f"""bd AS (SELECT min(us) - 26 * 365 * {DAY_US} AS a, max(us) - 26 * 365 * {DAY_US} AS b FROM winev)"""
 
 
