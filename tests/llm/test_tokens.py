@@ -1,5 +1,6 @@
 """Token counts and cross-tokenizer alignment beside the libraries and a plain alignment."""
 
+import bisect
 import collections
 import hashlib
 import random
@@ -104,7 +105,7 @@ def plain_alignment(texts: list) -> list[tuple]:
         for c in sorted(set(ends[0]) & set(ends[1])):
             inside = []
             for s in (0, 1):
-                until = ends[s].index(c) + 1
+                until = bisect.bisect_left(ends[s], c) + 1
                 inside.append(range(at[s], until))
                 at[s] = until
             groups.append("|".join(",".join(str(ids[s][k]) for k in inside[s]) for s in (0, 1)))
@@ -136,7 +137,8 @@ def test_lanes_and_blocks_change_nothing(monkeypatch):
     whole = alignment.Aligner(*sides)
     whole.cuts = False
     want = whole.columns(texts)
-    monkeypatch.setattr(alignment, "LANE", 40)
+    monkeypatch.setattr(alignment, "LANE", 3)
+    monkeypatch.setattr(alignment, "REMEMBERED", 50)
     monkeypatch.setattr(alignment, "AT_ONCE", 300)
     got = alignment.Aligner(*sides).columns(texts)
     for c in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"):

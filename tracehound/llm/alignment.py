@@ -14,10 +14,12 @@ from tracehound.llm.common import shared_folder, table, total, written
 from tracehound.llm.skew import rows_at_once
 from tracehound.llm.token_counts import Tokenizer
 
-#: Characters of a lane, and of the lanes that are aligned side by side.
-LANE, AT_ONCE = 1500, 500_000
-#: Both tokenizers start anew at a space between letters or digits, so a text is cut there into lanes.
+#: Characters that are aligned at once, and segments of a lane; lanes are aligned side by side.
+AT_ONCE, LANE = 500_000, 128
+#: Both tokenizers start anew at a space between letters or digits, so texts are cut there into segments.
 EDGE = re.compile(r"(?<=\w) (?=\w)")
+#: Segments whose ids a task remembers.
+REMEMBERED = 300_000
 #: First probe along a diagonal; it doubles while everything agrees.
 PROBE = 4
 #: Pairs of ids whose counts go out to the tasks at once (some 17 bytes each). More pairs than that take more passes.
@@ -106,7 +108,7 @@ def linked(a: np.ndarray, b: np.ndarray, cut_b: np.ndarray) -> tuple[np.ndarray,
 
 
 class Aligner:
-    """Aligns texts in a task, some lanes at a time, so that a text of any length takes bounded memory but for its distinct pairs."""
+    """Aligns texts in a task, some segments at a time, so that a text of any length takes bounded memory but for its distinct pairs."""
 
     def __init__(self, a: Tokenizer, b: Tokenizer) -> None:
         self.a, self.b = Side(a), Side(b)
@@ -114,10 +116,31 @@ class Aligner:
         tables = [digits(s.n, c) for s in (self.a, self.b) for c in (",", "|" if s is self.a else ";")]
         self.digits = np.concatenate([np.pad(t, ((0, 0), (0, width - t.shape[1]))) for t in tables])
         self.cuts = a.cuts
-
-    def lanes(self, text: str):
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.whole = np.empty(0, bool)
+        self.flat, self.count = ([np.empty(0, np.int64), np.empty(0, np.int64)] for _ in range(2))
+
+    def learn(self, segments: list[str]) -> None:
+        """Ids of new segments on both sides, and whether both give their bytes back."""
+        whole = np.ones(len(segments), bool)
+        for k, s in enumerate((self.a, self.b)):
+            lists = s.ids(segments)
+            for x, (segment, ids) in enumerate(zip(segments, lists)):
+                if b"".join(map(s.bytes.__getitem__, ids)) != b" " + segment.encode():
+                    whole[x] = False
+            self.count[k] = np.concatenate([self.count[k], [len(x) for x in lists]]).astype(np.int64)
+            self.flat[k] = np.concatenate([self.flat[k], *lists]).astype(np.int64)
+        self.whole = np.concatenate([self.whole, whole])
+        for x in segments:
+            self.known[x] = len(self.known)
+
+    def pieces(self, text: str):
+        """The text in pieces of AT_ONCE characters or so, cut at edges."""
         at = 0
-        while self.cuts and len(text) - at > LANE and (edge := EDGE.search(text, at + LANE)):
+        while self.cuts and len(text) - at > AT_ONCE and (edge := EDGE.search(text, at + AT_ONCE)):
             yield text[at : edge.start()]
             at = edge.end()
         yield text[at:]
@@ -127,17 +150,18 @@ class Aligner:
         self.sums = np.zeros((n, 4), np.int64)  # tokens of a and b, groups, links
         self.bad, self.pairs = np.zeros(n, bool), [([], []) for _ in range(n)]
         self.hash = [None] * n
-        doc, held, size = [], [], 0
+        owner, held, size = [], [], 0
         for k, text in enumerate(texts):
-            for lane in self.lanes(text) if text else ():
-                doc.append(k)
-                held.append(lane)
-                size += len(lane)
+            for piece in self.pieces(text) if text else ():
+                segments = EDGE.split(piece) if self.cuts else [piece]
+                held += segments
+                owner.append((k, len(segments)))
+                size += len(piece)
                 if size > AT_ONCE:
-                    self.add(np.array(doc), held)
-                    doc, held, size = [], [], 0
+                    self.add(owner, held)
+                    owner, held, size = [], [], 0
         if held:
-            self.add(np.array(doc), held)
+            self.add(owner, held)
         out = {name: np.where(self.bad, 0, self.sums[:, c]) for c, name in enumerate(("n_a", "n_b", "n_groups", "n_links"))}
         out["groups_sha256"] = ["" if bad or h is None else h.hexdigest() for bad, h in zip(self.bad, self.hash)]
         keys, times = zip(*[merged([], []) if bad else merged(*p) for bad, p in zip(self.bad, self.pairs)])
@@ -146,24 +170,36 @@ class Aligner:
         out["times"] = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(times).astype(np.int32)))
         return out
 
-    def add(self, doc: np.ndarray, lanes: list[str]) -> None:
-        """Align lanes (of texts `doc`, rising) and add what they hold to their texts."""
-        ids = [s.ids(lanes) for s in (self.a, self.b)]
-        for s, lists in zip((self.a, self.b), ids):
-            for k, lane, x in zip(doc, lanes, lists):
-                if b"".join(map(s.bytes.__getitem__, x)) != (" " + lane).encode():
-                    self.bad[k] = True
+    def add(self, owner: list[tuple[int, int]], segments: list[str]) -> None:
+        """Align segments, so many of each text in turn, and add what they hold to their texts."""
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        fresh = [s for s in dict.fromkeys(segments) if s not in self.known]
+        if fresh:
+            self.learn(fresh)
+        at = np.fromiter(map(self.known.__getitem__, segments), np.int64, len(segments))
+        own, n = np.array(owner).T
+        doc = np.repeat(own, n)
+        self.bad[doc[~self.whole[at]]] = True
+        rank = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
         good = np.flatnonzero(~self.bad[doc])
         if not good.size:
             return
-        doc = doc[good]
-        count_a, count_b = (np.array([len(lists[g]) for g in good]) for lists in ids)
-        id_a, id_b = (np.concatenate([np.array(lists[g], np.int64) for g in good]) for lists in ids)
+        doc, at, rank = doc[good], at[good], rank[good]
+        tokens, ids = [], []
+        for flat, count in zip(self.flat, self.count):
+            each = count[at]
+            within = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            ids.append(flat[np.repeat((np.cumsum(count) - count)[at], each) + within])
+            tokens.append(each)
+        (each_a, each_b), (id_a, id_b) = tokens, ids
         a, b = np.cumsum(self.a.length[id_a]), np.cumsum(self.b.length[id_b])
+        lane = np.flatnonzero((rank % LANE == 0) | (np.diff(doc, prepend=-1) != 0))
+        count_a, count_b = np.add.reduceat(each_a, lane), np.add.reduceat(each_b, lane)
+        doc_a, doc_b = np.repeat(doc, each_a), np.repeat(doc, each_b)
         to_a, to_b = np.cumsum(count_a), np.cumsum(count_b)
         cut_a, cut_b = group_ends(a, b, to_a - count_a, to_a, to_b - count_b, to_b)
         left, right = linked(a, b, cut_b)
-        doc_a, doc_b = np.repeat(doc, count_a), np.repeat(doc, count_b)
         present, first_a = np.unique(doc_a, return_index=True)
         tallies = [np.bincount(d, minlength=len(self.sums)) for d in (doc_a, doc_b, doc_a[cut_a], doc_a[left])]
         self.sums += np.stack(tallies, 1)

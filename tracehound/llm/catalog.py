@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracehound.llm import alignment, chat, classifier, embeddings, lm, mixing, ngram_join, quality, secrets, sentencepiece, token_counts, urls
+from tracehound.llm import alignment, chat, classifier, embeddings, lm, mixing, ngram_join, quality, repair, secrets, sentencepiece, token_counts, urls
 
 QUERIES = {
     "op1_url_filters": urls.query,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_chat_formatting": chat.query,
     "op11_token_counts": token_counts.query,
     "op12_alignment": alignment.query,
+    "op13_conversation_repair": repair.query,
 }
-SQL = {"op10_chat_formatting": chat.SQL, "op6_embedding_dedup": embeddings.SQL, "op7_ngram_join": ngram_join.SQL, "op2_quality_rules": quality.SQL, "op1_url_filters": urls.SQL, "op8_source_mixing": mixing.SQL}
+SQL = {"op13_conversation_repair": repair.SQL, "op10_chat_formatting": chat.SQL, "op6_embedding_dedup": embeddings.SQL, "op7_ngram_join": ngram_join.SQL, "op2_quality_rules": quality.SQL, "op1_url_filters": urls.SQL, "op8_source_mixing": mixing.SQL}
