@@ -19,7 +19,9 @@ AT_ONCE, LANE = 500_000, 128
 #: Both tokenizers start anew at a space between letters or digits, so texts are cut there into segments.
 EDGE = re.compile(r"(?<=\w) (?=\w)")
 #: Segments whose ids a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
+#: Characters of new segments that are encoded as one string.
+TOGETHER = 4000
 #: First probe along a diagonal; it doubles while everything agrees.
 PROBE = 4
 #: Pairs of ids whose counts go out to the tasks at once (some 17 bytes each). More pairs than that take more passes.
@@ -107,6 +109,16 @@ def linked(a: np.ndarray, b: np.ndarray, cut_b: np.ndarray) -> tuple[np.ndarray,
     return np.concatenate([np.arange(len(a)), np.searchsorted(a, b[inner])]), np.concatenate([np.searchsorted(b, a), inner])
 
 
+def dealt_out(side: Side, ids: list[int], text: str, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """The ids of a text with a space before it, and how many each of its segments has (bytes with the space before them); None if they don't fit."""
+    if b"".join(map(side.bytes.__getitem__, ids)) != b" " + text.encode():
+        return None
+    flat = np.array(ids, np.int64)
+    ends, stops = np.cumsum(side.length[flat]), np.cumsum(sizes)
+    at = np.searchsorted(ends, stops)
+    return (flat, np.diff(at + 1, prepend=0)) if (ends[at] == stops).all() else None
+
+
 class Aligner:
     """Aligns texts in a task, some segments at a time, so that a text of any length takes bounded memory but for its distinct pairs."""
 
@@ -120,20 +132,53 @@ class Aligner:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.whole = np.empty(0, bool)
-        self.flat, self.count = ([np.empty(0, np.int64), np.empty(0, np.int64)] for _ in range(2))
+        self.wholes: list[np.ndarray] = [np.empty(0, bool)]
+        self.held = [[[np.empty(0, np.int64)], [np.empty(0, np.int64)]] for _ in range(2)]  # by side: ids, and how many each segment has
 
     def learn(self, segments: list[str]) -> None:
-        """Ids of new segments on both sides, and whether both give their bytes back."""
-        whole = np.ones(len(segments), bool)
-        for k, s in enumerate((self.a, self.b)):
-            lists = s.ids(segments)
-            for x, (segment, ids) in enumerate(zip(segments, lists)):
+        """Ids of new segments on both sides, and whether both give their bytes back.
+
+        Segments without blanks or piece spaces at their ends are encoded many in a string, put together by spaces, and the
+        ids dealt out by the bytes they cover; where these don't fit the segments, and for all others, one by one.
+        """
+        runs, alone, size = [[]], [], 0
+        for x in segments:
+            if self.cuts and x == x.strip() and "▁" not in x and len(x) < TOGETHER:
+                runs[-1].append(x)
+                size += len(x) + 1
+                if size > TOGETHER:
+                    runs.append([])
+                    size = 0
+            else:
+                alone.append(x)
+        runs = [r for r in runs if r]
+        joined = [" ".join(r) for r in runs]
+        sizes = [np.array([len(x.encode()) + 1 for x in r], np.int64) for r in runs]
+        found = [s.ids(joined) if joined else [] for s in (self.a, self.b)]
+        dealt = [[dealt_out(s, lists[k], joined[k], sizes[k]) for k in range(len(runs))] for s, lists in zip((self.a, self.b), found)]
+        for k in range(len(runs)):
+            if dealt[0][k] is None or dealt[1][k] is None:
+                alone += runs[k]
+            else:
+                self.remember(runs[k], np.ones(len(runs[k]), bool), [d[k] for d in dealt])
+        whole, parts = np.ones(len(alone), bool), []
+        for s in (self.a, self.b):
+            lists = s.ids(alone) if alone else []
+            for x, (segment, ids) in enumerate(zip(alone, lists)):
                 if b"".join(map(s.bytes.__getitem__, ids)) != b" " + segment.encode():
                     whole[x] = False
-            self.count[k] = np.concatenate([self.count[k], [len(x) for x in lists]]).astype(np.int64)
-            self.flat[k] = np.concatenate([self.flat[k], *lists]).astype(np.int64)
-        self.whole = np.concatenate([self.whole, whole])
+            parts.append((np.array([i for ids in lists for i in ids], np.int64), np.array([len(ids) for ids in lists], np.int64)))
+        self.remember(alone, whole, parts)
+        self.flat, self.count = ([np.concatenate(x[k]) for x in self.held] for k in (0, 1))
+        self.held = [[[f], [c]] for f, c in zip(self.flat, self.count)]
+        self.whole = np.concatenate(self.wholes)
+        self.wholes = [self.whole]
+
+    def remember(self, segments: list[str], whole: np.ndarray, parts: list[tuple]) -> None:
+        for held, (flat, count) in zip(self.held, parts):
+            held[0].append(flat)
+            held[1].append(count)
+        self.wholes.append(whole)
         for x in segments:
             self.known[x] = len(self.known)
 
