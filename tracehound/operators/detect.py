@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracehound.functions.normalize import bind, category_of
+from tracehound.functions import prefilter as pre
+from tracehound.functions.normalize import category_of
 from tracehound.operators import windows
 from tracehound.operators.query import first_per_group
 from tracehound.operators.stats import ip_profile
@@ -20,58 +21,49 @@ def any_of(patterns: list[str]) -> str:
     return "(?i)" + "|".join(f"(?:{p})" for p in patterns)
 
 
-def keyword_type(text: Column, rules=attacks.KEYWORD_RULES) -> Column:
-    """Struct of attack type and weight of the heaviest rule with a hit; null without a hit."""
-    out = None
-    for name, weight, patterns in sorted(rules, key=lambda r: -r[1]):
-        value = F.struct(F.lit(name).alias("attack_type"), F.lit(weight).alias("confidence"))
-        cond = text.rlike(any_of(patterns))
-        out = F.when(cond, value) if out is None else out.when(cond, value)
-    return out
+def hits_any(patterns: list[str]) -> str:
+    """`any_of` as an SQL condition, each pattern behind its own plain string tests."""
+    return "(" + " OR ".join(pre.matches("(?i)" + p, pre.TEXT, pre.LOWERED) for p in patterns) + ")"
+
+
+def _hits(patterns: list[str], shown: list[str]) -> str:
+    """SQL array of the shown form of every pattern with a hit."""
+    return "array_compact(array(" + ", ".join(f"CASE WHEN {pre.matches(p, pre.TEXT, pre.LOWERED)} THEN {pre.quoted(s)} END" for p, s in zip(patterns, shown)) + "))"
 
 
 def tag_keywords(e: DataFrame, rules=attacks.KEYWORD_RULES) -> DataFrame:
-    """Keyword tag; a tagged entry becomes a warning."""
-    tagged = computed(e, _tag=keyword_type(F.coalesce("message", F.lit("")), rules))
-    return tagged.withColumns({
+    """Keyword tag by the heaviest rule with a hit; a tagged entry becomes a warning."""
+    heaviest = "CASE " + " ".join(
+        f"WHEN {hits_any(patterns)} THEN named_struct('attack_type', {pre.quoted(name)}, 'confidence', double({weight}))" for name, weight, patterns in sorted(rules, key=lambda r: -r[1])) + " END"
+    bound, tag = pre.decided(e, F.coalesce("message", F.lit("")), heaviest)
+    return computed(bound, _tag=tag).withColumns({
         "attack_type": F.coalesce(F.col("_tag.attack_type"), F.lit("safe")),
         "attack_confidence": F.coalesce(F.col("_tag.confidence"), F.lit(0.0)),
         "severity": F.when(F.col("_tag").isNotNull(), "warning").otherwise(F.col("severity")),
-    }).drop("_tag")
-
-
-def _matched(text: Column, patterns: list[str], shown: list[str] | None = None) -> Column:
-    return F.array_compact(F.array(*[
-        F.when(text.rlike(p), F.lit(s)) for p, s in zip(patterns, shown or patterns)
-    ]))
+    }).drop("_tag", "_t")
 
 
-def category_tag(text: Column, category: Column, rules=attacks.CATEGORY_RULES) -> Column:
-    """Best tag by the rules of the entry's category only; equal confidence keeps the rule order."""
+def category_tag(rules=attacks.CATEGORY_RULES) -> str:
+    """SQL of the best tag by the rules of the entry's category (`t.category`) only; equal confidence keeps the rule order."""
     by_category: dict[str, list] = {}
     for cat, name, weight, patterns in rules:
         by_category.setdefault(cat, []).append((name, weight, patterns))
-    out = None
+    out = []
     for cat, items in by_category.items():
         tries = []
         for order, (name, weight, patterns) in enumerate(items):
-            hits = _matched(text, [attacks.category_pattern(p) for p in patterns], patterns)
-            tries.append(bind(hits, lambda h: F.when(
-                F.size(h) > 0,
-                F.struct(
-                    F.round(F.least(F.lit(weight) + F.size(h) * 0.1, F.lit(0.95)), 6).alias("confidence"),
-                    F.lit(-order).alias("rank"), F.lit(name).alias("attack_type"), h.alias("patterns"),
-                ),
-            )))
-        best = F.array_max(F.array_compact(F.array(*tries)))
-        out = F.when(category == cat, best) if out is None else out.when(category == cat, best)
-    return out
+            hits = _hits([attacks.category_pattern(p) for p in patterns], patterns)
+            tag = f"named_struct('confidence', round(least(double({weight}) + size(h) * 0.1D, 0.95D), 6), 'rank', {-order}, 'attack_type', {pre.quoted(name)}, 'patterns', h)"
+            tries.append(f"element_at(transform(array({hits}), h -> CASE WHEN size(h) > 0 THEN {tag} END), 1)")
+        out.append(f"WHEN t.category = {pre.quoted(cat)} THEN array_max(array_compact(array({', '.join(tries)})))")
+    return f"CASE {' '.join(out)} END"
 
 
 def tag_by_category(e: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Category-aware tag with matched patterns, tactics and techniques; null below the threshold."""
     typed = computed(e, category=category_of(F.col("log_type")))
-    tagged = computed(typed, _tag=category_tag(F.coalesce("message", F.lit("")), F.col("category")))
+    bound, tag = pre.decided(typed, F.coalesce("message", F.lit("")), category_tag(), category=F.col("category"))
+    tagged = computed(bound, _tag=tag)
     keep = F.col("_tag.confidence") >= threshold
     mitre = F.create_map(*[F.lit(x) for k, v in dims.TAG_MITRE.items() for x in (k, f"{v[0]}|{v[1]}")])
     codes = F.split(F.element_at(mitre, F.col("attack_type")), r"\|")
@@ -81,20 +73,17 @@ def tag_by_category(e: DataFrame, threshold: float = 0.3) -> DataFrame:
         "matched_patterns": F.when(keep, F.col("_tag.patterns")),
     }).withColumns({
         "mitre_tactics": F.split(F.get(codes, F.lit(0)), ","), "mitre_techniques": F.split(F.get(codes, F.lit(1)), ","),
-    }).drop("_tag")
+    }).drop("_tag", "_t")
 
 
-def ordered_tag(text: Column, rules=attacks.ORDERED_RULES) -> Column:
-    """First type of the fixed order with a hit, with its confidence from the number of hits."""
-    out = None
+def ordered_tag(rules=attacks.ORDERED_RULES) -> str:
+    """SQL of the first type of the fixed order with a hit, with its confidence from the number of hits."""
+    out = []
     for name, patterns in rules:
-        value = bind(F.size(_matched(text, ["(?i)" + p for p in patterns])), lambda hits: F.struct(
-            F.lit(name).alias("attack_type"),
-            F.round(F.least(F.lit(0.5) + hits * 0.15, F.lit(0.95)), 6).alias("confidence"), hits.alias("hits"),
-        ))
-        cond = text.rlike(any_of(patterns))
-        out = F.when(cond, value) if out is None else out.when(cond, value)
-    return out
+        hits = _hits(["(?i)" + p for p in patterns], patterns)
+        tag = f"named_struct('attack_type', {pre.quoted(name)}, 'confidence', round(least(0.5D + h * 0.15D, 0.95D), 6), 'hits', h)"
+        out.append(f"WHEN {hits_any(patterns)} THEN element_at(transform(array(size({hits})), h -> {tag}), 1)")
+    return f"CASE {' '.join(out)} END"
 
 
 def search_text() -> Column:
@@ -103,10 +92,11 @@ def search_text() -> Column:
 
 
 def tag_ordered(e: DataFrame) -> DataFrame:
-    return computed(e, _tag=ordered_tag(search_text())).withColumns({
+    bound, tag = pre.decided(e, search_text(), ordered_tag())
+    return computed(bound, _tag=tag).withColumns({
         "attack_type": F.col("_tag.attack_type"), "attack_confidence": F.col("_tag.confidence"),
         "pattern_hits": F.col("_tag.hits"),
-    }).drop("_tag")
+    }).drop("_tag", "_t")
 
 
 def rule_table(spark: SparkSession) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracehound.functions import normalize as nz
+from tracehound.functions import prefilter as pre
 from tracehound.functions.normalize import bind, found
 from tracehound.operators.intervals import previous_value, running_last
 from tracehound.rules import dims
@@ -26,54 +27,58 @@ def strip(line: Column) -> Column:
 # --- typing ---------------------------------------------------------------------------------------------
 
 
+# First and last character of a JSON text, and a JSON number; lines that only begin like JSON are not parsed.
+JSON_ENDS = ["[]", "{}", '""']
+JSON_NUMBER = r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"
+
+
 def _is_json(line: Column) -> Column:
-    looks = line.rlike(r"^\s*[\[{\"\-0-9tfn]")
-    return F.coalesce(looks & F.try_parse_json(line).isNotNull(), F.lit(False))
+    """Whether the line is one JSON value."""
+    t = strip(line)
+    ends = reduce(lambda a, b: a | b, [F.startswith(t, F.lit(x)) & F.endswith(t, F.lit(y)) for x, y in JSON_ENDS])
+    return F.coalesce((ends | t.isin("true", "false", "null") | t.rlike(JSON_NUMBER)) & F.try_parse_json(line).isNotNull(), F.lit(False))
 
 
-def line_test(line: Column, kind: str, arg) -> Column:
-    """One row of the format table as a condition."""
+def line_test(kind: str, arg) -> str:
+    """One row of the format table as an SQL condition on a stripped line."""
+    line = pre.TEXT
     if kind == "re":
-        return line.rlike(start_anchored(arg))
+        return pre.matches(start_anchored(arg), line, pre.LOWERED)
     if kind == "find":
-        return line.rlike(arg)
+        return pre.matches(arg, line, pre.LOWERED)
     if kind == "has":
-        return reduce(lambda a, b: a | b, [F.contains(line, F.lit(w)) for w in arg])
+        return "(" + " OR ".join(f"contains({line}, {pre.quoted(w)})" for w in arg) + ")"
     if kind == "json":
-        return _is_json(line)
+        ends = " OR ".join(f"startswith({line}, {pre.quoted(x)}) AND endswith({line}, {pre.quoted(y)})" for x, y in JSON_ENDS)
+        number = f"{line} >= '-' AND {line} < ':' AND {line} RLIKE {pre.quoted(JSON_NUMBER)}"
+        return f"coalesce(({ends} OR {line} IN ('true', 'false', 'null') OR {number}) AND try_parse_json({line}) IS NOT NULL, false)"
     if kind == "array":
-        return F.coalesce(F.startswith(line, F.lit("[")) & (F.json_array_length(line) > 0), F.lit(False))
+        return f"coalesce(startswith({line}, '[') AND json_array_length({line}) > 0, false)"
     if kind in ("keys", "keys_find"):
         names = arg if kind == "keys" else arg[0]
-        keys = F.json_object_keys(line)
-        have = reduce(lambda a, b: a & b, [F.array_contains(keys, k) for k in names])
+        have = [f"contains({line}, {pre.quoted(k)})" for k in names] + [f"array_contains(json_object_keys({line}), {pre.quoted(k)})" for k in names]
         if kind == "keys_find":
-            have = have & line.rlike(arg[1])
-        return F.coalesce(F.startswith(line, F.lit("{")) & have, F.lit(False))
+            have.append(f"{line} RLIKE {pre.quoted(arg[1])}")
+        return f"coalesce(startswith({line}, '{{') AND {' AND '.join(have)}, false)"
     if kind == "cell":
         header, width, at, value, absent = arg
-        cells = F.split(line, ",")
-        row = (F.size(cells) >= width) & (F.get(cells, F.lit(at)) == value) & ~F.contains(line, F.lit(absent))
-        return F.startswith(line, F.lit(header)) | F.coalesce(row, F.lit(False))
+        row = f"contains({line}, {pre.quoted(value)}) AND size(split({line}, ',')) >= {width} AND get(split({line}, ','), {at}) = {pre.quoted(value)} AND NOT contains({line}, {pre.quoted(absent)})"
+        return f"(startswith({line}, {pre.quoted(header)}) OR coalesce({row}, false))"
     raise ValueError(kind)
 
 
-def line_type_col(line: Column) -> Column:
-    """First type of the format table that takes the line."""
-    out = None
-    for name, kind, arg in LINE_TESTS:
-        cond = line_test(line, kind, arg)
-        out = F.when(cond, name) if out is None else out.when(cond, name)
-    return out.otherwise(RAW)
-
-
 def line_type(df: DataFrame) -> DataFrame:
-    return computed(df, line_type=line_type_col(strip(F.col("line"))))
+    """First type of the format table that takes the line, as ``line_type``."""
+    first = "CASE " + " ".join(f"WHEN {line_test(kind, arg)} THEN {pre.quoted(name)}" for name, kind, arg in LINE_TESTS) + f" ELSE {pre.quoted(RAW)} END"
+    bound, kind = pre.decided(df, strip(F.col("line")), first)
+    return computed(bound, line_type=kind).drop("_t")
 
 
-def matching_types(line: Column) -> Column:
-    """All types that take the line, in priority order."""
-    return F.array_compact(F.array(*[F.when(line_test(line, kind, arg), name) for name, kind, arg in LINE_TESTS]))
+def matching_types(df: DataFrame) -> DataFrame:
+    """All types that take the line, in priority order, as ``types``."""
+    every = ", ".join(f"CASE WHEN {line_test(kind, arg)} THEN {pre.quoted(name)} END" for name, kind, arg in LINE_TESTS)
+    bound, types = pre.decided(df, F.col("line"), f"array_compact(array({every}))")
+    return computed(bound, types=types).drop("_t")
 
 
 def detect_source_type(df: DataFrame, voters: int, proposers: int) -> DataFrame:
@@ -84,9 +89,7 @@ def detect_source_type(df: DataFrame, voters: int, proposers: int) -> DataFrame:
     """
     lines = df.withColumn("line", strip(F.col("line"))).where("line <> ''")
     w = Window.partitionBy("source").orderBy("line_no")
-    head = lines.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= voters).select(
-        "source", "rn", matching_types(F.col("line")).alias("types")
-    )
+    head = matching_types(lines.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= voters)).select("source", "rn", "types")
     early = head.where(F.col("rn") <= proposers)
     # at most one name per known type, however long the source is
     candidates = early.groupBy("source").agg(F.array_distinct(F.flatten(F.collect_list("types"))).alias("cands"))
