@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracehound.functions.normalize import field, has_any
+from tracehound.functions import prefilter as pre
+from tracehound.functions.normalize import field
 from tracehound.functions.scalars import entropy
 from tracehound.rules import attacks, dims
+from tracehound.schema import computed
 
 ATTACK_FEATURES = [
     "is_external_ip", "message_length", "sql_hits", "xss_hits", "command_hits", "traversal_hits", "inclusion_hits",
@@ -32,23 +32,21 @@ def attack_features(e: DataFrame) -> DataFrame:
     src = F.coalesce(F.col("source.ip"), F.lit(""))
     user = F.coalesce(F.col("user.name"), F.lit(""))
     internal = src.rlike(r"^(192\.168\.|10\.|172\.(1[6-9]|2[0-9]|3[01]))")
+    counts = [f"'{name}', least(({pre.count(pattern, pre.TEXT, pre.TEXT)}) / 3.0D, 1.0D)" for name, pattern in attacks.FEATURE_COUNTS]
+    flags = [f"'{name}', double({pre.matches(pattern, pre.TEXT, pre.TEXT)})" for name, pattern in attacks.FEATURE_FLAGS]
+    words = " + ".join(f"int(contains({pre.TEXT}, {pre.quoted(w)}))" for w in attacks.SENSITIVE_WORDS)
+    login = " OR ".join(f"contains({pre.TEXT}, '{w}')" for w in ("auth", "password"))
+    more = [f"'sensitive_words', least(({words}) / 3.0D, 1.0D)", f"'is_login', double({login})", f"'message_length', least(length({pre.TEXT}) / 500.0D, 1.0D)"]
+    bound, found = pre.decided(e, text, f"named_struct({', '.join(counts + flags + more)})")
     cols = {
         "is_external_ip": _flag(~internal),
-        "message_length": F.least(F.length(text) / 500.0, F.lit(1.0)),
         "has_failure": _flag((F.col("outcome") == "failure") | F.col("outcome").rlike(r"^(4|5)\d{2}$")),
         "severity_level": _flag(F.col("severity").isin("warning", "error", "critical")),
         "is_anonymous": _flag(user.isin("", "anonymous", "www-data", "nobody", "root")),
-        "sensitive_words": F.least(
-            reduce(lambda a, b: a + b, [_flag(F.contains(text, F.lit(w))) for w in attacks.SENSITIVE_WORDS]) / 3.0,
-            F.lit(1.0),
-        ),
-        "is_login": _flag(F.contains(F.lower(F.coalesce("action", F.lit(""))), F.lit("login")) | has_any(text, ["auth", "password"])),
+        "is_login": F.greatest(_flag(F.contains(F.lower(F.coalesce("action", F.lit(""))), F.lit("login"))), F.col("_found.is_login")),
     }
-    for name, pattern in attacks.FEATURE_COUNTS:
-        cols[name] = F.least(F.regexp_count(text, F.lit(pattern)) / 3.0, F.lit(1.0))
-    for name, pattern in attacks.FEATURE_FLAGS:
-        cols[name] = _flag(text.rlike(pattern))
-    return e.withColumns({name: cols[name] for name in ATTACK_FEATURES})
+    made = computed(bound, _found=found).withColumns({name: cols[name] if name in cols else F.col(f"_found.{name}") for name in ATTACK_FEATURES})
+    return made.drop("_found", "_t")
 
 
 def severity_code(col: Column) -> Column:

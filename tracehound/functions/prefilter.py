@@ -124,9 +124,19 @@ def possible(pattern: str, text: str, lowered: str | None = None) -> list[str]:
 
 def matches(pattern: str, text: str, lowered: str | None = None) -> str:
     """SQL condition `text RLIKE pattern` behind its plain string tests: it is not evaluated where one of them fails."""
+    tree = _parsed(pattern)
+    if tree is not None and len(tree) and not needed(pattern)[0] and all(k is op.LITERAL for k, _ in tree):
+        return f"contains({text}, {quoted(''.join(chr(c) for _, c in tree))})"
     return "(" + " AND ".join([*possible(pattern, text, lowered), f"{text} RLIKE {quoted(pattern)}"]) + ")"
 
 
+def count(pattern: str, text: str, lowered: str | None = None) -> str:
+    """SQL number of matches of a pattern, 0 without a search where a plain string test fails."""
+    tests = possible(pattern, text, lowered)
+    found = f"regexp_count({text}, {quoted(pattern)})"
+    return f"CASE WHEN {' AND '.join(tests)} THEN {found} ELSE 0 END" if tests else found
+
+
 #: Names under which `decided` offers a text to SQL conditions.
 TEXT, LOWERED = "t.text", "t.lowered"
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracehound.functions import features, scalars
 from tracehound.operators import correlate, detect, query, stats, windows
 from tracehound.plans.registry import Registry, quoted
-from tracehound.plans.views import ENTRIES_SQL, FEEDBACK_SQL, entries, feedback
+from tracehound.plans.views import ENTRIES_SQL, FEEDBACK_SQL, entries, feedback, table
 from tracehound.rules import attacks, dims
 from tracehound.schema import MINUTE, SECOND, micros
 from tracehound.session import cut_lineage
@@ -389,7 +389,7 @@ def f8(spark, d):
 WITH s AS (SELECT avg(value) AS m, stddev_pop(value) AS sd FROM events)
 SELECT event_id, round(abs(value - m) / sd, 6) AS zscore FROM events, s WHERE abs(value - m) / sd > 3""")
 def f12(spark, d):
-    ev = spark.read.parquet(f"{d}/events.parquet")
+    ev = table(spark, d, "events")
     return windows.zscore_outliers(ev, "value").select("event_id", F.round("zscore", 6).alias("zscore"))
 
 
@@ -447,7 +447,7 @@ WITH c AS (SELECT doc_id, ch, count(*)::DOUBLE AS n FROM (SELECT doc_id, unnest(
 s AS (SELECT doc_id, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM c)
 SELECT doc_id, round(-sum(p * log2(p)), 5) AS entropy FROM s GROUP BY 1""")
 def h1(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet")
+    docs = table(spark, d, "documents")
     return docs.select("doc_id", F.round(scalars.entropy(F.col("text")), 5).alias("entropy"))
 
 
@@ -495,12 +495,12 @@ def h5(spark, d):
 
 @R.add("h6_clip_unit", "SELECT event_id, round(least(greatest((value - 10) / 190, 0), 1)::DOUBLE, 6) AS unit FROM events")
 def h6(spark, d):
-    return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.round(scalars.clip_unit(F.col("value"), 10, 200), 6).alias("unit"))
+    return table(spark, d, "events").select("event_id", F.round(scalars.clip_unit(F.col("value"), 10, 200), 6).alias("unit"))
 
 
 @R.add("h7_sigmoid", "SELECT event_id, round(1 / (1 + exp(-(value / 100))), 6) AS p FROM events")
 def h7(spark, d):
-    return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.round(scalars.sigmoid(F.col("value") / 100), 6).alias("p"))
+    return table(spark, d, "events").select("event_id", F.round(scalars.sigmoid(F.col("value") / 100), 6).alias("p"))
 
 
 @R.add("h9_titles_and_durations", WITH_E + """
@@ -568,7 +568,7 @@ def r1(spark, d):
 
 @R.add("r1_tag_keywords_pages", f"SELECT page_id, {_keyword_case(lambda n, w: quoted(n))} ELSE 'safe' END AS attack_type FROM (SELECT page_id, html AS message FROM pages)")
 def r1b(spark, d):
-    p = spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.col("html").alias("message"), F.lit("info").alias("severity"))
+    p = table(spark, d, "pages").select("page_id", F.col("html").alias("message"), F.lit("info").alias("severity"))
     return detect.tag_keywords(p).select("page_id", "attack_type")
 
 

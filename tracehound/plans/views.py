@@ -77,8 +77,14 @@ OUTCOME = {"error": "failure", "signup": "success"}
 ACTION = {"error": "deny", "signup": "allow", "click": "sudo", "view": "login", "purchase": "deliver"}
 
 
+#: Session setting: number of tasks over which the views deal a table that is one file with one row group. Unset, files are read as they are.
+TASKS = "spark.tracehound.view.tasks"
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    rows = spark.read.parquet(f"{d}/{name}.parquet")
+    tasks = int(spark.conf.get(TASKS, "0"))
+    return rows.repartition(tasks) if tasks else rows
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
