@@ -206,6 +206,8 @@ def l14b(spark, d):
 class _Replay:
     """Session stand-in whose parquet reader streams, so the batch views also build streaming frames."""
 
+    conf: dict = {}  # a stream is dealt out as its files come
+
     def __init__(self, spark):
         self.spark = spark
 
