@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracehound.operators import windows
-from tracehound.operators.intervals import count_ahead, distinct_ahead, next_within, previous_value, running_last, stab_count
+from tracehound.operators.intervals import count_ahead, distinct_ahead, nearest_value, next_within, previous_value, row_blocks, running_last, stab_count
 from tracehound.schema import MINUTE, SECOND
 
 
@@ -57,9 +57,9 @@ def test_previous_and_running_last(spark, width):
         assert last[(k, i)] == (seen[-1] if seen else None)
 
 
-@pytest.mark.parametrize("blocks", [4, 16])
+@pytest.mark.parametrize("bits", [3, 20])
 @pytest.mark.parametrize("gap", [20, 400])
-def test_anchored_windows_brute_force(spark, blocks, gap):
+def test_anchored_windows_brute_force(spark, bits, gap):
     rng = random.Random(gap)
     rows, t = [], {"hot": 0, "b": 7, "c": 90_000_000}
     for _ in range(600):
@@ -67,7 +67,7 @@ def test_anchored_windows_brute_force(spark, blocks, gap):
         t[k] += rng.randrange(1, gap) * SECOND
         rows.append((k, t[k]))
     df = spark.createDataFrame(rows, "k STRING, us BIGINT")
-    got = {(r.k, r.us): r.window_us for r in windows.anchored_windows(df, ["k"], 1, block_windows=blocks).collect()}
+    got = {(r.k, r.us): r.window_us for r in windows.anchored_windows(df, ["k"], 1, bits=bits).collect()}
     for key in t:
         start = None
         for us in sorted({u for k, u in rows if k == key}):
@@ -86,6 +86,32 @@ def test_anchored_windows_without_keys(spark, times):
         assert got[t] == start
 
 
+def test_anchored_windows_of_a_crowded_moment(spark):
+    """A million times in one window, and windows on both sides; blocks hold at most 2^14 rows, and no Python runs."""
+    crowd = spark.range(1_000_000).select((F.col("id") * 59 + 10 * MINUTE).alias("us"))
+    around = spark.createDataFrame([(t,) for t in (0, 30 * SECOND, 10 * MINUTE - 1, 11 * MINUTE - 1, 11 * MINUTE, 12 * MINUTE, 13 * MINUTE + 1)], "us BIGINT")
+    out = windows.anchored_windows(crowd.unionByName(around), [], 1, bits=14)
+    assert "Python" not in out._jdf.queryExecution().toString()
+    first = 10 * MINUTE - 1
+    want = {0: 0, 30 * SECOND: 0, first: first, first + MINUTE: first, first + MINUTE + 1: first + MINUTE + 1, 12 * MINUTE: 11 * MINUTE, 13 * MINUTE + 1: 13 * MINUTE + 1}
+    by = {r.window_us: r["count"] for r in out.groupBy("window_us").count().collect()}
+    assert by[0] == 2 and by[first] == 1_000_002 and by[11 * MINUTE] == 2 and by[13 * MINUTE + 1] == 1 and sum(by.values()) == 1_000_007
+    got = {r.us: r.window_us for r in out.where(F.col("us").isin(list(want))).collect()}
+    assert all(got[t] == w for t, w in want.items() if t in got)
+
+
+def test_row_blocks_and_nearest_values(spark):
+    r = random.Random(8)
+    rows = [(r.choice(["hot", "hot", "a", None]), i, r.randrange(99) if r.random() < 0.2 else None) for i in range(300)]
+    blocks = row_blocks(spark.createDataFrame(rows, "k STRING, i BIGINT, v BIGINT").repartition(4), ["k", "i"], 3)
+    assert blocks.groupBy("_block").count().agg(F.max("count")).first()[0] <= 8
+    for ahead in (False, True):
+        got = {r.i: r.x for r in nearest_value(blocks, ["k"], F.col("v"), "x", ahead).collect()}
+        for k, i, _ in rows:
+            near = [(abs(j - i), v) for kk, j, v in rows if kk == k and v is not None and (j >= i if ahead else j <= i)]
+            assert got[i] == (min(near)[1] if near else None)
+
+
 def auth(spark, rows):
     """rows: (id, ip, user, second, outcome)"""
     df = spark.createDataFrame([(i, ip, u, float(s), o) for i, ip, u, s, o in rows], "id STRING, ip STRING, u STRING, s DOUBLE, outcome STRING")

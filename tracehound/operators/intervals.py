@@ -10,6 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracehound.session import cut_lineage
+
+#: Rows of a block of `row_blocks`, as a power of two.
+BLOCK_BITS = 20
+
 
 def _slice(us: Column, width: int) -> Column:
     return F.floor(us / F.lit(width)).cast("bigint")
@@ -144,3 +149,33 @@ def running_last(df: DataFrame, keys: list[str], order: str, value: Column, widt
     return joined.withColumn(
         out, F.coalesce(F.last("_v", ignorenulls=True).over(inside), F.col("_carry.v"))
     ).drop("_slice", "_v", "_carry")
+
+
+def row_blocks(df: DataFrame, order: list[str], bits: int = BLOCK_BITS) -> DataFrame:
+    """The rows with ``_at``, which rises in the given order, and ``_block``, numbers of runs of 2^bits rows at most.
+
+    Rows are dealt out by ranges of the order, so neither a busy key nor a busy moment makes a large block. Written to
+    shared storage, for the numbers follow the partitions.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    return cut_lineage(placed.withColumn("_block", F.shiftright("_at", bits)))
+
+
+def nearest_value(blocks: DataFrame, keys: list[str], value: Column, out: str, ahead: bool) -> DataFrame:
+    """Nearest non-null value of the same keys at or before each row of ``row_blocks`` (ahead: at or after it).
+
+    Inside a block by a running value; what a block inherits comes from a table with one row per key and block.
+    """
+    sign = -1 if ahead else 1
+    rows = blocks.withColumns({"_v": value, "_turn": F.col("_at") * sign, "_side": F.col("_block") * sign})
+    marked = F.when(F.col("_v").isNotNull(), F.struct("_turn", "_v"))
+    last = rows.groupBy(*keys, "_side").agg(F.max(marked).alias("_last"))
+    before = Window.partitionBy(*keys).orderBy("_side").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_side").alias("_s"), F.max("_last").over(before)["_v"].alias("_carry"))
+    inside = Window.partitionBy(*keys, "_side").orderBy("_turn").rowsBetween(Window.unboundedPreceding, 0)
+    running = rows.withColumn("_near", F.last("_v", ignorenulls=True).over(inside))
+    same = F.col("_side") == F.col("_s")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    joined = running.join(carried, same, "left")
+    return joined.withColumn(out, F.coalesce("_near", "_carry")).drop("_v", "_turn", "_side", "_s", "_near", "_carry", *[f"_k{i}" for i, _ in enumerate(keys)])

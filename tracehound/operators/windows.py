@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracehound.operators.intervals import count_ahead, distinct_ahead, previous_value, stab_count
+from tracehound.operators.intervals import BLOCK_BITS, count_ahead, distinct_ahead, nearest_value, previous_value, row_blocks, stab_count
 from tracehound.schema import MINUTE, SECOND, is_auth_event, micros
-from tracehound.session import cut_lineage
+from tracehound.session import cut_lineage, intermediate_mark, keep_last
 
 
 def auth_failures(e: DataFrame) -> DataFrame:
@@ -189,116 +187,60 @@ def clock_rollback(events: DataFrame, width: int = 1_000_000) -> DataFrame:
 # --- anchored windows ---------------------------------------------------------------------------------
 
 
-def _hop(times: np.ndarray, home: np.ndarray, width: int) -> np.ndarray:
-    """Index of the first time more than ``width`` after each home time."""
-    return np.searchsorted(times, home + width, side="right")
-
-
-def _links(width: int, block: int, keys: list[str]):
-    """Per block: where a window chain that enters the block leaves it, and which chains start inside."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = int(pdf["_block"].iloc[0])
-        times = np.sort(pdf["us"].to_numpy(np.int64))
-        start, end = b * block, (b + 1) * block
-        i0, i1 = np.searchsorted(times, start), np.searchsorted(times, end)
-        if i0 == i1:
-            return pd.DataFrame(columns=[*keys, "entry", "exit", "root"])
-        home = times[i0:i1]
-        nxt = _hop(times, home, width)
-        cur = nxt.copy()
-        while (inner := cur < i1).any():
-            cur[inner] = nxt[cur[inner] - i0]
-        exits = cur
-        before = np.concatenate(([times[i0 - 1]] if i0 > 0 else [np.iinfo(np.int64).min // 2], home[:-1]))
-        root = home - before > width
-        first_after = np.searchsorted(home, start + width)
-        cand = root.copy()
-        cand[: min(first_after + 1, len(home))] = True
-        out = pd.DataFrame({
-            "entry": home[cand],
-            "exit": pd.array([int(times[x]) if x < len(times) else None for x in exits[cand]], dtype="Int64"),
-            "root": root[cand],
-        })
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, "entry", "exit", "root"]]
-
-    return run
-
-
-def _openers(width: int, block: int, keys: list[str]):
-    """Per block: all window openers reached from the entries into the block."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(pdf.loc[~pdf["_entry"], "us"].to_numpy(np.int64))
-        nxt = _hop(times, times, width)
-        opened = np.zeros(len(times), dtype=bool)
-        for at in np.sort(pdf.loc[pdf["_entry"], "us"].to_numpy(np.int64)):
-            i = int(np.searchsorted(times, at))
-            while i < len(times) and not opened[i]:
-                opened[i] = True
-                i = int(nxt[i])
-        starts = times[opened]
-        pos = np.searchsorted(starts, times, side="right") - 1
-        padded = np.concatenate(([-1], starts))
-        out = pd.DataFrame({"us": times, "window_us": padded[pos + 1]})
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, "us", "window_us"]]
-
-    return run
-
-
-def anchored_windows(
-    e: DataFrame, keys: list[str], minutes: float, us: str = "us", block_windows: int = 8,
-) -> DataFrame:
+def _same(keys: list[str], left: str, right: str) -> Column:
+    """Null-safe equality of (keys, left) with (_keys, right)."""
+    out = F.col(left) == F.col(right)
+    for k in keys:
+        out = out & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return out
+
+
+def successors(times: DataFrame, keys: list[str], width: int, bits: int) -> DataFrame:
+    """(keys, us, to): the first time of the keys more than ``width`` after each distinct time, where there is one.
+
+    Times and the ends of their windows are put in one order; what follows an end is its successor.
+    """
+    home = times.select(*keys, F.col("us").alias("pos"), F.lit(0).alias("is_end"))
+    ends = times.select(*keys, (F.col("us") + width).alias("pos"), F.lit(1).alias("is_end"))
+    blocks = row_blocks(home.unionByName(ends), [*keys, "pos", "is_end"], bits)
+    ahead = nearest_value(blocks, keys, F.when(F.col("is_end") == 0, F.col("pos")), "to", ahead=True)
+    return ahead.where("is_end = 1 AND to IS NOT NULL").select(*keys, (F.col("pos") - width).alias("us"), "to")
+
+
+def anchored_windows(e: DataFrame, keys: list[str], minutes: float, us: str = "us", bits: int = BLOCK_BITS) -> DataFrame:
     """Distinct event times with the start of their window.
 
-    The first event opens a window, events up to ``minutes`` after the opener join it, the next one opens
-    another. The chain of openers is cut into blocks of time: each block is folded alone, the few points
-    where chains cross block borders are linked by doubling joins, and a second pass inside the blocks
-    spreads the result. Without keys the windows run over all events. ``block_windows`` windows make a
-    block: a task sees at most ``block_windows`` + 3 windows of one key, so no
-    default block spans a table; larger blocks save work on very many quiet keys.
+    The first event opens a window, events up to ``minutes`` after the opener join it, the next one opens another.
+    Without keys the windows run over all events. Each time has a successor, the time that would open the next
+    window after it; openers are what the first time reaches. Successors are doubled (2, 4, 8 windows on) until none is
+    left, and openers are filled in from the longest steps to the shortest. Only times that are themselves so many
+    windows behind another are carried from step to step, so the tables shrink as chains run together; there are as many
+    steps as the logarithm of the number of windows. Work is by time and by blocks of 2^bits rows, never by window.
     """
-    width = int(minutes * MINUTE)
-    block = width * max(int(block_windows), 4)
-    spark = e.sparkSession
-    key_types = {f.name: f.dataType.simpleString() for f in e.schema.fields}
-    key_ddl = "".join(f"{k} {key_types[k]}, " for k in keys)
+    spark, width = e.sparkSession, int(minutes * MINUTE)
     times = cut_lineage(e.select(*keys, F.col(us).alias("us")).distinct())
-    home = F.floor(F.col("us") / block).cast("bigint")
-    # a block also sees one window before and two after itself: a point further away opens a window in any case
-    around = times.withColumn(
-        "_block", F.explode(F.sequence(F.floor((F.col("us") - 2 * width) / block).cast("bigint"), F.floor((F.col("us") + width) / block).cast("bigint")))
-    )
-    links = cut_lineage(
-        around.groupBy(*keys, "_block").applyInPandas(
-            _links(width, block, keys), schema=f"{key_ddl}entry BIGINT, exit BIGINT, root BOOLEAN"
-        )
-    )
-    reached = links.where("root").select(*keys, "entry")
-    jump = links.where("exit IS NOT NULL").select(*keys, "entry", "exit")
-    while not jump.isEmpty():
-        landed = reached.join(jump, [*keys, "entry"]).select(*keys, F.col("exit").alias("entry"))
-        reached = cut_lineage(reached.unionByName(landed).distinct())
-        further = jump.select(*keys, F.col("entry").alias("exit"), F.col("exit").alias("_far"))
-        jump = cut_lineage(jump.join(further, [*keys, "exit"]).select(*keys, "entry", F.col("_far").alias("exit")))
-    marked = times.withColumn("_entry", F.lit(False)).unionByName(
-        reached.select(*keys, F.col("entry").alias("us")).withColumn("_entry", F.lit(True))
-    ).withColumn("_block", home)
-    inside = marked.groupBy(*keys, "_block").applyInPandas(
-        _openers(width, block, keys), schema=f"{key_ddl}us BIGINT, window_us BIGINT"
-    )
-    # times before a block's first opener belong to the last opener of the block before it
-    inside = inside.withColumn("_block", home)
-    last = inside.where("window_us >= 0").groupBy(*keys, "_block").agg(F.max("window_us").alias("_carry")).withColumn(
-        "_block", F.col("_block") + 1
-    )
-    return inside.join(last, [*keys, "_block"], "left").select(
-        *keys, "us", F.when(F.col("window_us") >= 0, F.col("window_us")).otherwise(F.col("_carry")).alias("window_us")
-    )
+    first = cut_lineage(times.groupBy(*keys).agg(F.min("us").alias("us")))
+    mark = intermediate_mark()
+    renamed = lambda df, *cols: df.select(*[F.col(k).alias(f"_{k}") for k in keys], *cols)
+
+    def within(jump: DataFrame) -> DataFrame:
+        """Steps from the first times, and from times that a step of this length leads to."""
+        met = renamed(first.unionByName(jump.select(*keys, F.col("to").alias("us"))).distinct(), F.col("us").alias("_met"))
+        return cut_lineage(jump.join(met, _same(keys, "us", "_met"), "left_semi"))
+
+    steps = [within(cut_lineage(successors(times, keys, width, bits)))]
+    while not steps[-1].join(renamed(first, F.col("us").alias("_met")), _same(keys, "us", "_met"), "left_semi").isEmpty():
+        further = renamed(steps[-1], F.col("us").alias("_from"), F.col("to").alias("_far"))
+        steps.append(within(steps[-1].join(further, _same(keys, "to", "_from")).select(*keys, "us", F.col("_far").alias("to"))))
+    openers = first
+    for step in reversed(steps[:-1]):
+        landed = step.join(renamed(openers, F.col("us").alias("_met")), _same(keys, "us", "_met"), "left_semi").select(*keys, F.col("to").alias("us"))
+        openers = cut_lineage(openers.unionByName(landed).distinct())
+    opened = renamed(openers, F.col("us").alias("_met"), F.lit(True).alias("_opens"))
+    marked = times.join(opened, _same(keys, "us", "_met"), "left").select(*keys, "us", F.when(F.col("_opens"), F.col("us")).alias("_opener"))
+    out = cut_lineage(nearest_value(row_blocks(marked, [*keys, "us"], bits), keys, F.col("_opener"), "window_us", ahead=False).select(*keys, "us", "window_us"))
+    keep_last(spark, mark)
+    return out
 
 
 def _failures_in_windows(e: DataFrame, minutes: float) -> DataFrame:

@@ -355,7 +355,7 @@ w(usr, s) AS (SELECT usr, min(us) FROM entries GROUP BY usr UNION ALL SELECT w.u
 SELECT e.usr AS user, e.us, max(w.s) AS window_us FROM (SELECT DISTINCT usr, us FROM entries) e JOIN w ON w.usr = e.usr AND w.s <= e.us GROUP BY 1, 2""")
 def f4b(spark, d):
     e = entries(spark, d).select(F.col("user.name").alias("user"), us().alias("us"))
-    return windows.anchored_windows(e, ["user"], DAY_MINUTES, block_windows=8)
+    return windows.anchored_windows(e, ["user"], DAY_MINUTES)
 
 
 @R.add("f5_bruteforce_chain", _WITH_W + f", {_BFCHAIN} SELECT *, round(least(0.7::DOUBLE + failures / 50, 0.95), 6) AS confidence FROM bfc")

@@ -60,10 +60,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clear_intermediate(spark: SparkSession) -> int:
-    """Delete what this driver wrote through ``shared_path``, once the results are stored; gives the number of paths."""
+def intermediate_mark() -> int:
+    """How many intermediate paths there are so far, for ``clear_intermediate``."""
+    return len(_written)
+
+
+def clear_intermediate(spark: SparkSession, since: int = 0) -> int:
+    """Delete what this driver wrote through ``shared_path`` (after a mark), once nothing reads it any more; gives the number of paths."""
     jvm, n = spark.sparkContext._jvm, 0
-    while _written:
+    while len(_written) > since:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())
         n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
     return n
+
+
+def keep_last(spark: SparkSession, since: int) -> None:
+    """Delete what was written after a mark but for the last path, the result that all else led to."""
+    last = _written.pop()
+    clear_intermediate(spark, since)
+    _written.append(last)
