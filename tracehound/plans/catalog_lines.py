@@ -15,6 +15,7 @@ from tracehound.plans.views import (
     feedback, file_timeline, raw_lines, table, windows_events,
 )
 from tracehound.rules import attacks, dims
+from tracehound.rules.specs import PATTERN_SPECS
 from tracehound.rules.formats import CONTINUATIONS, ENTRY_OPENINGS, LINE_TESTS, RAW, TYPE_NAMES, start_anchored
 from tracehound.session import shared_path
 from tracehound.sources import readers, sinks
@@ -225,9 +226,16 @@ def b2(spark, d):
     return ps.detect_source_type(raw_lines(spark, d), 100, 10)
 
 
-@R.add("b3_forced_type", WITH_L + " SELECT source, line_no, 'Apache' AS line_type FROM raw_lines")
+_FORCED = next(p for types, p, *_ in PATTERN_SPECS if types == ["NGINX"])
+
+
+@R.add("b3_forced_type", WITH_L + f""", {_TYPED} SELECT source, line_no, line_type AS own_type, 'NGINX' AS line_type,
+ CASE WHEN regexp_matches(line, {quoted(_FORCED)}) THEN regexp_extract(line, {quoted(_FORCED)}, 1) END AS f_ip, CASE WHEN regexp_matches(line, {quoted(_FORCED)}) THEN regexp_extract(line, {quoted(_FORCED)}, 5) END AS f_status FROM typed""")
 def b3(spark, d):
-    return ps.parse(raw_lines(spark, d), YEAR, force_type="Apache").select("source", "line_no", "line_type")
+    """Lines of every type read as one; only those that its pattern takes, among them lines of other types, get its fields."""
+    own = ps.line_type(raw_lines(spark, d)).select("source", "line_no", F.col("line_type").alias("own_type"))
+    forced = ps.parse(raw_lines(spark, d), YEAR, force_type="NGINX")
+    return forced.join(own, ["source", "line_no"]).select("source", "line_no", "own_type", "line_type", *[F.when(F.col("parsed"), c).alias(n) for n, c in zip(("f_ip", "f_status"), (F.element_at("fields", F.lit("ip")), F.element_at("fields", F.lit("status"))))])
 
 
 _OPEN = "(" + " OR ".join(f"regexp_matches(line, {quoted(p)})" for p in ENTRY_OPENINGS) + ")"
@@ -309,19 +317,18 @@ def _ex(pattern: str, group: int = 1, line: str = "line") -> str:
     return f"nullif(regexp_extract({line}, {quoted(pattern)}, {group}), '')"
 
 
-@R.add("b8_generic_fields", WITH_L + f"""
-SELECT source, line_no, coalesce({_ex('(?i)SRC[=_]' + _IP)}, {_ex('(?i)from' + chr(92) + 's+' + _IP)}) AS f_src_any, {_ex(_IP)} AS f_ip FROM raw_lines WHERE NOT regexp_matches(line, '(src_ip|ip)[=:]')""")
-def b8(spark, d):
-    df = ps.generic_fields(raw_lines(spark, d)).where("NOT line RLIKE '(src_ip|ip)[=:]'")
-    return df.select("source", "line_no", F.element_at("fields", F.lit("src_ip")).alias("f_src_any"), F.element_at("fields", F.lit("ip")).alias("f_ip"))
-
-
 def _pair(key: str) -> str:
     """SQL of the first pair with a key, in order of the operator's patterns; pairs go before the patterns of single values."""
     found = [f"list_filter(list_zip(regexp_extract_all(line, {quoted(p)}, 1), regexp_extract_all(line, {quoted(p)}, 2)), lambda x: lower(x[1]) = '{key}')" for (p,) in ps.PAIR_PATTERNS]
     return f"list_concat({', '.join(found)})[1][2]"
 
 
+@R.add("b8_generic_fields", WITH_L + f" SELECT source, line_no, coalesce({_pair('src_ip')}, {_ex('(?i)SRC[=_]' + _IP)}, {_ex('(?i)from' + chr(92) + 's+' + _IP)}) AS f_src_any, coalesce({_pair('ip')}, {_ex(_IP)}) AS f_ip FROM raw_lines")
+def b8(spark, d):
+    df = ps.generic_fields(raw_lines(spark, d))
+    return df.select("source", "line_no", F.element_at("fields", F.lit("src_ip")).alias("f_src_any"), F.element_at("fields", F.lit("ip")).alias("f_ip"))
+
+
 @R.add("b8_generic_fields_whole", WITH_L + f"""
 SELECT source, line_no, coalesce({_pair('src_ip')}, {_ex('(?i)SRC[=_]' + _IP)}, {_ex('(?i)from' + chr(92) + 's+' + _IP)}) AS f_src_any, coalesce({_pair('ip')}, {_ex(_IP)}) AS f_ip, {_pair('srcip')} AS f_srcip, {_pair('action')} AS f_action FROM raw_lines""")
 def b8_whole(spark, d):

@@ -96,12 +96,20 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _address() -> Column:
+    """One of eighty addresses by user and event; some users roam and have a new one for each event."""
+    event = F.col("event_id")
+    part = lambda by, of: (F.floor(event / by) % of).cast("string")
+    roaming = F.concat_ws(".", F.lit("10"), (100 + F.floor(event / 40_000) % 150).cast("string"), part(200, 200), part(1, 200))
+    return F.when(F.col("user_id") % 17 == 3, roaming).otherwise(F.concat_ws(".", F.lit("10.0"), (F.col("user_id") % 20).cast("string"), (event % 4).cast("string")))
+
+
 def entries(spark: SparkSession, d: str) -> DataFrame:
     """Entry table over the event stream."""
     ev = _events(spark, d)
     cols = {
         "user": F.concat(F.lit("u"), F.col("user_id").cast("string")),
-        "ip": F.concat_ws(".", F.lit("10.0"), (F.col("user_id") % 20).cast("string"), (F.col("event_id") % 4).cast("string")),
+        "ip": _address(),
         "port": (F.lit(1000) + F.col("k")).cast("string"),
     }
     kind = F.col("event_id") % 5
@@ -141,8 +149,12 @@ def entries(spark: SparkSession, d: str) -> DataFrame:
 
 
 _SQL_COLS = {
-    "user": "'u' || user_id", "ip": "'10.0.' || (user_id % 20) || '.' || (event_id % 4)", "port": "(1000 + k)::VARCHAR",
+    "user": "'u' || user_id", "port": "(1000 + k)::VARCHAR",
+    "ip": "CASE WHEN user_id % 17 = 3 THEN '10.' || (100 + event_id // 40000 % 150) || '.' || (event_id // 200 % 200) || '.' || (event_id % 200) ELSE '10.0.' || (user_id % 20) || '.' || (event_id % 4) END",
 }
+_SQL_COLS["ip"] = f"({_SQL_COLS['ip']})"
+#: Addresses of the raw lines; all their users stay at one.
+_LINE_IP = "'10.0.' || (user_id % 20) || '.' || (event_id % 4)"
 
 EVENTS_SQL = """ev AS (
   SELECT event_id, user_id, event_type, value, ts, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)"""
@@ -195,7 +207,7 @@ _LINE_COLS = {
     "sys": "strftime(ts, '%b %d %H:%M:%S')", "iso": "strftime(ts, '%Y-%m-%d %H:%M:%S')",
     "isot": "strftime(ts, '%Y-%m-%dT%H:%M:%S')", "clf": "strftime(ts, '%d/%b/%Y:%H:%M:%S')",
     "day": "strftime(ts, '%Y-%m-%d')", "time": "strftime(ts, '%H:%M:%S')",
-    "user": "'u' || user_id", "ip": _SQL_COLS["ip"], "port": "(1000 + k)::VARCHAR", "k": "k::VARCHAR",
+    "user": "'u' || user_id", "ip": _LINE_IP, "port": "(1000 + k)::VARCHAR", "k": "k::VARCHAR",
     "pid": "(event_id % 9000 + 1000)::VARCHAR", "code": "(k + 1000)::VARCHAR",
     "status": "CASE event_type WHEN 'error' THEN '500' WHEN 'click' THEN '404' ELSE '200' END",
     "bytes": "floor(value * 100)::BIGINT::VARCHAR",
@@ -290,7 +302,9 @@ def journal(spark: SparkSession, d: str) -> DataFrame:
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("usn"),
         F.col("l_orderkey").alias("file_ref"), F.col("l_suppkey").alias("parent_ref"),
         _shift(F.col("l_shipdate").cast("timestamp"), F.col("l_linenumber") * 3600).alias("ts"),
-        reason.alias("reason"), file_name(F.col("l_orderkey")).alias("file_name"),
+        reason.alias("reason"),
+        # some files were only ever written under another name
+        F.when(F.col("l_orderkey") % 41 == 0, F.concat(F.lit("part"), F.col("l_orderkey").cast("string"), F.lit(".tmp"))).otherwise(file_name(F.col("l_orderkey"))).alias("file_name"),
     )
 
 
@@ -298,7 +312,7 @@ JOURNAL_SQL = f"""usn AS (
   SELECT (l_orderkey % 3)::INTEGER AS partition, l_orderkey * 10 + l_linenumber AS usn, l_orderkey AS file_ref,
     epoch_us(l_shipdate) + l_linenumber::BIGINT * 3600000000 AS us,
     CASE l_returnflag WHEN 'N' THEN 256::BIGINT WHEN 'R' THEN 3 ELSE 2147491840 END
-      + CASE l_linestatus WHEN 'F' THEN 16 ELSE 0 END AS reason, {_sql_name('l_orderkey')} AS file_name FROM lineitem)"""
+      + CASE l_linestatus WHEN 'F' THEN 16 ELSE 0 END AS reason, CASE WHEN l_orderkey % 41 = 0 THEN 'part' || l_orderkey || '.tmp' ELSE {_sql_name('l_orderkey')} END AS file_name FROM lineitem)"""
 
 
 def transaction_log(spark: SparkSession, d: str) -> DataFrame:
