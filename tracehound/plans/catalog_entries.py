@@ -654,16 +654,20 @@ def r10(spark, d):
 _CFG = detect.DetectionConfig(bruteforce_n=3, bruteforce_minutes=WEEK_MINUTES, spray_n=3, spray_minutes=DAY_MINUTES, success_n=3, success_minutes=WEEK_MINUTES, privilege_more_than=10)
 
 
-@R.add("r11_run_detections", WITH_T + f", {_PROFILE}, {_FAILS}" + f""",
+_RUN = f""", {_PROFILE}, {_FAILS},
 f1 AS (SELECT a.ip, a.user, a.us, count(*) AS n FROM (SELECT DISTINCT ip, user, us FROM f) a JOIN f b ON a.ip = b.ip AND a.user = b.user AND b.us BETWEEN a.us AND a.us + {WEEK_US} GROUP BY ALL HAVING count(*) >= 3),
 f2 AS (SELECT a.ip, a.us, count(DISTINCT b.user) AS n FROM (SELECT DISTINCT ip, us FROM f) a JOIN f b ON a.ip = b.ip AND b.us BETWEEN a.us AND a.us + {DAY_US} GROUP BY ALL HAVING count(DISTINCT b.user) >= 3),
 s AS (SELECT id, usr, us FROM entries WHERE outcome = 'success' AND is_auth),
-f3 AS (SELECT s.id, count(*) AS n FROM s JOIN f ON s.usr = f.user AND f.us < s.us AND f.us >= s.us - {WEEK_US} GROUP BY s.id HAVING count(*) >= 3)
-SELECT type, count(*) AS alerts, sum(hits)::BIGINT AS hits FROM (
- SELECT 'bruteforce' AS type, arg_min(n, us) AS hits FROM f1 GROUP BY ip, user UNION ALL SELECT 'password_spray', arg_min(n, us) FROM f2 GROUP BY ip UNION ALL SELECT 'suspicious_activity', n FROM f3
- UNION ALL SELECT 'privilege_escalation', count(*) FROM entries WHERE action = 'sudo' GROUP BY usr HAVING count(*) > 10 UNION ALL SELECT 'port_scan', ports FROM p WHERE ports >= 10
- UNION ALL SELECT 'bruteforce', failures FROM p WHERE failures >= 5 UNION ALL SELECT 'credential_stuffing', users FROM p WHERE users >= 3 AND failures >= 5
- UNION ALL SELECT attack_type, 1 FROM t WHERE attack_type <> 'safe') GROUP BY type""")
+f3 AS (SELECT s.id, s.usr, count(*) AS n FROM s JOIN f ON s.usr = f.user AND f.us < s.us AND f.us >= s.us - {WEEK_US} GROUP BY s.id, s.usr HAVING count(*) >= 3),
+alerts AS (SELECT 'bruteforce' AS type, ip, user, arg_min(n, us) AS hits FROM f1 GROUP BY ip, user UNION ALL SELECT 'password_spray', ip, '', arg_min(n, us) FROM f2 GROUP BY ip UNION ALL SELECT 'suspicious_activity', '', usr, n FROM f3
+ UNION ALL SELECT 'privilege_escalation', '', usr, count(*) FROM entries WHERE action = 'sudo' GROUP BY usr HAVING count(*) > 10 UNION ALL SELECT 'port_scan', ip, '', ports FROM p WHERE ports >= 10
+ UNION ALL SELECT 'bruteforce', ip, '', failures FROM p WHERE failures >= 5 UNION ALL SELECT 'credential_stuffing', ip, '', users FROM p WHERE users >= 3 AND failures >= 5)"""
+#: Configuration and twin of the job over entries without tags: a row per alert.
+DETECTIONS, DETECTIONS_SQL = _CFG, WITH_E + _RUN + " SELECT type, ip, user, hits::BIGINT AS hits FROM alerts"
+
+
+@R.add("r11_run_detections", WITH_T + _RUN + """
+SELECT type, count(*) AS alerts, sum(hits)::BIGINT AS hits FROM (SELECT type, hits FROM alerts UNION ALL SELECT attack_type, 1 FROM t WHERE attack_type <> 'safe') GROUP BY type""")
 def r11(spark, d):
     return detect.run_detections(entries(spark, d), _CFG, tagged(spark, d)).groupBy("type").agg(F.count("*").alias("alerts"), F.sum("hits").alias("hits"))
 

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracehound.operators import learn
-from tracehound.operators.detect import DetectionConfig
 from tracehound.plans import views as v
-from tracehound.plans.catalog_entries import WITH_E, WITH_T, tagged, us, versions
+from tracehound.plans.catalog_entries import DETECTIONS, DETECTIONS_SQL, WITH_E, WITH_T, tagged, us, versions
 from tracehound.plans.registry import Registry, quoted
 from tracehound.plans.views import ENTRIES_SQL, FEEDBACK_SQL, entries, feedback
 from tracehound.rules import attacks
@@ -232,11 +231,20 @@ def s1(spark, d):
     return st.run_available(tag_keywords(stream_entries(spark, d)).select("id", "attack_type", "attack_confidence", "severity"), name="s1")
 
 
-@R.add("s2_batch_detections", WITH_E + "SELECT 1::BIGINT AS batches, count(*) AS entries, count(*) FILTER (outcome = 'failure') AS failures FROM entries")
+@R.add("s2_batch_detections", DETECTIONS_SQL)
 def s2(spark, d):
+    """The whole table as one micro-batch, so its alerts are those of the batch job; tests run several."""
     folder = st.work_folder(spark, "s2")
-    cfg = DetectionConfig(bruteforce_n=3, bruteforce_minutes=7 * 24 * 60, spray_n=3, spray_minutes=24 * 60)
-    q = stream_entries(spark, d).writeStream.foreachBatch(st.detect_batches(folder, cfg)).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q = stream_entries(spark, d).writeStream.foreachBatch(st.detect_batches(folder, DETECTIONS)).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{folder}/alerts").select("type", F.coalesce("source_ip", F.lit("")).alias("ip"), F.coalesce("target_user", F.lit("")).alias("user"), "hits")
+
+
+@R.add("s2_running_totals", WITH_E + "SELECT 4::BIGINT AS batches, count(*) AS entries, count(*) FILTER (outcome = 'failure') AS failures FROM entries")
+def s2_totals(spark, d):
+    folder = st.work_folder(spark, "s2t")
+    stream = st.replayed(entries(spark, d), 4)
+    q = stream.writeStream.foreachBatch(st.detect_batches(folder, DETECTIONS)).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return st.running_totals(spark, folder)
 
@@ -249,10 +257,8 @@ g AS (SELECT ip, (us // {_DAY}) AS w, count(*) AS events, count(*) FILTER (outco
 SELECT ip, w * {_DAY} AS start_us, type, hits FROM (SELECT ip, w, 'burst' AS type, events AS hits FROM g WHERE events >= 3 UNION ALL SELECT ip, w, 'bruteforce', failures FROM g WHERE failures >= 2
  UNION ALL SELECT ip, w, 'password_spray', users FROM g WHERE users >= 2 UNION ALL SELECT ip, w, 'port_scan', ports FROM g WHERE ports >= 2)""")
 def s3(spark, d):
-    a = st.window_alerts(stream_entries(spark, d), "1 day", "1 day", "1 day", failures=2, users=2, ports=2, events=3)
-    # in update mode the windows that are open at the end of the run are there too; the newest row of a window counts
-    out = st.run_available(a, "update", "s3").groupBy("ip", "window_start", "type").agg(F.max_by("hits", "_batch").alias("hits"))
-    return out.select("ip", us("window_start").alias("start_us"), "type", "hits")
+    counts = st.run_available(st.window_counts(stream_entries(spark, d), "1 day", "1 day", "1 day"), "update", "s3")
+    return st.alerts_of(counts, failures=2, users=2, ports=2, events=3).select("ip", us("window_start").alias("start_us"), "type", "hits")
 
 
 _H6 = 6 * 3600 * 1_000_000
@@ -275,6 +281,6 @@ def s5(spark, d):
 
 @R.add("s6_drop_resent", WITH_E + "SELECT id, outcome FROM entries")
 def s6(spark, d):
-    e = stream_entries(spark, d).select("id", "ts", "outcome")
-    twice = e.withColumn("_n", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_n")
-    return st.run_available(st.drop_resent(twice).select("id", "outcome"), name="s6")
+    """Four micro-batches by time, each with all rows of the one before sent again."""
+    stream = st.replayed(entries(spark, d).select("id", "ts", "outcome"), 4, again=1)
+    return st.run_available(st.drop_resent(stream, "60 days").select("id", "outcome"), name="s6")
