@@ -169,3 +169,30 @@ def test_catalogue_against_duckdb(spark, sf, name):
     from oracle_check import compare, connect
 
     assert compare(entry.queries()[name](spark, sf).toPandas(), connect(sf).execute(entry.oracle_sql()[name]).df()) is None
+
+
+def test_vocabulary_over_words_and_pairs_together(spark):
+    from tracehound.operators import learn
+
+    rows = [(1, "The cat sat, the cat ran"), (2, "the cat sat"), (3, "a dog sat on the cat"), (4, "nothing else")]
+    df = spark.createDataFrame(rows, "id BIGINT, message STRING")
+    got = [(r.term, r.n, r.docs) for r in learn.vocabulary(df, "id", 4, max_df=0.8).collect()]
+    assert got == [("cat", 4, 3), ("the", 4, 3), ("the cat", 4, 3), ("sat", 3, 3)]
+    assert [r.term for r in learn.vocabulary(df, "id", 9, max_df=0.5).collect()] == ["cat sat"]
+    assert learn.vocabulary(df.limit(0), "id").count() == 0
+
+
+def test_cut_off_of_a_sketch(spark):
+    from tracehound.operators import isolation
+
+    scored = spark.range(50_000).select((F.col("id") / 50_000).alias("raw_score"))
+    for share in (0.01, 0.05, 0.3):
+        cut, sketch = isolation.cut_off(scored, share)
+        assert abs(scored.where(F.col("raw_score") > cut).count() / 50_000 - share) < 0.002 and sketch
+    # Rows are scored once: the frame that comes back reads what was written.
+    wide = spark.range(600).select(F.col("id"), (F.col("id") % 17).cast("double").alias("a"), F.when(F.col("id") < 3, 99.0).otherwise((F.col("id") % 5).cast("double")).alias("b"))
+    forest, out = isolation.fit_score(wide, ["a", "b"], "id", 0.05)
+    assert "Python" not in out._jdf.queryExecution().toString()
+    assert {0, 1, 2} <= {r.id for r in out.where("is_anomaly").collect()} and abs(out.where("is_anomaly").count() / 600 - 0.05) < 0.02
+    assert forest.threshold == isolation.fit(wide, ["a", "b"], "id", 0.05).threshold
+    assert isolation.fit_score(wide.limit(5), ["a", "b"], "id", 0.05) is None

@@ -6,13 +6,15 @@ has at most trees * 2 * size nodes, which is the proven bound of what is shipped
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracehound.session import cut_lineage
+
 TREE_DDL = "tree INT, node INT, feature INT, cut DOUBLE, low INT, high INT, size INT"
 
 
@@ -54,14 +56,47 @@ class Forest:
     size: int
     n_trees: int
     threshold: float
+    #: Quantile sketch of the scores of the rows it was fitted on; others merge with it or ask it for another share.
+    sketch: bytes | None = None
 
     def score(self, df: DataFrame) -> DataFrame:
         """Adds ``raw_score`` (higher is stranger), ``decision`` (below 0 is an anomaly) and ``is_anomaly``."""
         return score(df, self)
 
 
-def fit(df: DataFrame, features: list[str], id_col: str, contamination: float, n_trees: int = 100, size: int = 256, seed: int = 42, least: int = 10) -> Forest | None:
-    """Forest over the feature columns; None below ``least`` rows.
+#: Size of the quantile sketch: the rank of a quantile is off by some 0.1 % of the rows.
+SKETCH = 4096
+
+
+def cut_off(scored: DataFrame, contamination: float) -> tuple[float, bytes]:
+    """The score that a share of the rows lies above, from a mergeable sketch of all scores, and the sketch."""
+    made = scored.agg(F.kll_sketch_agg_double("raw_score", F.lit(SKETCH)).alias("s"))
+    row = made.select("s", F.kll_sketch_get_quantile_double("s", F.lit(1.0 - contamination)).alias("q")).first()
+    return float(row["q"]), bytes(row["s"])
+
+
+def fit_score(df: DataFrame, features: list[str], id_col: str, contamination: float, **options) -> tuple[Forest, DataFrame] | None:
+    """A forest and the same rows with their scores, which are computed once and written; None below ``least`` rows."""
+    forest = grow(df, features, id_col, **options)
+    if forest is None:
+        return None
+    scored = cut_lineage(raw_scores(df, forest))
+    threshold, sketch = cut_off(scored, contamination)
+    fitted = replace(forest, threshold=threshold, sketch=sketch)
+    return fitted, flagged(scored, fitted)
+
+
+def fit(df: DataFrame, features: list[str], id_col: str, contamination: float, **options) -> Forest | None:
+    """Forest over the feature columns, its threshold from the scores of these rows; None below ``least`` rows."""
+    forest = grow(df, features, id_col, **options)
+    if forest is None:
+        return None
+    threshold, sketch = cut_off(raw_scores(df, forest).select("raw_score"), contamination)
+    return replace(forest, threshold=threshold, sketch=sketch)
+
+
+def grow(df: DataFrame, features: list[str], id_col: str, n_trees: int = 100, size: int = 256, seed: int = 42, least: int = 10) -> Forest | None:
+    """Forest without a threshold; None below ``least`` rows.
 
     Rows are sampled by a hash of their id, so the same data gives the same trees in any partitioning.
     """
@@ -89,19 +124,25 @@ def fit(df: DataFrame, features: list[str], id_col: str, contamination: float, n
     trees = placed.groupBy("tree").applyInPandas(build, TREE_DDL)
     # bounded by trees * 2 * size rows; kept as plain rows so that scoring and saving use the same forest
     frozen = df.sparkSession.createDataFrame(trees.toPandas(), TREE_DDL)
-    forest = Forest(features, frozen, min(size, total), n_trees, 0.0)
-    cut = score(df, forest).agg(F.percentile_approx("raw_score", F.lit(1.0 - contamination), F.lit(100_000)).alias("q")).first()["q"]
-    return Forest(features, frozen, min(size, total), n_trees, float(cut))
+    return Forest(features, frozen, min(size, total), n_trees, 0.0)
 
 
 def score(df: DataFrame, forest: Forest) -> DataFrame:
+    return flagged(raw_scores(df, forest), forest)
+
+
+def flagged(scored: DataFrame, forest: Forest) -> DataFrame:
+    return scored.withColumn("decision", F.lit(forest.threshold) - F.col("raw_score")).withColumn("is_anomaly", F.col("decision") < 0)
+
+
+def raw_scores(df: DataFrame, forest: Forest) -> DataFrame:
     """Scores by walking each batch of rows through all trees at once."""
     nodes = forest.trees.toPandas()
     arrays = []
     for _, t in nodes.groupby("tree", sort=True):
         t = t.sort_values("node")
         arrays.append((t["feature"].to_numpy(), t["cut"].to_numpy(), t["low"].to_numpy(), t["high"].to_numpy(), average_path(t["size"].to_numpy())))
-    norm, features, threshold = float(average_path(float(forest.size))) or 1.0, forest.features, forest.threshold
+    norm, features = float(average_path(float(forest.size))) or 1.0, forest.features
     shipped = df.sparkSession.sparkContext.broadcast(arrays)
 
     def walk(*cols: pd.Series) -> pd.Series:
@@ -122,8 +163,7 @@ def score(df: DataFrame, forest: Forest) -> DataFrame:
         return pd.Series(np.power(2.0, -total / len(shipped.value) / norm))
 
     run = F.pandas_udf(walk, "double")
-    out = df.withColumn("raw_score", run(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]))
-    return out.withColumn("decision", F.lit(threshold) - F.col("raw_score")).withColumn("is_anomaly", F.col("decision") < 0)
+    return df.withColumn("raw_score", run(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]))
 
 
 def anomaly_score(decision: Column) -> Column:

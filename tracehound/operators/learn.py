@@ -8,7 +8,7 @@ from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import (
-    IDF, CountVectorizer, IndexToString, NGram, OneHotEncoder, RegexTokenizer, StandardScaler, StringIndexer, VectorAssembler,
+    IDF, CountVectorizer, CountVectorizerModel, IndexToString, NGram, OneHotEncoder, RegexTokenizer, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -27,8 +27,9 @@ from tracehound.schema import MINUTE, micros
 
 
 def stratified_split(df: DataFrame, label: str, id_col: str, test_share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Train and test rows, the same share of every label, decided per row by a hash of its id."""
-    u = F.pmod(F.xxhash64(F.col(id_col), F.col(label), F.lit(seed)), F.lit(10_000))
+    """Train and test rows, the same share of every label, decided per row by a hash of its id (MD5, which other engines state too)."""
+    key = F.concat_ws(":", F.lit(str(seed)), F.col(label), F.col(id_col).cast("string"))
+    u = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") % 10_000
     cut = int(test_share * 10_000)
     return df.where(u >= cut), df.where(u < cut)
 
@@ -41,17 +42,32 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
     return df.join(counts.withColumn("weight", t / (k * F.col("_n"))).drop("_n"), label)
 
 
-def text_stages(vocabulary: int = 500, grams: int = 2, min_df: float = 2.0, max_df: float = 0.95) -> list:
-    """Words and word sequences up to ``grams``, counted and weighted by rarity."""
+def gram_stages(grams: int = 2) -> list:
+    """Words of two characters or more, and sequences of up to ``grams`` of them, in one column ``grams``."""
     stages = [RegexTokenizer(inputCol="message", outputCol="w1", pattern=r"\w\w+", gaps=False)]
     stages += [NGram(n=n, inputCol="w1", outputCol=f"w{n}") for n in range(2, grams + 1)]
-    counted = []
-    for n in range(1, grams + 1):
-        stages.append(CountVectorizer(inputCol=f"w{n}", outputCol=f"c{n}", vocabSize=max(vocabulary // grams, 1), minDF=min_df, maxDF=max_df))
-        counted.append(f"c{n}")
-    stages.append(VectorAssembler(inputCols=counted, outputCol="counts"))
-    stages.append(IDF(inputCol="counts", outputCol="text_features"))
-    return stages
+    every = ", ".join(f"w{n}" for n in range(1, grams + 1))
+    return [*stages, SQLTransformer(statement=f"SELECT *, concat({every}) AS grams FROM __THIS__")]
+
+
+def vocabulary(df: DataFrame, id_col: str, size: int = 500, grams: int = 2, min_df: float = 2, max_df: float = 0.95) -> DataFrame:
+    """(term, n, docs): the ``size`` most frequent terms over words and sequences together, ties by term.
+
+    Terms stand in ``min_df`` rows or more and in ``max_df`` of all rows at most. Counted by row first, so a term of a long
+    text is one row before the shuffle; of each task only its own ``size`` best are ever compared.
+    """
+    rows = Pipeline(stages=gram_stages(grams)).fit(df).transform(df)
+    each = rows.select(F.col(id_col).alias("_id"), F.explode("grams").alias("term")).groupBy("_id", "term").agg(F.count("*").alias("c"))
+    total = df.agg(F.count("*").alias("n")).scalar()
+    counts = each.groupBy("term").agg(F.sum("c").alias("n"), F.count("*").alias("docs"))
+    kept = counts.where((F.col("docs") >= min_df) & (F.col("docs") <= F.lit(max_df) * total))
+    return kept.orderBy(F.desc("n"), "term").limit(size)
+
+
+def text_stages(terms: list[str], grams: int = 2) -> list:
+    """Words and word sequences counted over a vocabulary of all of them, and weighted by rarity."""
+    counter = CountVectorizerModel.from_vocabulary(terms, inputCol="grams", outputCol="counts")
+    return [*gram_stages(grams), counter, IDF(inputCol="counts", outputCol="text_features")]
 
 
 @dataclass
@@ -81,13 +97,16 @@ def _scores(pred: DataFrame) -> tuple[float, float]:
     return ev.evaluate(pred, {ev.metricName: "accuracy"}), ev.evaluate(pred, {ev.metricName: "f1"})
 
 
-def train_text(df: DataFrame, id_col: str, vectorizer: PipelineModel | None = None, grams: int = 2, reg: float = 0.01, iterations: int = 50, features: str = "text_features", extra: list | None = None, vocabulary: int = 500) -> TextModel:
+def train_text(df: DataFrame, id_col: str, vectorizer: PipelineModel | None = None, grams: int = 2, reg: float = 0.01, iterations: int = 50, features: str = "text_features", extra: list | None = None, size: int = 500) -> TextModel:
     """Text classifier over (id, message, attack_type), balanced classes, stratified 80/20 split.
 
     With a given vectorizer the vocabulary is shared and only the classifier is fitted.
     """
     train, test = stratified_split(df, "attack_type", id_col)
-    vec = vectorizer or Pipeline(stages=text_stages(vocabulary, grams) + (extra or [])).fit(train)
+    vec = vectorizer
+    if vec is None:
+        terms = [r["term"] for r in vocabulary(train, id_col, size, grams).collect()]  # `size` terms at most
+        vec = Pipeline(stages=text_stages(terms, grams) + (extra or [])).fit(train)
     clf = _classifier(features, reg, iterations).fit(vec.transform(balanced(train, "attack_type")))
     accuracy, f1 = _scores(clf.transform(vec.transform(test)))
     return TextModel(vec, clf, accuracy, f1)
@@ -173,8 +192,8 @@ def evaluate(pred: DataFrame) -> DataFrame:
 def anomalies(e: DataFrame, contamination: float = 0.1, least: int = 10) -> DataFrame | None:
     """Behaviour outliers over the seven behaviour features; None below ``least`` entries."""
     rows = behaviour_features(e)
-    forest = isolation.fit(rows, BEHAVIOUR_FEATURES, "id", contamination, least=least)
-    return None if forest is None else forest.score(rows)
+    made = isolation.fit_score(rows, BEHAVIOUR_FEATURES, "id", contamination, least=least)
+    return None if made is None else made[1]
 
 
 @dataclass
@@ -188,14 +207,14 @@ class Baseline:
 
     def save(self, path: str) -> None:
         self.encoder.write().overwrite().save(f"{path}/encoder")
-        meta = self.forest.trees.sparkSession.createDataFrame([(self.forest.features, self.forest.size, self.forest.n_trees, self.forest.threshold)], "features ARRAY<STRING>, size INT, n_trees INT, threshold DOUBLE")
+        meta = self.forest.trees.sparkSession.createDataFrame([(self.forest.features, self.forest.size, self.forest.n_trees, self.forest.threshold, bytearray(self.forest.sketch or b""))], "features ARRAY<STRING>, size INT, n_trees INT, threshold DOUBLE, sketch BINARY")
         self.forest.trees.write.mode("overwrite").parquet(f"{path}/trees")
         meta.write.mode("overwrite").parquet(f"{path}/meta")
 
     @staticmethod
     def load(spark, path: str) -> "Baseline":
         m = spark.read.parquet(f"{path}/meta").first()
-        forest = isolation.Forest(list(m["features"]), spark.read.parquet(f"{path}/trees"), m["size"], m["n_trees"], m["threshold"])
+        forest = isolation.Forest(list(m["features"]), spark.read.parquet(f"{path}/trees"), m["size"], m["n_trees"], m["threshold"], bytes(m["sketch"]))
         return Baseline(PipelineModel.load(f"{path}/encoder"), forest)
 
 

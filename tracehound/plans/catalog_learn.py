@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracehound.functions.features import attack_features
 from tracehound.operators import learn
 from tracehound.plans import views as v
 from tracehound.plans.catalog_entries import DETECTIONS, DETECTIONS_SQL, WITH_E, WITH_T, tagged, us, versions
@@ -23,43 +24,82 @@ def labelled(spark, d):
     return docs.join(labels, "doc_id").select("doc_id", F.col("text").alias("message"), kind.alias("attack_type"), F.col("lang").alias("category"), F.col("lang").alias("log_type"))
 
 
-def _score(spark, models):
-    return spark.createDataFrame([(n, float(m.accuracy), float(m.f1)) for n, m in models.items()], "model STRING, accuracy DOUBLE, f1 DOUBLE")
+LABELLED_SQL = """lab AS (SELECT doc_id, text AS message, lang AS category, CASE WHEN toxic = 1 THEN 'spam_activity' WHEN quality = 1 THEN 'normal' ELSE 'anomaly' END AS attack_type FROM documents JOIN labels USING (doc_id)),
+sp AS (SELECT *, CAST('0x' || substr(md5('42:' || attack_type || ':' || doc_id), 1, 8) AS BIGINT) % 10000 < 2000 AS test FROM lab)"""
+#: What holds of a model and of the rows it was made from; that it does better than the commonest label is for the operator to show.
+_FACTS = "count(*) FILTER (NOT test) AS train_rows, count(*) FILTER (test) AS test_rows, count(DISTINCT attack_type) AS classes, true AS learned FROM sp"
 
 
-@R.add("l1_train_text")
+def _facts(df, models, column=None):
+    """Rows and classes behind each model, and whether its weighted F1 beats the answer that is always the commonest label.
+
+    Of models by column, with a handful of test rows each, only that they get some right is asked.
+    """
+    train, test = (part.withColumn("test", F.lit(k)) for k, part in enumerate(learn.stratified_split(df, "attack_type", "doc_id")))
+    rows = train.unionByName(test).withColumn("model", F.lit(next(iter(models))) if column is None else F.col(column))
+    by_class = rows.where("test = 1").groupBy("model", "attack_type").agg(F.count("*").alias("n"))
+    # The F1 of one answer for all: 2p / (1 + p) for its own label, weighted by p.
+    common = by_class.groupBy("model").agg((F.max("n") / F.sum("n")).alias("p")).withColumn("floor", 2 * F.col("p") * F.col("p") / (1 + F.col("p")))
+    scores = df.sparkSession.createDataFrame([(n, float(m.f1)) for n, m in models.items()], "model STRING, f1 DOUBLE")
+    counts = rows.groupBy("model").agg(F.count_if(F.col("test") == 0).alias("train_rows"), F.count_if(F.col("test") == 1).alias("test_rows"), F.countDistinct("attack_type").alias("classes"))
+    return scores.join(counts, "model").join(common, "model").select("model", "train_rows", "test_rows", "classes", (F.col("f1") > (F.col("floor") if column is None else 0)).alias("learned"))
+
+
+_VOC = f"""WITH {LABELLED_SQL}, w AS (SELECT doc_id, regexp_extract_all(lower(message), '\\w\\w+') AS w FROM lab),
+g AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w),
+c AS (SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM g GROUP BY 1)
+SELECT term, n, docs FROM c WHERE docs >= 2 AND docs <= 0.95::DOUBLE * (SELECT count(*) FROM lab) ORDER BY n DESC, term LIMIT 500"""
+
+
+@R.add("l1_vocabulary", _VOC)
+def l1_vocabulary(spark, d):
+    return learn.vocabulary(labelled(spark, d), "doc_id")
+
+
+@R.add("l1_train_text", f"WITH {LABELLED_SQL} SELECT 'base' AS model, {_FACTS}")
 def l1(spark, d):
-    return _score(spark, {"base": learn.train_text(labelled(spark, d), "doc_id", iterations=20)})
+    df = labelled(spark, d)
+    return _facts(df, {"base": learn.train_text(df, "doc_id", iterations=20)})
 
 
-@R.add("l2_train_by_category")
+_BY = f"WITH {LABELLED_SQL} SELECT category AS model, {_FACTS} GROUP BY 1 HAVING count(*) >= 20 AND count(DISTINCT attack_type) > 1"
+
+
+@R.add("l2_train_by_category", _BY)
 def l2(spark, d):
     df = labelled(spark, d)
-    return _score(spark, learn.train_by_category(df, "doc_id", "category", learn.train_text(df, "doc_id", iterations=20)))
+    return _facts(df, learn.train_by_category(df, "doc_id", "category", learn.train_text(df, "doc_id", iterations=20)), "category")
 
 
-@R.add("l3_train_unified")
+@R.add("l3_train_unified", f"WITH {LABELLED_SQL} SELECT 'unified' AS model, {_FACTS}")
 def l3(spark, d):
-    return _score(spark, {"unified": learn.train_unified(labelled(spark, d), "doc_id")})
+    df = labelled(spark, d)
+    return _facts(df, {"unified": learn.train_unified(df, "doc_id")})
 
 
-@R.add("l4_train_by_log_type")
+@R.add("l4_train_by_log_type", _BY)
 def l4(spark, d):
     df = labelled(spark, d)
-    return _score(spark, learn.train_by_log_type(df, "doc_id", learn.train_text(df, "doc_id", iterations=20)))
+    return _facts(df, learn.train_by_log_type(df, "doc_id", learn.train_text(df, "doc_id", iterations=20)), "log_type")
 
 
-@R.add("l5_train_features")
+@R.add("l5_train_features", WITH_T + "SELECT attack_type, count(*) AS rows, true AS known FROM t GROUP BY 1")
 def l5(spark, d):
-    model, accuracy = learn.train_features(tagged(spark, d), folds=2, trees=10, depth=5)
-    return spark.createDataFrame([("features", accuracy, len(model.stages))], "model STRING, accuracy DOUBLE, stages INT")
+    """Rows by class, and whether the cross-validated model gives more than half of the class its own name."""
+    rows = tagged(spark, d)
+    model, _ = learn.train_features(rows, folds=2, trees=10, depth=5)
+    named = learn.decode(model.transform(attack_features(rows)), model)
+    return named.groupBy("attack_type").agg(F.count("*").alias("rows"), (F.avg(F.when(F.col("predicted") == F.col("attack_type"), 1.0).otherwise(0.0)) > 0.5).alias("known"))
 
 
-@R.add("l6_predict")
+@R.add("l6_predict", f"WITH {LABELLED_SQL} SELECT doc_id, true AS consistent FROM lab")
 def l6(spark, d):
+    """One prediction for each row: a label of the model, an attack exactly where it is one with enough confidence."""
     df = labelled(spark, d)
     m = learn.train_text(df, "doc_id", iterations=20)
-    return learn.predict(m.classifier.transform(m.vectorizer.transform(df)), m.classifier).select("doc_id", "predicted", F.round("confidence", 4).alias("confidence"), "is_attack")
+    out = learn.predict(m.classifier.transform(m.vectorizer.transform(df)), m.classifier)
+    attack = (F.col("predicted") != "normal") & (F.col("confidence") >= 0.3)
+    return out.select("doc_id", (F.col("predicted").isin(*learn.label_names(m.classifier)) & F.col("confidence").between(1 / 3 - 1e-9, 1) & (F.col("is_attack") == attack)).alias("consistent"))
 
 
 _REPORT = """r AS (SELECT quality::DOUBLE AS class, count(*) AS support, count(*) FILTER (quality = toxic) AS hits FROM labels GROUP BY 1), p AS (SELECT toxic::DOUBLE AS class, count(*) AS claimed FROM labels GROUP BY 1),
@@ -80,25 +120,49 @@ def l7b(spark, d):
     return learn.evaluate(_pairs(spark, d)).select(F.round("accuracy", 6).alias("accuracy"), F.round("weighted_f1", 6).alias("weighted_f1"), "rows")
 
 
-@R.add("l8_anomalies")
+def _share(scored, contamination):
+    """Rows, and whether the share of anomalies is within a hundredth of the contamination."""
+    share = F.avg(F.when(F.col("is_anomaly"), 1.0).otherwise(0.0))
+    return scored.agg(F.count("*").alias("rows"), (F.abs(share - contamination) < 0.01).alias("share_as_asked"))
+
+
+@R.add("l8_anomalies", WITH_E + "SELECT id, severity = 'critical' AS critical FROM entries")
 def l8(spark, d):
-    return learn.anomalies(entries(spark, d)).select("id", F.round("raw_score", 6).alias("raw_score"), "is_anomaly")
+    """All entries with their score; which are anomalies is up to the forest, `l8_share` checks how many."""
+    scored = learn.anomalies(entries(spark, d))
+    return scored.where("raw_score BETWEEN 0 AND 1 AND is_anomaly = (decision < 0)").select("id", (F.col("severity") == "critical").alias("critical"))
+
+
+@R.add("l8_share", WITH_E + "SELECT count(*) AS rows, true AS share_as_asked, true AS critical_stand_out FROM entries")
+def l8_share(spark, d):
+    """The share of anomalies, and that critical entries, the rarest kind, score higher than others in the mean."""
+    scored = learn.anomalies(entries(spark, d))
+    critical = F.col("severity") == "critical"
+    means = scored.agg((F.avg(F.when(critical, F.col("raw_score"))) > F.avg(F.when(~critical, F.col("raw_score")))).alias("critical_stand_out"))
+    return _share(scored, 0.1).withColumn("critical_stand_out", means.scalar())
 
 
-@R.add("l8_vector_anomalies")
+@R.add("l8_vector_anomalies", "SELECT count(*) + 5 AS rows, true AS share_as_asked, 5::BIGINT AS planted_found FROM embeddings")
 def l8b(spark, d):
+    """All vectors and five planted ones far from any: the share of anomalies, and how many of the five are among them."""
     from tracehound.operators import isolation
 
     e = v.table(spark, d, "embeddings")
     names = [f"v{i}" for i in range(64)]
     wide = e.select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)])
-    return isolation.fit(wide, names, "vec_id", 0.1).score(wide).select("vec_id", F.round("raw_score", 6).alias("raw_score"), "is_anomaly")
+    far = e.select("vec_id").orderBy("vec_id").limit(5).select((-1 - F.col("vec_id")).alias("vec_id"), *[F.lit(9.0 if i % 2 else -9.0).alias(n) for i, n in enumerate(names)])
+    _, scored = isolation.fit_score(wide.unionByName(far), names, "vec_id", 0.1)
+    return _share(scored, 0.1).withColumn("planted_found", scored.where("is_anomaly AND vec_id < 0").agg(F.count("*").alias("n")).scalar())
 
 
-@R.add("l9_baseline")
+@R.add("l9_baseline", WITH_E + "SELECT outcome = 'failure' AS failed, count(*) AS rows, true AS share_as_asked FROM entries GROUP BY 1")
 def l9(spark, d):
+    """Normal entries make the baseline; among them the share of anomalies is the one asked for."""
     e = entries(spark, d)
-    return learn.fit_baseline(e.where("outcome <> 'failure'")).score(e).select("id", F.round("anomaly_score", 6).alias("anomaly_score"), "is_anomaly")
+    scored = learn.fit_baseline(e.where("outcome <> 'failure'")).score(e)
+    share = F.avg(F.when(F.col("is_anomaly"), 1.0).otherwise(0.0))
+    failed = F.col("outcome") == "failure"
+    return scored.groupBy(failed.alias("failed")).agg(F.count("*").alias("rows"), share.alias("share")).select("failed", "rows", (F.col("failed") | (F.abs(F.col("share") - 0.05) < 0.01)).alias("share_as_asked"))
 
 
 _ODD = quoted("|".join(f"(?:{p})" for p in attacks.SUSPICIOUS))
