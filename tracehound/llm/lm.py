@@ -1,4 +1,4 @@
-"""Language-model scoring: a log-bilinear model over a tree of words, and a smoothed unigram base."""
+"""Language-model scoring: a log-bilinear model trained by noise-contrastive estimation, and a smoothed unigram base."""
 
 from __future__ import annotations
 
@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 from tracehound.llm.common import batches, commonest, shared_folder, table, total, written
 from tracehound.llm.shingles import word_hashes
 
-#: Training count from which on a word is a symbol of the model; the vocabulary has no other bound.
-LEAST = 10
+#: Training count from which on a word is a symbol of the model: this, or the square root of all training tokens over SPARSE, if more. The vocabulary has no other bound.
+LEAST, SPARSE = 10, 50
 DIMS = 16
-CONTEXT = 5
-BATCH = 2048
+CONTEXT = 3
+BATCH = 4096
+#: Draws of noise a batch shares, of symbols and of classes.
+NOISE, CLASS_NOISE = 96, 32
+#: Tokens that are scored at once.
+AT_ONCE = 262_144
 RATE = 0.15
 #: What the squared gradients of a row start from; a row that few tokens touch still moves.
 FIRST = 1e-6
@@ -82,79 +86,59 @@ def counted(frames):
         yield pd.DataFrame(dict(zip(("h", "cls", "c"), merged())))
 
 
-def tree(share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Huffman's tree over symbols: 2 * parent + side of each symbol, then of each inner node (-1 at the root, the last one); log-odds of the sides."""
-    v = len(share)
-    order = np.argsort(share, kind="stable")
-    leaves, made = share[order].tolist() + [np.inf], []
-    order = order.tolist()
-    up, odds = np.full(2 * v - 1, -1, np.int64), np.zeros(max(v - 1, 1))
-    i = j = 0
-    for k in range(v - 1):
-        w = []
-        for side in (0, 1):
-            if j < len(made) and made[j] < leaves[i]:
-                up[v + j], j = 2 * k + side, j + 1
-                w.append(made[j - 1])
-            else:
-                up[order[i]], i = 2 * k + side, i + 1
-                w.append(leaves[i - 1])
-        made.append(w[0] + w[1])
-        odds[k] = np.log(w[1] / w[0])
-    return up, odds
-
-
-def paths(up: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inner nodes above every symbol with the side (1 or -1) taken there, as one run each, and where the runs start."""
-    v = (len(up) + 1) // 2
-    levels, at, who = [], up[:v], np.arange(v)
-    while len(who):
-        levels.append((who, at))
-        above = up[v + at // 2]
-        who, at = who[above >= 0], above[above >= 0]
-    first = np.zeros(v + 1, np.int64)
-    for who, _ in levels:
-        first[who + 1] += 1
-    first = np.cumsum(first)
-    nodes, sides = np.empty(first[-1], np.int32), np.empty(first[-1], np.int8)
-    for depth, (who, at) in enumerate(levels):
-        nodes[first[who] + depth], sides[first[who] + depth] = at // 2, 2 * (at % 2) - 1
-    return first, nodes, sides
-
-
 @dataclass
 class Model:
-    """Symbols, the commonest first, with their hashes in order, the symbol of each hash, and unigram shares (which shape the tree), the tree, and the parameters: input vectors of symbols, output vectors and biases of inner nodes, one weight vector per context place."""
+    """Symbols, the commonest first, with their hashes in order, the symbol of each hash, their unigram shares (the noise), the
+    first symbol of each class, and the parameters: input and output vectors and biases of symbols, vectors and biases of
+    classes, one weight vector per context place. A score is a product of vectors and a bias on top of the log of the share."""
 
     names: np.ndarray
     which: np.ndarray
     noise: np.ndarray
-    up: np.ndarray
+    starts: np.ndarray
     params: dict[str, np.ndarray]
 
     def symbols(self, h: np.ndarray, cls: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.names, h), len(self.names) - 1)
-        return np.where(self.names.take(at) == h, self.which.take(at), len(self.names) + cls)
+        order = np.where(self.names.take(at) == h, self.which.take(at), self.rare.take(np.maximum(cls, 0)))
+        return order
+
+    def __post_init__(self) -> None:
+        self.sizes = np.diff(self.starts, append=len(self.noise))
+        self.class_of = np.repeat(np.arange(len(self.starts)), self.sizes)
+        self.class_noise = np.add.reduceat(self.noise.astype(np.float64), self.starts)
 
 
 def first_model(frequent: pd.DataFrame, class_counts: np.ndarray, symbols: int, seed: int = 3) -> Model:
-    """Biases that give every symbol its unigram share, small vectors from a seed."""
+    """Biases that give every symbol its unigram share, small vectors from a seed.
+
+    Symbols in order of share are cut into about as many classes as the square root of their number, each with the like
+    share of all tokens, so the commonest words are classes of their own and the rarest share large ones.
+    """
     top = frequent[frequent["h"] != END].nlargest(symbols - CLASSES - 1, "c") if len(frequent) else frequent
     end = frequent.loc[frequent["h"] == END, "c"].sum() if len(frequent) else 0
     names = np.append(top["h"].to_numpy(np.int64), END)
     counts = np.append(top["c"].to_numpy(np.float64), end)
-    order = np.argsort(names)
-    which = order.astype(np.int32)
     rest = class_counts - np.bincount(top["cls"].to_numpy(np.int64), weights=top["c"].to_numpy(np.float64), minlength=CLASSES) if len(top) else class_counts
     share = np.concatenate([counts, rest]) + 1.0
     share /= share.sum()
-    up, odds = tree(share)
-    rng = np.random.default_rng(seed)
+    order = np.argsort(-share, kind="stable")
+    symbol = np.empty(len(order), np.int32)
+    symbol[order] = np.arange(len(order))
+    share = share[order]
+    by_name = np.argsort(names)
     v = len(share)
-    return Model(names[order], which, share.astype(np.float32), up.astype(np.int32) if 2 * v < 1 << 31 else up, {
-        "inputs": rng.standard_normal((v, DIMS), np.float32) * np.float32(0.3), "outputs": rng.standard_normal((v - 1, DIMS), np.float32) * np.float32(0.02),
-        "places": np.full((CONTEXT, DIMS), 0.5, np.float32), "biases": odds.astype(np.float32)[:, None],
+    want = max(int(np.ceil(v**0.5)), 2)
+    starts = np.unique(np.concatenate([[0], np.searchsorted(np.cumsum(share) - share, np.arange(1, want) / want)]))
+    starts = starts[starts < v]
+    rng = np.random.default_rng(seed)
+    vectors = lambda n, by: rng.standard_normal((n, DIMS), np.float32) * np.float32(by)
+    model = Model(names[by_name], symbol[:-CLASSES][by_name], share.astype(np.float32), starts, {
+        "inputs": vectors(v, 0.3), "outputs": vectors(v, 0.02), "biases": np.zeros((v, 1), np.float32),
+        "classes": vectors(len(starts), 0.02), "class_biases": np.zeros((len(starts), 1), np.float32), "places": np.full((CONTEXT, DIMS), 0.5, np.float32),
     })
+    model.rare = symbol[-CLASSES:]
+    return model
 
 
 def contexts(s: np.ndarray, ends: np.ndarray, end_symbol: int) -> np.ndarray:
@@ -164,29 +148,38 @@ def contexts(s: np.ndarray, ends: np.ndarray, end_symbol: int) -> np.ndarray:
     return np.where(at >= begin[:, None], s[np.maximum(at, 0)], end_symbol)
 
 
-def steps_down(runs: tuple, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The nodes above some symbols, one symbol after the other, the sides taken, the number of nodes of each and where they start."""
-    first, nodes, sides = runs
-    begin = first.take(s)
-    n = first.take(s + 1) - begin
-    start = np.cumsum(n) - n
-    at = np.repeat(begin - start, n) + np.arange(n.sum())
-    return nodes.take(at), sides.take(at).astype(np.float32), n, start
+def guesses(p: dict[str, np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of the context symbols, and their sum weighted by place."""
+    vectors = p["inputs"].take(context, 0)
+    return vectors, np.einsum("bkd,kd->bd", vectors, p["places"])
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 class Trainer:
-    """The exact gradient of the log-probabilities, by AdaGrad with a rate per row, over the tokens of a task, a batch at a time."""
+    """Noise-contrastive estimation by AdaGrad with a rate per row, over the tokens of a task, a batch at a time.
+
+    A batch is told from NOISE symbols and CLASS_NOISE classes drawn anew from the unigram shares and shared by all its
+    tokens, so their part is one product of matrices. A score minus log(number of draws * share) is the odds of data against noise.
+    """
 
     def __init__(self, model: Model, seed: int) -> None:
-        self.m, self.p, self.runs = model, {k: x.copy() for k, x in model.params.items()}, paths(model.up)
+        self.m, self.p, self.rng = model, {k: x.copy() for k, x in model.params.items()}, np.random.default_rng(seed)
         self.g = {k: np.full((len(x), 1), FIRST, np.float32) for k, x in self.p.items()}
         self.n = {k: np.zeros(len(x), np.float32) for k, x in self.p.items()}
+        self.upto, self.class_upto = (np.cumsum(x, dtype=np.float64) for x in (model.noise, model.class_noise))
 
-    def update(self, rows: np.ndarray, **grads: np.ndarray) -> None:
+    def drawn(self, upto: np.ndarray, n: int) -> np.ndarray:
+        return np.minimum(np.searchsorted(upto, self.rng.random(n) * upto[-1]), len(upto) - 1)
+
+    def update(self, rows: np.ndarray, weights: np.ndarray, **grads: np.ndarray) -> None:
+        """Move rows by the sums of their gradients; weights count the tokens behind each."""
         key = np.sort((rows.astype(np.int64) << 24) | np.arange(len(rows)))
         r, order = key >> 24, key & 0xFFFFFF
         first = np.flatnonzero(np.diff(r, prepend=-1))
-        at, n = r[first], np.diff(first, append=len(r))
+        at, n = r[first], np.add.reduceat(weights.take(order), first)
         for name, x in grads.items():
             g = np.add.reduceat(x.take(order, 0), first)
             seen = self.g[name].take(at, 0) + np.einsum("ij,ij->i", g, g)[:, None] / np.float32(g.shape[1])
@@ -196,25 +189,32 @@ class Trainer:
             self.p[name][at] = g
             self.n[name][at] += n
 
+    def contrast(self, guess: np.ndarray, target: np.ndarray, noise: np.ndarray, vectors: str, biases: str) -> np.ndarray:
+        """Move output rows of targets and noise; the gradient of the guesses. The shares cancel: a bias stands on top of them."""
+        p, log_k, one = self.p, np.float32(np.log(len(noise))), np.float32(1 / len(target))
+        own, drawn = p[vectors].take(target, 0), p[vectors].take(noise, 0)
+        pull = (1 - sigmoid(np.einsum("bd,bd->b", guess, own) + p[biases].take(target) - log_k)) * one
+        push = sigmoid(guess @ drawn.T + p[biases].take(noise) - log_k) * one
+        back = pull[:, None] * own - push @ drawn
+        rows = np.concatenate([target, noise])
+        self.update(rows, np.ones(len(rows), np.float32), **{
+            vectors: np.concatenate([pull[:, None] * guess, -(push.T @ guess)]), biases: np.concatenate([pull, -push.sum(0)])[:, None]})
+        return back
+
     def step(self, target: np.ndarray, context: np.ndarray) -> None:
         p = self.p
-        vectors = p["inputs"].take(context, 0)
-        guess = np.einsum("bkd,kd->bd", vectors, p["places"])
-        nodes, sides, n, start = steps_down(self.runs, target)
-        out, wide = p["outputs"].take(nodes, 0), np.repeat(guess, n, axis=0)
-        x = (np.einsum("ij,ij->i", wide, out) + p["biases"].take(nodes)) * sides
-        pull = (sides / (1 + np.exp(np.clip(x, -30, 30))) / np.float32(len(target)))[:, None]
-        out *= pull
-        wide *= pull
-        back = np.add.reduceat(out, start)
-        self.update(nodes, outputs=wide, biases=pull)
+        vectors, guess = guesses(p, context)
+        back = self.contrast(guess, target, self.drawn(self.upto, NOISE), "outputs", "biases")
+        back += self.contrast(guess, self.m.class_of.take(target), self.drawn(self.class_upto, CLASS_NOISE), "classes", "class_biases")
         places = np.einsum("bd,bkd->kd", back, vectors)
-        self.update(context.ravel(), inputs=(back[:, None, :] * p["places"]).reshape(-1, DIMS))
+        self.update(context.ravel(), np.ones(context.size, np.float32), inputs=(back[:, None, :] * p["places"]).reshape(-1, DIMS))
         self.g["places"] += (places * places).mean(1, keepdims=True)
         p["places"] += RATE * places / np.sqrt(self.g["places"])
         self.n["places"] += len(target)
 
 
+#: Parameters that travel, the vectors with their biases.
+PARTS = [("inputs", None), ("outputs", "biases"), ("classes", "class_biases"), ("places", None)]
 #: A row of the parameters on its way: place in its block, tokens that moved it, how far (vector and bias).
 MOVED = np.dtype([("at", "<u2"), ("n", "<f4"), ("by", "<f2", DIMS + 1)])
 MEAN = np.dtype([("at", "<u2"), ("by", "<f2", DIMS + 1)])
@@ -238,7 +238,7 @@ def trained_in_task(shared):
                 trainer.step(s[part], c[part])
         if trainer:
             base = 0
-            for name in ("inputs", "outputs", "places"):
+            for name, bias in PARTS:
                 rows = np.flatnonzero(trainer.n[name])
                 cuts = np.flatnonzero(np.diff((base + rows) // BLOCK, prepend=-1))
                 for part in np.split(rows, cuts[1:]):
@@ -246,8 +246,8 @@ def trained_in_task(shared):
                         moved = np.zeros(len(part), MOVED)
                         moved["at"], moved["n"] = (base + part) % BLOCK, trainer.n[name][part]
                         moved["by"][:, :DIMS] = trainer.p[name][part] - model.params[name][part]
-                        if name == "outputs":
-                            moved["by"][:, DIMS] = trainer.p["biases"][part, 0] - model.params["biases"][part, 0]
+                        if bias:
+                            moved["by"][:, DIMS] = trainer.p[bias][part, 0] - model.params[bias][part, 0]
                         yield pd.DataFrame({"block": [int(base + part[0]) // BLOCK], "moved": [moved.tobytes()]})
                 base += len(trainer.n[name])
 
@@ -285,46 +285,71 @@ def train(model: Model, texts: DataFrame) -> Model:
     """
     made = texts.mapInPandas(trained_in_task(texts.sparkSession.sparkContext.broadcast(model)), "block int, moved binary")
     means = made.repartition("block").sortWithinPartitions("block").mapInPandas(averaged, "block int, moved binary")
-    p = model.params
-    v, inner = len(p["inputs"]), len(p["outputs"])
+    p, ends = model.params, np.cumsum([0] + [len(model.params[name]) for name, _ in PARTS])
     for block, raw in means.collect():
         moved = np.frombuffer(raw, MEAN)
         rows, by = block * BLOCK + moved["at"].astype(np.int64), moved["by"]
-        for name, low, high in (("inputs", 0, v), ("outputs", v, v + inner), ("places", v + inner, v + inner + CONTEXT)):
+        for (name, bias), low, high in zip(PARTS, ends, ends[1:]):
             own = (rows >= low) & (rows < high)
             p[name][rows[own] - low] += by[own, :DIMS]
-            if name == "outputs":
-                p["biases"][rows[own] - low, 0] += by[own, DIMS]
+            if bias:
+                p[bias][rows[own] - low, 0] += by[own, DIMS]
     return model
 
 
-def log_probs(model: Model, s: np.ndarray, context: np.ndarray, runs: tuple | None = None) -> np.ndarray:
-    """Natural log-probabilities of symbols in context: of each side on the way down to the symbol, so they add up to one over all symbols."""
-    p, runs = model.params, runs or paths(model.up)
-    out = np.empty(len(s), np.float32)
-    for a in range(0, len(s), BATCH):
-        c = context[a : a + BATCH]
-        guess = np.einsum("bkd,kd->bd", p["inputs"].take(c, 0), p["places"])
-        nodes, sides, n, start = steps_down(runs, s[a : a + BATCH])
-        x = (np.einsum("ij,ij->i", np.repeat(guess, n, axis=0), p["outputs"].take(nodes, 0)) + p["biases"].take(nodes)) * sides
-        out[a : a + BATCH] = -np.add.reduceat(np.maximum(-x, 0) + np.log1p(np.exp(-np.abs(x))), start)
+def log_sum(x: np.ndarray) -> np.ndarray:
+    top = x.max(1)
+    x -= top[:, None]
+    np.exp(x, out=x)
+    return top + np.log(x.sum(1))
+
+
+def log_probs(model: Model, s: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Natural log-probabilities of symbols in context: of the symbol's class among all, then of the symbol in its class.
+
+    Both are normalised over all scores of a product of matrices; symbols are taken class by class for the second.
+    """
+    p, out = model.params, np.empty(len(s), np.float32)
+    class_bias = p["class_biases"][:, 0] + np.log(model.class_noise).astype(np.float32)
+    bias = p["biases"][:, 0] + np.log(model.noise)
+    for a in range(0, len(s), AT_ONCE):
+        part = s[a : a + AT_ONCE]
+        _, guess = guesses(p, context[a : a + AT_ONCE])
+        of = model.class_of.take(part)
+        found = np.empty(len(part), np.float32)
+        for b in range(0, len(part), BATCH):
+            x = guess[b : b + BATCH] @ p["classes"].T + class_bias
+            own = x[np.arange(len(x)), of[b : b + BATCH]]
+            found[b : b + BATCH] = own - log_sum(x)
+        order = np.argsort(of, kind="stable")
+        edges = np.searchsorted(of, np.arange(len(model.starts) + 1), sorter=order)
+        for c in np.flatnonzero((np.diff(edges) > 0) & (model.sizes > 1)):
+            low, n = model.starts[c], model.sizes[c]
+            vectors, b = p["outputs"][low : low + n].T, bias[low : low + n]
+            step = max(1, 2_000_000 // n)
+            for at in range(edges[c], edges[c + 1], step):
+                rows = order[at : min(at + step, edges[c + 1])]
+                x = guess[rows] @ vectors + b
+                own = x[np.arange(len(rows)), part[rows] - low]
+                found[rows] += own - log_sum(x)
+        out[a : a + AT_ONCE] = found
     return out
 
 
 def scored(shared):
     def run(frames):
         model, freq_h, freq_c, n_types, class_log = shared.value
-        end, runs = int(model.symbols(np.array([END]), np.array([0]))[0]), paths(model.up)
+        end = int(model.symbols(np.array([END]), np.array([0]))[0])
         for frame in batches(frames, "text", 2_000_000):
             h, cls, ends = tokens(frame["text"].tolist())
             unique, first, where = np.unique(h, return_index=True, return_inverse=True)
             s = model.symbols(unique, cls[first])[where]
-            per_token = log_probs(model, s, contexts(s, ends, end), runs).astype(np.float64) / np.log(10)
+            per_token = log_probs(model, s, contexts(s, ends, end)).astype(np.float64) / np.log(10)
             at = np.minimum(np.searchsorted(freq_h, unique), max(len(freq_h) - 1, 0))
             hit = freq_h[at] == unique if len(freq_h) else np.zeros(len(unique), bool)
             c = np.where(hit, freq_c[at], 0)[where] if len(freq_h) else np.zeros(len(h), np.int64)
             term = np.log10(c + 1.0)
-            other = s >= len(model.names)
+            other = np.isin(s, model.rare)
             per_token[other] += term[other] - class_log[cls[other]]
             begin = np.concatenate([[0], ends[:-1]])
             rare = ~hit[where]
@@ -345,13 +370,14 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     Tokens are the words, A-Z lower-cased, then an end. base_score adds log10((c + 1) / (N + V + 1)) over tokens. score is
     the model's log10 probability: of the symbol in its context, and for a word that is no symbol also of the word among
     those of its class, (c + 1) / (n + v + 1), so an unseen word of each class has the share of one. Every word with a
-    training count of `least` or more is a symbol, as target and as context, however many these are.
+    training count of `least` (and of the root of the training tokens over SPARSE) or more is a symbol, as target and as
+    context, however many these are.
     Words are told apart by 64-bit hashes. Null text is as empty: its end only. A null held_out counts as not. Without
     training rows all counts are 0. Repeated rows get a row each; other columns are not read; an empty table gives none.
 
     Counts cover all training rows: summed in tasks, then by shuffle. Training passes over all training rows once, a
     quarter of them first. Counts of the most frequent words and of all symbols go out to the tasks; those of all others
-    are joined. The parameters of a symbol take some 260 bytes on the driver and in every task that trains.
+    are joined. The parameters of a symbol take some 140 bytes on the driver and in every task, twice that where it trains.
     """
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
@@ -361,6 +387,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     counts = training.select("text").mapInPandas(counted, "h long, cls int, c long").groupBy("h").agg(F.sum("c").alias("c"), F.min("cls").alias("cls"))
     counts = written(counts, folder, "counts")
     n, v = (x or 0 for x in total(counts, F.sum("c"), F.count("*")))
+    least = max(least, int(n**0.5 / SPARSE))
     top = pd.concat([part.select("h", "c", "cls").toPandas() for part in (commonest(counts, frequent), counts.where(F.col("c") >= least))])
     top = top.drop_duplicates("h").astype({"h": np.int64, "c": np.int64, "cls": np.int64})
     by_class = counts.where("cls >= 0").groupBy("cls").agg(F.sum("c").alias("n"), F.count("*").alias("v")).toPandas().set_index("cls").reindex(range(CLASSES), fill_value=0)
