@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,8 @@ from tracehound.llm.common import arrow_map, table
 SPACE = "▁"
 #: Characters that are indexed at once.
 BLOCK = 262_144
-#: Segments a task remembers between batches.
-REMEMBERED = 400_000
+#: Segments a task remembers between batches, some 200 bytes each.
+REMEMBERED = 1_000_000
 #: Segments up to this length are merged side by side, longer ones one by one with a heap.
 SHORT = 48
 
@@ -231,9 +232,9 @@ class Coder:
         if len(self.known) > REMEMBERED:
             self.forget()
         cut = [v.segment.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        fresh = dict.fromkeys(s for segments in cut for s in segments)
-        self.learn([s for s in fresh if s not in self.known])
-        at = np.fromiter((self.known[s] for segments in cut for s in segments), np.int64)
+        every = [*chain.from_iterable(cut)]
+        self.learn([s for s in dict.fromkeys(every) if s not in self.known])
+        at = np.fromiter(map(self.known.__getitem__, every), np.int64, len(every))
         count = self.count[at]
         rank = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         flat = self.flat[np.repeat(self.begin[at], count) + rank]
