@@ -33,6 +33,9 @@ END = np.int64(-7046029254386353131)
 CLASSES = 12
 
 
+BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+
+
 def tokens(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all tokens (words, A-Z lower-cased, then an end for each text), their classes, and the ends of the texts."""
     raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
@@ -42,7 +45,7 @@ def tokens(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(texts)
     if len(h):
         stop = np.append(at[1:], len(b))
-        solid = ~np.isin(b, np.array([32, 9, 10, 11, 12, 13], np.uint8))
+        solid = ~BLANK[b]
         last = np.maximum.accumulate(np.where(solid, np.arange(len(b)), 0))[stop - 1]
         tail = b[last]
         kind = np.select([(tail >= 97) & (tail <= 122), tail == 46, tail == 44, tail == 33, tail >= 128], [0, 1, 2, 3, 0], 4)
@@ -155,7 +158,12 @@ def guesses(p: dict[str, np.ndarray], context: np.ndarray) -> tuple[np.ndarray,
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """In place; far below zero the exponential is infinite and its reciprocal zero, as it should be."""
+    np.negative(x, out=x)
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class Trainer:
@@ -174,12 +182,12 @@ class Trainer:
     def drawn(self, upto: np.ndarray, n: int) -> np.ndarray:
         return np.minimum(np.searchsorted(upto, self.rng.random(n) * upto[-1]), len(upto) - 1)
 
-    def update(self, rows: np.ndarray, weights: np.ndarray, **grads: np.ndarray) -> None:
-        """Move rows by the sums of their gradients; weights count the tokens behind each."""
+    def update(self, rows: np.ndarray, **grads: np.ndarray) -> None:
+        """Move rows by the sums of their gradients."""
         key = np.sort((rows.astype(np.int64) << 24) | np.arange(len(rows)))
         r, order = key >> 24, key & 0xFFFFFF
         first = np.flatnonzero(np.diff(r, prepend=-1))
-        at, n = r[first], np.add.reduceat(weights.take(order), first)
+        at, n = r[first], np.diff(first, append=len(r))
         for name, x in grads.items():
             g = np.add.reduceat(x.take(order, 0), first)
             seen = self.g[name].take(at, 0) + np.einsum("ij,ij->i", g, g)[:, None] / np.float32(g.shape[1])
@@ -193,13 +201,18 @@ class Trainer:
         """Move output rows of targets and noise; the gradient of the guesses. The shares cancel: a bias stands on top of them."""
         p, log_k, one = self.p, np.float32(np.log(len(noise))), np.float32(1 / len(target))
         own, drawn = p[vectors].take(target, 0), p[vectors].take(noise, 0)
-        pull = (1 - sigmoid(np.einsum("bd,bd->b", guess, own) + p[biases].take(target) - log_k)) * one
-        push = sigmoid(guess @ drawn.T + p[biases].take(noise) - log_k) * one
-        back = pull[:, None] * own - push @ drawn
+        pull = one - sigmoid(np.einsum("bd,bd->b", guess, own) + p[biases].take(target) - log_k) * one
+        push = guess @ drawn.T
+        push += p[biases].take(noise) - log_k
+        push = sigmoid(push)
+        own *= pull[:, None]
+        own -= push @ (drawn * one)
+        move = np.empty((len(target) + len(noise), guess.shape[1]), np.float32)
+        np.multiply(guess, pull[:, None], out=move[: len(target)])
+        np.matmul(push.T, guess * -one, out=move[len(target) :])
         rows = np.concatenate([target, noise])
-        self.update(rows, np.ones(len(rows), np.float32), **{
-            vectors: np.concatenate([pull[:, None] * guess, -(push.T @ guess)]), biases: np.concatenate([pull, -push.sum(0)])[:, None]})
-        return back
+        self.update(rows, **{vectors: move, biases: np.concatenate([pull, push.sum(0) * -one])[:, None]})
+        return own
 
     def step(self, target: np.ndarray, context: np.ndarray) -> None:
         p = self.p
@@ -207,7 +220,7 @@ class Trainer:
         back = self.contrast(guess, target, self.drawn(self.upto, NOISE), "outputs", "biases")
         back += self.contrast(guess, self.m.class_of.take(target), self.drawn(self.class_upto, CLASS_NOISE), "classes", "class_biases")
         places = np.einsum("bd,bkd->kd", back, vectors)
-        self.update(context.ravel(), np.ones(context.size, np.float32), inputs=(back[:, None, :] * p["places"]).reshape(-1, DIMS))
+        self.update(context.ravel(), inputs=(back[:, None, :] * p["places"]).reshape(-1, DIMS))
         self.g["places"] += (places * places).mean(1, keepdims=True)
         p["places"] += RATE * places / np.sqrt(self.g["places"])
         self.n["places"] += len(target)
@@ -297,11 +310,15 @@ def train(model: Model, texts: DataFrame) -> Model:
     return model
 
 
-def log_sum(x: np.ndarray) -> np.ndarray:
-    top = x.max(1)
-    x -= top[:, None]
+def log_sums(guess: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Log of the sum of exp(guess . vector + bias) over all vectors, by one product; scores are shifted where they could overflow."""
+    x = np.column_stack([guess, np.ones(len(guess), np.float32)]) @ np.column_stack([vectors, bias]).T
+    top = np.float32(0)
+    if (guess * guess).sum(1).max() ** 0.5 * (vectors * vectors).sum(1).max() ** 0.5 + np.abs(bias).max() > 80:
+        top = x.max(1)
+        x -= top[:, None]
     np.exp(x, out=x)
-    return top + np.log(x.sum(1))
+    return top + np.log(x @ np.ones(len(vectors), np.float32))
 
 
 def log_probs(model: Model, s: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -312,26 +329,24 @@ def log_probs(model: Model, s: np.ndarray, context: np.ndarray) -> np.ndarray:
     p, out = model.params, np.empty(len(s), np.float32)
     class_bias = p["class_biases"][:, 0] + np.log(model.class_noise).astype(np.float32)
     bias = p["biases"][:, 0] + np.log(model.noise)
+    at_place = [p["inputs"] * weights for weights in p["places"]]
     for a in range(0, len(s), AT_ONCE):
         part = s[a : a + AT_ONCE]
-        _, guess = guesses(p, context[a : a + AT_ONCE])
+        guess = sum(table.take(column, 0) for table, column in zip(at_place, context[a : a + AT_ONCE].T))
         of = model.class_of.take(part)
-        found = np.empty(len(part), np.float32)
+        found = class_bias.take(of) + np.einsum("bd,bd->b", guess, p["classes"].take(of, 0))
         for b in range(0, len(part), BATCH):
-            x = guess[b : b + BATCH] @ p["classes"].T + class_bias
-            own = x[np.arange(len(x)), of[b : b + BATCH]]
-            found[b : b + BATCH] = own - log_sum(x)
-        order = np.argsort(of, kind="stable")
-        edges = np.searchsorted(of, np.arange(len(model.starts) + 1), sorter=order)
-        for c in np.flatnonzero((np.diff(edges) > 0) & (model.sizes > 1)):
+            found[b : b + BATCH] -= log_sums(guess[b : b + BATCH], p["classes"], class_bias)
+        many = np.flatnonzero(model.sizes.take(of) > 1)
+        found[many] += bias.take(part[many]) + np.einsum("bd,bd->b", guess[many], p["outputs"].take(part[many], 0))
+        order = many[np.argsort(of[many], kind="stable")]
+        edges = np.searchsorted(of[order], np.arange(len(model.starts) + 1))
+        for c in np.flatnonzero(np.diff(edges)):
             low, n = model.starts[c], model.sizes[c]
-            vectors, b = p["outputs"][low : low + n].T, bias[low : low + n]
-            step = max(1, 2_000_000 // n)
+            step = max(1, 1_000_000 // n)
             for at in range(edges[c], edges[c + 1], step):
                 rows = order[at : min(at + step, edges[c + 1])]
-                x = guess[rows] @ vectors + b
-                own = x[np.arange(len(rows)), part[rows] - low]
-                found[rows] += own - log_sum(x)
+                found[rows] -= log_sums(guess[rows], p["outputs"][low : low + n], bias[low : low + n])
         out[a : a + AT_ONCE] = found
     return out
 
@@ -340,6 +355,7 @@ def scored(shared):
     def run(frames):
         model, freq_h, freq_c, n_types, class_log = shared.value
         end = int(model.symbols(np.array([END]), np.array([0]))[0])
+        rare_symbol = np.isin(np.arange(len(model.noise)), model.rare)
         for frame in batches(frames, "text", 2_000_000):
             h, cls, ends = tokens(frame["text"].tolist())
             unique, first, where = np.unique(h, return_index=True, return_inverse=True)
@@ -349,7 +365,7 @@ def scored(shared):
             hit = freq_h[at] == unique if len(freq_h) else np.zeros(len(unique), bool)
             c = np.where(hit, freq_c[at], 0)[where] if len(freq_h) else np.zeros(len(h), np.int64)
             term = np.log10(c + 1.0)
-            other = np.isin(s, model.rare)
+            other = rare_symbol[s]
             per_token[other] += term[other] - class_log[cls[other]]
             begin = np.concatenate([[0], ends[:-1]])
             rare = ~hit[where]
