@@ -15,11 +15,11 @@ from tracehound.llm.skew import rows_at_once
 from tracehound.llm.token_counts import Tokenizer
 
 #: Characters that are aligned at once, and segments of a lane; lanes are aligned side by side.
-AT_ONCE, LANE = 500_000, 128
+AT_ONCE, LANE = 500_000, 40
 #: Both tokenizers start anew at a space between letters or digits, so texts are cut there into segments.
 EDGE = re.compile(r"(?<=\w) (?=\w)")
 #: Segments whose ids a task remembers.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 #: Characters of new segments that are encoded as one string.
 TOGETHER = 4000
 #: First probe along a diagonal; it doubles while everything agrees.
