@@ -138,5 +138,9 @@ def test_pairs_are_stars(spark):
     chosen = sides[(sides["side"] == "chosen") & (sides["pair_id"] == 3)].sort_values("turn")
     assert list(chosen["text"]) == ["same", "a3", "more", "end"]
     echo = sides[(sides["pair_id"] == 100) & (sides["side"] == "rejected")].sort_values("turn")
-    assert list(echo["text"]) == ["q", "q"]
+    assert list(echo["text"]) == ["q", "q", "dangling"]
+    # Turns behind the last answer stay, without a loss.
+    parts = chat.preference_format(chat.paired(table)).where("pair_id = 100").toPandas()
+    tail = parts[parts["rendered"].str.contains("dangling")]
+    assert set(tail["part"]) == {"chosen", "rejected"} and (tail["loss_end"] == 0).all()
     assert chat.paired(table.where("false")).count() == 0

@@ -65,8 +65,8 @@ def paired(conversations: DataFrame) -> DataFrame:
 
     Conversations with the same first turn are answers to one opening: the one with most turns, then the smallest id,
     is chosen, and each other is rejected against it. A conversation alone with its opening is chosen against itself
-    with the last assistant turn replaced by an echo of its first user turn. What follows the last assistant turn is no
-    completion and is left out; a conversation without one is a prompt only. Pairs are stars around the chosen one, not all pairs of a group.
+    with the last assistant turn replaced by an echo of its first user turn. Turns behind the last assistant turn stay, as
+    parts without a loss; a conversation without one is a prompt only. Pairs are stars around the chosen one, not all pairs of a group.
     """
     c = conversations.where("conv_id IS NOT NULL").select("conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(LAST)).alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     c = c.groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("t")).select("conv_id", "turn", "t.role", "t.text")
@@ -79,12 +79,11 @@ def paired(conversations: DataFrame) -> DataFrame:
     best = heads.groupBy("opening").agg(F.min(F.struct((-F.col("turns")).alias("turns"), "conv_id"))["conv_id"].alias("best"), F.count("*").alias("n"))
     heads = heads.join(best, "opening")
     joined = c.join(heads.select("conv_id", "last", "echo", "best", "n"), "conv_id")
-    cut = joined.where(F.col("last").isNull() | (F.col("turn") <= F.col("last")))
-    own = cut.where("n > 1 AND conv_id != best").select(F.col("conv_id").alias("pair_id"), F.lit("rejected").alias("side"), "turn", "role", "text")
+    own = joined.where("n > 1 AND conv_id != best").select(F.col("conv_id").alias("pair_id"), F.lit("rejected").alias("side"), "turn", "role", "text")
     stars = heads.where("n > 1 AND conv_id != best").select(F.col("conv_id").alias("pair_id"), F.col("best").alias("b"))
-    models = cut.where("n > 1 AND conv_id = best").select(F.col("conv_id").alias("b"), "turn", "role", "text")
+    models = joined.where("n > 1 AND conv_id = best").select(F.col("conv_id").alias("b"), "turn", "role", "text")
     chosen = stars.join(models, "b").select("pair_id", F.lit("chosen").alias("side"), "turn", "role", "text")
-    alone = cut.where("n = 1").select(F.col("conv_id").alias("pair_id"), F.explode(F.array(F.lit("chosen"), F.lit("rejected"))).alias("side"), "turn", "role", "text", "last", "echo")
+    alone = joined.where("n = 1").select(F.col("conv_id").alias("pair_id"), F.explode(F.array(F.lit("chosen"), F.lit("rejected"))).alias("side"), "turn", "role", "text", "last", "echo")
     text = F.when((F.col("side") == "rejected") & (F.col("turn") == F.col("last")), F.col("echo")).otherwise(F.col("text"))
     return own.unionByName(chosen).unionByName(alone.select("pair_id", "side", "turn", "role", text.alias("text")))
 
@@ -98,7 +97,7 @@ WITH c AS (SELECT conv_id, turn, min(struct_pack(role := coalesce(role, 'unknown
 d AS (SELECT conv_id, turn, t.role AS role, t.text AS text FROM c),
 h AS (SELECT conv_id, arg_min(role || chr(10) || text, turn) AS opening, count(*) AS turns, max(turn) FILTER (role = 'assistant') AS last, coalesce(arg_min(text, turn) FILTER (role = 'user'), '') AS echo FROM d GROUP BY conv_id),
 b AS (SELECT *, first(conv_id) OVER (PARTITION BY opening ORDER BY turns DESC, conv_id) AS best, count(*) OVER (PARTITION BY opening) AS n FROM h),
-cut AS (SELECT d.*, last, echo, best, n FROM d JOIN b USING (conv_id) WHERE last IS NULL OR turn <= last),
+cut AS (SELECT d.*, last, echo, best, n FROM d JOIN b USING (conv_id)),
 s AS (SELECT conv_id AS pair_id, 'rejected' AS side, turn, role, text FROM cut WHERE n > 1 AND conv_id <> best
       UNION ALL SELECT b.conv_id, 'chosen', cut.turn, cut.role, cut.text FROM b JOIN cut ON cut.conv_id = b.best WHERE b.n > 1 AND b.conv_id <> b.best
       UNION ALL SELECT conv_id, 'chosen', turn, role, text FROM cut WHERE n = 1
