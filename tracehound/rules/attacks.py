@@ -143,6 +143,7 @@ FEATURE_COUNTS: list[tuple[str, str]] = [
     ("inclusion_hits", r"(?i)\?(page|file|path|include|document)\s*=.*http|\?.*=.*\.\.|include\s*\(|require\s*\(|require_once\s*\(|virtual\s*\("),
     ("system_path_hits", r"/etc/|/proc/|/var/|/usr/|\\windows\\|\\system32\\"),
 ]
+# Words and yes-or-no patterns behind the attack features.
 SENSITIVE_WORDS = ["password", "credential", "token", "secret", "key", "auth"]
 FEATURE_FLAGS: list[tuple[str, str]] = [
     ("is_http", r"(?i)\b(get|post|put|delete|patch)\s+/[^\s]*"),
@@ -172,6 +173,7 @@ SUSPICIOUS = [
     r"(?im)^(?:admin|root|administrator)[:\s]", r"(?i)SLEEP\(|BENCHMARK\(|WAITFOR\s+DELAY",
     r"(?i)SELECT\s+.*\s+FROM\s+information_schema", r"""(?i)OR\s+['"]?1['"]?\s*=\s*['"]?1['"]?""",
 ]
+# Words and patterns of single attack types.
 SQL_WORDS = ["sql", "union", "select", "' or", "1=1"]
 ADMIN_WORDS = ["admin", "root", "administrator", "system"]
 RANSOMWARE = r"(?i)vssadmin.*delete|shadowcopy.*delete|encrypt|\.locked|bcdedit"

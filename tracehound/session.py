@@ -44,9 +44,12 @@ _written: list[str] = []
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path for intermediate data on storage that driver and executors share.
 
-    It lies below ``spark.checkpoint.dir``; a session without that setting uses its warehouse folder.
+    It lies below ``spark.checkpoint.dir``. Without that setting a local session uses its warehouse folder, and any other
+    is told to set it: a folder of one machine is not there for the others.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     root = root or f"{spark.conf.get('spark.sql.warehouse.dir')}/_tracehound"
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     _written.append(path)
