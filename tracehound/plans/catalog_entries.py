@@ -541,7 +541,7 @@ _ADVICE = "CASE attack_type " + " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" fo
 
 
 @R.add("h11_recommendations", WITH_T + f", {_IPCHAIN}" + f""",
-l AS (SELECT 'Attack occurred over ' || printf('%.1f', (end_us - start_us) / 60000000) || ' minutes. ' || {_ADVICE} AS recommendation FROM ipchains
+l AS (SELECT CASE WHEN end_us > start_us THEN 'Attack occurred over ' || printf('%.1f', (end_us - start_us) / 60000000) || ' minutes. ' ELSE '' END || {_ADVICE} AS recommendation FROM ipchains
  UNION SELECT {quoted(dims.EXTRA_ADVICE['bruteforce'])} FROM ipchains WHERE attack_type = 'bruteforce' UNION SELECT {quoted(dims.EXTRA_ADVICE['sql_injection'])} FROM ipchains WHERE attack_type = 'sql_injection')
 SELECT recommendation FROM l""")
 def h11(spark, d):
