@@ -118,8 +118,11 @@ def guesses(value: str, ranks: dict[str, int], longest: int) -> float:
     return best[n]
 
 
-def find(text: str | None, ranks: dict[str, int], longest: int, min_guesses: float = MIN_GUESSES) -> list[tuple[str, int, int, int]]:
-    """Secrets of a whole text as (kind, start, end, start of the value), by start, then kind. Null is as empty."""
+def find(text: str | None, ranks: dict[str, int], longest: int, min_guesses: float = MIN_GUESSES) -> list[tuple[str, int, int, int, float | None]]:
+    """Secrets of a whole text as (kind, start, end, start of the value, exponent of its guesses), by start, then kind. Null is as empty.
+
+    Every value in credential context is split, also where a fixed pattern holds it already; fixed patterns have no exponent.
+    """
     if not text:
         return []
     out, values, upto = [], [], 0
@@ -136,27 +139,26 @@ def find(text: str | None, ranks: dict[str, int], longest: int, min_guesses: flo
         if size and (start := k - len(before) + len(word) - size) >= upto and (m := ASSIGN.match(text, start)):
             upto = m.end()
             if len(m[2]) >= 8:
-                out.append(("assign", m.start(), m.end(), m.start(2)))
+                out.append(("assign", m.start(), m.end(), m.start(2), None))
         if CONTEXT.search(before) and (m := VALUE.match(text, a + 1)):
             values.append(m)
     if "AKIA" in text:
-        out += [("access", m.start(), m.end(), m.start()) for m in ACCESS.finditer(text)]
-    out += [("hex", m.start(), m.end(), m.start()) for m in HEX.finditer(text)]
-    base = sorted((s, e) for _, s, e, _ in out)
+        out += [("access", m.start(), m.end(), m.start(), None) for m in ACCESS.finditer(text)]
+    out += [("hex", m.start(), m.end(), m.start(), None) for m in HEX.finditer(text)]
     for m in values:
         value = m[1].rstrip(".!?:)}")
-        start, end = m.start(1), m.start(1) + len(value)
-        if not any(s < end and start < e for s, e in base) and guesses(value, ranks, longest) >= min_guesses:
-            out.append(("guess", start, end, start))
+        start = m.start(1)
+        if (cost := guesses(value, ranks, longest)) >= min_guesses:
+            out.append(("guess", start, start + len(value), start, cost))
     return sorted(set(out), key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
-def redact(text: str | None, spans: list[tuple[str, int, int, int]], mark: str = "[SECRET]") -> str | None:
+def redact(text: str | None, spans: list[tuple], mark: str = "[SECRET]") -> str | None:
     """The text with the values of its secrets replaced; values that overlap get one mark."""
     if text is None or not spans:
         return text
     parts, at = [], 0
-    for start, end in sorted((v, e) for _, _, e, v in spans):
+    for start, end in sorted((v, e) for _, _, e, v, _ in spans):
         if start >= at:
             parts += [text[at:start], mark]
         at = max(at, end)
@@ -169,30 +171,32 @@ class Scanner:
     def __init__(self, spark, vocabulary: str | None = None, min_guesses: float = MIN_GUESSES) -> None:
         self.ranks, self.min_guesses = spark.sparkContext.broadcast(word_ranks(vocabulary)), min_guesses
 
-    def find(self, text: str | None) -> list[tuple[str, int, int, int]]:
+    def find(self, text: str | None) -> list[tuple]:
         return find(text, self.ranks.value, 20, self.min_guesses)
 
     def redacted(self, texts: list) -> list:
         return [redact(t, self.find(t)) for t in texts]
 
     def digests(self, texts: list) -> dict:
-        out = {c: [] for c in ("n_assign", "n_access", "n_hex", "n_guess", "base_sha256", "spans")}
+        out = {c: [] for c in ("n_assign", "n_access", "n_hex", "n_guess", "base_sha256", "spans", "costs")}
         for found in map(self.find, texts):
             for k in KINDS:
                 out[f"n_{k}"].append(sum(x[0] == k for x in found))
             named = [(x[0], f"{x[0]}:{x[1]}:{x[2]}") for x in found]
             out["base_sha256"].append(hashlib.sha256(",".join(s for k, s in named if k != "guess").encode()).hexdigest())
             out["spans"].append(",".join(s for _, s in named))
+            out["costs"].append(",".join(f"{x[1]}:{x[2]}:{x[4]:.2f}" for x in found if x[4] is not None))
         return out
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, min_guesses: float = MIN_GUESSES) -> DataFrame:
-    """Secrets of every whole text: id, counts by kind, a digest of the base spans, all spans as kind:start:end (code points, end exclusive).
+    """Secrets of every whole text: id, counts by kind, a digest of the base spans, all spans as kind:start:end (code points, end exclusive),
+    and the decimal exponent of the guesses for each value that is a secret by them, as start:end:exponent.
 
     Null and empty texts have none. Repeated rows get a row each; other columns are not read; an empty table gives none.
     """
     scanner = Scanner(docs.sparkSession, vocabulary, min_guesses)
-    return arrow_map(docs, text_col, scanner.digests, "n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string", keep=[id_col])
+    return arrow_map(docs, text_col, scanner.digests, "n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string, costs string", keep=[id_col])
 
 
 def without_secrets(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None, min_guesses: float = MIN_GUESSES) -> DataFrame:
