@@ -52,11 +52,12 @@ def mix(
     which the rest ends, and only the rows of that bucket are ordered, so a hot source is never sorted.
 
     Null text has size 0 and is never taken in words (its whole repeats stay). Null source is a source of its own.
-    Rows with the same id share a fate. Other columns pass through in `doc` whatever their names. An empty table gives none.
+    Rows with the same id and text share a fate, others do not: the hash is of id and text, so rows without an id are
+    dealt like any. Other columns pass through in `doc` whatever their names. An empty table gives none.
     """
     folder = shared_folder(docs.sparkSession)
     doc = F.struct(*[docs[f"`{c}`"] for c in docs.columns]) if keep is None else keep
-    rows = docs.select(doc.alias("doc"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"), seeded(seed, docs[id_col]).alias("hash"))
+    rows = docs.select(doc.alias("doc"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"), seeded(seed, docs[id_col], F.md5(docs[text_col])).alias("hash"))
     rows = rows.withColumn("bucket", (F.shiftright("hash", 48)).cast("int"))  # 60 bits: 4096 buckets
     cells = written(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")), folder, "cells")
     plan = water_fill(cells.groupBy("source").agg(F.sum("words").cast("long").alias("source_size")), weights, max_epochs)
@@ -98,7 +99,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 SQL = rf"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-                  CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS hash FROM documents),
+                  CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(md5(text), 'null')), 1, 15) AS BIGINT) AS hash FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM d GROUP BY source),
 f AS (SELECT *, 3 * source_size AS cap,
              (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (ORDER BY 3 * source_size / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
