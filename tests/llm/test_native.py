@@ -111,6 +111,13 @@ def test_mix_comes_near_targets(spark, odd, empty, clashing):
     assert {r[0] for r in mine} == {"mine"}
 
 
+def test_mix_deals_rows_without_an_id(spark):
+    docs = spark.createDataFrame([(None if i % 2 else 5, f"text {i} " * (1 + i % 7), "one" if i % 3 else "two") for i in range(3000)], "doc_id long, text string, source string")
+    out = mixing.mix(docs).selectExpr("doc.source", "target", "taken").toPandas()
+    for _, g in out.groupby("source"):
+        assert abs(g["taken"].sum() - g["target"].iloc[0]) <= 14
+
+
 def test_preferences(spark):
     def side(pair, name, turns):
         return [(pair, name, i, r, t) for i, (r, t) in enumerate(turns)]
@@ -144,3 +151,22 @@ def test_pairs_are_stars(spark):
     tail = parts[parts["rendered"].str.contains("dangling")]
     assert set(tail["part"]) == {"chosen", "rejected"} and (tail["loss_end"] == 0).all()
     assert chat.paired(table.where("false")).count() == 0
+
+
+def test_rows_that_share_a_turn_stay(spark):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "b"), (1, 1, "assistant", "a"), (1, 1, "assistant", "a"), (1, None, "user", "z"), (1, None, "user", "y"), (1, None, "user", "y")]
+    rows += [(2, 0, "user", "q"), (2, 1, "assistant", "a"), (2, 1, "assistant", "b"), (2, 1, "assistant", "a"), (2, None, None, "n")]
+    rows += [(3, None, "user", "x"), (3, None, "assistant", "w"), (3, None, "assistant", "v")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.pair_id: r for r in chat.assembled(chat.preference_format(chat.paired(table))).collect()}
+    said = lambda text: re.findall(r"\n(.*?)<\|end", text)
+    assert said(got[2].prompt) == ["q", "a", "b"] and said(got[2].chosen) == ["y", "y", "z"] and said(got[2].rejected) == ["n"]
+    assert said(got[3].chosen) == ["v", "w", "x"] and said(got[3].rejected) == ["x", "x", "x"] and set(got) == {2, 3}
+
+
+def test_one_opening_over_many_shares(spark, monkeypatch):
+    monkeypatch.setattr(chat, "PAIRS_A_SHARE", 3)
+    rows = [(i, t, "user" if t % 2 == 0 else "assistant", f"{i} {t}" if t else "same") for i in range(50) for t in range(2 + (i == 9))]
+    sides = chat.paired(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).toPandas()
+    chosen = sides[sides["side"] == "chosen"].groupby("pair_id")["text"].apply(sorted)
+    assert len(chosen) == 49 and all(v == ["9 1", "9 2", "same"] for v in chosen)

@@ -53,9 +53,69 @@ def test_guess_costs(ranks):
         assert cost(a + b) <= cost(a) + cost(b) + 0.5  # a longer run costs a little more
 
 
+def piece_cost(value, i, j, ranks):
+    """The cheapest name for value[i:j], found by looking at the piece alone: a character, a word, a date, part of a repeat or of a walk."""
+    low, n = value.lower(), j - i
+    plain = low.translate(secrets.LEET)
+    costs = [1.0] if n == 1 else []
+    if n >= 3 and plain[i:j] in ranks:
+        costs.append(0.3 + math.log10(ranks[plain[i:j]]) + 0.3 * (value[i:j] != low[i:j]) + 0.3 * sum(a != b for a, b in zip(plain[i:j], low[i:j])))
+    for pattern in secrets.DATES:
+        if (m := pattern.match(value, i)) and m.end() == j:
+            costs.append(0.3 + math.log10(365 * 120) + (0.6 if m[1] else 0))
+    if re.fullmatch("(19|20)[0-9]{2}", value[i:j]):
+        costs.append(0.3 + math.log10(120))
+
+    def grown(same):
+        """First and last place of the longest stretch around the piece whose neighbours are all `same`, or None."""
+        a, b = i, j
+        if not all(same(k) for k in range(i + 1, j)):
+            return None
+        while a > 0 and same(a):
+            a -= 1
+        while b < len(value) and same(b):
+            b += 1
+        return a, b
+
+    for p in (1, 2, 3, 4):
+        if n >= max(3, 2 * p) and all(low[k] == low[k - p] for k in range(i + p, j)):
+            a, b = i, j
+            while a > 0 and low[a - 1] == low[a - 1 + p]:
+                a -= 1
+            while b < len(value) and low[b] == low[b - p]:
+                b += 1
+            costs.append(0.3 + p + math.log10((b - a) / p))
+
+    def move(k):
+        d = ord(low[k]) - ord(low[k - 1])
+        return d if d in (1, -1) else "key" if low[k - 1] + low[k] in secrets.BESIDE else None
+
+    if n >= 3 and (run := grown(lambda k: move(k) is not None)):
+        moves = [move(k) for k in range(run[0] + 1, run[1])]
+        costs.append(0.3 + 1.6 + math.log10(run[1] - run[0]) + 0.6 * sum(x != y for x, y in zip(moves, moves[1:])))
+    return min(costs, default=math.inf)
+
+
+def test_split_is_the_cheapest_of_all_splits(ranks):
+    r = random.Random(11)
+    bits = ["pass", "word", "dragon", "1999", "2019", "-12-", "31", "qwe", "rty", "aaa", "abab", "abc", "321", "P@ss", "x", "K", "9", "!", "é", "Haus", "0"]
+    for _ in range(250):
+        v = "".join(r.choice(bits) for _ in range(r.randint(1, 5)))[:11]
+        price = {(i, j): piece_cost(v, i, j, ranks) for i in range(len(v)) for j in range(i + 1, len(v) + 1)}
+        splits = ([0, *cuts, len(v)] for k in range(len(v)) for cuts in itertools.combinations(range(1, len(v)), k))
+        expected = min(sum(price[p] for p in zip(s, s[1:])) for s in splits)
+        assert secrets.guesses(v, ranks, 20) == pytest.approx(expected), v
+
+
 def test_guessed_values_in_context(ranks):
     found = secrets.find("pwd: xK9!vLq2zR7, Passwort: Haus. my password is: changeme private key = Zq8wTn3vXy98", ranks, 20)
     assert [s[0] for s in found] == ["guess", "guess"]
+    # Values that the fixed patterns miss, for they hold symbols or stand behind other words; and those of patterns are judged as well.
+    for text, value in [("Kennwort: v#Q7!kzP2&", "v#Q7!kzP2&"), ("contraseña = (Jw8^tRb5%x", "(Jw8^tRb5%x"), ("mot de passe : Xk2?dLm9+q", "Xk2?dLm9+q"), ("password: m$N4vB7*zK", "m$N4vB7*zK")]:
+        assert [text[s[1] : s[2]] for s in secrets.find(text, ranks, 20) if s[0] == "guess"] == [value]
+    both = secrets.find("token=Zq8wTn3vXy98Lk", ranks, 20)
+    assert [s[:3] for s in both] == [("assign", 0, 20), ("guess", 6, 20)] and both[0][4] is None and both[1][4] >= secrets.MIN_GUESSES
+    assert [s[0] for s in secrets.find("password=passwordpassword", ranks, 20)] == ["assign"]
     text = 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" end'
     assert secrets.redact(text, secrets.find(text, ranks, 20)) == 'token = "[SECRET]" end'
     assert secrets.redact(None, []) is None and secrets.redact("", []) == ""
@@ -204,6 +264,18 @@ def test_groups_of_odd_rows(spark, odd, empty, clashing):
     assert ids == [1, 4, 5, 6, 7, 8, 9, 10, 12, 13, 14, None]
 
 
+def test_one_of_each_with_repeated_and_missing_ids(spark):
+    near = prose(1).split()
+    near[60] = "changed"
+    rows = [(1, prose(2), "b"), (1, prose(3), "a"), (1, prose(3), "c"), (2, prose(1), "a"), (None, " ".join(near), "a"), (None, prose(5), "a"), (None, prose(5), "z"), (3, prose(2), "a"), (7, None, "a"), (7, None, "a"), (None, "", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    expected = {(1, prose(2)), (1, prose(3)), (2, prose(1)), (None, prose(5)), (7, None), (None, "")}
+    first = ngram_join.one_of_each(docs).collect()
+    assert {(r.doc_id, r.text) for r in first} == expected and len(first) == len(expected) + 1
+    again = ngram_join.one_of_each(docs.repartition(5)).collect()
+    assert sorted(first, key=repr) == sorted(again, key=repr)
+
+
 def test_word_hashes_follow_words():
     texts = ["a b  c", "a", "", " \n", "ab c", "é b", "x" * 1000 + " y"]
     seen = {}

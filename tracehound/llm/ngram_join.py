@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracehound.llm.common import batches, commonest, partitions, shared_folder, table, total, written
+from tracehound.llm.common import batches, commonest, partitions, shared_folder, table, total, word_count, written
 from tracehound.llm.components import components
 from tracehound.llm.shingles import U, mix, shingle_sets
 
@@ -424,16 +424,28 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents without near copies: of each group the one with the smallest id; of rows that share an id, one."""
-    groups = jaccard_groups(docs, id_col, text_col, **options)
-    firsts = groups.where("id = component_id").select(F.col("id").alias("_id")).distinct()
-    kept = docs.join(firsts, docs[id_col] == firsts["_id"], "left_semi")
-    nameless = docs.where(docs[id_col].isNull())
-    again = docs.select(docs[id_col].alias("_id")).groupBy("_id").agg(F.count("*").alias("_n")).where("_n > 1 AND _id IS NOT NULL")
+    """The documents without near copies: of each group the one with the smallest id.
+
+    A row goes only if its own text is in a group that keeps another. Where ids repeat or are missing, rows are told
+    apart by id and text: of rows that share both, the first by a digest of all columns stays; rows that share an id but
+    have texts that do not link all stay; rows without an id come last in the choice. Rows without words all stay.
+    """
+    again = docs.groupBy(docs[id_col].alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1 OR _id IS NULL")
     if again.isEmpty():
-        return kept.unionByName(nameless)
-    twice = kept.join(again, kept[id_col] == again["_id"], "left_semi").dropDuplicates([id_col])
-    return kept.join(again, kept[id_col] == again["_id"], "left_anti").unionByName(twice).unionByName(nameless)
+        groups = jaccard_groups(docs, id_col, text_col, **options)
+        firsts = groups.where("id = component_id").select(F.col("id").alias("_id"))
+        return docs.join(firsts, docs[id_col] == firsts["_id"], "left_semi")
+    folder = shared_folder(docs.sparkSession)
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc")
+    rows = docs.select(row, docs[id_col].alias("id"), docs[text_col].alias("text"))
+    wordy = word_count(F.col("text")) > 0
+    # Numbers in order of id; the order is total over distinct rows, and written once.
+    numbered = rows.where(wordy).groupBy("id", F.sha2("text", 256).alias("digest")).agg(F.min_by("doc", F.sha2(F.to_json("doc"), 256)).alias("doc"))
+    numbered = numbered.sort(F.col("id").asc_nulls_last(), "digest").select(F.monotonically_increasing_id().alias("key"), "doc")
+    numbered = written(numbered, folder, "numbered")
+    groups = jaccard_groups(numbered.select("key", F.col(f"doc.`{text_col}`").alias("text")), "key", "text", **options)
+    kept = numbered.join(groups.where("id = component_id").select(F.col("id").alias("key")), "key", "left_semi")
+    return kept.select("doc.*").unionByName(rows.where(~wordy).select("doc.*"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
