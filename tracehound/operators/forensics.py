@@ -418,9 +418,14 @@ def prefetch_gap(t: DataFrame, p: DataFrame, now: Column) -> DataFrame:
 
 
 def presence(sources: dict[str, DataFrame], least: int = 3) -> DataFrame:
-    """Names that occur in ``least`` artifact sources or more; each source has a ``name`` column."""
-    rows = union_all([df.select(F.lower("name").alias("name"), F.lit(s).alias("source")).distinct() for s, df in sources.items()])
-    return rows.groupBy("name").agg(F.count("*").alias("sources"), F.array_sort(F.collect_set("source")).alias("found_in")).where(F.col("sources") >= least)
+    """Names that occur in ``least`` artifact sources or more; each source has a ``name`` column.
+
+    One aggregation by name with a flag per source: a task holds each of its names once, without a set.
+    """
+    rows = union_all([df.select(F.lower("name").alias("name"), *[F.lit(s == own).alias(f"_s{i}") for i, s in enumerate(sources)]) for own, df in sources.items()])
+    g = rows.groupBy("name").agg(*[F.bool_or(f"_s{i}").alias(f"_s{i}") for i in range(len(sources))])
+    found = F.array_sort(F.array_compact(F.array(*[F.when(F.col(f"_s{i}"), F.lit(s)) for i, s in enumerate(sources)])))
+    return g.select("name", F.size(found).cast("bigint").alias("sources"), found.alias("found_in")).where(F.col("sources") >= least)
 
 
 def timeline_gap(t: DataFrame, days: int = 365) -> DataFrame:

@@ -117,9 +117,14 @@ a AS (SELECT DISTINCT name, 'Timeline' AS s FROM tp UNION SELECT DISTINCT file_n
 SELECT name, count(*) AS sources FROM a GROUP BY 1 HAVING count(*) >= 3"""
 
 
+def _timeline_names(spark, d):
+    """Base names of the timeline, dealt by name: tasks of its join end here and do not hold a table of names as well."""
+    return v.file_timeline(spark, d).select(fx.base_name(F.col("filename")).alias("name")).repartition("name")
+
+
 @R.add("d17_presence", _PRES_SQL)
 def d17(spark, d):
-    t = v.file_timeline(spark, d).select(fx.base_name(F.col("filename")).alias("name"))
+    t = _timeline_names(spark, d)
     u = v.journal(spark, d).select(F.col("file_name").alias("name"))
     e = fx.event_paths(v.windows_events(spark, d)).select("name")
     return fx.presence({"Timeline": t, "USN": u, "Events": e}).select("name", "sources")
@@ -134,7 +139,7 @@ SELECT name, count(*) AS sources FROM a GROUP BY 1 HAVING count(*) >= 3"""
 
 @R.add("d17_presence_whole", _PRES_WHOLE_SQL)
 def d17_whole(spark, d):
-    t = v.file_timeline(spark, d).select(fx.base_name(F.col("filename")).alias("name"))
+    t = _timeline_names(spark, d)
     e = fx.event_paths(v.windows_events(spark, d)).select("name")
     return fx.presence({"Timeline": t, "USN": v.journal(spark, d).select(F.col("file_name").alias("name")), "Events": e}).select("name", "sources")
 
