@@ -183,7 +183,7 @@ def running_totals(spark: SparkSession, path: str) -> DataFrame:
 def replayed(rows: DataFrame, batches: int, again: int = 0) -> DataFrame:
     """The rows as a stream of micro-batches in order of ``ts``, each with what came ``again`` batches before sent once more.
 
-    Batches are equal spans of time, written to shared storage as a file source reads them, one file a batch.
+    Batches are equal spans of time, written to shared storage as a file source reads them, by all tasks.
     """
     spark, folder = rows.sparkSession, work_folder(rows.sparkSession, "replay")
     at = F.unix_micros("ts")
@@ -195,17 +195,32 @@ def replayed(rows: DataFrame, batches: int, again: int = 0) -> DataFrame:
     return as_stream([dated.where(F.col("_batch") == k).drop("_batch") for k in range(batches)], folder)
 
 
+FILE_ROWS = 50_000
+
+
 def as_stream(frames: list[DataFrame], folder: str) -> DataFrame:
-    """Frames as a stream of one file and micro-batch each, in this order: the file times, by which a file source goes, are set a second apart."""
+    """Frames as a stream of one micro-batch each, in this order: the file times, by which a file source goes, are set a second apart.
+
+    Each task of a frame writes its own files, of ``FILE_ROWS`` rows at most, so no reader has to take more at once. A file
+    source takes the same number of files for every batch, so copies of one file without rows make up the difference.
+    """
     spark = frames[0].sparkSession
-    jvm, start = spark.sparkContext._jvm, int(time.time()) - len(frames)
+    jvm, conf, start = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), int(time.time()) - len(frames)
+    fs = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(conf)
+    at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    parts = lambda name: [p for p in (s.getPath() for s in fs.listStatus(at(name))) if p.getName().startswith("part-")]
+    frames[0].limit(0).write.parquet(f"{folder}/_none")  # names with an underscore are no input
     for k, frame in enumerate(frames):
-        frame.coalesce(1).write.parquet(f"{folder}/{k:04d}")
-        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{k:04d}")
-        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        for status in fs.listStatus(path):
-            fs.setTimes(status.getPath(), (start + k) * 1000, -1)
-    return spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
+        frame.write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{folder}/{k:04d}")
+    written = [len(parts(f"{k:04d}")) for k in range(len(frames))]
+    none, most = parts("_none")[0], max(written)
+    for k, n in enumerate(written):
+        for i in range(n, most):
+            jvm.org.apache.hadoop.fs.FileUtil.copy(fs, none, fs, at(f"{k:04d}/part-none-{i:05d}.parquet"), False, conf)
+        for path in parts(f"{k:04d}"):
+            fs.setTimes(path, (start + k) * 1000, -1)
+    files = {"maxFilesPerTrigger": most, "maxCachedFiles": most * len(frames), "recursiveFileLookup": "true"}
+    return spark.readStream.schema(frames[0].schema).options(**files).parquet(folder)
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
