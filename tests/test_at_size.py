@@ -11,6 +11,48 @@ from tracehound.plans import views
 from tracehound.streaming import jobs as st
 
 
+@pytest.fixture()
+def counted(spark):
+    """A frame whose texts are counted whenever they are read."""
+
+    def make(df, column="message"):
+        seen = spark.sparkContext.accumulator(0)
+
+        def read(x):
+            seen.add(1)
+            return x
+
+        return df.withColumn(column, F.udf(read, "string")(column)), seen
+
+    return make
+
+
+def texts(spark, n=120):
+    words = {"normal": "login accepted session opened", "anomaly": "failed denied refused error", "spam_activity": "buy cheap offer now"}
+    rows = [(i, f"{words[k]} w{i % 7} x{i % 3}", k, "en" if i % 2 else "de") for i in range(n) for k in [list(words)[i % 3]]]
+    return spark.createDataFrame(rows, "id BIGINT, message STRING, attack_type STRING, category STRING").repartition(3)
+
+
+def test_text_models_read_texts_twice_and_once_for_all_categories(spark, counted):
+    df, seen = counted(texts(spark))
+    base = learn.train_text(df, "id", iterations=5)
+    assert seen.value <= 2 * 120 and base.f1 > 0.9
+    before = seen.value
+    models = learn.train_by_category(df, "id", "category", base)
+    assert sorted(models) == ["de", "en"] and seen.value - before <= 120
+    assert base.predict(texts(spark)).where("confidence > 0.34").count() == 120
+    assert all(m.predict(texts(spark)).count() == 120 and m.f1 > 0.9 for m in models.values())
+
+
+def test_baseline_reads_texts_twice(spark, sf, counted):
+    e = views.entries(spark, sf)
+    df, seen = counted(e)
+    base = learn.fit_baseline(df)
+    n = e.count()
+    assert 0 < seen.value <= 2 * n
+    assert base.score(e).where("is_anomaly IS NOT NULL").count() == n
+
+
 def test_presence_keeps_flags_and_no_sets(spark):
     make = lambda *names: spark.createDataFrame([(n,) for n in names], "name STRING")
     out = fx.presence({"A": make("X", "x", "y", None), "B": make("x", "y", None), "C": make("x", None, "z")}, least=2)

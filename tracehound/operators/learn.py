@@ -22,6 +22,7 @@ from tracehound.operators.windows import burstiness
 from tracehound.rules import attacks
 from tracehound.rules.weights import ATTACK_THRESHOLDS, ATTACK_WEIGHTS, FEATURE_RANGES
 from tracehound.schema import MINUTE, micros
+from tracehound.session import cut_lineage
 
 # --- text models ----------------------------------------------------------------------------------------
 
@@ -57,7 +58,9 @@ def vocabulary(df: DataFrame, id_col: str, size: int = 500, grams: int = 2, min_
     text is one row before the shuffle; of each task only its own ``size`` best are ever compared.
     """
     rows = Pipeline(stages=gram_stages(grams)).fit(df).transform(df)
-    each = rows.select(F.col(id_col).alias("_id"), F.explode("grams").alias("term")).groupBy("_id", "term").agg(F.count("*").alias("c"))
+    # The outer kind: the plain one has Spark test the list for emptiness first, which cuts each text into words again.
+    terms = rows.select(F.col(id_col).alias("_id"), F.explode_outer("grams").alias("term")).where("term IS NOT NULL")
+    each = terms.groupBy("_id", "term").agg(F.count("*").alias("c"))
     total = df.agg(F.count("*").alias("n")).scalar()
     counts = each.groupBy("term").agg(F.sum("c").alias("n"), F.count("*").alias("docs"))
     kept = counts.where((F.col("docs") >= min_df) & (F.col("docs") <= F.lit(max_df) * total))
@@ -100,15 +103,27 @@ def _scores(pred: DataFrame) -> tuple[float, float]:
 def train_text(df: DataFrame, id_col: str, vectorizer: PipelineModel | None = None, grams: int = 2, reg: float = 0.01, iterations: int = 50, features: str = "text_features", extra: list | None = None, size: int = 500) -> TextModel:
     """Text classifier over (id, message, attack_type), balanced classes, stratified 80/20 split.
 
-    With a given vectorizer the vocabulary is shared and only the classifier is fitted.
+    With a given vectorizer the vocabulary is shared and only the classifier is fitted. Texts are cut into words once for the
+    vocabulary and once for the counts, which are written: whatever is fitted or scored reads these. ``extra`` stages may
+    read the category and the weighted counts.
     """
-    train, test = stratified_split(df, "attack_type", id_col)
-    vec = vectorizer
-    if vec is None:
-        terms = [r["term"] for r in vocabulary(train, id_col, size, grams).collect()]  # `size` terms at most
-        vec = Pipeline(stages=text_stages(terms, grams) + (extra or [])).fit(train)
-    clf = _classifier(features, reg, iterations).fit(vec.transform(balanced(train, "attack_type")))
-    accuracy, f1 = _scores(clf.transform(vec.transform(test)))
+    if vectorizer is not None:
+        return _fitted(vectorizer, cut_lineage(vectorizer.transform(df).select(id_col, "attack_type", features)), id_col, reg, iterations, features)
+    train, _ = stratified_split(df, "attack_type", id_col)
+    terms = [r["term"] for r in vocabulary(train, id_col, size, grams).collect()]  # `size` terms at most
+    stages = text_stages(terms, grams)
+    counter = PipelineModel(stages[:-1])
+    kept = [c for c in dict.fromkeys((id_col, "attack_type", "category")) if c in df.columns]
+    counted = cut_lineage(counter.transform(df).select(*kept, "counts"))
+    weights = Pipeline(stages=stages[-1:] + (extra or [])).fit(stratified_split(counted, "attack_type", id_col)[0])
+    return _fitted(PipelineModel([*counter.stages, *weights.stages]), weights.transform(counted), id_col, reg, iterations, features)
+
+
+def _fitted(vec: PipelineModel, coded: DataFrame, id_col: str, reg: float, iterations: int, features: str) -> TextModel:
+    """Classifier and its scores from rows that hold their features already."""
+    train, test = stratified_split(coded, "attack_type", id_col)
+    clf = _classifier(features, reg, iterations).fit(balanced(train, "attack_type"))
+    accuracy, f1 = _scores(clf.transform(test))
     return TextModel(vec, clf, accuracy, f1)
 
 
@@ -116,7 +131,8 @@ def train_by_category(df: DataFrame, id_col: str, column: str, base: TextModel,
     """One classifier per category on the base vocabulary, with more regularisation; small or one-class categories are left out."""
     groups = df.groupBy(column).agg(F.count("*").alias("n"), F.countDistinct("attack_type").alias("k")).where((F.col("n") >= least) & (F.col("k") > 1))
     names = sorted(r[column] for r in groups.collect())  # one name per category, of which there are a few dozen
-    return {n: train_text(df.where(F.col(column) == n), id_col, base.vectorizer, reg=0.02) for n in names}
+    coded = cut_lineage(base.vectorizer.transform(df).select(id_col, "attack_type", F.col(column).alias("_group"), "text_features"))  # texts are read once for all categories
+    return {n: _fitted(base.vectorizer, coded.where(F.col("_group") == n), id_col, 0.02, 50, "text_features") for n in names}
 
 
 def train_by_log_type(df: DataFrame, id_col: str, base: TextModel) -> dict[str, TextModel]:
