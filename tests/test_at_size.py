@@ -44,6 +44,16 @@ def test_text_models_read_texts_twice_and_once_for_all_categories(spark, counted
     assert all(m.predict(texts(spark)).count() == 120 and m.f1 > 0.9 for m in models.values())
 
 
+def test_train_features_computes_features_once(spark, sf, counted):
+    e = views.entries(spark, sf).withColumn("attack_type", F.when(F.col("line_no") % 8 == 1, "sql_injection").otherwise("safe"))
+    df, seen = counted(e, "raw_line")
+    model, accuracy = learn.train_features(df, folds=2, trees=3, depth=4)
+    assert 0 < seen.value <= e.count() and accuracy > 0.9
+    ready = learn.attack_features(e)
+    again, same = learn.train_features(ready, folds=2, trees=3, depth=4)
+    assert same > 0.9 and learn.decode(again.transform(ready), again).where("predicted = attack_type").count() > 0.9 * e.count()
+
+
 def test_baseline_reads_texts_twice(spark, sf, counted):
     e = views.entries(spark, sf)
     df, seen = counted(e)

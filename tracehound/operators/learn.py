@@ -149,8 +149,12 @@ def train_unified(df: DataFrame, id_col: str) -> TextModel:
 
 
 def train_features(e: DataFrame, folds: int = 3, trees: int = 100, depth: int = 10, seed: int = 42) -> tuple[PipelineModel, float]:
-    """Random forest over the 25 attack features of labelled entries, scaled, with k-fold validation."""
-    rows = attack_features(e)
+    """Random forest over the 25 attack features of labelled entries, scaled, with k-fold validation.
+
+    Features are computed once and written, for each fold and the last fit read them several times; entries that hold all of
+    them (``attack_features``) are taken as they are.
+    """
+    rows = e if set(ATTACK_FEATURES) <= set(e.columns) else cut_lineage(attack_features(e).select("attack_type", *ATTACK_FEATURES))
     stages = [
         VectorAssembler(inputCols=ATTACK_FEATURES, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True),
         StringIndexer(inputCol="attack_type", outputCol="label", stringOrderType="alphabetAsc"),
