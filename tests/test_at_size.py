@@ -63,6 +63,23 @@ def test_baseline_reads_texts_twice(spark, sf, counted):
     assert base.score(e).where("is_anomaly IS NOT NULL").count() == n
 
 
+def test_forest_scores_are_those_of_a_plain_walk(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 3))
+    rows = spark.createDataFrame(pd.DataFrame({"id": range(400), "a": x[:, 0], "b": x[:, 1], "c": x[:, 2]}))
+    forest = isolation.grow(rows, ["a", "b", "c"], "id", n_trees=8, size=64)
+    got = isolation.raw_scores(rows, forest).orderBy("id").toPandas()["raw_score"].to_numpy()
+    trees = {t: g.set_index("node") for t, g in forest.trees.toPandas().groupby("tree")}
+    for i in range(0, 400, 25):
+        total = 0.0
+        for g in trees.values():
+            node, depth = 0, 0
+            while g.loc[node, "feature"] >= 0:
+                node, depth = int(g.loc[node, "low" if x[i, int(g.loc[node, "feature"])] < g.loc[node, "cut"] else "high"]), depth + 1
+            total += depth + float(isolation.average_path(float(g.loc[node, "size"])))
+        assert got[i] == pytest.approx(2.0 ** (-total / len(trees) / float(isolation.average_path(64.0))))
+
+
 def test_presence_keeps_flags_and_no_sets(spark):
     make = lambda *names: spark.createDataFrame([(n,) for n in names], "name STRING")
     out = fx.presence({"A": make("X", "x", "y", None), "B": make("x", "y", None), "C": make("x", None, "z")}, least=2)

@@ -141,25 +141,23 @@ def raw_scores(df: DataFrame, forest: Forest) -> DataFrame:
     arrays = []
     for _, t in nodes.groupby("tree", sort=True):
         t = t.sort_values("node")
-        arrays.append((t["feature"].to_numpy(), t["cut"].to_numpy(), t["low"].to_numpy(), t["high"].to_numpy(), average_path(t["size"].to_numpy())))
+        feature, node, low, high = (t[c].to_numpy() for c in ("feature", "node", "low", "high"))
+        # A leaf leads to itself, so all rows take the same number of steps; nodes come behind their parents.
+        leaf, depth = feature < 0, np.zeros(len(t), dtype=int)
+        for i in np.flatnonzero(~leaf):
+            depth[[low[i], high[i]]] = depth[i] + 1
+        arrays.append((np.where(leaf, 0, feature), np.where(leaf, np.inf, t["cut"].to_numpy()), np.where(leaf, node, low), np.where(leaf, node, high), depth + average_path(t["size"].to_numpy()), int(depth.max())))
     norm, features = float(average_path(float(forest.size))) or 1.0, forest.features
     shipped = df.sparkSession.sparkContext.broadcast(arrays)
 
     def walk(*cols: pd.Series) -> pd.Series:
         x = np.column_stack([np.nan_to_num(c.to_numpy(float)) for c in cols])
-        total = np.zeros(len(x))
-        for feature, cut, low, high, tail in shipped.value:
+        total, flat, start = np.zeros(len(x)), x.ravel(), np.arange(len(x)) * x.shape[1]
+        for feature, cut, low, high, length, steps in shipped.value:
             at = np.zeros(len(x), dtype=int)
-            depth = np.zeros(len(x))
-            live = feature[at] >= 0
-            while live.any():
-                i = np.flatnonzero(live)
-                f = feature[at[i]]
-                go_low = x[i, f] < cut[at[i]]
-                at[i] = np.where(go_low, low[at[i]], high[at[i]])
-                depth[i] += 1
-                live[i] = feature[at[i]] >= 0
-            total += depth + tail[at]
+            for _ in range(steps):
+                at = np.where(flat[start + feature[at]] < cut[at], low[at], high[at])
+            total += length[at]
         return pd.Series(np.power(2.0, -total / len(shipped.value) / norm))
 
     run = F.pandas_udf(walk, "double")

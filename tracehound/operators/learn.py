@@ -248,19 +248,26 @@ def _unpack(df: DataFrame) -> DataFrame:
 
 
 def fit_baseline(e: DataFrame, contamination: float = 0.05, least: int = 20) -> Baseline | None:
-    """Anomaly baseline on normal data: twelve tabular features and fifty terms, fitted once and saved as a whole."""
+    """Anomaly baseline on normal data: twelve tabular features and fifty terms, fitted once and saved as a whole.
+
+    Coded categories, numbers and term counts are written; weights, scale, trees and threshold come from these.
+    """
     rows = tabular_features(e)
     coded = [f"k_{c}" for c in TABULAR_CATEGORIES]
-    stages = [
+    numbers = ["f_hour", "f_weekday", *coded, *[f"n_{n}" for n in TABULAR_NUMBERS], "f_length", "f_entropy"]
+    counts = [
         StringIndexer(inputCols=[f"c_{c}" for c in TABULAR_CATEGORIES], outputCols=coded, handleInvalid="keep", stringOrderType="alphabetAsc"),
         RegexTokenizer(inputCol="message", outputCol="words", pattern=r"\w\w+", gaps=False), CountVectorizer(inputCol="words", outputCol="terms", vocabSize=TEXT_TERMS, minDF=2.0),
-        IDF(inputCol="terms", outputCol="tfidf"),
-        VectorAssembler(inputCols=["f_hour", "f_weekday", *coded, *[f"n_{n}" for n in TABULAR_NUMBERS], "f_length", "f_entropy", "tfidf"], outputCol="raw"),
-        StandardScaler(inputCol="raw", outputCol="scaled", withMean=True),
     ]
-    encoder = Pipeline(stages=stages).fit(rows)
+    weights = [
+        IDF(inputCol="terms", outputCol="tfidf"), VectorAssembler(inputCols=[*numbers, "tfidf"], outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True),
+    ]
+    counter = Pipeline(stages=counts).fit(rows)
+    counted = cut_lineage(counter.transform(rows).select("id", *numbers, "terms"))
+    scaler = Pipeline(stages=weights).fit(counted)
+    encoder = PipelineModel([*counter.stages, *scaler.stages])
     n = len(TABULAR_CATEGORIES) + len(TABULAR_NUMBERS) + 4 + TEXT_TERMS
-    forest = isolation.fit(_unpack(encoder.transform(rows)), [f"x{i}" for i in range(n)], "id", contamination, least=least)
+    forest = isolation.fit(_unpack(scaler.transform(counted)), [f"x{i}" for i in range(n)], "id", contamination, least=least)
     return None if forest is None else Baseline(encoder, forest)
 
 
