@@ -196,3 +196,10 @@ def test_cut_off_of_a_sketch(spark):
     assert {0, 1, 2} <= {r.id for r in out.where("is_anomaly").collect()} and abs(out.where("is_anomaly").count() / 600 - 0.05) < 0.02
     assert forest.threshold == isolation.fit(wide, ["a", "b"], "id", 0.05).threshold
     assert isolation.fit_score(wide.limit(5), ["a", "b"], "id", 0.05) is None
+
+
+def test_lines_of_one_task_are_parsed_by_all(spark):
+    """A file that gives one task does not leave the parsing, tagging and writing of all lines to it."""
+    lines = spark.range(0, 4000, 1, 1).select(F.lit("h").alias("source"), F.col("id").alias("line_no"), F.lit("Failed password for u from 1.2.3.4 port 22").alias("line"))
+    got = jobs.parse_job(lines, 2024)["entries"].groupBy(F.input_file_name()).count().collect()
+    assert len(got) >= 8 and sum(r["count"] for r in got) == 4000 and max(r["count"] for r in got) <= 1000

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tracehound.functions import prefilter as pre
 from tracehound.rules import dims
 
 IPV4 = r"(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})"
@@ -27,9 +28,16 @@ WHOLE_TIMES = [
 ]
 
 
-def found(text: Column, pattern: str, group: int = 1) -> Column:
-    """The group of the first match, null where the pattern or the group does not match."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+def found(text: Column, pattern: str, group: int = 1, low: Column | None = None) -> Column:
+    """The group of the first match, null where the pattern or the group does not match.
+
+    With ``low``, the text in lower case, the pattern runs only where the text holds the plain strings of every match.
+    """
+    value = F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    blind, clauses = pre.needed(pattern)
+    if low is None or not clauses:
+        return value
+    return F.when(reduce(lambda a, b: a & b, [has_any(low if blind else text, sorted(c)) for c in clauses]), value)
 
 
 def bind(value: Column, use) -> Column:
@@ -71,14 +79,15 @@ def line_ts(line: Column, fields: Column, default_year: int, ingest: Column | No
     tries = [iso_ts(found(field(fields, "timestamp"), rf"^(\d{{4}}-\d{{2}}-\d{{2}} \d{{2}}:\d{{2}}:\d{{2}}{TAIL})"))]
     for pattern, layout in LINE_TIMES:
         pattern = pattern.replace("{tail}", TAIL)
-        value = found(line, pattern)
+        value = found(line, pattern, 1, line)  # no layout ignores case
         if layout == "iso":
             tries.append(iso_ts(value))
             continue
         if layout.startswith("yyyy MMM"):
             value = F.concat(F.lit(f"{default_year} "), _squeeze(value))
         elif layout.startswith("dd/"):
-            zoned = F.concat_ws(" ", value, found(line, pattern, 2))
+            # null without both parts: a text that does not parse costs an exception
+            zoned = F.concat(value, F.lit(" "), found(line, pattern, 2, line))
             tries.append(F.try_to_timestamp(zoned, F.lit(layout + " xx")))
         tries.append(F.try_to_timestamp(value, F.lit(layout)))
     if ingest is not None:
@@ -86,8 +95,8 @@ def line_ts(line: Column, fields: Column, default_year: int, ingest: Column | No
     return F.coalesce(*tries)
 
 
-def severity_col(line: Column) -> Column:
-    low = F.lower(line)
+def severity_col(line: Column, low: Column | None = None) -> Column:
+    low = F.lower(line) if low is None else low
     return (
         F.when(has_any(low, ["critical", "fatal", "crit"]), "critical")
         .when(has_any(low, ["error", "err", "fail", "failed", "denied", "reject"]), "error")
@@ -97,27 +106,27 @@ def severity_col(line: Column) -> Column:
     )
 
 
-def source_ip_col(line: Column, fields: Column) -> Column:
+def source_ip_col(line: Column, fields: Column, low: Column | None = None) -> Column:
     return F.coalesce(
         field(fields, "client_ip", "src_ip", "source_ip", "ip", "server_ip"),
-        found(line, r"(?i)from\s+" + IPV4),
-        found(line, r"(?i)SRC=" + IPV4),
-        found(line, r"(?i)srcip=" + IPV4),
-        found(line, r"(?i)src_ip=" + IPV4),
-        found(line, IPV4),
+        found(line, r"(?i)from\s+" + IPV4, 1, low),
+        found(line, r"(?i)SRC=" + IPV4, 1, low),
+        found(line, r"(?i)srcip=" + IPV4, 1, low),
+        found(line, r"(?i)src_ip=" + IPV4, 1, low),
+        found(line, IPV4, 1, low),
     )
 
 
-def source_port_col(line: Column) -> Column:
+def source_port_col(line: Column, low: Column | None = None) -> Column:
     return F.coalesce(
-        found(line, r"(?i)port\s+(\d+)"), found(line, r"(?i)DPT=(\d+)"), found(line, r"(?i)dstport=(\d+)")
+        found(line, r"(?i)port\s+(\d+)", 1, low), found(line, r"(?i)DPT=(\d+)", 1, low), found(line, r"(?i)dstport=(\d+)", 1, low)
     ).try_cast("int")
 
 
-def source_struct(line: Column, fields: Column) -> Column:
+def source_struct(line: Column, fields: Column, low: Column | None = None) -> Column:
     return F.struct(
-        source_ip_col(line, fields).alias("ip"),
-        source_port_col(line).alias("port"),
+        source_ip_col(line, fields, low).alias("ip"),
+        source_port_col(line, low).alias("port"),
         field(fields, "host", "hostname").alias("hostname"),
         field(fields, "service").alias("service"),
         field(fields, "pid").try_cast("int").alias("pid"),
@@ -132,13 +141,13 @@ def destination_struct(fields: Column) -> Column:
     )
 
 
-def user_name_col(line: Column, fields: Column) -> Column:
+def user_name_col(line: Column, fields: Column, low: Column | None = None) -> Column:
     return F.coalesce(
         field(fields, "user"),
-        found(line, r"(?i)for\s+(\S+)\s+from"),
-        found(line, r"(?i)user[=:\s]+(\w+)"),
-        found(line, r"(?i)User:\s*(\S+)"),
-        found(line, r"(?i)server_principal_name=([^=,\s]+)"),
+        found(line, r"(?i)for\s+(\S+)\s+from", 1, low),
+        found(line, r"(?i)user[=:\s]+(\w+)", 1, low),
+        found(line, r"(?i)User:\s*(\S+)", 1, low),
+        found(line, r"(?i)server_principal_name=([^=,\s]+)", 1, low),
     )
 
 
@@ -153,8 +162,8 @@ def normalize_user(col: Column) -> Column:
     return F.struct(F.nullif(name, F.lit("")).alias("name"), domain.alias("domain"))
 
 
-def action_col(line: Column, fields: Column) -> Column:
-    low = F.lower(line)
+def action_col(line: Column, fields: Column, low: Column | None = None) -> Column:
+    low = F.lower(line) if low is None else low
     verb = F.lower(F.nullif(F.element_at(F.split(F.trim(field(fields, "request")), r"\s+"), 1), F.lit("")))
     return F.coalesce(
         field(fields, "action"),
@@ -167,8 +176,8 @@ def action_col(line: Column, fields: Column) -> Column:
     )
 
 
-def outcome_col(line: Column, fields: Column) -> Column:
-    low = F.lower(line)
+def outcome_col(line: Column, fields: Column, low: Column | None = None) -> Column:
+    low = F.lower(line) if low is None else low
     status = field(fields, "status").try_cast("int")
     return F.coalesce(
         field(fields, "outcome"),
@@ -188,8 +197,8 @@ def status_severity(status: Column) -> Column:
     )
 
 
-def tags_col(log_type: Column, line: Column) -> Column:
-    low = F.lower(line)
+def tags_col(log_type: Column, line: Column, low: Column | None = None) -> Column:
+    low = F.lower(line) if low is None else low
     return F.array_compact(
         F.array(
             log_type,

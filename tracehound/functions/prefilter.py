@@ -101,6 +101,51 @@ def opening(pattern: str) -> tuple[str, str] | None:
     return None
 
 
+WORD = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_")
+CATEGORIES = {op.CATEGORY_DIGIT: frozenset("0123456789"), op.CATEGORY_WORD: WORD, op.CATEGORY_SPACE: frozenset(" \t\n\x0b\f\r")}
+
+
+def _firsts(items) -> tuple[frozenset | None, bool]:
+    """Characters that can stand first in a match of a sequence of parsed items (None: any), and whether it can match nothing."""
+    out = frozenset()
+    for kind, arg in items:
+        empty = False
+        if kind is op.AT:
+            continue
+        if kind is op.LITERAL:
+            chars = frozenset(chr(arg))
+        elif kind is op.IN and all(k in (op.LITERAL, op.RANGE) or (k is op.CATEGORY and a in CATEGORIES) for k, a in arg):
+            chars = frozenset().union(*[{chr(a)} if k is op.LITERAL else map(chr, range(a[0], a[1] + 1)) if k is op.RANGE else CATEGORIES[a] for k, a in arg])
+        elif kind is op.SUBPATTERN and not arg[1] and not arg[2]:
+            chars, empty = _firsts(arg[3])
+        elif kind in (op.MAX_REPEAT, op.MIN_REPEAT):
+            chars, empty = _firsts(arg[2])
+            empty = empty or arg[0] == 0
+        elif kind is op.BRANCH:
+            sides = [_firsts(side) for side in arg[1]]
+            chars, empty = None if any(c is None for c, _ in sides) else frozenset().union(*[c for c, _ in sides]), any(e for _, e in sides)
+        else:
+            return None, False
+        if chars is None:
+            return None, False
+        out |= chars
+        if not empty:
+            return out, False
+    return out, True
+
+
+@cache
+def first_chars(pattern: str) -> frozenset | None:
+    """Characters that can stand first in a text which a pattern tied to its start matches; None if it may be any."""
+    tree = _parsed(pattern)
+    if tree is None or tree.state.flags & re.MULTILINE or not len(tree) or tree[0] != (op.AT, op.AT_BEGINNING):
+        return None
+    chars, empty = _firsts(tree)
+    if chars is None or empty:
+        return None
+    return frozenset(x for c in chars for x in (c, c.lower(), c.upper())) if needed(pattern)[0] else chars
+
+
 def quoted(text: str) -> str:
     """A Spark SQL string literal."""
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -137,8 +182,8 @@ def count(pattern: str, text: str, lowered: str | None = None) -> str:
     return f"CASE WHEN {' AND '.join(tests)} THEN {found} ELSE 0 END" if tests else found
 
 
-#: Names under which `decided` offers a text to SQL conditions.
-TEXT, LOWERED = "t.text", "t.lowered"
+#: Names under which `decided` offers a text to SQL conditions: variables of their own, for a field of a struct is read anew by each test.
+TEXT, LOWERED = "_text", "_lowered"
 
 
 def decided(df: DataFrame, text: Column, sql: str, **more: Column) -> tuple[DataFrame, Column]:
@@ -148,7 +193,10 @@ def decided(df: DataFrame, text: Column, sql: str, **more: Column) -> tuple[Data
     compile. As one SQL text they also cost the driver one call. Drop the column `_t` afterwards.
     """
     bound = F.struct(text.alias("text"), F.lower(text).alias("lowered"), *[c.alias(n) for n, c in more.items()])
-    return computed(df, _t=bound), F.expr(f"element_at(transform(array(_t), t -> {sql}), 1)")
+    return computed(df, _t=bound), F.expr(
+        f"element_at(transform(array(_t), t -> element_at(transform(array(t.text), {TEXT} -> "
+        f"element_at(transform(array(t.lowered), {LOWERED} -> {sql}), 1)), 1)), 1)"
+    )
 
 
 def could_match(text: str, pattern: str) -> bool:

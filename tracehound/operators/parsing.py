@@ -67,9 +67,29 @@ def line_test(kind: str, arg) -> str:
     raise ValueError(kind)
 
 
+#: Lines are told apart by their first character, so that they meet only the tests which such a line can pass.
+FIRST_RANGES = ["09", "AZ", "az", "[[", "{{", "##"]
+
+
+def first_chars(kind: str, arg) -> frozenset | None:
+    """Characters that a line taken by a row of the format table can begin with; None if it may be any."""
+    if kind == "re":
+        return pre.first_chars(start_anchored(arg))
+    return {"json": frozenset('[{"-0123456789tfn'), "array": frozenset("["), "keys": frozenset("{"), "keys_find": frozenset("{")}.get(kind)
+
+
+def _first_type(tests) -> str:
+    return "CASE " + " ".join(f"WHEN {line_test(kind, arg)} THEN {pre.quoted(name)}" for name, kind, arg in tests) + f" ELSE {pre.quoted(RAW)} END"
+
+
 def line_type(df: DataFrame) -> DataFrame:
     """First type of the format table that takes the line, as ``line_type``."""
-    first = "CASE " + " ".join(f"WHEN {line_test(kind, arg)} THEN {pre.quoted(name)}" for name, kind, arg in LINE_TESTS) + f" ELSE {pre.quoted(RAW)} END"
+    sides = []
+    for lo, hi in FIRST_RANGES:
+        here = {chr(c) for c in range(ord(lo), ord(hi) + 1)}
+        tests = [t for t in LINE_TESTS if (can := first_chars(*t[1:])) is None or can & here]
+        sides.append(f"WHEN {pre.TEXT} >= {pre.quoted(lo)} AND {pre.TEXT} < {pre.quoted(chr(ord(hi) + 1))} THEN {_first_type(tests)}")
+    first = f"CASE {' '.join(sides)} ELSE {_first_type(LINE_TESTS)} END"
     bound, kind = pre.decided(df, strip(F.col("line")), first)
     return computed(bound, line_type=kind).drop("_t")
 
@@ -337,26 +357,32 @@ def extract_fields(df: DataFrame) -> DataFrame:
     return computed(df, fields=fields_col(F.col("line"), F.col("line_type")))
 
 
-# Pairs and single values of a line of no known format.
+# Pairs and single values of a line of no known format, and a string that all matches of the pattern hold.
 PAIR_PATTERNS = [(r"(\w+)=([^,\s]+)",), (r"(\w+):\s*([^,\s]+)",), (r'"(\w+)":\s*"([^"]+)"',), (r'"(\w+)":\s*(\d+)',)]
+PAIR_SIGNS = ["=", ":", '":', '":']
 
 
 def generic_col(line: Column) -> Column:
     """Fields of any line: pairs (first key wins), IPs, user, status, method, service."""
-    keys = F.concat(*[F.regexp_extract_all(line, F.lit(p), F.lit(1)) for (p,) in PAIR_PATTERNS])
-    values = F.concat(*[F.regexp_extract_all(line, F.lit(p), F.lit(2)) for (p,) in PAIR_PATTERNS])
-    pairs = first_wins(F.transform(keys, F.lower), values)
-    service = found(line, r"(\w+)(?:\[\d+\])?:")
-    extra = {
-        "src_ip": F.coalesce(found(line, r"(?i)SRC[=_]" + nz.IPV4), found(line, r"(?i)from\s+" + nz.IPV4)),
-        "dst_ip": F.coalesce(found(line, r"(?i)DST[=_]" + nz.IPV4), found(line, r"(?i)to\s+" + nz.IPV4)),
-        "ip": found(line, nz.IPV4),
-        "user": F.coalesce(*[found(line, r"(?i)user[=:\s]+(\w+)|account[=:\s]+(\w+)|for\s+(\S+)\s+from", i) for i in (1, 2, 3)]),
-        "status": F.coalesce(*[found(line, r"\s(\d{3})\s|status[=:](\d+)", i) for i in (1, 2)]),
-        "method": found(line, r"(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)"),
-        "service": F.when(~service.rlike(r"^\d+$"), service),
-    }
-    return bind(pairs, lambda m: with_defaults(m, extra))
+    def all_of(group: int) -> Column:
+        none = F.array().cast("array<string>")
+        return F.concat(*[F.when(F.contains(line, F.lit(sign)), F.regexp_extract_all(line, F.lit(p), F.lit(group))).otherwise(none) for (p,), sign in zip(PAIR_PATTERNS, PAIR_SIGNS)])
+
+    def extra(low: Column) -> dict[str, Column]:
+        one = lambda pattern, group=1: found(line, pattern, group, low)
+        service = one(r"(\w+)(?:\[\d+\])?:")
+        return {
+            "src_ip": F.coalesce(one(r"(?i)SRC[=_]" + nz.IPV4), one(r"(?i)from\s+" + nz.IPV4)),
+            "dst_ip": F.coalesce(one(r"(?i)DST[=_]" + nz.IPV4), one(r"(?i)to\s+" + nz.IPV4)),
+            "ip": one(nz.IPV4),
+            "user": F.coalesce(*[one(r"(?i)user[=:\s]+(\w+)|account[=:\s]+(\w+)|for\s+(\S+)\s+from", i) for i in (1, 2, 3)]),
+            "status": F.coalesce(*[one(r"\s(\d{3})\s|status[=:](\d+)", i) for i in (1, 2)]),
+            "method": one(r"(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)"),
+            "service": F.when(~service.rlike(r"^\d+$"), service),
+        }
+
+    pairs = first_wins(F.transform(all_of(1), F.lower), all_of(2))
+    return bind(F.struct(pairs.alias("pairs"), F.lower(line).alias("low")), lambda t: with_defaults(t["pairs"], extra(t["low"])))
 
 
 def generic_fields(df: DataFrame) -> DataFrame:
@@ -433,16 +459,17 @@ def parse(df: DataFrame, default_year: int, force_type: str | None = None, per_s
 
 def to_entries(df: DataFrame, message_cap: int | None = None) -> DataFrame:
     """Typed lines to the entry table; a message is the whole line unless a cap is asked for."""
-    line, fields = F.col("line"), F.col("fields")
+    df = df.withColumn("_low", F.lower("line"))
+    line, fields, low = F.col("line"), F.col("fields"), F.col("_low")
     kind = nz.log_type_of(F.col("line_type"))
     message = line if message_cap is None else F.substring(line, 1, message_cap)
     return df.select(
         nz.entry_id(F.col("source"), F.col("line_no"), line).alias("id"), F.col("source").alias("source_name"), "line_no", "ts",
         kind.alias("log_type"), nz.category_of(kind).alias("category"), nz.log_source_of(kind).alias("log_source"),
-        nz.severity_col(line).alias("severity"), nz.source_struct(line, fields).alias("source"), nz.destination_struct(fields).alias("destination"),
-        F.struct(nz.user_name_col(line, fields).alias("name"), F.lit(None).cast("string").alias("domain")).alias("user"),
-        nz.action_col(line, fields).alias("action"), nz.outcome_col(line, fields).alias("outcome"), F.lit(None).cast("string").alias("country"),
-        message.alias("message"), line.alias("raw_line"), fields.alias("fields"), nz.tags_col(kind, line).alias("tags"),
+        nz.severity_col(line, low).alias("severity"), nz.source_struct(line, fields, low).alias("source"), nz.destination_struct(fields).alias("destination"),
+        F.struct(nz.user_name_col(line, fields, low).alias("name"), F.lit(None).cast("string").alias("domain")).alias("user"),
+        nz.action_col(line, fields, low).alias("action"), nz.outcome_col(line, fields, low).alias("outcome"), F.lit(None).cast("string").alias("country"),
+        message.alias("message"), line.alias("raw_line"), fields.alias("fields"), nz.tags_col(kind, line, low).alias("tags"),
         F.lit(None).cast("string").alias("attack_type"), F.lit(None).cast("double").alias("attack_confidence"),
         F.lit(None).cast("array<string>").alias("mitre_tactics"), F.lit(None).cast("array<string>").alias("mitre_techniques"),
         F.lit(False).alias("is_anomaly"), F.lit(None).cast("double").alias("anomaly_score"),

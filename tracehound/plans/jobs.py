@@ -1,7 +1,7 @@
 """Whole jobs: from lines to alerts and statistics, and from entries to chains.
 
 Entries are written once to the checkpoint folder before they fan out, so the long field-extraction plan is
-neither planned nor run again for each alert rule and statistic.
+neither planned nor run again for each alert rule and statistic. Lines are dealt evenly over the tasks before.
 """
 
 from __future__ import annotations
@@ -25,9 +25,15 @@ def parse_lines(
     return entries
 
 
+def deal(lines: DataFrame) -> DataFrame:
+    """The lines in even parts over all tasks: parsing a line costs far more than moving it, and a file may give few tasks."""
+    spark = lines.sparkSession
+    return lines.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 def parse_job(lines: DataFrame, default_year: int, cfg: detect.DetectionConfig = detect.DetectionConfig(), **how) -> dict[str, DataFrame]:
     """Entries with keyword tags, alerts with anomaly alerts, and the statistics of one upload."""
-    entries = cut_lineage(detect.tag_keywords(parse_lines(lines, default_year, **how)))
+    entries = cut_lineage(detect.tag_keywords(parse_lines(deal(lines), default_year, **how)))
     alerts = detect.run_detections(entries, cfg)
     return {
         "entries": entries, "alerts": alerts, "anomaly_alerts": detect.anomaly_alerts(entries, alerts),
