@@ -6,13 +6,14 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracehound.llm import classifier, components, embeddings, lm, ngram_join, secrets, sentencepiece, shingles
+from tracehound.llm import classifier, common, components, embeddings, lm, ngram_join, secrets, sentencepiece, shingles
 
 from .conftest import prose
 
@@ -226,6 +227,43 @@ def test_groups_against_all_pairs(spark, monkeypatch, size, percent):
         assert {tuple(r) for r in ngram_join.jaccard_groups(docs, size=size, percent=percent).collect()} == expected
 
 
+def test_a_large_family_is_dealt_by_size(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 10)
+    r = random.Random(6)
+    sizes = [r.randint(1, 400) for _ in range(300)] + [77] * 60
+    members = spark.createDataFrame([(i, -i, n, 5) for i, n in enumerate(sizes)] + [(900, -900, 9, 6), (901, -901, 9, 7), (902, -902, 400, 7)], "rep long, d1 long, n int, family long")
+    keys = collections.defaultdict(list)
+    for row in ngram_join.paired_blocks(members, 80).collect():
+        keys[row.key].append((row.rep, row.side))
+    met = collections.Counter(frozenset((a, b)) for k, rows in keys.items() for (a, s), (b, t) in itertools.combinations(rows, 2) if k.endswith("=") or s != t)
+    assert set(met.values()) == {1} and frozenset((901, 902)) in met and not any(900 in pair for pair in met)
+    for i, j in itertools.combinations(range(len(sizes)), 2):
+        if 5 * min(sizes[i], sizes[j]) >= 4 * max(sizes[i], sizes[j]):
+            assert frozenset((i, j)) in met
+    assert max(map(len, keys.values())) <= 2 * 15
+    assert sum(map(len, keys.values())) < len(sizes) * 36 / 2  # a member met all 36 blocks before
+
+
+def test_shares_of_large_families(spark, monkeypatch):
+    rows = edited(4)
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    monkeypatch.setattr(ngram_join, "AT_ONCE", 1)
+    names, write = [], ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", lambda df, folder, name: names.append(name) or write(df, folder, name))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {tuple(r) for r in ngram_join.jaccard_groups(docs, size=4, percent=85).collect()} == groups_by_hand(rows, 4, 85)
+    assert {"links0", "links1"} <= set(names)
+
+
+def test_what_is_written_leaves_no_shuffle_files(spark):
+    kept = lambda: sum(f.getName().startswith("shuffle_") for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+    folder, before = common.shared_folder(spark), kept()
+    out = common.written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("s")).repartition(3, "s"), folder, "sums")
+    time.sleep(1)
+    assert kept() <= before
+    assert out.count() == 7
+
+
 def test_linked_sets_share_a_signature():
     r = random.Random(2)
     for n in [*range(1, 60), 100, 333, 1000, 5000]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,10 +51,25 @@ def shared_folder(spark: SparkSession) -> str:
     return shared_path(spark, "llm")
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str):
+    """A session setting that holds inside; what the session had before holds again afterwards."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def written(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """The frame as a Parquet table in the shared folder: cuts lineage, survives lost executors, and later reads prune columns."""
+    """The frame as a Parquet table in the shared folder: cuts lineage, survives lost executors, and later reads prune columns.
+
+    What was shuffled for it goes from the executors' disks once it is written, not when the driver collects its garbage.
+    """
     path = f"{folder}/{name}"
-    df.write.mode("overwrite").parquet(path)
+    with setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

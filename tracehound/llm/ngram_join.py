@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
-from math import exp
+from math import ceil, exp
 
 import numpy as np
 import pandas as pd
@@ -17,8 +17,10 @@ from tracehound.llm.shingles import U, mix, shingle_sets
 
 SHINGLE = 4
 PERCENT = 85
-#: Members of a family compared in one task; larger families are compared by pairs of blocks.
+#: Members of a family compared in one task (half as many more at most); larger families are compared by pairs of blocks.
 BLOCK = 1024
+#: Bytes of shingles that are dealt at once for comparison: these, or half of all sets if that is more.
+AT_ONCE = 2**28
 FANOUT = 8
 #: Bits of the bitmaps by which strangers with a signature in common are told apart, and the sets of a signature up to which they are.
 BITS = 1024
@@ -377,6 +379,32 @@ def sets_of(size: int):
     return run
 
 
+def paired_blocks(members: DataFrame, percent: int) -> DataFrame:
+    """(rep, d1, n, key, side) for members (rep, d1, n, family) of families of two or more, once for each pair of blocks they are compared in.
+
+    The blocks of a family are steps of its sizes, cut by hash where one size has more members than a block. Sets that
+    link have sizes in the ratio `percent` at least, so only blocks with sizes that near are paired; a family's members
+    are dealt to the blocks of like size, not to all.
+    """
+    of_family = Window.partitionBy("family")
+    sizes = members.groupBy("family", "n").agg(F.count("*").alias("rows")).withColumn("all", F.sum("rows").over(of_family)).where("all > 1")
+    sizes = sizes.withColumn("step", F.floor((F.sum("rows").over(of_family.orderBy("n")) - F.col("rows")) / BLOCK))
+    of_step = Window.partitionBy("family", "step")
+    sizes = sizes.withColumn("parts", F.greatest(F.lit(1), F.round(F.sum("rows").over(of_step) / BLOCK)).cast("int"))
+    steps = sizes.groupBy("family", "step", "parts").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    blocks = steps.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    other = blocks.select(F.col("family").alias("f"), *[F.col(c).alias(f"other_{c}") for c in ("step", "part", "least")])
+    later = F.struct("step", "part") <= F.struct("other_step", "other_part")
+    pairs = blocks.join(other, (F.col("family") == F.col("f")) & later & (100 * F.col("most") >= percent * F.col("other_least")))
+    same = (F.col("step") == F.col("other_step")) & (F.col("part") == F.col("other_part"))
+    key = F.concat_ws("/", "family", "step", "part", "other_step", "other_part", F.when(same, "=").otherwise(""))
+    pairs = pairs.select("family", "step", "part", "other_step", "other_part", same.alias("same"), key.alias("key"))
+    first = pairs.select("family", "step", "part", "key", F.lit(0).alias("side"))
+    second = pairs.where("NOT same").select("family", F.col("other_step").alias("step"), F.col("other_part").alias("part"), "key", F.lit(1).alias("side"))
+    own = members.join(sizes.select("family", "n", "step", "parts"), ["family", "n"]).withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+    return own.join(first.unionByName(second), ["family", "step", "part"]).select("rep", "d1", "n", "key", "side")
+
+
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id) for every row of docs; component_id is the smallest id reachable by links, itself included.
 
@@ -387,7 +415,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Equal sets become one class. Classes that share a partition signature form families (exact: no link is lost);
     inside a family, signature trees find the pairs that can be linked, and those not yet connected are compared
-    shingle by shingle. A family too large for a task is compared by pairs of blocks. Nothing is capped.
+    shingle by shingle. A family too large for a task is compared by pairs of blocks of like sizes, a bounded share of
+    the pairs at a time. Nothing is capped.
     """
     spark = docs.sparkSession
     folder = shared_folder(spark)
@@ -400,23 +429,27 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = spark.sparkContext.broadcast(common_shingles(texts, size))
     marks = texts.mapInPandas(marked(size, percent, shared), "d1 long, marks array<long>").select("d1", F.explode("marks").alias("mark"))
     by_mark = Window.partitionBy("mark")
-    agreed = marks.withColumn("low", F.min("d1").over(by_mark)).withColumn("high", F.max("d1").over(by_mark)).where("low != high").select("mark", "d1").distinct()
+    agreed = marks.withColumn("low", F.min("d1").over(by_mark)).withColumn("high", F.max("d1").over(by_mark)).withColumn("all", F.bit_xor(F.xxhash64("d1")).over(by_mark)).where("low != high")
+    # Signatures that the same sets share are one, as copies share hundreds. Were others taken for one too, their sets would only be compared without need.
+    agreed = written(agreed.select(F.xxhash64("low", "high", "all").alias("mark"), "d1").distinct(), folder, "agreed")
     agreed = agreed.join(maps, "d1").select("mark", "d1", "n", "map").repartition(partitions(spark), "mark").sortWithinPartitions("mark", "d1")
     family = components(agreed.mapInPandas(plausible(percent), "a long, b long"))
-    members = written(classes.join(family, F.col("d1") == F.col("node")).select("rep", "d1", F.col("component").alias("family")), folder, "members")
-    blocks = members.groupBy("family").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("family").alias("f"), F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(blocks, F.col("family") == F.col("f")).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    key = F.concat_ws("/", "family", low, high, F.when(low == high, "=").otherwise(""))
-    dealt = written(dealt.select("rep", "d1", key.alias("key"), (F.col("own") == high).cast("int").alias("side")), folder, "dealt")
-    few = total(dealt, F.count("*"))[0] <= BROADCAST_ROWS
-
-    found = texts.join(F.broadcast(dealt) if few else dealt, F.col("id") == F.col("rep")).select("id", "text", "d1", "key", "side")
-    pairs = found.mapInPandas(sets_of(size), "key string, side int, id long, shingles binary")
-    pairs = pairs.repartition(partitions(spark), "key").sortWithinPartitions("key")
-    links = pairs.mapInPandas(families_joined(percent), "a long, b long")
-    labels = components(links)
+    members = written(classes.join(family, F.col("d1") == F.col("node")).select("rep", "d1", "n", F.col("component").alias("family")), folder, "members")
+    dealt = written(paired_blocks(members, percent), folder, "dealt")
+
+    # Blocks of a large family meet many others, so its sets are dealt a share at a time; the disk holds one share.
+    held, whole = (8 * (total(f, F.sum(F.col("n").cast("long")))[0] or 0) for f in (dealt, classes))
+    shares = max(1, ceil(held / max(AT_ONCE, whole / 2)))
+    share = F.pmod(F.xxhash64("key"), F.lit(shares))
+    links = None
+    for k, rows in sorted((r[0], r[1]) for r in dealt.groupBy(share).count().collect()):  # a row per share
+        of_share = dealt.where(share == k)
+        found = texts.join(F.broadcast(of_share) if rows <= BROADCAST_ROWS else of_share, F.col("id") == F.col("rep")).select("id", "text", "d1", "key", "side")
+        pairs = found.mapInPandas(sets_of(size), "key string, side int, id long, shingles binary")
+        pairs = pairs.repartition(partitions(spark), "key").sortWithinPartitions("key")
+        part = written(pairs.mapInPandas(families_joined(percent), "a long, b long"), folder, f"links{k}")
+        links = part if links is None else links.unionByName(part)
+    labels = components(spark.createDataFrame([], "a long, b long") if links is None else links)
 
     named = classes.join(labels, F.col("rep") == F.col("node"), "left").select(F.col("n").alias("_n"), F.col("d1").alias("_1"), F.col("d2").alias("_2"), F.coalesce("component", "rep").alias("component"))
     out = sets.select("id", "n", "d1", "d2").join(named, (F.col("n") == F.col("_n")) & (F.col("d1") == F.col("_1")) & (F.col("d2") == F.col("_2")), "left")
