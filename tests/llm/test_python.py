@@ -364,6 +364,30 @@ def test_links_against_all_pairs(spark, monkeypatch):
     assert embeddings.near_groups(table.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_vectors_are_not_shuffled_for_the_cells_they_visit(spark, monkeypatch, kind):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(500, 24)).astype(np.float32)  # without clusters, so that most cells are near
+    x[400:] = x[:100] + r.normal(size=(100, 24)).astype(np.float32) * 0.05
+    x[490], x[491] = x[3], np.where(np.arange(24) == 0, -0.0, x[4])
+    x[492] = np.where(np.arange(24) == 0, 0.0, x[4])
+    table = spark.createDataFrame([(i, [float(e) for e in v]) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>")
+    sizes, write = {}, embeddings.written
+
+    def rows_of(df, folder, name):
+        sizes[name] = (out := write(df, folder, name)).count()
+        return out
+
+    monkeypatch.setattr(embeddings, "written", rows_of)
+    monkeypatch.setattr(embeddings, "BLOCK", 60)
+    got = {q.id: (q.n_links, q.component_id) for q in embeddings.near_groups(table).collect()}
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = y @ y.T >= 0.9
+    assert {i: n for i, (n, _) in got.items()} == {i: int(near[i].sum()) - 1 for i in range(500)}
+    assert all(got[i][1] == got[i - 400][1] for i in range(400, 490) if near[i, i - 400])
+    assert sizes["classes"] == 498 and sizes["cells24"] <= 498 / 60 + 3  # a row per block; it was one per vector and cell visited
+
+
 # Language model
 
 
